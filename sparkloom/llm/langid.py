@@ -15,11 +15,11 @@ any training text every text is ``und``. Other columns are kept, except
 
 from __future__ import annotations
 
-import math
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,9 @@ GRAM = 3
 SCRIPT_SHARE = 0.02
 #: Words that a worker remembers.
 MEMO_SIZE = 300_000
+#: Words of a chunk of the search; with more languages than MANY texts are not cut.
+CHUNK = 256
+MANY = 16
 
 #: First code points of Unicode blocks of letters, and the script that begins there.
 SCRIPT_STARTS = (
@@ -67,23 +70,31 @@ def grams(word: str) -> list[str]:
 
 @dataclass
 class Model:
-    """``languages`` in order; ``weights``: n-gram to log probabilities; ``rest``: those of an unseen one; ``scripts``: script to who uses it."""
+    """``languages`` in order; ``grams``: n-gram to row of ``weights``, whose last row is an unseen one's; ``scripts``: script to who uses it."""
 
     languages: list[str]
-    weights: dict[str, np.ndarray]
-    rest: np.ndarray
+    grams: dict[str, int]
+    weights: np.ndarray
     scripts: dict[str, np.ndarray]
-    memo: dict
-
-    def word(self, w: str) -> np.ndarray | None:
-        """Scores of a word by language; None if no language uses its script."""
-        open_ = self.scripts.get(script(w))
-        if open_ is None:
-            return None
-        total = np.zeros(len(self.languages))
-        for g in grams(w):
-            total += self.weights.get(g, self.rest)
-        return np.where(open_, total, -1e9)
+    rows: dict[str, int]
+    scores: np.ndarray
+
+    def learn_words(self, texts: list[list[str]]) -> None:
+        """Score the words not yet remembered: a row of ``scores`` each, or -1 if no language uses their script."""
+        if len(self.rows) > MEMO_SIZE:
+            self.rows, self.scores = {}, self.scores[:0]
+        new = sorted({w for words in texts for w in words if w not in self.rows})
+        open_ = [(w, x) for w in new if (x := self.scripts.get(script(w))) is not None]
+        self.rows.update(dict.fromkeys(new, -1))
+        if not open_:
+            return
+        found = [grams(w) for w, _ in open_]
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(map(self.grams.get, chain.from_iterable(found), repeat(len(self.weights) - 1)), np.int64, size.sum())
+        total = np.add.reduceat(self.weights[flat], np.append(0, np.cumsum(size[:-1])))
+        base = len(self.scores)
+        self.scores = np.concatenate([self.scores, np.where(np.array([x for _, x in open_]), total, -1e9)])
+        self.rows.update((w, base + i) for i, (w, _) in enumerate(open_))
 
 
 def _sampled(training: DataFrame, text_col: str, lang_col: str, most: int) -> DataFrame:
@@ -121,63 +132,78 @@ def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang", per
     total = sum(table.values(), np.zeros(len(languages)))
     letters = np.maximum(1, sum(scripts.values(), np.zeros(len(languages))))
     spread = total + 0.5 * (len(table) + 1)
-    weights = {g: np.log((n + 0.5) / spread) for g, n in table.items()}
+    weights = np.log((np.array([*table.values(), np.zeros(len(languages))]) + 0.5) / spread)
     used = {s: n / letters >= SCRIPT_SHARE for s, n in scripts.items()}
-    return Model(languages, weights, np.log(0.5 / spread), {s: u for s, u in used.items() if u.any()}, {})
+    return Model(languages, {g: i for i, g in enumerate(table)}, weights, {s: u for s, u in used.items() if u.any()}, {}, np.zeros((0, len(languages))))
 
 
 def paths(model: Model, texts: list[list[str]]) -> list[np.ndarray]:
     """For each text's words the index of their language, -1 for a word in a script that none uses.
 
-    All texts of a batch take their steps together, the longest first, so
-    that the search is array work however long a text is.
+    Texts are cut into chunks that take their steps together, as array work.
+    Each chunk is searched from every state it may be entered in, and the
+    chunks of a text are then joined by the best total: the path is that of
+    one search over the whole text.
     """
     k = len(model.languages)
-    memo, rows, ids = model.memo, [], []
-    if len(memo) > MEMO_SIZE:
-        memo.clear()
-    local: dict[str, int] = {}
-    for words in texts:
-        for w in set(words) - local.keys():
-            if w not in memo:
-                memo[w] = model.word(w)
-            if memo[w] is None:
-                local[w] = -1
-            else:
-                local[w] = len(rows)
-                rows.append(memo[w])
-        ids.append(np.fromiter(map(local.__getitem__, words), np.int64, len(words)))
+    model.learn_words(texts)
+    ids = [np.fromiter(map(model.rows.__getitem__, words), np.int64, len(words)) for words in texts]
     out = [np.full(len(x), -1, np.int64) for x in ids]
     known = [np.flatnonzero(x >= 0) for x in ids]
-    order = [i for i in sorted(range(len(ids)), key=lambda i: -len(known[i])) if len(known[i])]
-    if not order:
+    size = np.array([len(x) for x in known], np.int64)
+    if not size.sum():
         return out
-    table = np.array(rows)
-    size = np.array([len(known[i]) for i in order])
+    score = model.scores[np.concatenate([x[i] for x, i in zip(ids, known, strict=True)])]
+    chunk = CHUNK if k <= MANY else int(size.max())
+    starts = k if k <= MANY else 1
     first = np.append(0, np.cumsum(size))
-    score = table[np.concatenate([ids[i][known[i]] for i in order])]
-    came = np.empty(score.shape, np.int8 if k < 128 else np.int16)
-    now = score[first[:-1]]
-    alive = np.searchsorted(-size, -np.arange(size[0]), "left")  # how many texts are longer than t words
-    for t in range(1, size[0]):
+    per = -(-size // chunk)
+    text = np.repeat(np.arange(len(size)), per)  # of each chunk, in order
+    place = np.arange(len(text)) - np.repeat(np.append(0, np.cumsum(per)[:-1]), per)
+    begin = first[text] + place * chunk
+    length = np.minimum(chunk, first[text + 1] - begin)
+    order = np.argsort(-length, kind="stable")
+    at, n = begin[order], length[order]
+    alive = np.searchsorted(-n, -np.arange(n[0]), "left")  # how many chunks are longer than t words
+    now = np.full((len(n), starts, k), -1e18)
+    now[:, np.arange(starts), np.arange(starts)] = 0.0
+    if starts == 1:
+        now[:] = 0.0
+    came, states = [], np.arange(k, dtype=np.int16)
+    for t in range(n[0]):
         m = alive[t]
         before = now[:m]
-        top = before.argmax(1)
-        gain = before[np.arange(m), top] - SWITCH
-        stay = before >= gain[:, None]
-        at = first[:m] + t
-        came[at] = np.where(stay, np.arange(k), top[:, None])
-        now[:m] = np.where(stay, before, gain[:, None]) + score[at]
+        top = before.argmax(-1)[..., None]
+        gain = np.take_along_axis(before, top, -1) - SWITCH
+        stay = before >= gain
+        came.append(np.where(stay, states, top.astype(np.int16)))
+        now[:m] = np.where(stay, before, gain) + score[at[:m] + t][:, None, :]
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    enter, leave = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+    value = np.zeros((len(size), starts))
+    chosen = {}
+    for j in range(per.max()):  # the j-th chunk of every text that has one
+        c = np.flatnonzero(place == j)
+        total = value[text[c]][:, :, None] + now[back[c]]
+        chosen[j] = (c, total.argmax(1))
+        best = np.zeros((len(size), k)) if starts == 1 else value
+        best[text[c]] = total.max(1)
+        value = best
+    end = value.argmax(1)
+    for j in range(per.max() - 1, -1, -1):
+        c, frm = chosen[j]
+        leave[c] = end[text[c]]
+        enter[c] = frm[np.arange(len(c)), leave[c]]
+        end[text[c]] = enter[c]
     label = np.empty(first[-1], np.int64)
-    state = now.argmax(1)  # ``now`` of a shorter text stays as its last word left it
-    for t in range(size[0] - 1, -1, -1):
+    state, start = leave[order], enter[order] if starts > 1 else np.zeros(len(n), np.int64)
+    for t in range(n[0] - 1, -1, -1):
         m = alive[t]
-        at = first[:m] + t
-        label[at] = state[:m]
-        if t:
-            state[:m] = came[at, state[:m]]
-    for j, i in enumerate(order):
-        out[i][known[i]] = label[first[j] : first[j + 1]]
+        label[at[:m] + t] = state[:m]
+        state[:m] = came[t][np.arange(m), start[:m], state[:m]]
+    for i, x in enumerate(known):
+        out[i][x] = label[first[i] : first[i + 1]]
     return out
 
 

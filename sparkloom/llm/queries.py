@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lm_score, pieces
+from . import langid, lm_score, pieces, quality
 from .common import remainder, table
 from .decontaminate import decontaminate
 from .sentencepiece_codec import encode_documents
@@ -79,3 +79,11 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     found = lm_score.score_documents(docs, docs.where(remainder("doc_id", 7) != 2), pieces.load(PIECES))
     return found.select("doc_id", (remainder("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    labels = table(spark, sf_dir, "labels", "doc_id", "quality").where(remainder("doc_id", 5) != 0)
+    found = quality.score_documents(docs, labels)
+    return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
