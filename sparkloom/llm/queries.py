@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, lm_score, pieces, quality
+from . import ann, langid, lm_score, pieces, quality, urls, warc
 from .common import remainder, table
 from .decontaminate import decontaminate
 from .sentencepiece_codec import encode_documents
@@ -73,12 +73,39 @@ FROM dw d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
 """
 
 
+@query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op5_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(h))::BIGINT AS b, sha1(h) AS s FROM p),
+k AS (SELECT s, max(page_id) AS m FROM d WHERE b >= 1000 GROUP BY s)
+SELECT page_id, b AS payload_bytes, d.s AS payload_digest,
+  CASE WHEN page_id <> m THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id <> m THEN m END AS refers_to
+FROM d LEFT JOIN k ON d.s = k.s AND b >= 1000
+"""
+
+
 @query
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_ids, ids_sha256 (null text: null) and round_trip."""
     return encode_documents(table(spark, sf_dir, "documents", "doc_id", "text"), pieces.load(PIECES), with_ids=False).drop("text")
 
 
+#: Host, path and verdict.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+@query
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = urls.filter_urls(table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
+    return found.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
 @query
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
