@@ -5,22 +5,23 @@ size is fixed by the file, tens of thousands of pieces). Texts are prepared as
 the model does it: spaces become U+2581 and one is put in front.
 
 A piece of the vocabularies supported never holds U+2581 after another
-character, nor a line's end among others, so every path of a lattice has a
-boundary there: the lattice falls apart into segments, and a segment's result
-can be kept for its next occurrence.
+character, and some marks never stand in a piece with letters, so every path
+of a lattice has a boundary there: the lattice falls apart into segments, and
+a segment's result can be kept for its next occurrence.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass, field
+from collections.abc import Iterable
+from dataclasses import dataclass
 
 SPACE = "▁"
 #: Segments up to this many characters are remembered; longer ones rarely come back.
 MEMO_CHARS = 40
-#: A memory of segments is emptied when it holds this many.
-MEMO_SIZE = 400_000
+#: A generation of remembered segments.
+MEMO_SIZE = 250_000
 #: A character outside the vocabulary scores this much below the lowest piece.
 UNKNOWN_PENALTY = 10.0
 
@@ -36,10 +37,20 @@ class Vocabulary:
     unknown_id: int
     unknown_score: float
     longest: int
-    memo: dict = field(default_factory=dict, repr=False)
 
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "memo"} | {"memo": {}}
+    def __post_init__(self):
+        self.prefixes = prefixes(self.ids, -1)
+        marks = "".join(map(re.escape, sorted(marks_apart(self.ids))))
+        self.segment = re.compile(f"{SPACE}*[^{SPACE}{marks}]+|{SPACE}*[{marks}]+|{SPACE}+").findall
+        self.memo = Memory()
+
+    def __reduce__(self):  # what can be made anew isn't sent
+        return Vocabulary, (self.ids, self.scores, self.bytes_of, self.byte_ids, self.unknown_id, self.unknown_score, self.longest)
+
+
+def prefixes(table: dict, mark) -> dict:
+    """``table`` with all beginnings of its keys, which get ``mark`` where they are no keys."""
+    return {k[:i]: mark for k in table for i in range(1, len(k))} | table
 
 
 def load(model_file: str) -> Vocabulary:
@@ -61,75 +72,105 @@ def load(model_file: str) -> Vocabulary:
         else:
             ids[piece] = i
             raw.append(piece.replace(SPACE, " ").encode())
-    if any(SPACE in p.lstrip(SPACE) or "\n" in p and len(p) > 1 for p in ids):
-        raise ValueError("pieces that go on after a space or a line's end are not supported")
+    if any(SPACE in p.lstrip(SPACE) for p in ids):
+        raise ValueError("pieces that go on after a space are not supported")
     low = min(s for p, i in ids.items() if (s := scores[i]) > -1e8)
     return Vocabulary(ids, scores, raw, byte_ids if n_bytes == 256 else [], sp.unk_id(), low - UNKNOWN_PENALTY, max(map(len, ids)))
 
 
-_SEGMENT = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+def marks_apart(pieces: Iterable[str]) -> set[str]:
+    """Characters other than letters and digits 0 to 9 whose pieces hold, after spaces, only such characters."""
+    bare = [set(p.lstrip(SPACE)) for p in pieces]
+    apart = {c for b in bare for c in b if not c.isalpha() and c not in "0123456789"} | {"\n"}
+    while mixed := {c for b in bare if b & apart and not b <= apart for c in b & apart}:
+        apart -= mixed
+    return apart - {SPACE}
 
 
-def segments(text: str) -> list[str]:
+def segments(v: Vocabulary, text: str) -> list[str]:
     """The prepared text in parts between which every path has a boundary. The empty text has none."""
-    return _SEGMENT.findall(SPACE + text.replace(" ", SPACE)) if text else []
+    return v.segment(SPACE + text.replace(" ", SPACE)) if text else []
 
 
 def best_path(v: Vocabulary, s: str) -> tuple[int, ...]:
     """Ids of the best segmentation, by a Viterbi search that keeps only a window of the lattice.
 
-    Scores and backpointers are kept for the last ``longest`` places alone.
-    Whenever all backpointers of the window lead to one boundary, ids up to it
-    are committed and forgotten, so memory doesn't grow with the text. A tie
-    goes to the longer last piece.
+    The window is a few times the longest piece. When it is full, the paths
+    that can still go on (they end within one piece of its edge) are followed
+    back to the boundary they share; the ids before it are committed, and the
+    search goes on from there with nothing else kept. Only while there is no
+    such boundary does the window grow. A tie goes to the longer last piece.
     """
-    ids, scores, longest, unknown = v.ids, v.scores, v.longest, v.unknown_score
-    n = len(s)
-    score = {0: 0.0}
-    back: dict[int, tuple[int, int]] = {}
-    out: list[int] = []
-    base = 0
-    for i in range(1, n + 1):
-        best, frm, pick = -math.inf, i - 1, -1
-        for j in range(max(base, i - longest), i):
-            k = ids.get(s[j:i])
-            if k is not None and (x := score[j] + scores[k]) > best:
-                best, frm, pick = x, j, k
-        if s[i - 1] not in ids and (x := score[i - 1] + unknown) > best:
-            best, frm, pick = x, i - 1, -1
-        score[i], back[i] = best, (frm, pick)
-        if i - base >= 4 * longest:
-            # the surviving paths: those that end at a place from which a later piece may start
-            alive = set(range(i - longest + 1, i + 1))
-            while len(alive) > 1:
-                top = max(alive)
-                alive.remove(top)
-                alive.add(back[top][0])
-                if min(alive) <= base:
-                    break
-            at = alive.pop() if len(alive) == 1 else base
-            if at > base:
-                out += _trace(v, s, back, base, at)
-                for k in range(base, at):
-                    score.pop(k, None)
-                    back.pop(k + 1, None)
-                base = at
-    out += _trace(v, s, back, base, n)
+    n, base, span, out = len(s), 0, 4 * v.longest, []
+    while base < n:
+        part = s[base : base + span]
+        m = len(part)
+        back, pick = _search(v, part)
+        if base + m == n:
+            _trace(v, part, back, pick, m, out)
+            break
+        alive = set(range(m - v.longest + 1, m + 1))
+        while len(alive) > 1 and min(alive) > 0:
+            top = max(alive)
+            alive.remove(top)
+            alive.add(back[top])
+        at = alive.pop() if len(alive) == 1 else 0
+        if at > 0:
+            _trace(v, part, back, pick, at, out)
+            base, span = base + at, 4 * v.longest
+        else:
+            span *= 2
     return tuple(out)
 
 
-def _trace(v: Vocabulary, s: str, back: dict, lo: int, hi: int) -> list[int]:
-    out: list[int] = []
-    while hi > lo:
-        frm, pick = back[hi]
-        if pick >= 0:
-            out.append(pick)
+def _search(v: Vocabulary, s: str) -> tuple[list[int], list[int]]:
+    """For every place of ``s`` the start and id (-1: unknown) of the last piece of its best path."""
+    get, scores, unknown = v.prefixes.get, v.scores, v.unknown_score
+    n = len(s)
+    best, back, pick = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+    best[0] = 0.0
+    for j in range(n):
+        a, i = best[j], j + 1
+        k = get(s[j:i])
+        if k is None or k < 0:
+            if (x := a + unknown) > best[i]:
+                best[i], back[i], pick[i] = x, j, -1
+        while k is not None:
+            if k >= 0 and (x := a + scores[k]) > best[i]:
+                best[i], back[i], pick[i] = x, j, k
+            i += 1
+            if i > n:
+                break
+            k = get(s[j:i])
+    return back, pick
+
+
+def _trace(v: Vocabulary, s: str, back: list[int], pick: list[int], hi: int, out: list[int]) -> None:
+    """Append the ids of the best path to ``hi``."""
+    found: list[int] = []
+    while hi > 0:
+        frm = back[hi]
+        if pick[hi] >= 0:
+            found.append(pick[hi])
         elif v.byte_ids:
-            out += [v.byte_ids[b] for b in reversed(s[frm:hi].encode("utf-8", "surrogatepass"))]
+            found += [v.byte_ids[b] for b in reversed(s[frm:hi].encode("utf-8", "surrogatepass"))]
         else:
-            out.append(v.unknown_id)
+            found.append(v.unknown_id)
         hi = frm
-    return out[::-1]
+    out += reversed(found)
+
+
+class Memory:
+    """Results by segment in two generations: when the young one is full, it becomes the old one, and that is dropped."""
+
+    def __init__(self, size: int = MEMO_SIZE):
+        self.size, self.young, self.old = size, {}, {}
+
+    def put(self, s: str, value) -> None:
+        if len(s) <= MEMO_CHARS:
+            if len(self.young) >= self.size:
+                self.old, self.young = self.young, {}
+            self.young[s] = value
 
 
 def encode(v: Vocabulary, text: str | None) -> list[int]:
@@ -138,14 +179,11 @@ def encode(v: Vocabulary, text: str | None) -> list[int]:
     if not text:
         return out
     memo, extend = v.memo, out.extend
-    for s in segments(text):
-        found = memo.get(s)
+    for s in segments(v, text):
+        found = memo.young.get(s)
         if found is None:
-            found = best_path(v, s)
-            if len(s) <= MEMO_CHARS:
-                if len(memo) >= MEMO_SIZE:
-                    memo.clear()
-                memo[s] = found
+            found = memo.old.get(s) or best_path(v, s)
+            memo.put(s, found)
         extend(found)
     return out
 
@@ -177,24 +215,39 @@ def zipf_log_probs(v: Vocabulary, shift: float = 2.7) -> tuple[dict[str, float],
     return {p: math.log(w) - z for p, w in weight.items()}, math.log(byte) - z
 
 
-def log_marginal(probs: dict[str, float], byte: float, longest: int, s: str) -> float:
-    """Natural log of the summed probability of all segmentations of ``s``; only a window of the recursion is kept.
+def log_marginal(table: dict[str, float], byte: float, s: str) -> float:
+    """Natural log of the summed probability of all segmentations of ``s``, by a forward recursion in log space.
 
-    A character outside the vocabulary is spelled in bytes.
+    ``table``: log probabilities of pieces, with their beginnings marked 1.0.
+    Places ahead are kept only as far as a piece reaches. A character outside
+    the vocabulary is spelled in bytes.
     """
-    alpha = [0.0]  # of the last ``longest`` places, the nearest last
-    exp, log = math.exp, math.log
-    for i in range(1, len(s) + 1):
-        terms = []
-        m = len(alpha)
-        for d in range(1, m + 1):
-            p = probs.get(s[i - d : i])
-            if p is not None:
-                terms.append(alpha[m - d] + p)
-        if s[i - 1] not in probs:
-            terms.append(alpha[-1] + byte * len(s[i - 1].encode("utf-8", "surrogatepass")))
-        top = max(terms)
-        alpha.append(top + log(sum([exp(t - top) for t in terms])) if len(terms) > 1 else top)
-        if len(alpha) > longest:
-            del alpha[0]
-    return alpha[-1]
+    get, n = table.get, len(s)
+    ahead: dict[int, list[float]] = {0: [0.0]}
+    for j in range(n):
+        a = _log_sum(ahead.pop(j))
+        i = j + 1
+        p = get(s[j:i])
+        if p is None or p > 0:
+            ahead.setdefault(i, []).append(a + byte * len(s[j].encode("utf-8", "surrogatepass")))
+        while p is not None:
+            if p <= 0:
+                if i in ahead:
+                    ahead[i].append(a + p)
+                else:
+                    ahead[i] = [a + p]
+            i += 1
+            if i > n:
+                break
+            p = get(s[j:i])
+    return _log_sum(ahead.pop(n))
+
+
+def _log_sum(terms: list[float]) -> float:
+    if len(terms) == 1:
+        return terms[0]
+    if len(terms) == 2:
+        x, y = terms
+        return x + math.log1p(math.exp(y - x)) if x > y else y + math.log1p(math.exp(x - y))
+    top = max(terms)
+    return top + math.log(math.fsum([math.exp(t - top) for t in terms]))
