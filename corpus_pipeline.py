@@ -1,10 +1,87 @@
-"""The corpus pipeline: documents through the training-data operators, stage by stage."""
+"""The corpus pipeline: documents through five training-data operators.
+
+Each stage takes all that the one before kept, as written Parquet, and returns
+the columns of documents (the last: the ids of the texts).
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkloom.llm import langid, near_duplicates, pieces, suffix_dedup
+from sparkloom.llm.common import scratch, small_batches, table
+from sparkloom.llm.decontaminate import decontaminate
+from sparkloom.llm.queries import PIECES
+from sparkloom.llm.sentencepiece_codec import encode_documents
+
+#: A text stays if so much of its letters are in one language.
+LANGUAGE_SHARE = 0.5
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a letter go, and those of which no language makes up half."""
+    small_batches(spark)
+    found = langid.identify(docs, langid.fit(docs))
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LANGUAGE_SHARE)).select(docs.columns)
+
+
+def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of similar texts the one of the smallest id stays."""
+    small_batches(spark)
+    return near_duplicates.keep_one(docs)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated strings of 200 bytes are cut out; bytes of a character that is cut through go with it, and texts that nothing is left of.
+
+    A cut text's number of characters is counted anew.
+    """
+    small_batches(spark)
+    found = suffix_dedup.dedup(docs.withColumn("_null", F.col("text").isNull()), with_text=True)
+    kept = found.where((F.col("n_removed") == 0) | (F.octet_length("kept") > 0))
+    kept = kept.withColumn("text", F.when(F.col("n_removed") > 0, whole_characters(F.col("kept"))).when(~F.col("_null"), F.col("kept").cast("string")))
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return kept.select(docs.columns)
+
+
+def whole_characters(raw):
+    """Text of bytes; what is no UTF-8 is left out."""
+    shown = F.call_function("make_valid_utf8", raw.cast("string"))
+    return F.regexp_replace(shown, "�", "")
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Contaminated texts go."""
+    small_batches(spark)
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+    bad = found.where((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+
+
+def sentencepiece_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts become ids."""
+    small_batches(spark)
+    return encode_documents(docs, pieces.load(PIECES)).drop("text", "n_chars")
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicate_join", near_duplicate_join),
+    ("suffix_array_dedup", suffix_array_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("sentencepiece_encoding", sentencepiece_encoding),
+]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = scratch(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
