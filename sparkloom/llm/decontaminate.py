@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import scratch, tidy
 
 #: A shard is closed at this many tokens; one longer document is a shard of its own.
 SHARD_TOKENS = 1_000_000
@@ -115,7 +115,7 @@ def build_index(docs: DataFrame, lexicon: set[bytes] | None = None, id_col: str
         if held:
             yield _shard(held, ids, names)
 
-    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("binary")).mapInArrow(run, SHARD)
+    return docs.select(F.col(id_col).cast("bigint"), F.col(text_col).cast("binary")).mapInArrow(tidy(run), SHARD)
 
 
 class Shard:
@@ -226,7 +226,7 @@ def _look_up(index: DataFrame, phrases: dict[tuple[bytes, ...], list[int]], base
                     row[name] = row[name] + (np.concatenate(new).astype("<i8").tobytes() if new else b"")
                 yield pa.RecordBatch.from_arrays([pa.array([row[f.name]], f.type) for f in _BIG], schema=_BIG)
 
-    return index.mapInArrow(run, SHARD)
+    return index.mapInArrow(tidy(run), SHARD)
 
 
 def _judge(shards: DataFrame, ids: list[str | None]) -> DataFrame:
@@ -249,7 +249,7 @@ def _judge(shards: DataFrame, ids: list[str | None]) -> DataFrame:
                     {"doc_id": pa.array(row["docs"], pa.int64()), "n_words": lengths, "n_hit": hits, "item_ids": pa.array([sorted(set(x)) for x in of], pa.list_(pa.string()))}
                 )
 
-    return shards.mapInArrow(run, "doc_id bigint, n_words bigint, n_hit bigint, item_ids array<string>")
+    return shards.mapInArrow(tidy(run), "doc_id bigint, n_words bigint, n_hit bigint, item_ids array<string>")
 
 
 def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> Iterator[list[tuple]]:
@@ -294,4 +294,4 @@ def proximity_matches(docs: DataFrame, phrases: list[str], slop: int = 5, id_col
                 if out:
                     yield pa.RecordBatch.from_pydict(dict(zip(("doc_id", "phrase", "start", "stop"), map(list, zip(*out, strict=True)), strict=True)))
 
-    return build_index(docs, lexicon, id_col, text_col).mapInArrow(run, "doc_id bigint, phrase string, start bigint, stop bigint")
+    return build_index(docs, lexicon, id_col, text_col).mapInArrow(tidy(run), "doc_id bigint, phrase string, start bigint, stop bigint")

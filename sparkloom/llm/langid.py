@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 UNKNOWN = "und"
 #: Texts that a language is learnt from, at most (about; chosen by a hash of the text).
 SAMPLE_PER_LANGUAGE = 3000
@@ -38,7 +40,7 @@ GRAM = 3
 #: A language is a candidate for a script that makes up this share of its letters.
 SCRIPT_SHARE = 0.02
 #: Words that a worker remembers.
-MEMO_SIZE = 300_000
+MEMO_SIZE = 150_000
 #: Words of a chunk of the search; with more languages than MANY texts are not cut.
 CHUNK = 256
 MANY = 16
@@ -121,7 +123,7 @@ def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang", per
         if out:
             yield pa.RecordBatch.from_pydict({"lang": [k[0] for k in out], "kind": pa.array([k[1] for k in out], pa.int32()), "gram": [k[2] for k in out], "n": list(out.values())})
 
-    counts = _sampled(training, text_col, lang_col, per_language).mapInArrow(count, "lang string, kind int, gram string, n bigint")
+    counts = _sampled(training, text_col, lang_col, per_language).mapInArrow(tidy(count), "lang string, kind int, gram string, n bigint")
     rows = counts.groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n")).collect()  # bounded by the sample
     languages = sorted({r.lang for r in rows})
     at = {k: i for i, k in enumerate(languages)}
@@ -238,7 +240,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", with_spans:
                 cols.append(pa.array(spans, pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("stop", pa.int64())]))))
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*b.schema.names, *(f.name for f in new)])
 
-    return docs.select(*(F.col(f"`{f.name}`") for f in kept)).mapInArrow(run, T.StructType([*kept, *new]))
+    return docs.select(*(F.col(f"`{f.name}`") for f in kept)).mapInArrow(tidy(run), T.StructType([*kept, *new]))
 
 
 def _spans(m: Model, text: str, label: np.ndarray) -> list[dict]:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups_of, scratch
+from .common import groups_of, scratch, tidy
 from .components import connected
 from .decontaminate import words
 
@@ -218,7 +218,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary()), pa.array(sizes, pa.int64())], names=["doc_id", "key", "sig", "n"])
 
     at = scratch(spark, "signatures")
-    source.mapInArrow(sign, "doc_id bigint, key binary, sig binary, n bigint").write.parquet(at)
+    source.mapInArrow(tidy(sign), "doc_id bigint, key binary, sig binary, n bigint").write.parquet(at)
     signed = spark.read.schema("doc_id bigint, key binary, sig binary, n bigint").parquet(at)
     # within a class all signatures are equal, so any value will do
     classes = signed.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min("sig").alias("sig"), F.min("n").alias("n"))
@@ -229,7 +229,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             found = [bands(np.frombuffer(s, "<u2")) for s in sigs]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array([k for k in keys for _ in range(BANDS)], pa.binary())], names=["band", "key"])
 
-    banded = classes.select("key", "sig").mapInArrow(band, "band bigint, key binary")
+    banded = classes.select("key", "sig").mapInArrow(tidy(band), "band bigint, key binary")
     crowds = banded.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     met = banded.join(crowds, "band").join(classes.select("key", "sig"), "key")
     units = _units(met, "band", F.ceil(F.col("size") / BLOCK), "key").select("unit", "side", "key", "sig")
@@ -242,7 +242,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if tree := _Forest(len(keys)).link(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i, _ in tree], pa.binary()), pa.array([keys[j] for _, j in tree], pa.binary())], names=["a", "b"])
 
-    edges = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(prune, "a binary, b binary")
+    edges = units.repartition("unit").sortWithinPartitions("unit").mapInArrow(tidy(prune), "a binary, b binary")
     near = connected(edges)
     near = near.unionByName(near.select(F.col("root").alias("id"), "root").distinct())
     near = near.join(classes.select(F.col("key").alias("id"), "rep", "copies", "n"), "id")
@@ -257,7 +257,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             mine = pa.array([_key(s) == k for s, k in zip(sets, b.column(2).to_pylist(), strict=True)])  # an id may stand for several texts
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([s.tobytes() for s in sets], pa.binary())], names=["root", "blocks", "id", "copies", "found"]).filter(mine)
 
-    loaded = texts.mapInArrow(load, "root binary, blocks bigint, id binary, copies bigint, found binary")
+    loaded = texts.mapInArrow(tidy(load), "root binary, blocks bigint, id binary, copies bigint, found binary")
     blocks = _units(loaded, "root", F.col("blocks"), "id").select("unit", "side", "id", "copies", "found").repartition("unit").sortWithinPartitions("unit", "id")
 
     def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +279,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 )
 
     out = scratch(spark, "links")
-    blocks.mapInArrow(verify, "a binary, b binary, links bigint").write.parquet(out)
+    blocks.mapInArrow(tidy(verify), "a binary, b binary, links bigint").write.parquet(out)
     verified = spark.read.schema("a binary, b binary, links bigint").parquet(out)
     links = verified.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("links").alias("links"))
     roots = connected(verified.where("b is not null")).select(F.col("id").alias("key"), "root")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidy
 
 #: Labelled documents that are learnt from, at most (about).
 SAMPLE_DOCS = 6000
@@ -87,7 +87,7 @@ def word_vectors(sample: DataFrame, text_col: str, tasks: int = 4) -> np.ndarray
                                 total[flat] += np.bincount(inv, sign[y].ravel())
         yield pa.RecordBatch.from_pydict({"v": pa.array([total.astype("<f4").tobytes()], pa.binary())})
 
-    parts = sample.select(text_col).repartition(tasks).mapInArrow(run, "v binary").collect()
+    parts = sample.select(text_col).repartition(tasks).mapInArrow(tidy(run), "v binary").collect()
     total = sum((np.frombuffer(bytes(r.v), "<f4").astype(np.float64) for r in parts), np.zeros(BUCKETS * SIZE)).reshape(BUCKETS, SIZE)
     seen = np.abs(total).sum(1) > 0
     if seen.any():
@@ -174,7 +174,7 @@ def _features_of(rows: DataFrame, id_col: str, extra: list[str], text_col: str,
             last = pa.array(net.probabilities(x)) if net else pa.array([r.astype("<f4").tobytes() for r in x], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], last], names=[*kept, "x"])
 
-    return rows.select(*kept, text_col).mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "x double" if net else "x binary"]))
+    return rows.select(*kept, text_col).mapInArrow(tidy(run), ", ".join([*(f"`{c}` {kinds[c]}" for c in kept), "x double" if net else "x binary"]))
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
 from .pieces import Vocabulary, decode, encode
 
 _NEW = [("ids", T.ArrayType(T.IntegerType())), ("n_ids", T.LongType()), ("ids_sha256", T.StringType()), ("round_trip", T.BooleanType())]
@@ -59,7 +60,7 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "t
                 cols["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=pa.array([x is None for x in found]))
             yield pa.RecordBatch.from_arrays([*b.columns, *(cols[n] for n, _ in new)], names=[*b.schema.names, *(n for n, _ in new)])
 
-    return docs.select(*(F.col(f"`{f.name}`") for f in kept)).mapInArrow(run, T.StructType([*kept, *(T.StructField(n, t) for n, t in new)]))
+    return docs.select(*(F.col(f"`{f.name}`") for f in kept)).mapInArrow(tidy(run), T.StructType([*kept, *(T.StructField(n, t) for n, t in new)]))
 
 
 def decode_documents(coded: DataFrame, vocabulary: Vocabulary, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
@@ -74,4 +75,4 @@ def decode_documents(coded: DataFrame, vocabulary: Vocabulary, ids_col: str = "i
             texts = [None if ids is None else decode(v, ids) for ids in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*b.schema.names, text_col])
 
-    return coded.select(*(F.col(f"`{f.name}`") for f in kept)).mapInArrow(run, T.StructType([*kept, T.StructField(text_col, T.StringType())]))
+    return coded.select(*(F.col(f"`{f.name}`") for f in kept)).mapInArrow(tidy(run), T.StructType([*kept, T.StructField(text_col, T.StringType())]))

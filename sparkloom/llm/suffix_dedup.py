@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import groups_of, scratch
+from .common import groups_of, scratch, tidy
 
 LENGTH = 200
 GRAM = 64
@@ -226,7 +226,7 @@ def _texts_of(source: DataFrame, bits: np.ndarray) -> DataFrame:
             if ok.any():
                 yield b.filter(pa.array(ok.astype(bool)))
 
-    return source.mapInArrow(run, source.schema)
+    return source.mapInArrow(tidy(run), source.schema)
 
 
 def _pack(p: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -245,7 +245,7 @@ def repeated_spans(source: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
             yield pa.RecordBatch.from_pydict({"h": pa.array(value.view(np.int64)), "n": pa.array(n)})
 
     long = source.where(F.octet_length("text") >= length)
-    often = long.select("text").mapInArrow(hashes, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    often = long.select("text").mapInArrow(tidy(hashes), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
 
     def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -262,7 +262,7 @@ def repeated_spans(source: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["h", "c", "rid", "at"])
 
     path = scratch(spark, "anchors")
-    long.select("rid", "text").mapInArrow(places, "h bigint, c bigint, rid bigint, at bigint").join(often, "h", "left_semi").write.parquet(path)
+    long.select("rid", "text").mapInArrow(tidy(places), "h bigint, c bigint, rid bigint, at bigint").join(often, "h", "left_semi").write.parquet(path)
     kept = spark.read.schema("h bigint, c bigint, rid bigint, at bigint").parquet(path)
     contexts = kept.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at")).alias("x")).select("h", "c", "n", "x.*")
     path = scratch(spark, "contexts")
@@ -300,7 +300,7 @@ def _compare(source: DataFrame, open_: DataFrame, length: int, gram: int) -> Dat
                 [pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), *(pa.array(c, pa.int64()) for c in cols[2:])], names=["suffix", "before", "rid", "at", "n"]
             )
 
-    rows = joined.mapInArrow(suffixes, "suffix binary, before binary, rid bigint, at bigint, n bigint")
+    rows = joined.mapInArrow(tidy(suffixes), "suffix binary, before binary, rid bigint, at bigint, n bigint")
     n = open_.count()
     share = min(1.0, SPLITTER_ROWS / max(1, n))
     drawn = rows.where(F.pmod(F.xxhash64("rid", "at"), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.substring("suffix", 1, gram).alias("s")) if n > RANGE_ROWS else None
@@ -324,8 +324,8 @@ def _compare(source: DataFrame, open_: DataFrame, length: int, gram: int) -> Dat
         for _, t in groups_of(batches, "range"):
             yield from _groups(t, length, gram)
 
-    runs = rows.mapInArrow(sort, "range int, shared binary, sizes binary, tails binary, left_sizes binary, lefts binary, rows binary")
-    return runs.repartition("range").sortWithinPartitions("range").mapInArrow(join, "rid bigint, start bigint, stop bigint")
+    runs = rows.mapInArrow(tidy(sort), "range int, shared binary, sizes binary, tails binary, left_sizes binary, lefts binary, rows binary")
+    return runs.repartition("range").sortWithinPartitions("range").mapInArrow(tidy(join), "rid bigint, start bigint, stop bigint")
 
 
 def _runs(held: list[pa.RecordBatch], bounds: list[bytes], gram: int) -> Iterator[pa.RecordBatch]:
@@ -438,7 +438,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
             yield pa.RecordBatch.from_arrays([b.column(2), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=["row", *_NEW])
 
     kinds = [T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.BinaryType()]
-    some = hit.mapInArrow(cut_out, T.StructType([T.StructField("row", row), *(T.StructField(n, k) for n, k in zip(_NEW, kinds, strict=True))]))
+    some = hit.mapInArrow(tidy(cut_out), T.StructType([T.StructField("row", row), *(T.StructField(n, k) for n, k in zip(_NEW, kinds, strict=True))]))
     # what a row without repeats returns is taken before the join, so that no text is shuffled unless asked for
     plain = source.select(
         "rid",
