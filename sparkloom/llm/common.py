@@ -13,12 +13,6 @@ from pyspark.sql import functions as F
 
 from ..session import importable
 
-try:
-    _LIBC = ctypes.CDLL("libc.so.6")
-except OSError:  # another C library
-    _LIBC = None
-
-
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """One Parquet table with only the columns asked for."""
     small_batches(spark)
@@ -66,13 +60,20 @@ def tidy(fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from fn(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if _LIBC is not None:
-                _LIBC.malloc_trim(0)
+            hand_back()
 
     return run
 
 
+def hand_back() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def groups_of(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[tuple[object, pa.Table]]:
     """Runs of equal ``key`` from batches that are sorted by it, one group in memory at a time."""
     held: list[pa.RecordBatch] = []
