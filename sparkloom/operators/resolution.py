@@ -110,7 +110,7 @@ def conflict_edges(cands: DataFrame, bucket: int = 16) -> DataFrame:
 def components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """id and component (smallest id) of every vertex, by minimum labels that jump along themselves until nothing changes."""
     both = _cut(edges.select("a", "b").union(edges.select("b", "a")))
-    labels = vertices.select("id", F.col("id").alias("component"))
+    labels = vertices.select("id").distinct().withColumn("component", F.col("id"))
     changed = True
     for _ in range(max_rounds):
         if not changed:

@@ -1 +1,154 @@
-"""To be filled."""
+"""Join queries: order intervals against events, as-of steps, scored pairs and multiset checks."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import joins as op
+from ..session import table
+from .registry import query
+
+_O = "o AS (SELECT o_orderkey AS oid, o_custkey % 150 AS k, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) % 365 AS s, date_diff('day', DATE '1992-01-01', o_orderdate::DATE) % 365 + o_orderkey % 20 AS e FROM orders)"
+_P = "p AS (SELECT event_id, user_id AS k, event_id % 365 AS t FROM events)"
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.datediff(F.to_date("o_orderdate"), F.lit("1992-01-01").cast("date")) % 365
+    return table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate").select(
+        F.col("o_orderkey").alias("oid"), (F.col("o_custkey") % 150).alias("k"), day.cast("bigint").alias("s"), (day + F.col("o_orderkey") % 20).cast("bigint").alias("e")
+    )
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events", "event_id", "user_id").selectExpr("event_id", "user_id AS k", "event_id % 365 AS t")
+
+
+@query(f"WITH {_O}, {_P} SELECT event_id, count(*) AS n FROM p JOIN o ON o.k = p.k AND t BETWEEN s AND e GROUP BY event_id")
+def interval_point_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.point_in_interval(_points(spark, sf_dir), _orders(spark, sf_dir), ["k"], "t", "s", "e", 32).groupBy("event_id").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_O}, {_P}, f AS (SELECT event_id, s, e, row_number() OVER (PARTITION BY event_id ORDER BY e - s, s DESC) AS r FROM p JOIN o ON o.k = p.k AND t BETWEEN s AND e) SELECT event_id, s, e FROM f WHERE r = 1")
+def innermost_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = op.point_in_interval(_points(spark, sf_dir), _orders(spark, sf_dir), ["k"], "t", "s", "e", 32)
+    return op.innermost(found, ["event_id"], "s", "e").select("event_id", "s", "e")
+
+
+@query(f"WITH {_O} SELECT a.k, a.oid, count(*) AS n FROM o a JOIN o b ON a.k = b.k AND a.oid < b.oid AND a.s <= b.e AND b.s <= a.e GROUP BY ALL")
+def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.overlapping(_orders(spark, sf_dir), ["k"], "oid", "s", "e", 32).groupBy("k", "oid").agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH l AS (SELECT event_id, user_id AS k, ts FROM events WHERE event_type <> 'signup'), r AS (SELECT user_id AS k, ts, value AS step, event_id FROM events WHERE event_type = 'signup')
+    SELECT l.event_id, r.step FROM l ASOF LEFT JOIN r ON l.k = r.k AND l.ts >= r.ts"""
+)
+def asof_line_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events", "event_id", "user_id", "ts", "event_type", "value").withColumnRenamed("user_id", "k")
+    left = ev.where("event_type <> 'signup'").select("event_id", "k", "ts")
+    right = ev.where("event_type = 'signup'").select("k", "ts", F.col("value").alias("step"), "event_id")
+    return op.as_of(left, right, ["k"], "ts", "step", "event_id").select("event_id", "step")
+
+
+@query(
+    """WITH p AS (SELECT c_custkey, s_suppkey, s_name, s_suppkey % 9 AS args, 6 + CASE WHEN s_suppkey % 10 = c_custkey % 10 THEN 12 ELSE 0 END + CASE WHEN s_suppkey % 7 = c_custkey % 7 THEN 5 ELSE 0 END + CASE WHEN s_acctbal > 5000 THEN 2 ELSE 0 END AS score
+      FROM customer JOIN supplier ON c_nationkey = s_nationkey),
+    o AS (SELECT *, row_number() OVER (PARTITION BY c_custkey, args ORDER BY score DESC, s_name) AS f FROM p WHERE score >= 8),
+    b AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, s_name) AS place FROM o WHERE f = 1) SELECT c_custkey, s_suppkey, score, place FROM b WHERE place <= 6"""
+)
+def scored_candidates_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, s = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey"), table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    pairs = c.join(s, c.c_nationkey == s.s_nationkey).withColumn("args", F.col("s_suppkey") % 9)
+    score = (
+        F.lit(6)
+        + F.when(F.col("s_suppkey") % 10 == F.col("c_custkey") % 10, 12).otherwise(0)
+        + F.when(F.col("s_suppkey") % 7 == F.col("c_custkey") % 7, 5).otherwise(0)
+        + F.when(F.col("s_acctbal") > 5000, 2).otherwise(0)
+    )
+    return op.scored_top(pairs, "c_custkey", score, "args", "s_name", 6, 8).select("c_custkey", "s_suppkey", "score", "place")
+
+
+@query(
+    """WITH a AS (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1), b AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)
+    SELECT coalesce(a.k, b.k) AS k, coalesce(a.n, 0) AS n_left, coalesce(b.n, 0) AS n_right FROM a FULL JOIN b USING (k) WHERE coalesce(a.n, 0) <> coalesce(b.n, 0)"""
+)
+def shard_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "orders", "o_custkey").select(F.col("o_custkey").alias("k"))
+    b = table(spark, sf_dir, "lineitem", "l_suppkey", "l_linenumber").where("l_linenumber = 1").select(F.col("l_suppkey").alias("k"))
+    return op.multiset_difference(a, b, ["k"])
+
+
+@query()
+def coverage_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CRC-32 has no counterpart in the oracle; tested against zlib."""
+    return op.fingerprint(table(spark, sf_dir, "customer", "c_nationkey"), "c_nationkey")
+
+
+@query(
+    """WITH b AS (SELECT user_id AS f, event_id % 50 AS line, CASE WHEN event_type = 'error' THEN 'error' ELSE 'note' END AS sev FROM events WHERE value <= 60), a AS (SELECT user_id AS f, event_id % 50 AS line, CASE WHEN event_type = 'error' THEN 'error' ELSE 'note' END AS sev FROM events WHERE value > 40)
+    SELECT DISTINCT f, line FROM (SELECT f, line, sev, count(*) AS n FROM a GROUP BY ALL) x LEFT JOIN (SELECT f, line, sev, count(*) AS m FROM b GROUP BY ALL) y USING (f, line, sev) WHERE n > coalesce(m, 0)"""
+)
+def multiset_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "value").selectExpr("user_id AS f", "event_id % 50 AS line", "CASE WHEN event_type = 'error' THEN 'error' ELSE 'note' END AS sev", "value")
+    return op.multiset_difference(ev.where("value > 40"), ev.where("value <= 60"), ["f", "line", "sev"]).where("n_left > n_right").select("f", "line").distinct()
+
+
+@query("SELECT DISTINCT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def identity_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.missing(table(spark, sf_dir, "documents", "doc_id"), table(spark, sf_dir, "labels", "doc_id"), "doc_id")
+
+
+@query("WITH b AS (SELECT l_partkey AS id, count(*) AS n FROM lineitem GROUP BY 1), a AS (SELECT l_partkey AS id, count(*) AS n FROM lineitem WHERE l_quantity > 25 GROUP BY 1) SELECT id, greatest(b.n - coalesce(a.n, 0), 0) AS fall FROM b LEFT JOIN a USING (id) WHERE b.n - coalesce(a.n, 0) > 18")
+def reference_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem", "l_partkey", "l_quantity").withColumnRenamed("l_partkey", "id")
+    return op.dropped_counts(li.groupBy("id").agg(F.count("*").alias("n")), li.where("l_quantity > 25").groupBy("id").agg(F.count("*").alias("n")), "id", "n", 18)
+
+
+@query("WITH c AS (SELECT doc_id, n_chars, source || ':' || doc_id AS result FROM documents WHERE doc_id % 2 = 0) SELECT d.doc_id, result FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id AND c.n_chars = d.n_chars")
+def result_cache_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "n_chars", "source")
+    cache = docs.where("doc_id % 2 = 0").select("doc_id", "n_chars", F.concat_ws(":", "source", "doc_id").alias("result"))
+    hits, misses = op.cache_probe(docs.select("doc_id", "n_chars"), cache, ["doc_id", "n_chars"], "result")
+    return hits.select("doc_id", "result").unionByName(misses.select("doc_id", F.lit(None).cast("string").alias("result")))
+
+
+@query(f"WITH {_O}, {_P}, t AS (SELECT DISTINCT k, s FROM o), q AS (SELECT DISTINCT k, t FROM p), r AS (SELECT q.k, q.t, s, row_number() OVER (PARTITION BY q.k, q.t ORDER BY abs(q.t - s), s) AS r FROM q JOIN t USING (k)) SELECT k, t, s FROM r WHERE r = 1")
+def nearest_declaration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = _points(spark, sf_dir).select("k", "t").distinct()
+    return op.nearest(q, _orders(spark, sf_dir).select("k", "s").distinct(), ["k"], "t", "s")
+
+
+@query(f"WITH {_O}, {_P} SELECT event_id FROM p WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.k = p.k AND abs(p.t - o.s) <= 3)")
+def far_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.far_from(_points(spark, sf_dir), _orders(spark, sf_dir).select("k", "s"), ["k"], "t", "s", 3).select("event_id")
+
+
+@query("WITH b AS (SELECT l_suppkey AS f, l_returnflag AS k, count(*) AS n FROM lineitem WHERE l_quantity <= 25 GROUP BY ALL), a AS (SELECT l_suppkey AS f, l_returnflag AS k, count(*) AS n FROM lineitem WHERE l_quantity > 25 GROUP BY ALL) SELECT f, sum(abs(coalesce(b.n, 0) - coalesce(a.n, 0)))::BIGINT AS drift FROM b FULL JOIN a USING (f, k) GROUP BY f")
+def scope_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem", "l_suppkey", "l_returnflag", "l_quantity").withColumnsRenamed({"l_suppkey": "f", "l_returnflag": "k"})
+    return op.scope_drift(li.where("l_quantity <= 25"), li.where("l_quantity > 25"), ["f"], "k")
+
+
+@query("WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, arg_max(event_type, {'a': n, 'b': event_type}) AS event_type FROM c GROUP BY user_id")
+def dominant_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.mode_last(table(spark, sf_dir, "events", "user_id", "event_type"), ["user_id"], "event_type")
+
+
+@query("SELECT user_id, arg_min(event_type, event_id) AS event_type, min(event_id) AS event_id FROM events GROUP BY user_id, value > 50")
+def first_per_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events", "user_id", "event_id", "event_type", "value").withColumn("high", F.col("value") > 50)
+    return op.first_per_key(ev, ["user_id", "high"], "event_id").select("user_id", "event_type", "event_id")
+
+
+@query("SELECT event_id, event_type AS kind, user_id::VARCHAR AS decl, 'a:b' AS rest FROM events WHERE event_id % 2 = 0")
+def routed_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events", "event_id", "user_id", "event_type")
+    text = F.when(F.col("event_id") % 2 == 0, F.concat_ws(":", F.lit("internal"), "event_type", "user_id", F.lit("a:b"))).otherwise("plain")
+    return op.routed(ev.select("event_id", text.alias("w")), "w", "internal:", ["kind", "decl", "rest"])
+
+
+@query("SELECT user_id AS id FROM events WHERE event_type = 'error' UNION SELECT user_id FROM events WHERE value > 200")
+def changed_and_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = table(spark, sf_dir, "events", "user_id", "event_type", "value")
+    return ev.where("event_type = 'error'").select(F.col("user_id").alias("id")).union(ev.where("value > 200").select("user_id")).distinct()

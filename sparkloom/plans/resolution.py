@@ -54,7 +54,7 @@ def claims_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-CAND = """l_orderkey * 10 + l_linenumber AS id, 'p' || l_suppkey % 6 AS policy, l_partkey AS line, l_partkey - CAST(l_quantity AS BIGINT) % 4 AS s, l_partkey + l_linenumber % 3 AS e,
+CAND = """l_orderkey * 100000000 + l_partkey * 10 + l_linenumber AS id, 'p' || l_suppkey % 6 AS policy, l_partkey AS line, l_partkey - CAST(l_quantity AS BIGINT) % 4 AS s, l_partkey + l_linenumber % 3 AS e,
   l_suppkey AS sym, l_discount * 5 + 0.5 AS confidence, l_linenumber % 3 AS risk, CASE WHEN l_orderkey % 9 = 0 THEN 4 WHEN l_orderkey % 9 = 1 THEN 128 ELSE 0 END AS mask, l_tax * 10 AS gain, CAST(l_linenumber % 3 AS BIGINT) AS radius,
   CASE WHEN l_linenumber % 5 = 0 THEN 'preprocessor' WHEN l_linenumber % 5 = 1 THEN 'comments' ELSE 'code' END AS zone"""
 _U = "gain + confidence + CASE risk WHEN 0 THEN 0.1 WHEN 1 THEN 0.05 ELSE 0.0 END - CASE risk WHEN 2 THEN 0.15 WHEN 1 THEN 0.05 ELSE 0.0 END - least(0.02 + 0.01, 0.30)"
@@ -104,9 +104,11 @@ def conflict_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.conflict_edges(_admissible(spark, sf_dir))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_BEST}, x AS MATERIALIZED (SELECT a, b FROM ce UNION SELECT b, a FROM ce), r AS (SELECT id AS a, id AS b FROM ad UNION SELECT r.a, x.b FROM r JOIN x ON r.b = x.a)
+    SELECT a AS id, min(b) AS component FROM r GROUP BY a"""
+)
 def conflict_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Iterative; tested against a union-find."""
     found = _admissible(spark, sf_dir)
     return op.components(found.select("id"), op.conflict_edges(found))
 
