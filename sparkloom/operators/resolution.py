@@ -66,8 +66,8 @@ def utility(gain: Column, confidence: Column, risk: Column, n_ranges: Column, n_
 
 
 def best_by_line(cands: DataFrame) -> DataFrame:
-    """One candidate a line: by utility and confidence rounded to their tolerance, then lower risk, then policy."""
-    w = Window.partitionBy("line").orderBy(F.desc(F.round("utility", 6)), F.desc(F.round("confidence", 3)), "risk", "policy")
+    """One candidate a line: by utility and confidence rounded to their tolerance, then lower risk, policy and id."""
+    w = Window.partitionBy("line").orderBy(F.desc(F.round("utility", 6)), F.desc(F.round("confidence", 3)), "risk", "policy", "id")
     return cands.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 

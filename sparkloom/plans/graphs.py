@@ -126,13 +126,13 @@ h{k} AS (SELECT o.src AS id, {k} AS hop, max(base + (w1 + weight) * 0.5 * qualit
 
 
 @query(
-    f"WITH {_E}, {_M}, {_L}, seeds AS (SELECT 'f' || o_orderkey AS id, 1.0::DOUBLE AS score FROM orders WHERE o_orderkey < 3), {_hop(1, 'seeds', 'seeds')}, "
+    f"WITH {_E}, {_M}, {_L}, seeds AS (SELECT 'f' || o_orderkey AS id, 1.0::DOUBLE AS score FROM orders WHERE o_custkey = 1), {_hop(1, 'seeds', 'seeds')}, "
     f"v1 AS (SELECT id FROM seeds UNION SELECT id FROM h1), {_hop(2, 'h1', 'v1')} "
     "SELECT id, hop, round(score, 6) AS score FROM (SELECT * FROM h1 UNION ALL SELECT * FROM h2) ORDER BY hop, score DESC, id LIMIT 20"
 )
 def impact_khop(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = edges(spark, sf_dir)
-    seeds = table(spark, sf_dir, "orders", "o_orderkey").where("o_orderkey < 3").select(F.concat(F.lit("f"), F.col("o_orderkey")).alias("id"))
+    seeds = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey").where("o_custkey = 1").select(F.concat(F.lit("f"), F.col("o_orderkey")).alias("id"))
     return op.impact(e, metrics(e), seeds, 2, 20).select("id", "hop", F.round("score", 6).alias("score"))
 
 

@@ -105,10 +105,10 @@ def reference_drops(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.dropped_counts(li.groupBy("id").agg(F.count("*").alias("n")), li.where("l_quantity > 25").groupBy("id").agg(F.count("*").alias("n")), "id", "n", 18)
 
 
-@query("WITH c AS (SELECT doc_id, n_chars, source || ':' || doc_id AS result FROM documents WHERE doc_id % 2 = 0) SELECT d.doc_id, result FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id AND c.n_chars = d.n_chars")
+@query("WITH c AS (SELECT doc_id, n_chars, source || ':' || doc_id AS result FROM documents WHERE n_chars > 1000) SELECT d.doc_id, result FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id AND c.n_chars = d.n_chars")
 def result_cache_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "n_chars", "source")
-    cache = docs.where("doc_id % 2 = 0").select("doc_id", "n_chars", F.concat_ws(":", "source", "doc_id").alias("result"))
+    cache = docs.where("n_chars > 1000").select("doc_id", "n_chars", F.concat_ws(":", "source", "doc_id").alias("result"))
     hits, misses = op.cache_probe(docs.select("doc_id", "n_chars"), cache, ["doc_id", "n_chars"], "result")
     return hits.select("doc_id", "result").unionByName(misses.select("doc_id", F.lit(None).cast("string").alias("result")))
 

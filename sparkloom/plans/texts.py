@@ -297,18 +297,18 @@ def keyword_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc", "line_no", fn.keyword_operators(F.col("line")).alias("line"))
 
 
-_INC = """i AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '<' ELSE '"' END AS q, split_part(url, '/', 4) || CASE page_id % 4 WHEN 0 THEN '' ELSE '/' || page_id || '.h' END AS h, page_id % 10 = 1 AS main FROM pages),
+_INC = """i AS (SELECT page_id, split_part(url, '/', 3) AS file, CASE WHEN page_id % 3 = 0 THEN '<' ELSE '"' END AS q, split_part(url, '/', 4) || CASE page_id % 4 WHEN 0 THEN '' ELSE '/' || page_id || '.h' END AS h, page_id % 10 = 1 AS main FROM pages),
 k AS (SELECT *, CASE WHEN main THEN 'main' WHEN q = '<' THEN CASE WHEN contains(h, '.') OR contains(h, '/') THEN 'third_party' ELSE 'std' END WHEN lower(h) LIKE 'en%' THEN 'project' ELSE 'local' END AS grp FROM i)"""
 
 
-@query(f"WITH {_INC} SELECT page_id, grp, row_number() OVER (ORDER BY CASE grp WHEN 'main' THEN 0 WHEN 'std' THEN 1 WHEN 'third_party' THEN 2 WHEN 'project' THEN 3 ELSE 4 END, lower(h), page_id) AS place FROM k WHERE page_id < 200")
+@query(f"WITH {_INC} SELECT page_id, grp, row_number() OVER (PARTITION BY file ORDER BY CASE grp WHEN 'main' THEN 0 WHEN 'std' THEN 1 WHEN 'third_party' THEN 2 WHEN 'project' THEN 3 ELSE 4 END, lower(h), page_id) AS place FROM k")
 def include_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql.window import Window
 
-    p = table(spark, sf_dir, "pages", "page_id", "url").where("page_id < 200")  # the includes of one file
+    p = table(spark, sf_dir, "pages", "page_id", "url")  # a host stands for a file, a page for an include
     q = F.when(F.col("page_id") % 3 == 0, "<").otherwise('"')
     h = F.concat(F.split_part("url", F.lit("/"), F.lit(4)), F.when(F.col("page_id") % 4 == 0, "").otherwise(F.concat(F.lit("/"), "page_id", F.lit(".h"))))
     grp = fn.include_group(q, h, F.col("page_id") % 10 == 1, ["en"])
     rank = F.when(grp == "main", 0).when(grp == "std", 1).when(grp == "third_party", 2).when(grp == "project", 3).otherwise(4)
-    rows = p.select("page_id", grp.alias("grp"), rank.alias("r"), F.lower(h).alias("h"), F.lit(0).alias("file"))
+    rows = p.select("page_id", grp.alias("grp"), rank.alias("r"), F.lower(h).alias("h"), F.split_part("url", F.lit("/"), F.lit(3)).alias("file"))
     return rows.select("page_id", "grp", F.row_number().over(Window.partitionBy("file").orderBy("r", "h", "page_id")).cast("bigint").alias("place"))
