@@ -219,35 +219,23 @@ def log_marginal(table: dict[str, float], byte: float, s: str) -> float:
     """Natural log of the summed probability of all segmentations of ``s``, by a forward recursion in log space.
 
     ``table``: log probabilities of pieces, with their beginnings marked 1.0.
-    Places ahead are kept only as far as a piece reaches. A character outside
-    the vocabulary is spelled in bytes.
+    A character outside the vocabulary is spelled in bytes.
     """
-    get, n = table.get, len(s)
-    ahead: dict[int, list[float]] = {0: [0.0]}
+    get, exp, log1p, n = table.get, math.exp, math.log1p, len(s)
+    total: list[float | None] = [None] * (n + 1)
+    total[0] = 0.0
     for j in range(n):
-        a = _log_sum(ahead.pop(j))
-        i = j + 1
-        p = get(s[j:i])
+        a, i = total[j], j + 1
+        p = get(s[j])
         if p is None or p > 0:
-            ahead.setdefault(i, []).append(a + byte * len(s[j].encode("utf-8", "surrogatepass")))
+            x, y = a + byte * len(s[j].encode("utf-8", "surrogatepass")), total[i]
+            total[i] = x if y is None else x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y))
         while p is not None:
             if p <= 0:
-                if i in ahead:
-                    ahead[i].append(a + p)
-                else:
-                    ahead[i] = [a + p]
+                x, y = a + p, total[i]
+                total[i] = x if y is None else x + log1p(exp(y - x)) if x > y else y + log1p(exp(x - y))
             i += 1
             if i > n:
                 break
             p = get(s[j:i])
-    return _log_sum(ahead.pop(n))
-
-
-def _log_sum(terms: list[float]) -> float:
-    if len(terms) == 1:
-        return terms[0]
-    if len(terms) == 2:
-        x, y = terms
-        return x + math.log1p(math.exp(y - x)) if x > y else y + math.log1p(math.exp(x - y))
-    top = max(terms)
-    return top + math.log(math.fsum([math.exp(t - top) for t in terms]))
+    return total[n]
