@@ -24,4 +24,4 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from . import accuracy, clusters, context, folds, graphs, joins, policies, reports, resolution, scheduling, texts  # noqa: E402, F401
+from . import accuracy, clusters, context, folds, gates, graphs, joins, policies, reports, resolution, scheduling, texts  # noqa: E402, F401
