@@ -54,11 +54,10 @@ def buckets(token: str) -> int:
 
 def _ids(text: str | None, memo: dict[str, int]) -> np.ndarray:
     found = text.split() if text else []
+    if len(memo) > MEMO_SIZE:
+        memo.clear()
     for t in set(found):
         if t not in memo:
-            if len(memo) >= MEMO_SIZE + 200_000:
-                memo.clear()
-                return _ids(text, memo)
             memo[t] = buckets(t)
     return np.fromiter(map(memo.__getitem__, found), np.int64, len(found))
 
