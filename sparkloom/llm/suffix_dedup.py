@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import groups_of, scratch, tidy
+from .common import cut, groups_of, scratch, tidy
 
 LENGTH = 200
 GRAM = 64
@@ -245,7 +245,8 @@ def repeated_spans(source: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
             yield pa.RecordBatch.from_pydict({"h": pa.array(value.view(np.int64)), "n": pa.array(n)})
 
     long = source.where(F.octet_length("text") >= length)
-    often = long.select("text").mapInArrow(tidy(hashes), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    # the keys of a join are tables of their own, not sums above a shuffle: only then can Spark split a hot key's rows
+    often = cut(long.select("text").mapInArrow(tidy(hashes), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
 
     def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -271,7 +272,7 @@ def repeated_spans(source: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
     settled = kept.join(contexts.where("n > 1").select("h", "c"), ["h", "c"], "left_semi")
     span = F.shiftright("at", 20)
     whole = settled.select("rid", span.alias("start"), (span + F.col("at").bitwiseAND(0x3FF) + length).alias("stop"))
-    mixed = contexts.groupBy("h").count().where("count > 1").select("h")
+    mixed = cut(contexts.groupBy("h").count().where("count > 1").select("h"))
     open_ = contexts.join(mixed, "h", "left_semi")
     path = scratch(spark, "open")
     open_.select("h", "rid", "at", "n").write.parquet(path)
