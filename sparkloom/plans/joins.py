@@ -55,7 +55,7 @@ def asof_line_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH p AS (SELECT c_custkey, s_suppkey, s_name, s_suppkey % 9 AS args, 6 + CASE WHEN s_suppkey % 10 = c_custkey % 10 THEN 12 ELSE 0 END + CASE WHEN s_suppkey % 7 = c_custkey % 7 THEN 5 ELSE 0 END + CASE WHEN s_acctbal > 5000 THEN 2 ELSE 0 END AS score
       FROM customer JOIN supplier ON c_nationkey = s_nationkey),
     o AS (SELECT *, row_number() OVER (PARTITION BY c_custkey, args ORDER BY score DESC, s_name) AS f FROM p WHERE score >= 8),
-    b AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, s_name) AS place FROM o WHERE f = 1) SELECT c_custkey, s_suppkey, score, place FROM b WHERE place <= 6"""
+    b AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, s_name) AS place FROM o WHERE f = 1) SELECT c_custkey, s_suppkey, score, place::INT AS place FROM b WHERE place <= 6"""
 )
 def scored_candidates_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, s = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey"), table(spark, sf_dir, "supplier", "s_suppkey", "s_name", "s_nationkey", "s_acctbal")
