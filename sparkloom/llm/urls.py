@@ -93,7 +93,7 @@ def filter_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url") -> Da
     of = cut(templates(paths))
     counted = paths.join(of, ["host", "path"]).groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     purity = (F.col("blocked") + SMOOTH * prior) / (F.col("labelled") + SMOOTH)
-    judged = counted.select("host", "template", purity.alias("purity"), ((F.col("labelled") >= SUPPORT) & (purity >= REJECT)).alias("bad"))
+    judged = cut(counted).select("host", "template", purity.alias("purity"), ((F.col("labelled") >= SUPPORT) & (purity >= REJECT)).alias("bad"))
     known = of.join(judged, ["host", "template"])
     found = rows.join(known, ["host", "path"], "left")
     return found.withColumn("verdict", F.coalesce("decided", F.when(F.col("bad"), "block").otherwise("allow"))).drop("decided", "bad")
