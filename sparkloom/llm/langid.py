@@ -7,6 +7,9 @@ switch, labels spans. The text's language is that of most letters.
 
 Learning reads a bounded, documented sample of labelled texts per language.
 
+A text without any word in such a script takes the languages that were seen in
+its scripts at all, or else every one, as candidates; its score is then low.
+
 Null texts and texts without a letter are ``und`` with score 0. Ties between
 languages go to the smaller name. Repeated rows are labelled alike. Without
 any training text every text is ``und``. Other columns are kept, except
@@ -18,7 +21,7 @@ from __future__ import annotations
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import chain, repeat
 
 import numpy as np
@@ -72,7 +75,7 @@ def grams(word: str) -> list[str]:
 
 @dataclass
 class Model:
-    """``languages`` in order; ``grams``: n-gram to row of ``weights``, whose last row is an unseen one's; ``scripts``: script to who uses it."""
+    """``languages`` in order; ``grams``: n-gram to row of ``weights``, whose last row is an unseen one's; ``scripts``: script to who uses it; ``seen``: to who was seen in it at all."""
 
     languages: list[str]
     grams: dict[str, int]
@@ -80,6 +83,13 @@ class Model:
     scripts: dict[str, np.ndarray]
     rows: dict[str, int]
     scores: np.ndarray
+    seen: dict[str, np.ndarray] = field(default_factory=dict)
+
+    def widened(self) -> Model:
+        """The same with candidates for every script: the languages seen in it, or else all."""
+        every = np.ones(len(self.languages), bool)
+        scripts = {s: self.seen.get(s, every) for _, s in SCRIPT_STARTS} if self.languages else {}
+        return Model(self.languages, self.grams, self.weights, scripts, {}, np.zeros((0, len(self.languages))))
 
     def learn_words(self, texts: list[list[str]]) -> None:
         """Score the words not yet remembered: a row of ``scores`` each, or -1 if no language uses their script."""
@@ -136,7 +146,7 @@ def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang", per
     spread = total + 0.5 * (len(table) + 1)
     weights = np.log((np.array([*table.values(), np.zeros(len(languages))]) + 0.5) / spread)
     used = {s: n / letters >= SCRIPT_SHARE for s, n in scripts.items()}
-    return Model(languages, {g: i for i, g in enumerate(table)}, weights, {s: u for s, u in used.items() if u.any()}, {}, np.zeros((0, len(languages))))
+    return Model(languages, {g: i for i, g in enumerate(table)}, weights, {s: u for s, u in used.items() if u.any()}, {}, np.zeros((0, len(languages))), {s: n > 0 for s, n in scripts.items()})
 
 
 def paths(model: Model, texts: list[list[str]]) -> list[np.ndarray]:
@@ -210,7 +220,11 @@ def paths(model: Model, texts: list[list[str]]) -> list[np.ndarray]:
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", with_spans: bool = False) -> DataFrame:
-    """``docs`` with lang_pred, score (the share of letters in spans of that language) and, if asked for, spans (lang, start, stop in characters)."""
+    """``docs`` with lang_pred, score (the share of letters in spans of that language) and, if asked for, spans (lang, start, stop in characters).
+
+    The score of a text without any word in a learned script is divided by the
+    number of languages and one more, which stands for those not learned.
+    """
     new = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
     span = T.StructType([T.StructField("lang", T.StringType()), T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
     if with_spans:
@@ -221,18 +235,23 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", with_spans:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        wide = m.widened()
         k = len(m.languages)
         for b in batches:
             texts = [x or "" for x in b.column(at).to_pylist()]
             words = [_WORD.findall(x.lower()) for x in texts]
             found = paths(m, words)
+            lost = [i for i, x in enumerate(found) if len(x) and x.max() < 0]
+            for i, x in zip(lost, paths(wide, [words[i] for i in lost]), strict=True):
+                found[i] = x
+            chance = dict.fromkeys(lost, k + 1)
             preds, scores, spans = [], [], []
-            for x, ws, label in zip(texts, words, found, strict=True):
+            for i, (x, ws, label) in enumerate(zip(texts, words, found, strict=True)):
                 size = np.fromiter(map(len, ws), np.float64, len(ws))
                 by = np.bincount(label[label >= 0], size[label >= 0], minlength=k) if len(ws) and k else np.zeros(0)
                 best = int(by.argmax()) if by.sum() > 0 else -1
                 preds.append(m.languages[best] if best >= 0 else UNKNOWN)
-                scores.append(float(by[best] / size.sum()) if best >= 0 else 0.0)
+                scores.append(float(by[best] / size.sum()) / chance.get(i, 1) if best >= 0 else 0.0)
                 if with_spans:
                     spans.append(_spans(m, x, label))
             cols = [pa.array(preds, pa.string()), pa.array(scores, pa.float64())]

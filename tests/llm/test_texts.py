@@ -15,7 +15,7 @@ from sparkloom.llm import langid, lm_score, pieces, quality
 from sparkloom.llm.queries import PIECES, QUERIES
 from sparkloom.llm.sentencepiece_codec import decode_documents, encode_documents
 
-from .helpers import awkward, documents
+from .helpers import DOCS, awkward, documents
 
 
 @pytest.fixture(scope="module")
@@ -227,3 +227,16 @@ def test_crc_split_is_that_of_the_id_as_text(spark):
 
     got = {r.id: r.m for r in spark.range(50).select("id", remainder("id", 7).alias("m")).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 7 for i in range(50)}
+
+
+def test_every_text_with_a_letter_gets_a_learned_language(spark):
+    train = [(i, f"the plain words of this text are english {i}", "en", "s", 0) for i in range(20)]
+    train += [(100 + i, f"die einfachen worte hier sind deutsch {i}", "de", "s", 0) for i in range(20)]
+    train += [(200, "ελληνικά " + "noch ein deutscher satz mit vielen worten " * 40, "de", "s", 0)]  # under SCRIPT_SHARE
+    model = langid.fit(spark.createDataFrame(train, DOCS))
+    texts = ["ελληνικά γράμματα", "кириллица здесь", "日本語", "ｆｕｌｌ", "the plain words кириллица", "12 !?"]
+    got = {r.doc_id: r for r in langid.identify(documents(spark, texts), model, with_spans=True).collect()}
+    assert got[0].lang_pred == "de"
+    assert all(got[i].lang_pred in ("de", "en") and 0 < got[i].score <= 1 / 3 for i in range(4))
+    assert got[4].lang_pred == "en" and got[4].score == pytest.approx(13 / 22) and [s.lang for s in got[4].spans] == ["en", "und"]
+    assert got[5].lang_pred == "und" and got[5].score == 0
