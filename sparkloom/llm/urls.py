@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Levels of a path that the tree tells apart; deeper segments are one wildcard.
-DEPTH = 6
 #: A node of more branches than FAN merges those with fewer than THIN URLs.
 FAN = 12
 THIN = 5
@@ -57,11 +55,13 @@ def ruled(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column
 
 def templates(paths: DataFrame) -> DataFrame:
     """host, path and template of every row of ``paths`` (host, path, n, labelled, blocked; one row a path)."""
-    segs = F.slice(F.split(F.regexp_replace("path", "^/", ""), "/"), 1, DEPTH)
+    segs = F.split(F.regexp_replace("path", "^/", ""), "/")
     shown = F.transform(segs, lambda s: F.regexp_replace(F.regexp_replace(s, "^[0-9a-fA-F-]{12,}$", "<x>"), "[0-9]+", "<n>"))
-    deep = F.size(F.split("path", "/")) > DEPTH + 1
-    rows = paths.select("host", "path", "n", "labelled", "blocked", shown.alias("s"), deep.alias("deep"))
-    places = rows.select("host", "path", "n", "labelled", "blocked", "deep", "s", F.posexplode("s").alias("d", "seg")).withColumn("under", F.array_join(F.slice("s", 1, F.col("d")), "/")).drop("s")
+    rows = paths.select("host", "path", "n", "labelled", "blocked", shown.alias("s"))
+    # a node is known by a hash of the segments above it
+    chain = F.aggregate("s", F.array(F.md5(F.lit(""))), lambda a, s: F.concat(a, F.array(F.md5(F.concat(F.element_at(a, -1), s)))))
+    rows = rows.withColumn("u", F.slice(chain, 1, F.size("s")))
+    places = rows.select("host", "path", "n", "labelled", "blocked", F.posexplode(F.arrays_zip("s", "u")).alias("d", "x")).select("host", "path", "n", "labelled", "blocked", "d", F.col("x.s").alias("seg"), F.col("x.u").alias("under"))
     sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
     nodes = places.groupBy("host", "d", "under", "seg").agg(*sums)
     above = nodes.groupBy("host", "d", "under").agg(F.count("*").alias("fan"), F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"))
@@ -72,9 +72,8 @@ def templates(paths: DataFrame) -> DataFrame:
     similar = (F.col("labelled") > 0) & (others > 0) & (F.abs(apart) <= SIMILAR * error)
     thin = (F.col("fan") > FAN) & (F.col("n") < THIN)
     merged = nodes.join(above, ["host", "d", "under"]).where(thin | F.coalesce(similar, F.lit(False))).select("host", "d", "under", "seg", F.lit("*").alias("wild"))
-    named = places.join(merged, ["host", "d", "under", "seg"], "left").select("host", "path", "deep", F.struct("d", F.coalesce("wild", "seg").alias("seg")).alias("x"))
-    tail = F.when(F.max("deep"), "/**").otherwise("")
-    return named.groupBy("host", "path").agg(F.concat(F.lit("/"), F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["seg"]), "/"), tail).alias("template"))
+    named = places.join(merged, ["host", "d", "under", "seg"], "left").select("host", "path", F.struct("d", F.coalesce("wild", "seg").alias("seg")).alias("x"))
+    return named.groupBy("host", "path").agg(F.concat(F.lit("/"), F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["seg"]), "/")).alias("template"))
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url") -> DataFrame:

@@ -263,3 +263,11 @@ def test_url_templates_reject_by_purity(spark):
     got = {r.page_id: r.verdict for r in urls.filter_urls(pages(spark, rows), rules).collect()}
     assert {got[i] for i in range(100, 300)} == {"block"}  # no rule decides 200 and on; their template's labels all say block
     assert {got[i] for i in range(300, 340)} == {"allow"}
+
+
+def test_url_templates_tell_deep_branches_apart(spark):
+    rules = [("h.net", "/a/b/c/d/e/f/bad/1", "block"), ("h.net", "/a/b/c/d/e/f/good/1", "allow")]
+    rows = [(n + i, f"http://h.net/a/b/c/d/e/f/{w}/{100 + i}", None, None) for n, w in ((0, "bad"), (1000, "good")) for i in range(200)]
+    got = {r.page_id: r for r in urls.filter_urls(pages(spark, rows), rules).collect()}
+    assert got[150].template == "/a/b/c/d/e/f/bad/<n>" and got[1150].template == "/a/b/c/d/e/f/good/<n>"
+    assert {got[i].verdict for i in range(200)} == {"block"} and {got[1000 + i].verdict for i in range(200)} == {"allow"}
