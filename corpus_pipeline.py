@@ -15,15 +15,12 @@ from sparkloom.llm.decontaminate import decontaminate
 from sparkloom.llm.queries import PIECES
 from sparkloom.llm.sentencepiece_codec import encode_documents
 
-#: A text stays if so much of its letters are in one language.
-LANGUAGE_SHARE = 0.5
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter go, and those of which no language makes up half."""
+    """Texts without a letter go."""
     small_batches(spark)
     found = langid.identify(docs, langid.fit(docs))
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LANGUAGE_SHARE)).select(docs.columns)
+    return found.where(F.col("lang_pred") != langid.UNKNOWN).select(docs.columns)
 
 
 def near_duplicate_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

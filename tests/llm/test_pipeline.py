@@ -51,3 +51,12 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
     got = {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == want
     assert len(want) < len(texts) - 5
+
+
+def test_language_stage_keeps_mixed_texts(spark):
+    words = {"en": "the plain words of this text are english", "de": "die einfachen worte hier sind deutsch", "fr": "les mots simples de cette phrase sont en notre langue"}
+    docs = [(100 * k + i, f"{t} {i}", g, "s", 0) for k, (g, t) in enumerate(words.items()) for i in range(20)]
+    docs += [(900, " ".join([words["en"]] * 9 + [words["de"]] * 7 + [words["fr"]] * 4), "en", "s", 0), (901, words["en"] + " кириллица" * 6, "en", "s", 0), (902, "日本語", "ja", "s", 0), (903, "12 !?", "en", "s", 0)]
+    docs = [(i, t, None if i > 900 else g, s, n) for i, t, g, s, n in docs]
+    got = {r.doc_id for r in corpus_pipeline.language_id(spark, spark.createDataFrame(docs, DOCS), "").collect()}
+    assert got == {d[0] for d in docs} - {903}
