@@ -105,7 +105,7 @@ def search(
     spark = vectors.sparkSession
     rows = usable(vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("e"), F.coalesce(is_query, F.lit(False)).alias("q")), "e")
     smallest = Window.partitionBy("e").orderBy("id")
-    entries = rows.select("id", "e").withColumn("r", F.row_number().over(smallest)).where(F.col("r") <= k + 1).groupBy("e").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    entries = rows.select("id", "e").distinct().withColumn("r", F.row_number().over(smallest)).where(F.col("r") <= k + 1).groupBy("e").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     entries = cut(entries)
     n = entries.count()
     queries = rows.where("q").select("id", "e")

@@ -271,3 +271,14 @@ def test_url_templates_tell_deep_branches_apart(spark):
     got = {r.page_id: r for r in urls.filter_urls(pages(spark, rows), rules).collect()}
     assert got[150].template == "/a/b/c/d/e/f/bad/<n>" and got[1150].template == "/a/b/c/d/e/f/good/<n>"
     assert {got[i].verdict for i in range(200)} == {"block"} and {got[1000 + i].verdict for i in range(200)} == {"allow"}
+
+
+def test_repeated_rows_take_no_places_of_other_ids(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(40, 8)).astype(np.float32)
+    v[:20] = v[0]
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(0, [float(x) for x in v[0]])] * 10
+    found = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id").isin(0, 5, 15), k=10, gather=10**6).collect()
+    for q in (0, 5, 15):
+        got = [r.vec_id for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q]
+        assert got == [i for i in range(20) if i != q][:10]
