@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import importable
 
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """One Parquet table with only the columns asked for."""
     small_batches(spark)
@@ -28,18 +30,63 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share. Only a local session without one gets a temporary folder."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="sparkloom-")
-        spark.sparkContext.setCheckpointDir(found)
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the shared folder. It is deleted with its ``scratch_scope``, or else when the driver's JVM ends."""
+    found = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path, fs = _path(spark, found)
+    fs.deleteOnExit(path)
+    _made.append(found)
+    return found
+
+
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession):
+    """Deletes the scratch tables made within; what is read from them must have been written elsewhere by then."""
+    before = len(_made)
+    yield
+    for name in _made[before:]:
+        path, fs = _path(spark, name)
+        fs.delete(path, True)
+    del _made[before:]
+
+
+def sampled(rows: DataFrame, most: int, n: int, *keys: str) -> DataFrame:
+    """About ``most`` of the ``n`` rows, chosen by a hash of ``keys``: the same ones in every run.
+
+    The bound is on 63 bits, so a share of one in a million millions still draws rows.
+    """
+    return rows.where(sample_test(most, n, *keys))
+
+
+def sample_test(most: int, n: int, *keys: str) -> Column:
+    if n <= most:
+        return F.lit(True)
+    return F.xxhash64(F.lit("sample"), *keys).bitwiseAND((1 << 63) - 1) < sample_bound(most, n)
+
+
+def sample_bound(most: int, n: int) -> int:
+    """The bound on a 63-bit hash below which ``most`` of ``n`` rows lie."""
+    return min((1 << 63) - 1, (most << 63) // max(1, n))
 
 
 def cut(df: DataFrame) -> DataFrame:

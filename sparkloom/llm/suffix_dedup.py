@@ -3,21 +3,31 @@
 A full suffix array of the corpus is not needed for that. Every window of
 ``length`` bytes picks an anchor by its content alone (the least hash among its
 ``GRAM``-byte substrings), so equal windows have their anchors at the same
-place. Only suffixes at anchors whose substring occurs more than once are
-compared, each with what stands before it in the windows that picked it:
+place. A context is what the windows of one anchor cover; only contexts whose
+anchor occurs more than once can hold a repeated window:
 
 1. anchors are counted by hash, and those that occur once are left out;
-2. anchors whose whole context occurs again are settled by its count;
-3. where one anchor stands in different contexts, one of each is kept. Tasks
-   sort these suffixes, cut the runs at sampled splitters and front-code them.
-   In each range a loser tree merges the runs; it knows how much of its prefix
-   each head shares with the last suffix put out and never compares that again;
+2. equal contexts become one entry with their number, so copies cost nothing;
+3. every entry goes through a distributed merge sort of suffixes, in the order
+   of (hash of the anchor, suffix from the anchor on). Tasks sort and
+   front-code runs, and cut them at even steps of the hash, so that ranges need
+   no sample. In each range a loser tree merges the runs; it knows how much of
+   its prefix each head shares with the last suffix put out and never compares
+   that again;
 4. neighbours that share an anchor form a group. The common prefixes right of
    the anchor and the common suffixes left of it tell which windows are equal.
 
-Matches never cross documents. Null texts are empty. Repeated rows are copies
-of each other. Offsets count bytes of UTF-8. Other columns are kept.
-A row is known by a 64-bit hash of its id and text.
+An anchor in more than ``HOT`` contexts (the edge of a very common passage) is
+not compared in one group. Its contexts are cut into ``CLASSES`` by where the
+anchor stands in the window; windows of a class share a longer anchor, and what
+is equal within a class becomes one entry again. Classes that are still hot
+are cut into single windows, each its own anchor. All are entries of the sort.
+
+Matches never cross documents. Null texts are empty. Texts may be of any
+length; they are looked at in parts. Repeated rows are copies of each other.
+Offsets count bytes of UTF-8. Empty tables give empty results. Other columns
+are kept. A row is known by a 128-bit hash of its id and text, and equal
+contexts by a 128-bit hash of their bytes.
 """
 
 from __future__ import annotations
@@ -39,11 +49,13 @@ LENGTH = 200
 GRAM = 64
 #: Bytes of a text that are looked at together.
 PART = 1 << 18
-#: Suffixes of a range, about, and rows that splitters are chosen from, at most (about).
+#: Entries of a range, about.
 RANGE_ROWS = 40_000
-SPLITTER_ROWS = 20_000
-#: Bits of the filter of rows whose text is needed again.
-FILTER_WORDS = 1 << 20
+#: Contexts of an anchor that are compared as one group, at most, and the classes that those of others are cut into.
+HOT = 2048
+CLASSES = 8
+#: Words of 64 bits in the filter of rows whose text is needed again, at most; there is none for more than an eighth as many rows as bits.
+FILTER_WORDS = 1 << 21
 #: Groups up to this size are compared pair by pair.
 SMALL = 8
 
@@ -204,38 +216,65 @@ def equal_windows(right: list[int], lefts: list[bytes], low: np.ndarray, high: n
     return out
 
 
-def _filter_of(rows: DataFrame) -> np.ndarray:
-    """A bit set of fixed size that holds the rows' ids (``rid``) and others by chance."""
-    word, bit = F.pmod(F.col("rid"), F.lit(FILTER_WORDS)), F.pmod(F.shiftright("rid", 32), F.lit(64)).cast("int")
+def _filter_of(rows: DataFrame) -> np.ndarray | None:
+    """A bit set that holds the rows' ids (``rid``) and others by chance; None where it would be too large to send."""
+    rows = rows.select(F.xxhash64("rid").alias("r")).distinct()
+    need = rows.count() * 8 // 64
+    if need > FILTER_WORDS:
+        return None
+    words = 1 << max(10, need.bit_length())
+    word, bit = F.pmod("r", F.lit(words)), F.pmod(F.shiftright("r", 32), F.lit(64)).cast("int")
     found = rows.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    out = np.zeros(FILTER_WORDS, np.uint64)
+    out = np.zeros(words, np.uint64)
     t = found.toArrow()
     out[t.column("w").to_numpy()] = t.column("b").to_numpy().view(np.uint64)
     return out
 
 
-def _texts_of(source: DataFrame, bits: np.ndarray) -> DataFrame:
-    """Rows of ``source`` (rid first) that the filter lets through."""
+def _texts_of(source: DataFrame, bits: np.ndarray | None) -> DataFrame:
+    """Rows of ``source`` that the filter lets through, by their ``rid``."""
+    if bits is None:
+        return source
     shared = source.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rid = b.column(0).to_numpy()
-            word = shared.value[rid % FILTER_WORDS]
-            ok = (word >> ((rid >> 32) % 64).astype(np.uint64)) & np.uint64(1)
+            r = b.column(0).to_numpy()
+            word = shared.value[r % len(shared.value)]
+            ok = (word >> ((r >> 32) % 64).astype(np.uint64)) & np.uint64(1)
             if ok.any():
-                yield b.filter(pa.array(ok.astype(bool)))
+                yield b.drop_columns(["_r"]).filter(pa.array(ok.astype(bool)))
 
-    return source.mapInArrow(tidy(run), source.schema)
+    return source.select(F.xxhash64("rid").alias("_r"), "*").mapInArrow(tidy(run), source.schema)
 
 
-def _pack(p: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+def _pack(p, first, last):
     """First window start, anchor and last window start in one number."""
     return (first << 20) | ((p - first) << 10) | (last - first)
 
 
+def _unpack(at: int) -> tuple[int, int, int]:
+    first = at >> 20
+    return first + (at >> 10 & 0x3FF), first, first + (at & 0x3FF)
+
+
+def classes_of(length: int, gram: int) -> list[tuple[int, int]]:
+    """By tag the offsets (first, last) of an anchor in its windows: all; then those of each class; then each alone.
+
+    The windows of a tag share ``length - last + first`` bytes from ``first`` bytes left of the anchor on.
+    """
+    wide = length - gram
+    step = -(-(wide + 1) // CLASSES)
+    return [(0, wide), *((a, min(wide, a + step - 1)) for a in range(0, wide + 1, step)), *((o, o) for o in range(wide + 1))]
+
+
+_KEPT = "h bigint, c binary, rid binary, at bigint"
+_ENTRY = "h bigint, tag int, c binary, n bigint, rid binary, at bigint"
+_FOUND = "c binary, low int, high int"
+
+
 def repeated_spans(source: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """rid, start and stop of runs of repeated windows; ``source``: rid, doc_id, text."""
+    """rid, start and stop of runs of repeated windows; ``source``: rid (binary), text (binary)."""
     spark = source.sparkSession
 
     def hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,107 +289,172 @@ def repeated_spans(source: DataFrame, length: int = LENGTH, gram: int = GRAM) ->
 
     def places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[], [], [], []]
+            hs, ats, cs, rids = [], [], [], []
             for rid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 h, p, first, last = anchors(text, length, gram)
                 at = _pack(p, first, last)
-                context = [xxhash.xxh3_64_intdigest(text[i : j + length], 1) for i, j in zip(first.tolist(), last.tolist(), strict=True)]
                 # where a context's anchor is belongs to the context
-                cols[0].append(h.view(np.int64))
-                cols[1].append((np.array(context, np.uint64) + (at & 0xFFFFF).astype(np.uint64) * _BASE).view(np.int64))
-                cols[2].append(np.full(len(h), rid, np.int64))
-                cols[3].append(at)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names=["h", "c", "rid", "at"])
+                cs += [_digest(text[i : j + length], k, 0) for i, j, k in zip(first.tolist(), last.tolist(), at.tolist(), strict=True)]
+                rids += [rid] * len(h)
+                hs.append(h.view(np.int64))
+                ats.append(at)
+            if hs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs)), pa.array(cs, pa.binary()), pa.array(rids, pa.binary()), pa.array(np.concatenate(ats))], names=["h", "c", "rid", "at"])
 
     path = scratch(spark, "anchors")
-    long.select("rid", "text").mapInArrow(tidy(places), "h bigint, c bigint, rid bigint, at bigint").join(often, "h", "left_semi").write.parquet(path)
-    kept = spark.read.schema("h bigint, c bigint, rid bigint, at bigint").parquet(path)
-    contexts = kept.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("rid", "at")).alias("x")).select("h", "c", "n", "x.*")
-    path = scratch(spark, "contexts")
-    contexts.write.parquet(path)
-    contexts = spark.read.schema("h bigint, c bigint, n bigint, rid bigint, at bigint").parquet(path)
-    settled = kept.join(contexts.where("n > 1").select("h", "c"), ["h", "c"], "left_semi")
-    span = F.shiftright("at", 20)
-    whole = settled.select("rid", span.alias("start"), (span + F.col("at").bitwiseAND(0x3FF) + length).alias("stop"))
-    mixed = cut(contexts.groupBy("h").count().where("count > 1").select("h"))
-    open_ = contexts.join(mixed, "h", "left_semi")
-    path = scratch(spark, "open")
-    open_.select("h", "rid", "at", "n").write.parquet(path)
-    open_ = spark.read.schema("h bigint, rid bigint, at bigint, n bigint").parquet(path)
-    return whole.unionByName(_compare(source, open_, length, gram))
-
-
-def _compare(source: DataFrame, open_: DataFrame, length: int, gram: int) -> DataFrame:
-    """Spans of the windows that contexts with one anchor share."""
-    texts = _texts_of(source.select("rid", "text"), _filter_of(open_))
-    joined = texts.join(open_.groupBy("rid").agg(F.collect_list(F.struct("at", "n")).alias("xs")), "rid").select("rid", "text", "xs")
+    long.select("rid", "text").mapInArrow(tidy(places), _KEPT).join(often, "h", "left_semi").write.parquet(path)
+    kept = spark.read.schema(_KEPT).parquet(path)
+    contexts = _entries(kept.select("h", F.lit(0).alias("tag"), "c", F.lit(1).cast("bigint").alias("n"), "rid", "at"))
+    hot = _hot(contexts)
+    if hot is None:
+        found = _compare(source, contexts, length, gram)
+    else:
+        classes, of_class = _cut_up(source, contexts.join(hot, "h", "left_semi"), False, length, gram)
+        entries = contexts.join(hot, "h", "left_anti")
+        still = _hot(classes)
+        if still is not None:
+            windows, of_window = _cut_up(source, classes.join(still, "h", "left_semi"), True, length, gram)
+            entries = entries.unionByName(windows)
+            classes = classes.join(still, "h", "left_anti")
+        found = _compare(source, entries.unionByName(classes), length, gram)
+        if still is not None:
+            found = found.unionByName(_passed_on(found, of_window))
+        found = found.unionByName(_passed_on(found, of_class))
+    p = F.shiftright("at", 20) + F.shiftright("at", 10).bitwiseAND(0x3FF)
+    return kept.join(found, "c").select("rid", (p - F.col("high")).alias("start"), (p - F.col("low") + length).alias("stop"))
+
+
+def _digest(data: bytes, at: int, tag: int) -> bytes:
+    """What equal entries of a tag share: their bytes, and where the anchor stands in them."""
+    return xxhash.xxh3_128_digest(data, (at & 0xFFFFF) << 8 | tag)
+
+
+def _entries(rows: DataFrame) -> DataFrame:
+    """Rows of equal content (``c``) as one, written."""
+    path = scratch(rows.sparkSession, "entries")
+    found = rows.groupBy("c").agg(F.min(F.struct("h", "tag", "rid", "at")).alias("x"), F.sum("n").alias("n"))
+    found.select("x.h", "x.tag", "c", "n", "x.rid", "x.at").write.parquet(path)
+    return rows.sparkSession.read.schema(_ENTRY).parquet(path)
+
+
+def _hot(entries: DataFrame) -> DataFrame | None:
+    """The anchors with more than ``HOT`` different entries, if any."""
+    hot = cut(entries.groupBy("h").count().where(F.col("count") > HOT).select("h"))
+    return None if hot.isEmpty() else hot
+
+
+def _gathered(source: DataFrame, entries: DataFrame) -> DataFrame:
+    """rid, text and xs (h, tag, c, n and at of the entries in it) of the rows that stand for an entry.
+
+    A repeated row comes as often as it is there; that its entries are then met again changes nothing, as they count as repeated.
+    """
+    texts = _texts_of(source.select("rid", "text"), _filter_of(entries))
+    lists = entries.groupBy("rid").agg(F.collect_list(F.struct("h", "tag", "c", "n", "at")).alias("xs"))
+    return texts.join(lists, "rid").select("rid", "text", "xs")
 
-    def suffixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _cut_up(source: DataFrame, entries: DataFrame, single: bool, length: int, gram: int) -> tuple[DataFrame, DataFrame]:
+    """The entries cut into classes or single windows: new entries, without those whose anchor occurs once, and c and whole (the c of the entry cut) of every part."""
+    tags = classes_of(length, gram)
+    singles = len(tags) - (length - gram + 1)
+    chosen = range(singles, len(tags)) if single else range(1, singles)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols: list[list] = [[], [], [], [], []]
+            cols: tuple[list, ...] = ([], [], [], [], [], [], [])
             for rid, text, xs in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
                 for x in xs:
-                    first = x["at"] >> 20
-                    p = first + (x["at"] >> 10 & 0x3FF)
-                    cols[0].append(text[p : first + (x["at"] & 0x3FF) + length])
-                    cols[1].append(text[first:p][::-1])
-                    cols[2].append(rid)
-                    cols[3].append(x["at"])
-                    cols[4].append(min(x["n"], 2))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), *(pa.array(c, pa.int64()) for c in cols[2:])], names=["suffix", "before", "rid", "at", "n"]
-            )
-
-    rows = joined.mapInArrow(tidy(suffixes), "suffix binary, before binary, rid bigint, at bigint, n bigint")
-    n = open_.count()
-    share = min(1.0, SPLITTER_ROWS / max(1, n))
-    drawn = rows.where(F.pmod(F.xxhash64("rid", "at"), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.substring("suffix", 1, gram).alias("s")) if n > RANGE_ROWS else None
-    keys = sorted(bytes(r.s) for r in drawn.collect()) if drawn is not None else []
-    ranges = -(-n // RANGE_ROWS)
-    # a splitter is as long as an anchor, so a group never spans ranges
-    bounds = sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
-
-    def sort(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+                    p, first, last = _unpack(x["at"])
+                    p += tags[x["tag"]][0]  # where the anchor of the whole context stands
+                    for tag in chosen:
+                        a, z = tags[tag]
+                        start, stop = max(first, p - z), min(last, p - a)
+                        if start > stop:
+                            continue
+                        at = _pack(p - a, start, stop)
+                        h = xxhash.xxh3_64_intdigest(text[p - a : p - z + length], tag)
+                        row = (h - (1 << 64) if h >> 63 else h, tag, _digest(text[start : stop + length], at, tag), x["n"], rid, at, x["c"])
+                        for c, value in zip(cols, row, strict=True):
+                            c.append(value)
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["h", "tag", "c", "n", "rid", "at", "whole"])
+
+    path = scratch(source.sparkSession, "parts")
+    _gathered(source, entries).mapInArrow(tidy(run), f"{_ENTRY}, whole binary").write.parquet(path)
+    parts = source.sparkSession.read.schema(f"{_ENTRY}, whole binary").parquet(path)
+    found = _entries(parts.select("h", "tag", "c", "n", "rid", "at"))
+    often = cut(found.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h"))
+    return found.join(often, "h", "left_semi"), parts.select("c", "whole")
+
+
+def _passed_on(found: DataFrame, parts: DataFrame) -> DataFrame:
+    """What was found for parts, for the wholes that hold them."""
+    return parts.join(found, "c").select(F.col("whole").alias("c"), "low", "high")
+
+
+def _compare(source: DataFrame, entries: DataFrame, length: int, gram: int) -> DataFrame:
+    """c, low and high: the entries' windows that occur again, by the offsets of the anchor in them."""
+    spark = source.sparkSession
+    tags = classes_of(length, gram)
+    ranges = max(1, -(-entries.count() // RANGE_ROWS))
+
+    def suffixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        before = None
         for b in batches:
-            held.append(b)
-            size += b.num_rows
-            if size >= RANGE_ROWS:
-                yield from _runs(held, bounds, gram)
-                held, size = [], 0
+            for rid, text, xs in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                if rid == before:
+                    continue
+                before = rid
+                for x in xs:
+                    p, first, last = _unpack(x["at"])
+                    key = (x["h"] & _ALL).to_bytes(8) + bytes((x["tag"],)) + text[p : last + length]
+                    held.append((key, text[first:p][::-1], x["c"], p - first, p - last, min(x["n"], 2)))
+                    if len(held) >= RANGE_ROWS:
+                        yield from _runs(held, ranges)
+                        held = []
         if held:
-            yield from _runs(held, bounds, gram)
+            yield from _runs(held, ranges)
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in groups_of(batches, "range"):
-            yield from _groups(t, length, gram)
+            yield from _groups(t, tags, length)
+
+    runs = _gathered(source, entries).mapInArrow(tidy(suffixes), "range bigint, shared binary, sizes binary, tails binary, left_sizes binary, lefts binary, cs binary, rows binary")
+    found = runs.repartition("range").sortWithinPartitions("range").mapInArrow(tidy(join), _FOUND)
+    path = scratch(spark, "found")
+    found.write.parquet(path)
+    return spark.read.schema(_FOUND).parquet(path)
 
-    runs = rows.mapInArrow(tidy(sort), "range int, shared binary, sizes binary, tails binary, left_sizes binary, lefts binary, rows binary")
-    return runs.repartition("range").sortWithinPartitions("range").mapInArrow(tidy(join), "rid bigint, start bigint, stop bigint")
 
+_ALL = (1 << 64) - 1
+#: Bytes of an entry's key before its suffix: hash of the anchor, and tag.
+PREFIX = 9
 
-def _runs(held: list[pa.RecordBatch], bounds: list[bytes], gram: int) -> Iterator[pa.RecordBatch]:
+
+def _runs(held: list[tuple], ranges: int) -> Iterator[pa.RecordBatch]:
     """Sorted front-coded runs of what a task holds, one a range."""
-    t = pa.Table.from_batches(held)
-    suffix, before = t.column("suffix").to_pylist(), t.column("before").to_pylist()
-    data = np.stack([t.column(k).to_numpy() for k in ("rid", "at", "n")], 1)
-    by: dict[int, list[int]] = {}
-    for i in sorted(range(len(suffix)), key=suffix.__getitem__):
-        by.setdefault(bisect_right(bounds, suffix[i][:gram]), []).append(i)
-    for number, rows in by.items():
-        shared, tails = front_code([suffix[i] for i in rows])
-        lefts = [before[i] for i in rows]
+    held.sort()
+    at = 0
+    number = [int.from_bytes(x[0][:8]) * ranges >> 64 for x in held]
+    while at < len(held):
+        end = bisect_right(number, number[at], at)
+        rows = held[at:end]
+        shared, tails = front_code([x[0] for x in rows])
+        lefts = [x[1] for x in rows]
         yield pa.RecordBatch.from_arrays(
-            [pa.array([number], pa.int32())]
+            [pa.array([number[at]], pa.int64())]
             + [
                 pa.array([x], pa.binary())
                 for x in (
                     np.array(shared, "<i4").tobytes(), np.array([len(x) for x in tails], "<i4").tobytes(), b"".join(tails),
-                    np.array([len(x) for x in lefts], "<i4").tobytes(), b"".join(lefts), data[rows].astype("<i8").tobytes(),
+                    np.array([len(x) for x in lefts], "<i4").tobytes(), b"".join(lefts), b"".join(x[2] for x in rows),
+                    np.array([x[3:] for x in rows], "<i4").tobytes(),
                 )
             ],
-            names=["range", "shared", "sizes", "tails", "left_sizes", "lefts", "rows"],
+            names=["range", "shared", "sizes", "tails", "left_sizes", "lefts", "cs", "rows"],
         )
+        at = end
 
 
 def _pieces(sizes: bytes, data: bytes) -> Iterator[bytes]:
@@ -360,42 +464,48 @@ def _pieces(sizes: bytes, data: bytes) -> Iterator[bytes]:
         at += n
 
 
-def _groups(t: pa.Table, length: int, gram: int) -> Iterator[pa.RecordBatch]:
-    """Merge a range's runs and compare the contexts of each anchor."""
+def _groups(t: pa.Table, tags: list[tuple[int, int]], length: int) -> Iterator[pa.RecordBatch]:
+    """Merge a range's runs and compare the entries of each anchor."""
     runs, lefts, rows = [], [], []
     for r in t.to_pylist():
         runs.append(front_decode(np.frombuffer(r["shared"], "<i4").tolist(), _pieces(r["sizes"], r["tails"])))
         lefts.append(_pieces(r["left_sizes"], r["lefts"]))
-        rows.append(iter(np.frombuffer(r["rows"], "<i8").reshape(-1, 3).tolist()))
-    out: list[tuple[int, int, int]] = []
-    group: list[tuple] = []
+        numbers = np.frombuffer(r["rows"], "<i4").reshape(-1, 3).tolist()
+        rows.append(zip(_pieces(np.full(len(numbers), 16, "<i4").tobytes(), r["cs"]), numbers, strict=True))
+    out: list[tuple[bytes, int, int]] = []
+    group: list[tuple] = []  # shared prefix, left, c, (high, low, n)
+    shift = 0
 
     def close() -> None:
-        if len(group) < 2:
+        if len(group) == 1:
+            _, _, c, (high, low, n) = group[0]
+            if n > 1:
+                out.append((c, low + shift, high + shift))
             return
-        at = np.array([g[2][1] for g in group])
-        high = at >> 10 & 0x3FF
-        low = high - (at & 0x3FF)
-        for (_, _, (rid, x, n)), spans in zip(group, equal_windows([g[0] for g in group], [g[1] for g in group], low, high, length), strict=True):
-            if n == 1:  # others are settled
-                p = (x >> 20) + (x >> 10 & 0x3FF)
-                out.extend((rid, p - b, p - a + length) for a, b in spans)
-
-    for _, shared, run in merge_suffixes(runs):
-        if shared < gram:
+        high, low = (np.array([g[3][k] for g in group]) for k in (0, 1))
+        for (_, _, c, (up, down, n)), spans in zip(group, equal_windows([g[0] for g in group], [g[1] for g in group], low, high, length), strict=True):
+            # what stands for several equal contexts occurs again as a whole
+            out.extend((c, a + shift, b + shift) for a, b in (spans if n == 1 else [(down, up)]))
+
+    for key, shared, run in merge_suffixes(runs):
+        first, last = tags[key[PREFIX - 1]]
+        if shared < PREFIX + length - last + first and group:
             close()
             group = []
-        group.append((shared, next(lefts[run]), next(rows[run])))
+        shift = first
+        c, row = next(rows[run])
+        group.append((shared - PREFIX, next(lefts[run]), c, row))
         if len(out) >= 10_000:
-            yield _spans(out)
+            yield _found(out)
             out = []
-    close()
+    if group:
+        close()
     if out:
-        yield _spans(out)
+        yield _found(out)
 
 
-def _spans(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["rid", "start", "stop"])
+def _found(out: list[tuple[bytes, int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.binary(), pa.int32(), pa.int32()), strict=True)], names=["c", "low", "high"])
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -419,11 +529,12 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     """
     others = [c for c in docs.columns if c != text_col and c not in _NEW]
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(bytearray()))
-    source = docs.select(F.xxhash64(id_col, text).alias("rid"), text.alias("text"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"))
+    known = F.when(F.col(id_col).isNull(), "null").otherwise(F.concat(F.lit("id "), F.col(id_col).cast("string"), F.lit("\n")))
+    source = docs.select(F.unhex(F.md5(F.concat(known.cast("binary"), text))).alias("rid"), text.alias("text"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"))
     path = scratch(docs.sparkSession, "spans")
     found = repeated_spans(source.select("rid", "text"), length, gram)
     found.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).write.parquet(path)
-    spans = docs.sparkSession.read.schema("rid bigint, spans array<struct<start: bigint, stop: bigint>>").parquet(path)
+    spans = docs.sparkSession.read.schema("rid binary, spans array<struct<start: bigint, stop: bigint>>").parquet(path)
     hit = _texts_of(source, _filter_of(spans)).join(spans, "rid").select("text", "spans", "row")
     row = hit.schema["row"].dataType
 

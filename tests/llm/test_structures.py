@@ -162,9 +162,10 @@ def test_anchors_depend_on_content(monkeypatch):
     assert where(body, None) == base
 
 
-@pytest.mark.parametrize("length,gram,seed", [(20, 8, 1), (30, 4, 2), (60, 20, 3)])
-def test_suffix_dedup_against_brute_force(spark, monkeypatch, length, gram, seed):
+@pytest.mark.parametrize("length,gram,seed,hot", [(20, 8, 1, 2048), (30, 4, 2, 3), (60, 20, 3, 1), (60, 20, 4, 2048)])
+def test_suffix_dedup_against_brute_force(spark, monkeypatch, length, gram, seed, hot):
     monkeypatch.setattr(suffix_dedup, "RANGE_ROWS", 50)
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     rng = random.Random(seed)
     base = "".join(rng.choice("abcdefgh") for _ in range(2500))
     texts = [None, "", "short", "ab" * 40, "ab" * 45, "xyz" * 200]
@@ -175,6 +176,7 @@ def test_suffix_dedup_against_brute_force(spark, monkeypatch, length, gram, seed
             if x:
                 x[rng.randrange(len(x))] = rng.choice("éß日q")
         texts.append("".join(x))
+    texts += ["".join(rng.choice("klmno") for _ in range(50)) + base[100:190] + "".join(rng.choice("klmno") for _ in range(50)) for _ in range(12)]  # a passage in many surroundings
     ids = [*range(len(texts)), 7, 8]
     texts += texts[7:9]
     d = spark.createDataFrame([(i, t, "mine") for i, t in zip(ids, texts)], "doc_id long, text string, n_bytes string")
