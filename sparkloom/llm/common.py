@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -144,3 +145,39 @@ def clustered(df: DataFrame, key: str, parts: int | None = None) -> DataFrame:
     """Rows of a key together and in order, for ``groups_of``."""
     df = df.repartition(parts, key) if parts else df.repartition(key)
     return df.sortWithinPartitions(key)
+
+
+#: Words of 64 bits in a filter, at most (16 MB); there is none for more than an eighth as many keys as bits.
+FILTER_WORDS = 1 << 21
+
+
+def key_filter(rows: DataFrame, key: str) -> np.ndarray | None:
+    """A bit set that holds the values of ``key`` and others by chance; None where it would be too large to send."""
+    rows = rows.select(F.xxhash64(key).alias("r")).distinct()
+    need = rows.count() * 8 // 64
+    if need > FILTER_WORDS:
+        return None
+    words = 1 << max(10, need.bit_length())
+    word, bit = F.pmod("r", F.lit(words)), F.pmod(F.shiftright("r", 32), F.lit(64)).cast("int")
+    found = rows.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    out = np.zeros(words, np.uint64)
+    t = found.toArrow()
+    out[t.column("w").to_numpy()] = t.column("b").to_numpy().view(np.uint64)
+    return out
+
+
+def let_through(rows: DataFrame, key: str, bits: np.ndarray | None) -> DataFrame:
+    """The rows whose ``key`` a filter holds, and others by chance, so that a join moves no more than that; all of them without a filter."""
+    if bits is None:
+        return rows
+    shared = rows.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            r = b.column(0).to_numpy()
+            word = shared.value[r % len(shared.value)]
+            ok = (word >> ((r >> 32) % 64).astype(np.uint64)) & np.uint64(1)
+            if ok.any():
+                yield b.drop_columns(["_r"]).filter(pa.array(ok.astype(bool)))
+
+    return rows.select(F.xxhash64(key).alias("_r"), "*").mapInArrow(tidy(run), rows.schema)

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, groups_of, scratch, tidy
+from .common import cut, groups_of, key_filter, let_through, scratch, tidy
 
 LENGTH = 200
 GRAM = 64
@@ -54,8 +54,6 @@ RANGE_ROWS = 40_000
 #: Contexts of an anchor that are compared as one group, at most, and the classes that those of others are cut into.
 HOT = 2048
 CLASSES = 8
-#: Words of 64 bits in the filter of rows whose text is needed again, at most; there is none for more than an eighth as many rows as bits.
-FILTER_WORDS = 1 << 21
 #: Groups up to this size are compared pair by pair.
 SMALL = 8
 
@@ -216,38 +214,6 @@ def equal_windows(right: list[int], lefts: list[bytes], low: np.ndarray, high: n
     return out
 
 
-def _filter_of(rows: DataFrame) -> np.ndarray | None:
-    """A bit set that holds the rows' ids (``rid``) and others by chance; None where it would be too large to send."""
-    rows = rows.select(F.xxhash64("rid").alias("r")).distinct()
-    need = rows.count() * 8 // 64
-    if need > FILTER_WORDS:
-        return None
-    words = 1 << max(10, need.bit_length())
-    word, bit = F.pmod("r", F.lit(words)), F.pmod(F.shiftright("r", 32), F.lit(64)).cast("int")
-    found = rows.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), bit).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    out = np.zeros(words, np.uint64)
-    t = found.toArrow()
-    out[t.column("w").to_numpy()] = t.column("b").to_numpy().view(np.uint64)
-    return out
-
-
-def _texts_of(source: DataFrame, bits: np.ndarray | None) -> DataFrame:
-    """Rows of ``source`` that the filter lets through, by their ``rid``."""
-    if bits is None:
-        return source
-    shared = source.sparkSession.sparkContext.broadcast(bits)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            r = b.column(0).to_numpy()
-            word = shared.value[r % len(shared.value)]
-            ok = (word >> ((r >> 32) % 64).astype(np.uint64)) & np.uint64(1)
-            if ok.any():
-                yield b.drop_columns(["_r"]).filter(pa.array(ok.astype(bool)))
-
-    return source.select(F.xxhash64("rid").alias("_r"), "*").mapInArrow(tidy(run), source.schema)
-
-
 def _pack(p, first, last):
     """First window start, anchor and last window start in one number."""
     return (first << 20) | ((p - first) << 10) | (last - first)
@@ -348,7 +314,7 @@ def _gathered(source: DataFrame, entries: DataFrame) -> DataFrame:
 
     A repeated row comes as often as it is there; that its entries are then met again changes nothing, as they count as repeated.
     """
-    texts = _texts_of(source.select("rid", "text"), _filter_of(entries))
+    texts = let_through(source.select("rid", "text"), "rid", key_filter(entries, "rid"))
     lists = entries.groupBy("rid").agg(F.collect_list(F.struct("h", "tag", "c", "n", "at")).alias("xs"))
     return texts.join(lists, "rid").select("rid", "text", "xs")
 
@@ -535,7 +501,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     found = repeated_spans(source.select("rid", "text"), length, gram)
     found.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).write.parquet(path)
     spans = docs.sparkSession.read.schema("rid binary, spans array<struct<start: bigint, stop: bigint>>").parquet(path)
-    hit = _texts_of(source, _filter_of(spans)).join(spans, "rid").select("text", "spans", "row")
+    hit = let_through(source, "rid", key_filter(spans, "rid")).join(spans, "rid").select("text", "spans", "row")
     row = hit.schema["row"].dataType
 
     def cut_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
