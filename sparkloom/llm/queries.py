@@ -71,6 +71,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("item_ids").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        F.size("near_ids").cast("bigint").alias("n_near"),
     )
 
 
@@ -90,10 +91,22 @@ dwin AS (
   FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM dw, sizes WHERE len(w) >= n)),
 hits AS (SELECT d.doc_id, d.p, d.n, i.item_id FROM dwin d JOIN win i ON d.n = i.n AND d.s = i.s),
 hw AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hits) GROUP BY doc_id),
-hi AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS l FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY doc_id)
+hi AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS l FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hits) GROUP BY doc_id),
+dpos AS (SELECT doc_id, unnest(w) AS t, unnest(range(len(w))) AS p FROM dw),
+freq AS (SELECT t, count(*) AS c FROM dpos GROUP BY t),
+ipos AS (SELECT item_id, w, p, unnest(w[p : p + least(13, len(w)) - 1]) AS t FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS p FROM iw WHERE len(w) > 0)),
+rare AS (SELECT item_id, w, p, list_sort(list(c)) AS cs FROM ipos LEFT JOIN freq USING (t) GROUP BY ALL HAVING count(c) = count(*)),
+pick AS (SELECT item_id, w, p FROM rare QUALIFY row_number() OVER (PARTITION BY item_id, w ORDER BY cs, p) = 1),
+need AS (SELECT item_id, w, t, count(*) AS need, least(13, len(w)) + 5 AS reach FROM ipos SEMI JOIN pick USING (item_id, w, p) GROUP BY ALL),
+occ AS (SELECT item_id, w, doc_id, p, t, need, reach FROM need JOIN dpos USING (t)),
+have AS (
+  SELECT s.item_id, s.w, s.doc_id, s.p, o.t FROM occ s JOIN occ o ON s.item_id = o.item_id AND s.w = o.w AND s.doc_id = o.doc_id AND o.p >= s.p AND o.p < s.p + s.reach
+  GROUP BY ALL HAVING count(*) >= max(o.need)),
+full_ AS (SELECT item_id, w, doc_id, p, count(*) AS n FROM have GROUP BY ALL),
+near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM full_ JOIN (SELECT item_id, w, count(*) AS n FROM need GROUP BY ALL) USING (item_id, w, n) GROUP BY doc_id)
 SELECT d.doc_id, coalesce(len(w), 0)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-  sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) AS contaminated
-FROM dw d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
+  sha256(coalesce(l, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= coalesce(len(w), 0) AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM dw d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 
