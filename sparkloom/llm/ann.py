@@ -9,18 +9,23 @@ entries of those cells are reranked by the exact distance.
 Equal vectors are one entry with their smallest ids, which is all a result can
 show of them, so a vector that a third of all rows share costs one entry.
 Entries of a first-half centroid form a unit; a large unit is cut into blocks
-and its queries into groups, so no task holds an unbounded group.
+and its queries into groups, so no task holds an unbounded group. An entry goes
+only to groups of queries that visit its cell.
 
 Vectors that are null, zero, or hold null or non-finite components take no
 part, nor do those whose length differs from the most frequent one, or null
-ids. Rows are told apart by their id: of repeated ids each different vector is
-one candidate, and a query never finds its own id. Ties go to the smaller id.
-Fewer candidates than asked for give fewer rows; an empty table gives none.
+ids. Vectors of floats are kept as such and all others as doubles; distances
+are computed in doubles, without overflow. Rows are told apart by their id: of
+repeated ids each different vector is one candidate, and a query never finds
+its own id. Ties go to the smaller id. Fewer candidates than asked for give
+fewer rows; an empty table gives none. Columns other than the id and the vector
+are not looked at, whatever their names.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,18 +34,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, groups_of
+from .common import cut, groups_of, sample_test
 
 #: Distinct vectors that the codebooks are fitted on, at most (about; chosen by a hash of the id).
 SAMPLE = 20_000
 #: Centroids of a half, at most.
 CENTROIDS = 256
 #: A query gathers at least so many entries, and all cells within NEAR times the squared distance of its nearest one.
-GATHER = 2000
+GATHER = 150
 NEAR = 1.55
-#: Entries and queries of a unit's block.
+#: Entries and queries of a unit, at most (about).
 BLOCK = 16_384
-QUERIES = 1024
+QUERIES = 16_384
 
 
 def usable(rows: DataFrame, vec_col: str) -> DataFrame:
@@ -93,9 +98,22 @@ def traverse(d1: np.ndarray, d2: np.ndarray, size: np.ndarray, gather: int = GAT
     return out
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+def _matrix(column: pa.ChunkedArray | pa.Array, kind: str) -> np.ndarray:
     raw = column.to_pylist()
-    return np.frombuffer(b"".join(raw), "<f4").reshape(len(raw), -1) if raw else np.zeros((0, 0), np.float32)
+    return np.frombuffer(b"".join(raw), kind).reshape(len(raw), -1).astype(np.float64) if raw else np.zeros((0, 0))
+
+
+def distances(e: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Euclidean distance of ``q`` to every row of ``e``; squares too large or too small for a double are avoided."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore", divide="ignore"):
+        d = np.abs(e - q)
+        out = np.sqrt((d * d).sum(1))
+        odd = ~((out > 1e-140) & (out < 1e140))
+        if odd.any():
+            most = d[odd].max(1)
+            scaled = most * np.sqrt(((d[odd] / most[:, None]) ** 2).sum(1))
+            out[odd] = np.where((most > 0) & np.isfinite(most), scaled, most)
+    return out
 
 
 def search(
@@ -103,32 +121,35 @@ def search(
 ) -> DataFrame:
     """The ``k`` nearest found of every row for which ``is_query`` holds: query_id, rank, vec_id, score (Euclidean distance)."""
     spark = vectors.sparkSession
-    rows = usable(vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<float>").alias("e"), F.coalesce(is_query, F.lit(False)).alias("q")), "e")
+    element = vectors.schema[vec_col].dataType.elementType.simpleString()
+    kind, numbers = ("<f4", "float") if element == "float" else ("<f8", "double")
+    rows = usable(vectors.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast(f"array<{numbers}>").alias("e"), F.coalesce(is_query, F.lit(False)).alias("q")), "e")
     smallest = Window.partitionBy("e").orderBy("id")
     entries = rows.select("id", "e").distinct().withColumn("r", F.row_number().over(smallest)).where(F.col("r") <= k + 1).groupBy("e").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     entries = cut(entries)
     n = entries.count()
     queries = rows.where("q").select("id", "e")
-    asked = queries.groupBy("e").agg(F.min("id").alias("key"))
     out = "query_id bigint, rank int, vec_id bigint, score double"
     if not n:
         return spark.createDataFrame([], out)
-    share = min(1.0, SAMPLE / n)
-    drawn = entries.where(F.pmod(F.xxhash64(F.element_at("ids", 1)), F.lit(1_000_000)) < int(share * 1_000_000)).select("e").toArrow()
+    asked = cut(queries.groupBy("e").agg(F.min("id").alias("key")))
+    drawn = entries.where(sample_test(SAMPLE, n, "ids")).select("e").toArrow()
     x = np.array(drawn.column(0).to_pylist() or [entries.first().e], np.float64)
+    scale = float(np.abs(x).max())
     half = x.shape[1] // 2
     c = max(1, min(CENTROIDS, round(n**0.5 / 4)))
-    books = spark.sparkContext.broadcast((codebook(x[:, :half], c), codebook(x[:, half:], c)))
+    books = spark.sparkContext.broadcast((codebook(x[:, :half] / scale, c), codebook(x[:, half:] / scale, c), scale))
 
     def assign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        b1, b2 = books.value
+        b1, b2, scale = books.value
         for b in batches:
-            v = np.array(b.column("e").to_pylist(), np.float32)
+            v = np.array(b.column("e").to_pylist(), kind)
             if len(v):
+                x = np.clip(v / scale, -1e100, 1e100)
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "c1": squared(v[:, :half].astype(np.float64), b1).argmin(1).astype(np.int32),
-                        "c2": squared(v[:, half:].astype(np.float64), b2).argmin(1).astype(np.int32),
+                        "c1": squared(x[:, :half], b1).argmin(1).astype(np.int32),
+                        "c2": squared(x[:, half:], b2).argmin(1).astype(np.int32),
                         "v": pa.array([r.tobytes() for r in v], pa.binary()),
                         "ids": b.column("ids"),
                     }
@@ -138,36 +159,50 @@ def search(
     size = np.zeros((len(books.value[0]), len(books.value[1])), np.int64)
     for r in index.groupBy("c1", "c2").count().collect():  # no more rows than there are cells
         size[r.c1, r.c2] = r["count"]
-    blocks = -(-size.sum(1) // BLOCK)
-    groups = max(1, -(-asked.count() // QUERIES))
-    plan = spark.sparkContext.broadcast((size, blocks, groups))
+    plan = spark.sparkContext.broadcast(size)
 
     def visit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (b1, b2), (size, blocks, groups) = books.value, plan.value
+        (b1, b2, scale), size = books.value, plan.value
         for b in batches:
-            v = np.array(b.column("e").to_pylist(), np.float32)
+            v = np.array(b.column("e").to_pylist(), kind)
             if not len(v):
                 continue
-            d1, d2 = squared(v[:, :half].astype(np.float64), b1), squared(v[:, half:].astype(np.float64), b2)
-            cols: dict[str, list] = {"unit": [], "key": [], "v": [], "cells": []}
+            x = np.clip(v / scale, -1e100, 1e100)
+            d1, d2 = squared(x[:, :half], b1), squared(x[:, half:], b2)
+            cols: tuple[list, ...] = ([], [], [], [])
             for i, key in enumerate(b.column("key").to_pylist()):
                 by: dict[int, list[int]] = {}
-                for x, y in traverse(d1[i], d2[i], size, gather, near):
-                    by.setdefault(x, []).append(y)
-                for x, ys in by.items():
-                    for e in range(blocks[x]):
-                        cols["unit"].append(f"{x}/{e}/{key % groups}")
-                        cols["key"].append(key)
-                        cols["v"].append(v[i].tobytes())
-                        cols["cells"].append(np.array(ys, "<i4").tobytes())
-            yield pa.RecordBatch.from_pydict({"unit": cols["unit"], "key": pa.array(cols["key"], pa.int64()), "v": pa.array(cols["v"], pa.binary()), "cells": pa.array(cols["cells"], pa.binary())})
-
-    block = F.element_at(F.lit([int(max(1, b)) for b in blocks]), F.col("c1") + 1)
-    spread = index.select(
-        F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"), F.pmod(F.xxhash64("v"), block).alias("b"), "c1", "c2", "v", "ids"
-    ).select(F.format_string("%d/%d/%d", "c1", "b", "g").alias("unit"), F.lit(None).cast("bigint").alias("key"), "v", F.lit(None).cast("binary").alias("cells"), "c2", "ids")
-    visits = asked.mapInArrow(visit, "unit string, key bigint, v binary, cells binary").withColumns({"c2": F.lit(None).cast("int"), "ids": F.lit(None).cast("array<bigint>")})
-    both = spread.unionByName(visits).repartition("unit").sortWithinPartitions("unit", F.col("key").asc_nulls_first(), "c2")
+                for one, two in traverse(d1[i], d2[i], size, gather, near):
+                    by.setdefault(one, []).append(two)
+                for one, twos in by.items():
+                    for col, value in zip(cols, (one, key, v[i].tobytes(), np.array(sorted(twos), "<i4").tobytes()), strict=True):
+                        col.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(col, t) for col, t in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["c1", "key", "v", "cells"])
+
+    visits = cut(asked.mapInArrow(visit, "c1 int, key bigint, v binary, cells binary"))
+
+    def seen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter = Counter()
+        for b in batches:
+            for one, raw in zip(b.column("c1").to_pylist(), b.column("cells").to_pylist(), strict=True):
+                total.update((one, two) for two in np.frombuffer(raw, "<i4").tolist())
+        if total:
+            yield pa.RecordBatch.from_pydict({"c1": pa.array([x for x, _ in total], pa.int32()), "c2": pa.array([x for _, x in total], pa.int32())})
+
+    # no more rows than there are cells, so they can go everywhere
+    visited = visits.select("c1", "cells").mapInArrow(seen, "c1 int, c2 int").distinct()
+    share = visits.groupBy("c1").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("groups"))
+    blocks = index.groupBy("c1").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    units = cut(share.join(blocks, "c1"))
+    part = lambda key, of: F.pmod(F.xxhash64(key), F.col(of)).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    held = index.join(F.broadcast(cut(visited)), ["c1", "c2"]).join(F.broadcast(units), "c1").withColumn("b", part("v", "blocks")).withColumn("g", each("groups"))
+    going = visits.join(F.broadcast(units), "c1").withColumn("g", part("key", "groups")).withColumn("b", each("blocks"))
+    unit = F.format_string("%d/%d/%d", "c1", "b", "g").alias("unit")
+    both = held.select(unit, F.lit(None).cast("bigint").alias("key"), "v", F.lit(None).cast("binary").alias("cells"), "c2", "ids").unionByName(
+        going.select(unit, "key", "v", "cells", F.lit(None).cast("int").alias("c2"), F.lit(None).cast("array<bigint>").alias("ids"))
+    )
+    both = both.repartition("unit").sortWithinPartitions("unit", F.col("key").asc_nulls_first(), "c2")
 
     def rerank(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, t in groups_of(batches, "unit"):
@@ -175,18 +210,26 @@ def search(
             held = t.filter(pa.compute.is_null(t.column("key")))
             if not (asking.num_rows and held.num_rows):
                 continue
-            e, c2 = _matrix(held.column("v")).astype(np.float64), np.array(held.column("c2").to_pylist())
-            ids, norm = held.column("ids").to_pylist(), (e * e).sum(1)
+            e, c2 = _matrix(held.column("v"), kind), np.array(held.column("c2").to_pylist())
+            starts = np.searchsorted(c2, np.arange(c2[-1] + 2))
+            ids = held.column("ids").to_pylist()
+            with np.errstate(over="ignore", invalid="ignore"):
+                norm = (e * e).sum(1)
             cols: tuple[list, list, list] = ([], [], [])
             for key, raw, cells in zip(asking.column("key").to_pylist(), asking.column("v").to_pylist(), asking.column("cells").to_pylist(), strict=True):
-                q = np.frombuffer(raw, "<f4").astype(np.float64)
-                at = np.flatnonzero(np.isin(c2, np.frombuffer(cells, "<i4")))
+                q = np.frombuffer(raw, kind).astype(np.float64)
+                cell = np.frombuffer(cells, "<i4")
+                cell = cell[cell <= c2[-1]]
+                at = np.concatenate([np.arange(starts[x], starts[x + 1]) for x in cell.tolist()] or [np.zeros(0, np.int64)])
                 if not len(at):
                     continue
-                rough = norm[at] - 2 * (e[at] @ q)
                 if len(at) > k + 1:  # those within rounding of the last place stay
-                    at = at[rough <= np.partition(rough, k)[k] + 1e-9 * max(1.0, float(np.abs(rough).max()))]
-                exact = np.sqrt(((e[at] - q) ** 2).sum(1))
+                    with np.errstate(over="ignore", invalid="ignore"):
+                        rough = norm[at] - 2 * (e[at] @ q)
+                        most = float(np.abs(rough).max())
+                    if 1e-250 < most < 1e250:
+                        at = at[rough <= np.partition(rough, k)[k] + 1e-9 * max(most, float(norm[at].max()), float(q @ q))]
+                exact = distances(e[at], q)
                 best = heapq.nsmallest(k + 1, ((d, i) for d, x in zip(exact.tolist(), at.tolist(), strict=True) for i in ids[x]))
                 cols[0].extend([key] * len(best))
                 cols[1].extend(d for d, _ in best)
