@@ -1,17 +1,22 @@
 """WARC archives and their index: writing, reading back, and merging capture runs.
 
 Every page becomes a record, a gzip member of its own, in an archive file that
-Spark's writer puts into the shared folder. Reading an archive gives its
-capture run: entries sorted by URL key, time and page. Runs are cut at sampled
-splitters, and the pieces of a range are merged by a loser tree, so ranges in
-order, and entries within, are the global capture history of every URL. The
-splitters hold time and page too, so one URL may span ranges.
+Spark's writer puts into the shared folder; no archive grows beyond about
+``ROWS * CHUNK`` bytes and a few single records, so that each can be read whole.
+Reading an archive gives its capture run: entries sorted by URL key, time and
+page. Runs are cut at splitters, and the pieces of a range are merged by a loser
+tree, so ranges in order, and entries within, are the global capture history of
+every URL. Splitters come from a sample in two levels: those of the parts on the
+driver, of a fixed number, and those of the ranges in a table, as many as the
+pages need. They hold time and page too, so one URL may span ranges.
 
 Of records with equal payloads of at least ``least`` bytes the one with the
 largest page id is a response and the others revisit it; smaller ones are all
-responses. A null html is an empty payload, a null url an empty key. Of rows
-that repeat the largest id each is a response. A null id revisits where the
-others have ids. Other columns are dropped.
+responses. Only digests and ids are compared and joined, never payloads. A null
+html is an empty payload, a null url an empty key. Payloads may be of any
+length. Of rows that repeat the largest id each is a response. A null id
+revisits where the others have ids. Equal keys and times are ordered by page.
+An empty table gives no rows. Other columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,12 +32,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import groups_of, scratch
+from .common import cut, groups_of, sample_test, scratch, tidy
 from .loser_tree import merge
 
-#: Entries of a range, about, and keys that splitters are chosen from, at most (about).
-RANGE_ROWS = 100_000
+#: Entries of a range, about, and keys drawn for each.
+RANGE_ROWS = 50_000
+DRAWN = 16
+#: Parts, at most, and keys that their splitters are chosen from, at most (about).
+PARTS = 512
 SPLITTER_ROWS = 20_000
+#: Bytes of members that are handed to the writer as one row, and such rows of an archive.
+CHUNK = 4 << 20
+ROWS = 16
 #: Payloads below this many bytes are never revisits.
 LEAST_BYTES = 1000
 #: The first second of capture; pages carry no time, so a page's time is this plus its id in seconds.
@@ -90,17 +101,36 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     """
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(bytearray())).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    big = F.octet_length("payload") >= least
-    copies = rows.where(big).groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1").drop("n")
-    known = rows.join(copies, "digest", "left").withColumn("refers_to", F.when(big & ~F.col("page_id").eqNullSafe(F.col("keep")), F.col("keep")))
+    big = rows.where(F.octet_length("payload") >= least).select("page_id", "digest")
+    copies = cut(big.groupBy("digest").agg(F.max("page_id").alias("keep"), F.count("*").alias("n")).where("n > 1 AND keep IS NOT NULL").drop("n"))
+    # a table: Spark knows its size, so a small one goes to the pages and no page is moved
+    at = scratch(pages.sparkSession, "revisits")
+    again = big.join(copies, "digest").where(~F.col("page_id").eqNullSafe(F.col("keep")))
+    again.select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), F.col("keep").alias("refers_to")).distinct().write.parquet(at)
+    again = pages.sparkSession.read.schema("_id bigint, _digest string, refers_to bigint").parquet(at)
+    known = rows.join(again, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for b in batches:
             cols = (b.column(k).to_pylist() for k in range(5))
-            yield pa.RecordBatch.from_pydict({"value": pa.array([member(record(*r)) for r in zip(*cols, strict=True)], pa.binary())})
+            for r in zip(*cols, strict=True):
+                m = member(record(*r))
+                if held and size + len(m) > CHUNK:
+                    yield _chunk(held)
+                    held, size = [], 0
+                held.append(m)
+                size += len(m)
+        if held:
+            yield _chunk(held)
 
-    records = known.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, "value binary")
-    records.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("compression", "none").text(path)
+    records = known.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(tidy(run), "value binary")
+    records.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", ROWS).text(path)
+
+
+def _chunk(held: list[bytes]) -> pa.RecordBatch:
+    """One row of members; the last one's last byte is the writer's."""
+    return pa.RecordBatch.from_arrays([pa.array([b"\0".join(held)], pa.binary())], names=["value"])
 
 
 def members(data: bytes) -> Iterator[tuple[int, int, bytes]]:
@@ -149,18 +179,37 @@ def _order(e: dict) -> tuple:
     return (e["key"], e["time"], e["page_id"] if e["page_id"] is not None else -1)
 
 
-def splitters(pages: DataFrame, id_col: str, url_col: str) -> list[tuple]:
-    """Bounds of the ranges, from a bounded sample of all keys."""
+_KEY = "struct<key: string, time: string, page_id: bigint>"
+
+
+def splitters(pages: DataFrame, id_col: str, url_col: str) -> tuple[list[tuple], DataFrame]:
+    """Bounds of the parts, and a table of the bounds of the ranges within: part and cuts."""
+    spark = pages.sparkSession
+    pages = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"))
     n = pages.count()
-    share = min(1.0, SPLITTER_ROWS / max(1, n))
-    drawn = pages.select(F.col(id_col).cast("bigint"), F.col(url_col)).where(F.pmod(F.xxhash64(id_col, url_col), F.lit(1_000_000)) < int(share * 1_000_000))
-    keys = sorted((url_key(r[1]), captured(r[0]), r[0] if r[0] is not None else -1) for r in drawn.collect())
+    drawn = pages.where(sample_test(SPLITTER_ROWS, n, "page_id", "url")).collect()
+    keys = sorted((url_key(r.url), captured(r.page_id), -1 if r.page_id is None else r.page_id) for r in drawn)
+    parts = min(PARTS, -(-n // RANGE_ROWS))
+    first = [keys[len(keys) * i // parts] for i in range(1, parts)] if keys else []
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(url_key(u), captured(i), -1 if i is None else i) for i, u in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            cols = [[bisect_right(first, x) for x in found], *([x[k] for x in found] for k in range(3))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["part", "key", "time", "page_id"])
+
     ranges = -(-n // RANGE_ROWS)
-    return [keys[len(keys) * i // ranges] for i in range(1, ranges)] if keys else []
+    placed = pages.where(sample_test(DRAWN * ranges, n, "url", "page_id")).mapInArrow(place, "part int, key string, time string, page_id bigint")
+    sorted_ = placed.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("key", "time", "page_id"))).alias("keys"))
+    cuts = F.filter("keys", lambda x, i: (i > 0) & (i % DRAWN == 0))
+    at = scratch(spark, "splitters")
+    sorted_.select("part", cuts.alias("cuts")).write.parquet(at)
+    return first, spark.read.schema(f"part int, cuts array<{_KEY}>").parquet(at)
 
 
-def read_index(spark: SparkSession, path: str, bounds: list[tuple]) -> DataFrame:
+def read_index(spark: SparkSession, path: str, bounds: tuple[list[tuple], DataFrame]) -> DataFrame:
     """The merged index of the archives in ``path``: range, place and the entries' fields, with the archive's name."""
+    first, inner = bounds
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -173,11 +222,24 @@ def read_index(spark: SparkSession, path: str, bounds: list[tuple]) -> DataFrame
                 found.sort(key=_order)
                 by: dict[int, list] = {}
                 for e in found:
+                    by.setdefault(bisect_right(first, _order(e)), []).append(e)
+                for part, entries in by.items():
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([entries], pa.list_(_ENTRY_PA))], names=["part", "archive", "run"])
+
+    run_type = f"array<struct<{_ENTRY.replace(' ', ':').replace(',:', ', ')}>>"
+    runs = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(tidy(run), f"part int, archive string, run {run_type}")
+
+    def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, name, entries, cuts in zip(*(b.column(k).to_pylist() for k in ("part", "archive", "run", "cuts")), strict=True):
+                bounds = [(x["key"], x["time"], x["page_id"]) for x in cuts or []]
+                by: dict[int, list] = {}
+                for e in entries:
                     by.setdefault(bisect_right(bounds, _order(e)), []).append(e)
-                if by:
-                    yield pa.RecordBatch.from_arrays([pa.array(by, pa.int32()), pa.array([name] * len(by)), pa.array(by.values(), pa.list_(_ENTRY_PA))], names=["range", "archive", "run"])
+                numbers = [(part << 32) + k for k in by]
+                yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array([name] * len(by)), pa.array(by.values(), pa.list_(_ENTRY_PA))], names=["range", "archive", "run"])
 
-    runs = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, f"range int, archive string, run array<struct<{_ENTRY.replace(' ', ':').replace(',:', ', ')}>>")
+    pieces = runs.join(inner, "part", "left").select("part", "archive", "run", "cuts").mapInArrow(tidy(split), f"range bigint, archive string, run {run_type}")
 
     def join(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, t in groups_of(batches, "range"):
@@ -191,10 +253,10 @@ def read_index(spark: SparkSession, path: str, bounds: list[tuple]) -> DataFrame
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=_MERGED)
 
-    return runs.repartition("range").sortWithinPartitions("range", "archive").mapInArrow(join, f"range int, place bigint, archive string, {_ENTRY}")
+    return pieces.repartition("range").sortWithinPartitions("range", "archive").mapInArrow(tidy(join), f"range bigint, place bigint, archive string, {_ENTRY}")
 
 
-_MERGED = pa.schema([("range", pa.int32()), ("place", pa.int64()), ("archive", pa.string()), *_ENTRY_PA])
+_MERGED = pa.schema([("range", pa.int64()), ("place", pa.int64()), ("archive", pa.string()), *_ENTRY_PA])
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST_BYTES) -> DataFrame:
