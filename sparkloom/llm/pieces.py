@@ -22,30 +22,39 @@ SPACE = "▁"
 MEMO_CHARS = 40
 #: A generation of remembered segments.
 MEMO_SIZE = 250_000
-#: A character outside the vocabulary scores this much below the lowest piece.
+#: The search counts log probabilities in units of one nat by this.
+UNITS = 1 << 24
+#: A byte of a character outside a vocabulary of log probabilities scores this much below its lowest piece.
 UNKNOWN_PENALTY = 10.0
 
 
 @dataclass
 class Vocabulary:
-    """``ids``: piece to id; ``scores`` by id; ``bytes_of`` by id; ``byte_ids``: the fallback's 256 ids or empty."""
+    """``ids``: piece to id; ``log_probs`` by id (natural); ``bytes_of`` by id; ``byte_ids``: the fallback's 256 ids or empty; ``byte``: log probability of a fallback byte."""
 
     ids: dict[str, int]
-    scores: list[float]
+    log_probs: list[float]
     bytes_of: list[bytes]
     byte_ids: list[int]
     unknown_id: int
-    unknown_score: float
+    byte: float
     longest: int
 
     def __post_init__(self):
         self.prefixes = prefixes(self.ids, -1)
+        # whole numbers add up alike wherever a search begins, so that ties are the same in a stream and in its parts
+        self.scores = [round(x * UNITS) for x in self.log_probs]
+        self.byte_score = round(self.byte * UNITS)
         marks = "".join(map(re.escape, sorted(marks_apart(self.ids))))
         self.segment = re.compile(f"{SPACE}*[^{SPACE}{marks}]+|{SPACE}*[{marks}]+|{SPACE}+").findall
         self.memo = Memory()
 
     def __reduce__(self):  # what can be made anew isn't sent
-        return Vocabulary, (self.ids, self.scores, self.bytes_of, self.byte_ids, self.unknown_id, self.unknown_score, self.longest)
+        return Vocabulary, (self.ids, self.log_probs, self.bytes_of, self.byte_ids, self.unknown_id, self.byte, self.longest)
+
+    def table(self) -> dict[str, float]:
+        """Log probabilities of the pieces, with their beginnings marked 1.0."""
+        return prefixes({p: self.log_probs[i] for p, i in self.ids.items()}, 1.0)
 
 
 def prefixes(table: dict, mark) -> dict:
@@ -74,8 +83,31 @@ def load(model_file: str) -> Vocabulary:
             raw.append(piece.replace(SPACE, " ").encode())
     if any(SPACE in p.lstrip(SPACE) for p in ids):
         raise ValueError("pieces that go on after a space are not supported")
-    low = min(s for p, i in ids.items() if (s := scores[i]) > -1e8)
-    return Vocabulary(ids, scores, raw, byte_ids if n_bytes == 256 else [], sp.unk_id(), low - UNKNOWN_PENALTY, max(map(len, ids)))
+    log_probs, byte = probabilities(ids, scores)
+    return Vocabulary(ids, log_probs, raw, byte_ids if n_bytes == 256 else [], sp.unk_id(), byte, max(map(len, ids)))
+
+
+def probabilities(ids: dict[str, int], scores: list[float], shift: float = 2.7) -> tuple[list[float], float]:
+    """Natural log probabilities by id and of a fallback byte, from the vocabulary's scores.
+
+    Scores that are log probabilities (their exponentials sum to about one)
+    are taken as they are. A merge vocabulary's scores are negative ranks:
+    they become Zipf-Mandelbrot probabilities 1 / (rank + shift), normalised
+    over all pieces and the fallback bytes, each of which has the rank after
+    the last piece. Pieces without a rank are like these bytes.
+    """
+    kept = [s for i in ids.values() if (s := scores[i]) > -1e8]
+    out = list(scores)
+    if 0.5 < sum(math.exp(min(0.0, s)) for s in kept) < 1.5 and min(kept) > -100:
+        return out, min(kept) - UNKNOWN_PENALTY
+    last = 1 - min(kept)
+    for i in ids.values():
+        out[i] = 1 / (shift + (last if scores[i] <= -1e8 else -scores[i]))
+    byte = 1 / (shift + last)
+    z = math.log(sum(out[i] for i in ids.values()) + 256 * byte)
+    for i in ids.values():
+        out[i] = math.log(out[i]) - z
+    return out, math.log(byte) - z
 
 
 def marks_apart(pieces: Iterable[str]) -> set[str]:
@@ -93,71 +125,100 @@ def segments(v: Vocabulary, text: str) -> list[str]:
 
 
 def best_path(v: Vocabulary, s: str) -> tuple[int, ...]:
-    """Ids of the best segmentation, by a Viterbi search that keeps only a window of the lattice.
+    """Ids of the most probable segmentation of ``s``."""
+    found = Encoder(v)
+    return tuple(found.feed(s) + found.finish())
+
+
+class Encoder:
+    """A Viterbi search over a stream of prepared text that gives ids as soon as they are settled.
 
-    The window is a few times the longest piece. When it is full, the paths
-    that can still go on (they end within one piece of its edge) are followed
-    back to the boundary they share; the ids before it are committed, and the
-    search goes on from there with nothing else kept. Only while there is no
-    such boundary does the window grow. A tie goes to the longer last piece.
+    ``best``, ``back`` and ``pick`` hold the places from the last committed
+    boundary on, of which only the last ``longest`` can still be extended. Every
+    ``longest`` characters the surviving paths, those that lead into a place
+    ahead, are followed back; where they meet, the ids before are committed and
+    the places before are dropped; only where paths never meet, as in a run of one
+    letter, their places wait. A character outside the vocabulary is spelled
+    in bytes. A tie goes to the path that was found first, from the left.
     """
-    n, base, span, out = len(s), 0, 4 * v.longest, []
-    while base < n:
-        part = s[base : base + span]
-        m = len(part)
-        back, pick = _search(v, part)
-        if base + m == n:
-            _trace(v, part, back, pick, m, out)
-            break
-        alive = set(range(m - v.longest + 1, m + 1))
-        while len(alive) > 1 and min(alive) > 0:
-            top = max(alive)
-            alive.remove(top)
-            alive.add(back[top])
-        at = alive.pop() if len(alive) == 1 else 0
-        if at > 0:
-            _trace(v, part, back, pick, at, out)
-            base, span = base + at, 4 * v.longest
-        else:
-            span *= 2
-    return tuple(out)
 
+    def __init__(self, v: Vocabulary):
+        self.v, self.base, self.next, self.rest = v, 0, 0, ""  # rest: text from the first place that isn't searched yet
+        self.best, self.back, self.pick, self.odd = [0], [0], [-1], [""]
+        self.due = v.longest
 
-def _search(v: Vocabulary, s: str) -> tuple[list[int], list[int]]:
-    """For every place of ``s`` the start and id (-1: unknown) of the last piece of its best path."""
-    get, scores, unknown = v.prefixes.get, v.scores, v.unknown_score
-    n = len(s)
-    best, back, pick = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
-    best[0] = 0.0
-    for j in range(n):
-        a, i = best[j], j + 1
-        k = get(s[j:i])
-        if k is None or k < 0:
-            if (x := a + unknown) > best[i]:
-                best[i], back[i], pick[i] = x, j, -1
-        while k is not None:
-            if k >= 0 and (x := a + scores[k]) > best[i]:
-                best[i], back[i], pick[i] = x, j, k
-            i += 1
-            if i > n:
-                break
+    def feed(self, text: str) -> list[int]:
+        """Ids that are settled by more text. The last characters wait, as pieces may go beyond them."""
+        return self._search(self.rest + text, False)
+
+    def finish(self) -> list[int]:
+        """The ids that are left."""
+        out = self._search(self.rest, True)
+        self._commit(self.next, out)
+        return out
+
+    def _search(self, s: str, last: bool) -> list[int]:
+        get, scores, byte = self.v.prefixes.get, self.v.scores, self.v.byte_score
+        best, back, pick, odd, base = self.best, self.back, self.pick, self.odd, self.base
+        n, out, start = len(s), [], self.next
+        for j in range(n if last else max(0, n - self.v.longest)):
+            o = start + j - base
+            a, i, at = best[o], j + 1, o + 1
             k = get(s[j:i])
-    return back, pick
-
-
-def _trace(v: Vocabulary, s: str, back: list[int], pick: list[int], hi: int, out: list[int]) -> None:
-    """Append the ids of the best path to ``hi``."""
-    found: list[int] = []
-    while hi > 0:
-        frm = back[hi]
-        if pick[hi] >= 0:
-            found.append(pick[hi])
-        elif v.byte_ids:
-            found += [v.byte_ids[b] for b in reversed(s[frm:hi].encode("utf-8", "surrogatepass"))]
-        else:
-            found.append(v.unknown_id)
-        hi = frm
-    out += reversed(found)
+            if at == len(best):
+                best.append(-math.inf)
+                back.append(0)
+                pick.append(-1)
+                odd.append("")
+            if k is None or k < 0:
+                if (x := a + byte * len(s[j].encode("utf-8", "surrogatepass"))) > best[at]:
+                    best[at], back[at], pick[at], odd[at] = x, start + j, -1, s[j]
+            while k is not None:
+                if k >= 0 and (x := a + scores[k]) > best[at]:
+                    best[at], back[at], pick[at] = x, start + j, k
+                i += 1
+                at += 1
+                if i > n:
+                    break
+                k = get(s[j:i])
+                if at == len(best) and k is not None:
+                    best.append(-math.inf)
+                    back.append(0)
+                    pick.append(-1)
+                    odd.append("")
+            self.next = start + j + 1
+            if self.next >= self.due:
+                self.due = self.next + self.v.longest
+                alive = {back[t] for t in range(self.next - base, len(best)) if best[t] > -math.inf}
+                while len(alive) > 1:
+                    top = max(alive)
+                    if top <= base:
+                        break
+                    alive.remove(top)
+                    alive.add(back[top - base])
+                if len(alive) == 1 and (at := alive.pop()) > base:
+                    self._commit(at, out)
+                    base = self.base
+        self.rest = s[self.next - start :]
+        return out
+
+    def _commit(self, place: int, out: list[int]) -> None:
+        """Put out the ids up to ``place``, and forget what is before it."""
+        found: list[int] = []
+        at, base = place, self.base
+        while at > base:
+            k = self.pick[at - base]
+            if k >= 0:
+                found.append(k)
+            elif self.v.byte_ids:
+                found += [self.v.byte_ids[b] for b in reversed(self.odd[at - base].encode("utf-8", "surrogatepass"))]
+            else:
+                found.append(self.v.unknown_id)
+            at = self.back[at - base]
+        out += reversed(found)
+        for x in (self.best, self.back, self.pick, self.odd):
+            del x[: place - base]
+        self.base = place
 
 
 class Memory:
@@ -194,27 +255,6 @@ def decode(v: Vocabulary, ids: list[int]) -> str:
     return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
 
 
-def zipf_log_probs(v: Vocabulary, shift: float = 2.7) -> tuple[dict[str, float], float]:
-    """Natural log probabilities of pieces and of an unknown byte, from the vocabulary's scores.
-
-    Scores that are log probabilities (their exponentials sum to about one)
-    are taken as they are. A merge vocabulary's scores are negative ranks:
-    they become Zipf-Mandelbrot probabilities 1 / (rank + shift), normalised
-    over all pieces and the fallback bytes, each of which has the rank after
-    the last piece.
-    """
-    kept = {p: v.scores[i] for p, i in v.ids.items() if v.scores[i] > -1e8}
-    total = sum(math.exp(min(0.0, s)) for s in kept.values())
-    if 0.5 < total < 1.5 and min(kept.values()) > -100:
-        return dict(kept), v.unknown_score
-    last = 1 - min(kept.values())
-    odd = {p: -last for p, i in v.ids.items() if p not in kept}
-    weight = {p: 1 / (shift - s) for p, s in (kept | odd).items()}
-    byte = 1 / (shift + last)
-    z = math.log(sum(weight.values()) + 256 * byte)
-    return {p: math.log(w) - z for p, w in weight.items()}, math.log(byte) - z
-
-
 def log_marginal(table: dict[str, float], byte: float, s: str) -> float:
     """Natural log of the summed probability of all segmentations of ``s``, by a forward recursion in log space.
 

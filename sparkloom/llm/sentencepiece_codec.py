@@ -1,11 +1,14 @@
 """SentencePiece encoding and decoding of whole texts by a streaming Viterbi search.
 
-The search (``pieces.best_path``) keeps a window of the lattice bounded by the
-longest piece and commits ids whenever all surviving paths share a boundary.
+The search (``pieces.Encoder``) keeps the places that a piece can still reach
+and commits ids whenever all surviving paths share a boundary. It finds the most
+probable segmentation under the probabilities that ``lm_score`` sums over.
 
 Null texts have null ids, empty texts have none; a text that holds U+2581
-itself comes back with a space there (``round_trip`` false). Repeated rows are
-encoded alike. Other columns are kept; ``ids``, ``n_ids``, ``ids_sha256`` and
+itself comes back with a space there (``round_trip`` false). Texts of any length
+are encoded whole. Of equally probable segmentations that whose pieces are
+longest from the end on is taken. Repeated rows are encoded alike; an empty
+table gives no rows. Other columns are kept; ``ids``, ``n_ids``, ``ids_sha256`` and
 ``round_trip`` replace columns of these names.
 """
 
