@@ -1,16 +1,21 @@
 """URL filter: rules first, then a path-template tree with smoothed labelled purity.
 
-URLs that a rule decides are the labelled ones. Per host, paths form a tree.
-Segments that look variable (numbers, long hexadecimal strings) become
-wildcards, as do the thin branches of a node that has many; branches whose
-share of blocked labels doesn't differ significantly from their siblings' are
-merged. A template whose smoothed share of blocked labels is high, on enough
-labels, is rejected; URLs of such templates that no rule decides are blocked,
-all others allowed.
+URLs that a rule decides are the labelled ones. Per host, paths form a tree,
+which is generalised from the root down, one level at a time. Segments that look
+variable (numbers, long hexadecimal strings) become wildcards, as do the thin
+branches of a node that has many; branches whose share of blocked labels doesn't
+differ significantly from their siblings' are merged. What stands below merged
+branches is pooled, and the next level is judged on the pooled counts. A
+template whose smoothed share of blocked labels is high, on enough labels, is
+rejected; URLs of such templates that no rule decides are blocked, all others
+allowed.
 
 Null URLs and those without ``://`` have an empty host and path and are a
-template like any other. Repeated URLs are counted with their number and get
-one verdict. Other columns are kept, except those of the result's names.
+template like any other. URLs of any length are read to their end; levels go on
+until every branch left is alone below its node. Repeated URLs are counted with
+their number and get one verdict. Of rules that fit the longest wins, of equally
+long ones the last in the order of (host, path, verdict). An empty table gives no
+rows. Other columns are kept, except those of the result's names.
 Everything is done with DataFrame functions on counts by host and path.
 """
 
@@ -53,27 +58,46 @@ def ruled(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column
     return rule, verdict
 
 
-def templates(paths: DataFrame) -> DataFrame:
-    """host, path and template of every row of ``paths`` (host, path, n, labelled, blocked; one row a path)."""
-    segs = F.split(F.regexp_replace("path", "^/", ""), "/")
+def shape(path: Column) -> Column:
+    """The path with its variable segments as wildcards."""
+    segs = F.split(F.regexp_replace(path, "^/", ""), "/")
     shown = F.transform(segs, lambda s: F.regexp_replace(F.regexp_replace(s, "^[0-9a-fA-F-]{12,}$", "<x>"), "[0-9]+", "<n>"))
-    rows = paths.select("host", "path", "n", "labelled", "blocked", shown.alias("s"))
-    # a node is known by a hash of the segments above it
-    chain = F.aggregate("s", F.array(F.md5(F.lit(""))), lambda a, s: F.concat(a, F.array(F.md5(F.concat(F.element_at(a, -1), s)))))
-    rows = rows.withColumn("u", F.slice(chain, 1, F.size("s")))
-    places = rows.select("host", "path", "n", "labelled", "blocked", F.posexplode(F.arrays_zip("s", "u")).alias("d", "x")).select("host", "path", "n", "labelled", "blocked", "d", F.col("x.s").alias("seg"), F.col("x.u").alias("under"))
-    sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
-    nodes = places.groupBy("host", "d", "under", "seg").agg(*sums)
-    above = nodes.groupBy("host", "d", "under").agg(F.count("*").alias("fan"), F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked"))
-    others = F.col("all_labelled") - F.col("labelled")
-    share = F.col("all_blocked") / F.col("all_labelled")
-    error = F.sqrt(share * (1 - share) * (1 / F.col("labelled") + 1 / others))
-    apart = F.col("blocked") / F.col("labelled") - (F.col("all_blocked") - F.col("blocked")) / others
-    similar = (F.col("labelled") > 0) & (others > 0) & (F.abs(apart) <= SIMILAR * error)
-    thin = (F.col("fan") > FAN) & (F.col("n") < THIN)
-    merged = nodes.join(above, ["host", "d", "under"]).where(thin | F.coalesce(similar, F.lit(False))).select("host", "d", "under", "seg", F.lit("*").alias("wild"))
-    named = places.join(merged, ["host", "d", "under", "seg"], "left").select("host", "path", F.struct("d", F.coalesce("wild", "seg").alias("seg")).alias("x"))
-    return named.groupBy("host", "path").agg(F.concat(F.lit("/"), F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["seg"]), "/")).alias("template"))
+    return F.concat(F.lit("/"), F.array_join(shown, "/"))
+
+
+def templates(shapes: DataFrame) -> DataFrame:
+    """host, shape and template of every row of ``shapes`` (host, shape, n, labelled, blocked; one row a shape)."""
+    # under: a hash of the generalised segments above, by which a node is known
+    rows = shapes.withColumns({"s": F.split(F.substring("shape", 2, 1 << 30), "/"), "under": F.lit(""), "done": F.array().cast("array<string>")})
+    rows = rows.select("host", "shape", "n", "labelled", "blocked", "s", "under", "done")
+    finished = None
+    while True:
+        level = F.size("done") + 1
+        rows = rows.withColumn("seg", F.element_at("s", level))
+        sums = [F.sum(c).alias(c) for c in ("n", "labelled", "blocked")]
+        nodes = rows.groupBy("host", "under", "seg").agg(*sums)
+        above = cut(nodes.groupBy("host", "under").agg(F.count("*").alias("fan"), F.sum("labelled").alias("all_labelled"), F.sum("blocked").alias("all_blocked")))
+        others = F.col("all_labelled") - F.col("labelled")
+        share = F.col("all_blocked") / F.col("all_labelled")
+        error = F.sqrt(share * (1 - share) * (1 / F.col("labelled") + 1 / others))
+        apart = F.col("blocked") / F.col("labelled") - (F.col("all_blocked") - F.col("blocked")) / others
+        similar = (F.col("labelled") > 0) & (others > 0) & (F.abs(apart) <= SIMILAR * error)
+        thin = (F.col("fan") > FAN) & (F.col("n") < THIN)
+        merged = cut(nodes.join(above, ["host", "under"]).where(thin | F.coalesce(similar, F.lit(False))).select("host", "under", "seg", F.lit("*").alias("wild")))
+        named = rows.join(merged, ["host", "under", "seg"], "left").withColumn("seg", F.coalesce("wild", "seg"))
+        named = named.select("host", "shape", "n", "labelled", "blocked", "s", F.md5(F.concat("under", F.lit("/"), "seg")).alias("under"), F.array_append("done", F.col("seg")).alias("done"))
+        named = cut(named)
+        # a shape that is alone below its node, or at its end, keeps the segments that are left
+        crowded = cut(named.groupBy("host", "under").count().where("count > 1").select("host", "under"))
+        flagged = named.join(crowded.withColumn("crowd", F.lit(True)), ["host", "under"], "left")
+        goes_on = F.col("crowd").isNotNull() & (F.size("s") > F.size("done"))
+        rest = flagged.where(~goes_on)
+        segs = F.concat("done", F.slice("s", F.size("done") + 1, F.size("s")))
+        rest = rest.select("host", "shape", F.concat(F.lit("/"), F.array_join(segs, "/")).alias("template"))
+        finished = rest if finished is None else finished.unionByName(rest)
+        rows = cut(flagged.where(goes_on).drop("crowd"))
+        if rows.isEmpty():
+            return finished
 
 
 def filter_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url") -> DataFrame:
@@ -83,16 +107,17 @@ def filter_urls(pages: DataFrame, rules: list[Rule], url_col: str = "url") -> Da
     rows = pages.select(*(f"`{c}`" for c in pages.columns if c not in new), host.alias("host"), path.alias("path"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "decided": verdict})
-    paths = rows.groupBy("host", "path").agg(
+    rows = rows.withColumn("_shape", shape(F.col("path")))
+    shapes = rows.groupBy("host", F.col("_shape").alias("shape")).agg(
         F.count("*").alias("n"), F.count("decided").alias("labelled"), F.count(F.when(F.col("decided") == "block", 1)).alias("blocked")
     )
-    paths = cut(paths)
-    total = paths.agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).first()
+    shapes = cut(shapes)
+    total = shapes.agg(F.sum("labelled").alias("l"), F.sum("blocked").alias("b")).first()
     prior = (total.b or 0) / total.l if total.l else 0.0
-    of = cut(templates(paths))
-    counted = paths.join(of, ["host", "path"]).groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    of = cut(templates(shapes))
+    counted = shapes.join(of, ["host", "shape"]).groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
     purity = (F.col("blocked") + SMOOTH * prior) / (F.col("labelled") + SMOOTH)
     judged = cut(counted).select("host", "template", purity.alias("purity"), ((F.col("labelled") >= SUPPORT) & (purity >= REJECT)).alias("bad"))
-    known = of.join(judged, ["host", "template"])
-    found = rows.join(known, ["host", "path"], "left")
-    return found.withColumn("verdict", F.coalesce("decided", F.when(F.col("bad"), "block").otherwise("allow"))).drop("decided", "bad")
+    known = cut(of.join(judged, ["host", "template"])).withColumnRenamed("shape", "_shape")
+    found = rows.join(known, ["host", "_shape"], "left")
+    return found.withColumn("verdict", F.coalesce("decided", F.when(F.col("bad"), "block").otherwise("allow"))).drop("decided", "bad", "_shape")
