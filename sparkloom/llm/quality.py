@@ -4,13 +4,15 @@ Every word has a sparse random index vector; its word vector is the sum of the
 index vectors of its neighbours. Words are hashed into a fixed number of
 buckets, so the table has one size whatever the corpus. Beside each word
 stands its shape (letters by case, digits, marks as they are, runs shortened).
-Vectors and network are learnt from a bounded sample of labelled documents
-(``SAMPLE_DOCS``, chosen by a hash of the id).
-
-Null and empty texts are scored from a zero vector. Repeated documents get the
-same score; conflicting labels of an id go by majority, ties to 1; null labels
-are left out. Without labels of both kinds the score is the share of label 1
-(one half without any). Other columns are dropped.
+Word vectors are learnt from all documents, with the labels unseen; the network
+is fitted on a bounded sample of labelled ones (``SAMPLE_DOCS``, chosen by a hash
+of the id).
+
+Null and empty texts are scored from a zero vector. Texts and tokens of any
+length are read whole. Repeated documents get the same score; conflicting labels
+of an id go by majority, ties to 1; null labels are left out. Without labels of
+both kinds the score is the share of label 1 (one half without any). An empty
+table gives no rows. Other columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, tidy
+from .common import cut, sample_test, tidy
 
 #: Labelled documents that are learnt from, at most (about).
 SAMPLE_DOCS = 6000
@@ -35,6 +37,9 @@ SIZE = 64
 PLACES = 4
 REACH = 2
 HIDDEN = 32
+#: Tokens that are counted together, and blocks of buckets that a task's sums are sent in.
+HELD_TOKENS = 500_000
+BLOCKS = 16
 #: Tokens that a worker remembers.
 MEMO_SIZE = 400_000
 
@@ -43,7 +48,7 @@ _MARKS = re.compile(r"([^\W\d_]*[a-zß-öø-ÿ][^\W\d_]*)|([^\W\d_]+)|(\d+)|((.)
 
 def shape(token: str) -> str:
     """The form of a token: a for letters with lower case among them, A for others, 0 for digits, marks at most twice."""
-    return "".join("a" if m[1] else "A" if m[2] else "0" if m[3] else m[4][:2] for m in _MARKS.finditer(token[:24]))
+    return "".join("a" if m[1] else "A" if m[2] else "0" if m[3] else m[4][:2] for m in _MARKS.finditer(token))
 
 
 def buckets(token: str) -> int:
@@ -68,29 +73,72 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, SIZE, (BUCKETS, PLACES)), rng.choice([-1.0, 1.0], (BUCKETS, PLACES))
 
 
-def word_vectors(sample: DataFrame, text_col: str, tasks: int = 4) -> np.ndarray:
-    """The buckets' vectors, of length one, from the texts of ``sample``; what a task returns has a fixed size."""
+def context_sums(flat: np.ndarray, total: np.ndarray) -> None:
+    """Add to every bucket of ``flat`` the index vectors of its neighbours; ``REACH`` times -1 stand between documents."""
+    place, sign = index_vectors()
+    for lo in range(0, len(flat), HELD_TOKENS):
+        for off in range(1, REACH + 1):
+            right = flat[lo + off : lo + off + HELD_TOKENS]
+            left = flat[lo : lo + len(right)]
+            ok = (left >= 0) & (right >= 0)
+            left, right = left[ok], right[ok]
+            for x, y in ((left, right), (right, left)):
+                total += np.bincount((x[:, None] * SIZE + place[y]).ravel(), sign[y].ravel(), BUCKETS * SIZE).astype(np.int64)
+
+
+def word_vectors(docs: DataFrame, text_col: str) -> np.ndarray:
+    """The buckets' vectors, of length one, from all texts of ``docs``.
+
+    A task returns whole numbers by bucket, which are summed by block of buckets, so what reaches the driver has a fixed size.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, sign = index_vectors()
-        total = np.zeros(BUCKETS * SIZE)
+        total = np.zeros(BUCKETS * SIZE, np.int64)
         memo: dict[str, int] = {}
+        held, size = [], 0
+        gap = np.full(REACH, -1)
+
+        def count() -> None:
+            flat = np.concatenate(held)
+            apart = flat < 0
+            for ids in (flat // BUCKETS, flat % BUCKETS):
+                context_sums(np.where(apart, -1, ids), total)
+
         for b in batches:
             for text in b.column(0).to_pylist():
-                both = _ids(text, memo)
-                for ids in (both // BUCKETS, both % BUCKETS):
-                    for off in range(1, REACH + 1):
-                        for x, y in ((ids[:-off], ids[off:]), (ids[off:], ids[:-off])):
-                            if len(x):
-                                flat, inv = np.unique((x[:, None] * SIZE + place[y]).ravel(), return_inverse=True)
-                                total[flat] += np.bincount(inv, sign[y].ravel())
-        yield pa.RecordBatch.from_pydict({"v": pa.array([total.astype("<f4").tobytes()], pa.binary())})
-
-    parts = sample.select(text_col).repartition(tasks).mapInArrow(tidy(run), "v binary").collect()
-    total = sum((np.frombuffer(bytes(r.v), "<f4").astype(np.float64) for r in parts), np.zeros(BUCKETS * SIZE)).reshape(BUCKETS, SIZE)
+                ids = _ids(text, memo)
+                held += [ids, gap]
+                size += len(ids) + 1
+                if size >= HELD_TOKENS:
+                    count()
+                    held, size = [], 0
+        if held:
+            count()
+        for k, part in enumerate(total.reshape(BLOCKS, -1)):
+            if part.any():
+                yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "v": pa.array([part.astype("<i8").tobytes()], pa.binary())})
+
+    def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(v, "<i8")
+        for k, v in sums.items():
+            yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "v": pa.array([v.astype("<i8").tobytes()], pa.binary())})
+
+    parts = docs.select(text_col).mapInArrow(tidy(run), "block int, v binary").repartition(BLOCKS, "block").mapInArrow(tidy(add), "block int, v binary")
+    total = np.zeros((BLOCKS, BUCKETS * SIZE // BLOCKS))
+    for r in parts.collect():
+        total[r.block] = np.frombuffer(bytes(r.v), "<i8")
+    return normed(total.reshape(BUCKETS, SIZE))
+
+
+def normed(total: np.ndarray) -> np.ndarray:
+    """Sums as vectors of length one, after what all of them share is taken out."""
     seen = np.abs(total).sum(1) > 0
     if seen.any():
-        total[seen] -= (total[seen] / np.linalg.norm(total[seen], axis=1, keepdims=True)).mean(0) * np.linalg.norm(total[seen], axis=1, keepdims=True)
+        size = np.linalg.norm(total[seen], axis=1, keepdims=True)
+        total[seen] -= (total[seen] / size).mean(0) * size
     return (total / np.maximum(1e-9, np.linalg.norm(total, axis=1, keepdims=True))).astype(np.float32)
 
 
@@ -179,11 +227,10 @@ def _features_of(rows: DataFrame, id_col: str, extra: list[str], text_col: str,
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """``id_col`` and the calibrated probability ``score`` of label 1 for every row of ``docs``; ``labels`` are the rows that may be learnt from."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg((F.avg(label_col) >= 0.5).cast("double").alias("y"))
-    share = min(1.0, sample_docs / max(1, known.count()))
-    chosen = known.where(F.pmod(F.xxhash64(id_col), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen = known.where(sample_test(sample_docs, known.count(), id_col))
     # about sample_docs rows of two numbers, so their size is known
     sample = cut(docs.select(id_col, text_col).where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), id_col))
-    vectors = word_vectors(sample, text_col)
+    vectors = word_vectors(docs, text_col)
     rows = _features_of(sample, id_col, ["y"], text_col, vectors, None).collect()
     rows.sort(key=lambda r: (r[0], r.x))
     x = np.array([np.frombuffer(bytes(r.x), "<f4") for r in rows], np.float64).reshape(len(rows), 2 * SIZE + 3)
