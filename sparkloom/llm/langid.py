@@ -10,9 +10,10 @@ Learning reads a bounded, documented sample of labelled texts per language.
 A text without any word in such a script takes the languages that were seen in
 its scripts at all, or else every one, as candidates; its score is then low.
 
-Null texts and texts without a letter are ``und`` with score 0. Ties between
-languages go to the smaller name. Repeated rows are labelled alike. Without
-any training text every text is ``und``. Other columns are kept, except
+Null texts and texts without a letter are ``und`` with score 0. Texts of any
+length are read whole, in chunks of words. Ties between languages go to the
+smaller name. Repeated rows are labelled alike. Without any training text every
+text is ``und``; an empty table gives no rows. Other columns are kept, except
 ``lang_pred``, ``score`` and ``spans``, which are replaced.
 """
 
@@ -31,10 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import tidy
+from .common import sample_bound, tidy
 
 UNKNOWN = "und"
-#: Texts that a language is learnt from, at most (about; chosen by a hash of the text).
+#: Texts that a language is learnt from, at most (about; chosen by a hash of the row).
 SAMPLE_PER_LANGUAGE = 3000
 #: Cost in nats of a switch between two words.
 SWITCH = 9.0
@@ -110,11 +111,12 @@ class Model:
 
 
 def _sampled(training: DataFrame, text_col: str, lang_col: str, most: int) -> DataFrame:
-    rows = training.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    """Rows by a hash of all their columns, so that a language whose texts are all the same is sampled too."""
+    rows = training.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(*(F.col(f"`{c}`") for c in training.columns)).bitwiseAND((1 << 63) - 1).alias("part"))
     sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row a language
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, most / n))]) if sizes else None
-    part = F.pmod(F.xxhash64("text"), F.lit(1_000_000)) / 1_000_000
-    return rows.where(part < share[F.col("lang")]) if sizes else rows.limit(0)
+    bound = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, sample_bound(most, n))]) if sizes else None
+    return rows.where(F.col("part") <= bound[F.col("lang")]).select("lang", "text") if sizes else rows.limit(0).select("lang", "text")
 
 
 def fit(training: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
