@@ -88,13 +88,15 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, block):
     assert got == plain_groups(texts)
 
 
-def test_linked_counts_exactly():
+@pytest.mark.parametrize("sparse", [0, 10**6])
+def test_linked_counts_exactly(monkeypatch, sparse):
+    monkeypatch.setattr(nd, "SPARSE", sparse)
     rng = np.random.default_rng(6)
     sets = [np.unique(rng.integers(0, 60, rng.integers(1, 60))).astype(np.uint64) for _ in range(40)]
-    want = {(i, j) for i, j in itertools.combinations(range(40), 2) if 2 * len(set(sets[i]) & set(sets[j])) >= len(set(sets[i]) | set(sets[j]))}
-    assert set(map(tuple, nd.linked(sets, np.zeros(40, int), Fraction(1, 2)).tolist())) == want
-    side = np.array([1] * 15 + [2] * 25)
-    assert set(map(tuple, nd.linked(sets, side, Fraction(1, 2)).tolist())) == {(i, j) for i, j in want if i < 15 <= j}
+    pairs = np.array(list(itertools.combinations(range(40), 2)))[::2]
+    want = {(i, j) for i, j in pairs.tolist() if 2 * len(set(sets[i]) & set(sets[j])) >= len(set(sets[i]) | set(sets[j]))}
+    assert set(map(tuple, nd.linked(sets, pairs, Fraction(1, 2)).tolist())) == want
+    assert not len(nd.linked(sets, pairs[:0], Fraction(1, 2)))
 
 
 def test_pruning_keeps_what_may_reach_the_threshold():
@@ -106,6 +108,8 @@ def test_pruning_keeps_what_may_reach_the_threshold():
     c = rng.integers(0, 1 << 63, 1000, dtype=np.uint64)
     sig = np.stack([nd.minhash(np.unique(x)) for x in (a, b, c)])
     assert nd.survivors(sig, np.zeros(3, int), need).tolist() == [[0, 1]]
+    agreed = [k for k in range(nd.BANDS) if (sig[0, 4 * k : 4 * k + 4] == sig[1, 4 * k : 4 * k + 4]).all()]
+    assert [k for k in range(nd.BANDS) if len(nd.survivors(sig, np.zeros(3, int), need, k))] == agreed[:1]
 
 
 def test_near_duplicates_meet_awkward_and_empty_tables(spark):

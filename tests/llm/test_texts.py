@@ -29,25 +29,56 @@ def plain_viterbi(v, s):
         for j in range(max(0, i - v.longest), i):
             k = v.ids.get(s[j:i])
             if k is not None:
-                best[i] = max(best[i], best[j] + v.scores[k])
+                best[i] = max(best[i], best[j] + v.log_probs[k])
         if s[i - 1] not in v.ids:
-            best[i] = max(best[i], best[i - 1] + v.unknown_score)
+            best[i] = max(best[i], best[i - 1] + v.byte * len(s[i - 1].encode()))
     return best[-1]
 
 
 def test_streaming_viterbi_is_the_best_path(vocabulary):
     v, rng = vocabulary, random.Random(1)
+    byte = set(v.byte_ids)
     for n in (1, 5, 60, 700, 3000):
-        s = "".join(rng.choice(["the", "ing", "x", "日", "é", "\U0001f600", "zq"]) for _ in range(n))
+        s = "".join(rng.choice(["the", "ing", "x", "日", "é", "\U0001f600", "zq", "▁", "▁of"]) for _ in range(n))
         ids = pieces.best_path(v, s)
-        assert pieces.decode(v, list(ids)) == s
-        odd = sum(c not in v.ids for c in s)
-        byte = set(v.byte_ids)
-        assert sum(v.scores[i] for i in ids if i not in byte) + odd * v.unknown_score == pytest.approx(plain_viterbi(v, s))
-
-
-def test_window_grows_only_as_needed(vocabulary):
-    assert pieces.decode(vocabulary, list(pieces.best_path(vocabulary, "a" * 20_000))) == "a" * 20_000
+        assert pieces.decode(v, list(ids)) == s.replace("▁", " ")[s[0] == "▁" :]
+        assert sum(v.byte if i in byte else v.log_probs[i] for i in ids) == pytest.approx(plain_viterbi(v, s), abs=1e-3)
+        encoder, parts = pieces.Encoder(v), []
+        while s:  # the same in whatever parts the text comes
+            k = rng.randrange(1, 50)
+            parts += encoder.feed(s[:k])
+            s = s[k:]
+        assert tuple(parts + encoder.finish()) == ids
+
+
+def test_stream_keeps_a_window_only(vocabulary):
+    rng = random.Random(15)
+    for unit in (["the quick brown fox "], ["日", "本", "語", "x"], ["ing", "er", "zq"], ["a"]):
+        encoder, out, most = pieces.Encoder(vocabulary), [], 0
+        text = "".join(rng.choice(unit) for _ in range(10_000))
+        for k in range(0, len(text), 500):
+            out += encoder.feed(text[k : k + 500].replace(" ", pieces.SPACE))
+            most = max(most, len(encoder.best))
+        out += encoder.finish()
+        assert pieces.decode(vocabulary, out) == text
+        assert most < 200 or unit == ["a"]  # paths through a run of one letter never meet
+
+
+def test_agreement_with_the_library(vocabulary, spark, sf_dir):
+    """The vocabulary's own encoding merges by rank; the share of piece boundaries in common is a figure of the README."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+
+    def ends(ids):
+        return set(itertools.accumulate(len(vocabulary.bytes_of[i]) for i in ids))
+
+    both = union = 0
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").collect():
+        mine, theirs = ends(pieces.encode(vocabulary, r.text)), ends(library.encode(r.text))
+        both, union = both + len(mine & theirs), union + len(mine | theirs)
+    print("boundaries in common", both / union)
+    assert both / union > 0.75
 
 
 def test_segments_change_nothing(vocabulary):
@@ -67,9 +98,8 @@ def test_round_trip_of_awkward_texts(spark, vocabulary):
 
 
 def test_marginal_sums_all_segmentations(vocabulary):
-    probs, byte = pieces.zipf_log_probs(vocabulary)
+    probs, byte, table = {p: vocabulary.log_probs[i] for p, i in vocabulary.ids.items()}, vocabulary.byte, vocabulary.table()
     assert sum(map(math.exp, probs.values())) + 256 * math.exp(byte) == pytest.approx(1)
-    table = pieces.prefixes(probs, 1.0)
 
     def brute(s):
         if not s:
@@ -217,9 +247,36 @@ def test_decontamination_meets_awkward_and_empty_tables(spark):
 
 
 def test_proximity(spark):
-    d = documents(spark, ["red x blue y green", "green blue far far far far far far red", "blue green red"])
-    got = {(r.doc_id, r.start, r.stop) for r in dc.proximity_matches(d, ["red blue green"], slop=2).collect()}
-    assert got == {(0, 0, 5), (2, 0, 3)}
+    d = documents(spark, ["red x blue y green", "green blue far far far far far far red", "blue green red", "red blue red green"])
+    index = dc.store_index(d)
+    ask = lambda *phrases: {(r.doc_id, r.phrase, r.start, r.stop) for r in dc.proximity_matches(index, dc.term_counts(index), list(phrases), slop=2).collect()}
+    assert ask("red blue green", "", "red absent") == {(0, "red blue green", 0, 5), (2, "red blue green", 0, 3), (3, "red blue green", 1, 4)}
+    assert ask("red red green") == {(3, "red red green", 0, 4)}
+
+
+@pytest.mark.parametrize("block", [1 << 20, 60])
+def test_near_items_against_plain_search(spark, monkeypatch, block):
+    monkeypatch.setattr(dc, "BLOCK_BYTES", block)
+    rng = random.Random(14)
+    vocabulary = [f"a{i}" for i in range(12)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(n))) for i, n in enumerate((4, 3, 9, 5, 2))] + [(9, "a1 nowhere"), (10, None)]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.randrange(40))) for _ in range(30)] + [None, ""]
+    freq = collections.Counter(w for t in texts for w in dc.words(t))
+    want = collections.defaultdict(set)
+    for i, t in items:
+        w = dc.words(t)
+        rows = [w[s : s + 4] for s in range(max(1, len(w) - 3) if w else 0)]
+        rows = [r for r in rows if all(freq[x] for x in r)]
+        if rows:
+            pick = collections.Counter(min(rows, key=lambda r: sorted(freq[x] for x in r)))
+            n = sum(pick.values())
+            for d, text in enumerate(texts):
+                x = dc.words(text)
+                if any(not pick - collections.Counter(x[s : s + n + 1]) for s in range(len(x))):
+                    want[d].add(str(i))
+    got = dc.decontaminate(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string"), window=4, slop=1).collect()
+    assert {r.doc_id: set(r.near_ids) for r in got} == {d: want[d] for d in range(len(texts))}
+    assert any(want.values())
 
 
 def test_crc_split_is_that_of_the_id_as_text(spark):
