@@ -99,7 +99,8 @@ def anchors(text: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
         first = np.flatnonzero(np.diff(place, prepend=-1))
         last = np.append(first[1:] - 1, starts - 1)
         p = place[first]
-        found.append((h[p], p + at, first + at, last + at))
+        # the least of many hashes is small; mixed again they are spread evenly
+        found.append((h[p] * _BASE, p + at, first + at, last + at))
     if not found:
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none, none
