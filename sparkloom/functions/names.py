@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 # Words of the language that are no identifiers.
 KEYWORDS = (
-    "alignas alignof and and_eq asm auto bitand bitor bool break case catch char class compl concept const consteval constexpr "
-    "constinit continue decltype default delete do double dynamic_cast else enum explicit export extern false final float for friend "
-    "goto if inline int long mutable namespace new noexcept not not_eq nullptr operator or or_eq override private protected public "
-    "register reinterpret_cast requires return short signed sizeof static static_assert static_cast struct switch template this "
-    "thread_local throw true try typedef typeid typename union unsigned using virtual void volatile wchar_t while xor xor_eq"
+    "alignas alignof and and_eq asm auto bitand bitor bool break case catch char char8_t char16_t char32_t class co_await co_return "
+    "co_yield compl concept const const_cast consteval constexpr constinit continue decltype default delete do double dynamic_cast "
+    "else enum explicit export extern false final float for friend goto if inline int long mutable namespace new noexcept not not_eq "
+    "nullptr operator or or_eq override private protected public register reinterpret_cast requires return short signed sizeof static "
+    "static_assert static_cast struct switch template this thread_local throw true try typedef typeid typename union unsigned using "
+    "virtual void volatile wchar_t while xor xor_eq"
 ).split()
 
 

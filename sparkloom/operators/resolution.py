@@ -7,10 +7,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Weights of the style gain, utility and hard clauses (all but macro regions, bit 7).
-STYLE = (12 / 17, 8 / 17, 4 / 17)
-STABLE = {0: 2 / 17, 1: 1 / 17}
-HARD_MASK = 0b01111111
+# Weights of the style gain, utility and hard clauses (all but macro regions, bit 5).
+STYLE = (0.7058823529411765, 0.47058823529411764, 0.23529411764705882)
+STABLE = {0: 0.11764705882352941, 1: 0.058823529411764705}
+HARD_MASK = 0b11011111
 SEMANTIC = ("semantic_rename",)
 
 

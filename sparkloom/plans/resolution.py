@@ -55,12 +55,12 @@ def claims_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CAND = """l_orderkey * 100000000 + l_partkey * 10 + l_linenumber AS id, 'p' || l_suppkey % 6 AS policy, CAST(floor(l_partkey / 5) AS BIGINT) * 40 + l_partkey % 5 * 2 AS line, CAST(floor(l_partkey / 5) AS BIGINT) * 40 + l_partkey % 5 * 2 - CAST(l_quantity AS BIGINT) % 4 AS s, CAST(floor(l_partkey / 5) AS BIGINT) * 40 + l_partkey % 5 * 2 + l_linenumber % 3 AS e,
-  l_suppkey % 50 AS sym, l_discount * 5 + 0.5 AS confidence, l_linenumber % 3 AS risk, CASE WHEN l_orderkey % 9 = 0 THEN 4 WHEN l_orderkey % 9 = 1 THEN 128 ELSE 0 END AS mask, l_tax * 10 AS gain, CAST(l_linenumber % 3 AS BIGINT) AS radius,
+  l_suppkey % 50 AS sym, l_discount * 5 + 0.5 AS confidence, l_linenumber % 3 AS risk, CASE WHEN l_orderkey % 9 = 0 THEN 4 WHEN l_orderkey % 9 = 1 THEN 32 ELSE 0 END AS mask, l_tax * 10 AS gain, CAST(l_linenumber % 3 AS BIGINT) AS radius,
   CASE WHEN l_linenumber % 5 = 0 THEN 'preprocessor' WHEN l_linenumber % 5 = 1 THEN 'comments' ELSE 'code' END AS zone"""
 _U = "gain + confidence + CASE risk WHEN 0 THEN 0.1 WHEN 1 THEN 0.05 ELSE 0.0 END - CASE risk WHEN 2 THEN 0.15 WHEN 1 THEN 0.05 ELSE 0.0 END - least(0.02 + 0.01, 0.30)"
 _CA = f"ca AS (SELECT *, {_U} AS utility FROM (SELECT {CAND} FROM lineitem))"
 _BEST = f"""{_CA}, be AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY line ORDER BY round(utility, 6) DESC, round(confidence, 3) DESC, risk, policy, id) AS r FROM ca) WHERE r = 1),
-ad AS MATERIALIZED (SELECT * FROM be WHERE mask & 127 = 0),
+ad AS MATERIALIZED (SELECT * FROM be WHERE mask & 223 = 0),
 ce AS MATERIALIZED (SELECT DISTINCT a.id AS a, b.id AS b FROM ad a JOIN ad b ON a.id < b.id AND (a.line = b.line OR (a.policy <> b.policy AND
   ((a.s <= b.e AND b.s <= a.e) OR (a.sym = b.sym AND abs(a.line - b.line) <= greatest(a.radius, b.radius, 1))))))"""
 
@@ -90,7 +90,7 @@ def hard_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.admissible(op.best_by_line(_cands(spark, sf_dir))).select("id")
 
 
-@query(f"WITH {_CA} SELECT id, CASE WHEN zone NOT IN ('code', 'comments') THEN 'zone_blocked' WHEN mask & 127 <> 0 THEN 'hard_blocked' ELSE 'allowed' END AS verdict FROM ca")
+@query(f"WITH {_CA} SELECT id, CASE WHEN zone NOT IN ('code', 'comments') THEN 'zone_blocked' WHEN mask & 223 <> 0 THEN 'hard_blocked' ELSE 'allowed' END AS verdict FROM ca")
 def guardian_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.guardian(_cands(spark, sf_dir), ["code", "comments"]).select("id", "verdict")
 

@@ -227,12 +227,14 @@ def case_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _W = f"{_L}, w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(line, '[A-Za-z]+'))) AS w FROM l)"
+_NAMES = "['co_await', 'char8_t', 'const_cast', 'co_routine', 'char64_t', 'co_yield', 'reinterpret_cast', 'final_', 'not_eq', 'char32_t', 'co_return', 'char16_t', 'int8_t']"
 
 
-@query(f"WITH {_W} SELECT w FROM w WHERE w IN ({', '.join(repr(k) for k in fn.KEYWORDS)})")
+@query(f"WITH {_W}, n AS (SELECT w FROM w UNION SELECT {_NAMES}[1 + (p_partkey % 13)::INT] FROM part) SELECT w FROM n WHERE w IN ({', '.join(repr(k) for k in fn.KEYWORDS)})")
 def keyword_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = lines(spark, sf_dir).select(F.explode(F.regexp_extract_all("line", F.lit("[A-Za-z]+"), 0)).alias("w")).select(F.lower("w").alias("w"))
-    return w.where(fn.is_keyword(F.col("w"))).distinct()
+    names = table(spark, sf_dir, "part", "p_partkey").select(F.expr(f"element_at(array{_NAMES.replace('[', '(').replace(']', ')')}, int(1 + p_partkey % 13))").alias("w"))
+    return w.unionByName(names).where(fn.is_keyword(F.col("w"))).distinct()
 
 
 @query(
