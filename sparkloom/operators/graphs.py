@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lineage import cut
 from .ranking import first_k
 
 
@@ -106,6 +107,7 @@ def impact(edges: DataFrame, metrics: DataFrame, changed: DataFrame, hops: int,
     fan = links.groupBy("dst").agg(F.count("*").alias("fanout"))
     q = quality(F.col("consensus"), F.col("n_refs"), F.col("n_files"), F.col("fanout"))
     symbols = fan.join(metrics.withColumnRenamed("id", "dst"), "dst", "left").select("dst", "fanout", q.alias("quality"))
+    links, symbols = cut(links), cut(symbols)
     visited = changed.select("id", F.lit(0).alias("hop"), F.lit(1.0).alias("score"))
     frontier = visited
     for hop in range(1, hops + 1):
@@ -118,7 +120,7 @@ def impact(edges: DataFrame, metrics: DataFrame, changed: DataFrame, hops: int,
         penalty = F.least(F.greatest(1 / F.sqrt(F.greatest("fanout", F.lit(1))), F.lit(0.06)), F.lit(1.0))
         score = F.col("base") + (F.col("w1") + F.col("weight")) * 0.5 * F.col("quality") * penalty
         reached = steps.join(others, "dst").join(symbols, "dst").groupBy(F.col("src").alias("id")).agg(F.max(score).alias("score"))
-        frontier = reached.orderBy(F.desc("score"), "id").limit(frontier_cap).select("id", F.lit(hop).alias("hop"), "score")
+        frontier = cut(reached.orderBy(F.desc("score"), "id").limit(frontier_cap).select("id", F.lit(hop).alias("hop"), "score"))
         visited = visited.unionByName(frontier)
     return visited.where("hop > 0").orderBy("hop", F.desc("score"), "id").limit(max_files)
 
@@ -144,9 +146,11 @@ def top(rows: DataFrame, by: str, key: str, most: int) -> DataFrame:
 
 def compact(nodes: DataFrame, edges: DataFrame, metrics: DataFrame, now: int, retention: int, max_nodes: int, max_edges: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """nodes, edges, metrics and tombstones after pruning, caps and recounting, in that order."""
-    left, kept = prune_stale(nodes, edges, now - max(1, retention))
-    kept = cap_edges(kept, max_edges)
-    left = cap_nodes(left, kept, max_nodes)
+    # each step's tables are read several times by the next ones, so they are cut
+    nodes = cut(nodes)
+    left, kept = prune_stale(nodes, cut(edges), now - max(1, retention))
+    kept = cut(cap_edges(kept, max_edges))
+    left = cut(cap_nodes(cut(left), kept, max_nodes))
     kept = without_orphans(kept, left)
     return left, kept, file_counts(metrics.join(left.select("id"), "id", "left_semi"), kept), tombstones(nodes, left, metrics, now)
 

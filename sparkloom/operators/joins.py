@@ -6,6 +6,13 @@ they are equi-joins; the comparison only filters within a bucket.
 
 from __future__ import annotations
 
+import functools
+import operator
+import zlib
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -60,10 +67,60 @@ def multiset_difference(a: DataFrame, b: DataFrame, columns: list[str]) -> DataF
 
 
 def fingerprint(rows: DataFrame, path: str) -> DataFrame:
-    """``path:count`` of all rows in order, and its CRC-32 with length. The list is a report, gathered from counts by path."""
+    """CRC-32 and length of ``path:count`` of all rows, in order and joined by bars.
+
+    Sorted ranges are read by one task each; their checksums are put together
+    in order, so the list is in one place nowhere.
+    """
     counted = rows.groupBy(F.col(path).cast("string").alias("p")).agg(F.count("*").alias("n")).select(F.concat_ws(":", "p", "n").alias("x"))
-    joined = counted.agg(F.array_join(F.array_sort(F.collect_list("x")), "|").alias("t"))
-    return joined.select(F.concat_ws("-", F.lower(F.hex(F.crc32(F.col("t").cast("binary")))), F.length("t").cast("string")).alias("fingerprint"))
+    dealt = counted.repartitionByRange("x").sortWithinPartitions("x")
+
+    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        crc = size = chars = 0
+        for pdf in parts:
+            for x in pdf["x"]:
+                raw = (x + "|").encode()
+                crc, size, chars = zlib.crc32(raw, crc), size + len(raw), chars + len(x) + 1
+        yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "crc": [crc], "size": [size], "chars": [chars]})
+
+    found = sorted(dealt.mapInPandas(read, "part int, crc bigint, size bigint, chars bigint").collect())  # one row a range
+    crc = size = chars = 0
+    for r in found:
+        crc, size, chars = crc_combined(crc, r.crc, r.size), size + r.size, chars + r.chars
+    if size:  # without the last bar
+        crc, chars = crc_without_last(crc, b"|"), chars - 1
+    return rows.sparkSession.createDataFrame([(f"{crc:x}-{chars}",)], "fingerprint string")
+
+
+_POLY = 0xEDB88320
+
+
+def crc_combined(a: int, b: int, size: int) -> int:
+    """CRC-32 of two byte strings one after another, from theirs and the second's length."""
+    # a matrix over GF(2) shifts a checksum by one zero bit; its powers of two make up the length
+    shift = [_POLY] + [1 << i for i in range(31)]
+    apply = lambda m, v: functools.reduce(operator.xor, (m[i] for i in range(32) if v >> i & 1), 0)
+    bits = size * 8
+    while bits:
+        if bits & 1:
+            a = apply(shift, a)
+        shift = [apply(shift, x) for x in shift]
+        bits >>= 1
+    return a ^ b
+
+
+def crc_without_last(crc: int, byte: bytes) -> int:
+    """CRC-32 of a byte string, from that of the string with ``byte`` behind it."""
+    state = crc ^ 0xFFFFFFFF
+    steps = []
+    for i in range(256):
+        x = i
+        for _ in range(8):
+            x = x >> 1 ^ (_POLY if x & 1 else 0)
+        steps.append(x)
+    index = next(i for i in range(256) if steps[i] >> 24 == state >> 24)
+    before = (state ^ steps[index]) << 8 & 0xFFFFFFFF | (index ^ byte[0])
+    return before ^ 0xFFFFFFFF
 
 
 def missing(before: DataFrame, after: DataFrame, key: str) -> DataFrame:
@@ -84,9 +141,18 @@ def cache_probe(files: DataFrame, cache: DataFrame, keys: list[str], value: str)
 
 
 def nearest(points: DataFrame, targets: DataFrame, keys: list[str], at: str, target: str) -> DataFrame:
-    """The target of each point's key that is nearest to it; of two the smaller."""
-    w = Window.partitionBy(*keys, at).orderBy(F.abs(F.col(at) - F.col(target)), target)
-    return points.join(targets, keys).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    """The target of each point's key that is nearest to it; of two the smaller. Points of keys without targets are left out.
+
+    The nearest ones on both sides are running lasts over points and targets together, so nothing is paired.
+    """
+    both = points.withColumn("_t", F.lit(None).cast(targets.schema[target].dataType)).unionByName(
+        targets.select(*keys, F.col(target).alias(at), F.col(target).alias("_t")), allowMissingColumns=True
+    )
+    side = F.col("_t").isNull().cast("int")
+    last = lambda order: F.last("_t", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order, side).rowsBetween(Window.unboundedPreceding, 0))
+    rows = both.withColumns({"_l": last(F.col(at)), "_r": last(F.desc(at))}).where("_t IS NULL")
+    nearer = F.when(F.col("_l").isNull(), F.col("_r")).when(F.col("_r").isNull() | (F.col(at) - F.col("_l") <= F.col("_r") - F.col(at)), F.col("_l")).otherwise(F.col("_r"))
+    return rows.withColumn(target, nearer).where(F.col(target).isNotNull()).drop("_t", "_l", "_r")
 
 
 def far_from(points: DataFrame, edits: DataFrame, keys: list[str], at: str, line: str, radius: int) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 #: Up to so many rows Spark's own top-k is used, which gathers them in one task.
 GATHERED = 50_000
 
@@ -19,11 +19,8 @@ def first_k(rows: DataFrame, order: list[Column | str], k: int) -> DataFrame:
     """
     if k <= GATHERED:
         return rows.orderBy(*order).limit(max(0, k))
-    sc = rows.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-"))
     # written once, so that both reads see the same ranges
-    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    dealt = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
     sizes = sorted((r.p, r["count"]) for r in dealt.groupBy(part.alias("p")).count().collect())  # one row a range
     left = k

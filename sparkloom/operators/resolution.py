@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .lineage import cut
+
 # Weights of the style gain, utility and hard clauses (all but macro regions, bit 5).
 STYLE = (0.7058823529411765, 0.47058823529411764, 0.23529411764705882)
 STABLE = {0: 0.11764705882352941, 1: 0.058823529411764705}
@@ -107,32 +109,21 @@ def conflict_edges(cands: DataFrame, bucket: int = 16) -> DataFrame:
     return same.select(*out).union(overlap.select(*out)).union(symbol.select(*out)).distinct()
 
 
-def components(vertices: DataFrame, edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """id and component (smallest id) of every vertex, by minimum labels that jump along themselves until nothing changes."""
-    both = _cut(edges.select("a", "b").union(edges.select("b", "a")))
+    both = cut(edges.select("a", "b").union(edges.select("b", "a")))
     labels = vertices.select("id").distinct().withColumn("component", F.col("id"))
     changed = True
-    for _ in range(max_rounds):
-        if not changed:
-            break
+    while changed:
         near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("m"))
         step = labels.join(near, labels.id == near.a, "left").select("id", F.least("component", F.coalesce("m", "component")).alias("c"), "component")
         jump = step.select(F.col("id").alias("c"), F.col("c").alias("j"))
-        new = _cut(step.join(jump, "c", "left").select("id", F.least("c", F.coalesce("j", "c")).alias("component"), F.col("component").alias("_old")))
+        new = cut(step.join(jump, "c", "left").select("id", F.least("c", F.coalesce("j", "c")).alias("component"), F.col("component").alias("_old")))
         changed = not new.where("component <> _old").isEmpty()
         labels = new.select("id", "component")
     return labels
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="sparkloom-"))
-    return df.checkpoint()
-
-
 def independent_set(cands: DataFrame, edges: DataFrame, exact_up_to: int = 16) -> DataFrame:
     """The candidates of greatest total weight without two that exclude each other, in every component.
 

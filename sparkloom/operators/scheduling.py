@@ -129,10 +129,10 @@ def batches(assigned: DataFrame, target: int) -> DataFrame:
 
 def job_split(total: int, workers: DataFrame, worker: str = "worker") -> DataFrame:
     """Jobs for each of ``workers`` (numbered from 0): equal shares, one more for the first ones."""
-    n = Window.partitionBy()
-    count = F.count("*").over(n)
+    rows = workers.crossJoin(F.broadcast(workers.agg(F.count("*").alias("_n"))))  # one row
+    count = F.col("_n")
     jobs = F.greatest(F.lit(total), count)
-    return workers.select(worker, (F.floor(jobs / count) + F.when(F.col(worker) < jobs % count, 1).otherwise(0)).cast("bigint").alias("jobs"))
+    return rows.select(worker, (F.floor(jobs / count) + F.when(F.col(worker) < jobs % count, 1).otherwise(0)).cast("bigint").alias("jobs"))
 
 
 def parse_cap(targets: Column, observations: Column) -> Column:

@@ -9,25 +9,26 @@ from ..operators import folds as op
 from ..session import table
 from .registry import query
 
-_RUN = "WITH RECURSIVE x AS (SELECT event_type AS k, value AS v, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events)"
+_RUN = "WITH RECURSIVE x AS (SELECT event_type || ':' || user_id AS k, value AS v, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS i FROM events)"
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
 
 
-def _series(spark: SparkSession, sf_dir: str, *values: str) -> DataFrame:
-    return op.series(_events(spark, sf_dir), ["event_type"], ["ts", "event_id"], list(values))
+def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each policy (event type) and file (user) the history, by ``k``; both together bound its length."""
+    rows = _events(spark, sf_dir).select(F.concat_ws(":", "event_type", "user_id").alias("k"), "ts", "event_id", (F.col("value") / 100).alias("x"))
+    return op.series(rows, ["k"], ["ts", "event_id"], ["x"])
 
 
 @query(
     _RUN + """, f AS (SELECT k, 1::BIGINT AS i, least(greatest(0.5 + 0.2 * (v / 100 - 0.5), 0.0), 1.0) AS m FROM x WHERE i = 1
     UNION ALL SELECT x.k, x.i, least(greatest(m + 0.2 * (v / 100 - m), 0.0), 1.0) FROM f JOIN x ON x.k = f.k AND x.i = f.i + 1)
-    SELECT k AS event_type, round(arg_max(m, i), 6) AS ema, max(i) AS n FROM f GROUP BY k"""
+    SELECT k, round(arg_max(m, i), 6) AS ema, max(i) AS n FROM f GROUP BY k"""
 )
 def ema_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = op.series(_events(spark, sf_dir).withColumn("x", F.col("value") / 100), ["event_type"], ["ts", "event_id"], ["x"])
-    return rows.select("event_type", F.round(op.ema(F.col("xs"), "x", 0.2, 0.5), 6).alias("ema"), F.size("xs").cast("bigint").alias("n"))
+    return _series(spark, sf_dir).select("k", F.round(op.ema(F.col("xs"), "x", 0.2, 0.5), 6).alias("ema"), F.size("xs").cast("bigint").alias("n"))
 
 
 @query(
@@ -52,22 +53,22 @@ _K = """, f AS (
     FROM f JOIN x ON x.k = f.k AND x.i = f.i + 1))"""
 
 
-@query(_RUN + _K + " SELECT k AS event_type, round(arg_max(e, i), 6) AS estimate, round(arg_max(p, i), 6) AS variance, max(i)::INT AS n FROM f GROUP BY k")
+@query(_RUN + _K + " SELECT k, round(arg_max(e, i), 6) AS estimate, round(arg_max(p, i), 6) AS variance, max(i)::INT AS n FROM f GROUP BY k")
 def scalar_kalman(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = op.scalar_kalman(F.col("xs"), "x")
-    rows = op.series(_events(spark, sf_dir).withColumn("x", F.col("value") / 100), ["event_type"], ["ts", "event_id"], ["x"]).select("event_type", s.alias("s"))
-    return rows.select("event_type", F.round("s.e", 6).alias("estimate"), F.round("s.v", 6).alias("variance"), F.col("s.n").alias("n"))
+    rows = _series(spark, sf_dir).select("k", s.alias("s"))
+    return rows.select("k", F.round("s.e", 6).alias("estimate"), F.round("s.v", 6).alias("variance"), F.col("s.n").alias("n"))
 
 
 @query(
     _RUN + _K + """, z AS (SELECT k, arg_max(e, i) AS e, sqrt(arg_max(p, i)) AS d FROM f GROUP BY k)
-    SELECT k AS event_type, round(length(k) * 10 - e * 0.8 * (1 - least(d, 1.0)) * 30.0, 4) AS priority, round(e * 0.8 * (1 - least(d, 1.0)), 6) AS repair_weight FROM z"""
+    SELECT k, round(length(k) * 10 - e * 0.8 * (1 - least(d, 1.0)) * 30.0, 4) AS priority, round(e * 0.8 * (1 - least(d, 1.0)), 6) AS repair_weight FROM z"""
 )
 def dynamic_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = op.scalar_kalman(F.col("xs"), "x")
-    rows = op.series(_events(spark, sf_dir).withColumn("x", F.col("value") / 100), ["event_type"], ["ts", "event_id"], ["x"]).select("event_type", s.alias("s"))
+    rows = _series(spark, sf_dir).select("k", s.alias("s"))
     weight = F.col("s.e") * 0.8 * (1 - F.least(F.sqrt("s.v"), F.lit(1.0)))
-    return rows.select("event_type", F.round(F.length("event_type") * 10 - weight * 30.0, 4).alias("priority"), F.round(weight, 6).alias("repair_weight"))
+    return rows.select("k", F.round(F.length("k") * 10 - weight * 30.0, 4).alias("priority"), F.round(weight, 6).alias("repair_weight"))
 
 
 @query(

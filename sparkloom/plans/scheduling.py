@@ -81,9 +81,18 @@ def _lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.lanes(_ranked(spark, sf_dir), 16)
 
 
-@query()
+_LANES = f"""RECURSIVE {_COST}, ru AS (SELECT *, row_number() OVER (ORDER BY cost DESC, unit) AS i FROM (SELECT group_key AS unit, sum(cost)::BIGINT AS cost, count(*) AS n_paths FROM c GROUP BY group_key, kind)),
+la AS (SELECT 0::BIGINT AS i, list_transform(range(16), lambda k: 0::BIGINT) AS loads, 0 AS lane, 0::BIGINT AS cost, 0::BIGINT AS n_paths UNION ALL
+  SELECT i, list_transform(loads, lambda x, k: CASE WHEN k = l THEN x + cost ELSE x END), (l - 1)::INT, cost, n_paths FROM (SELECT ru.i, la.loads, list_position(la.loads, list_min(la.loads)) AS l, ru.cost, ru.n_paths FROM la JOIN ru ON ru.i = la.i + 1)),
+un AS (SELECT i, lane, cost, n_paths FROM la WHERE i > 0)"""
+_BATCHES = f"""{_LANES}, tg AS (SELECT greatest(sum(cost)::BIGINT // count(*), 1) * 4 AS t FROM un), nu AS (SELECT lane, cost, n_paths, t, cost > t * 3 // 2 AS alone, row_number() OVER (PARTITION BY lane ORDER BY i) AS j FROM un, tg),
+ba AS (SELECT DISTINCT lane, 0::BIGINT AS j, 0 AS b, 0::BIGINT AS c, 0 AS n, 0::BIGINT AS p, -1 AS batch, 0::BIGINT AS cost, 0::BIGINT AS n_paths FROM nu UNION ALL
+  SELECT lane, j, b + brk::INT + alone::INT, CASE WHEN alone THEN 0 WHEN brk THEN cost ELSE c + cost END, CASE WHEN alone THEN 0 WHEN brk THEN 1 ELSE n + 1 END, CASE WHEN alone THEN 0 WHEN brk THEN n_paths ELSE p + n_paths END, b + brk::INT, cost, n_paths
+  FROM (SELECT nu.*, b, c, n, p, n > 0 AND (c + nu.cost > t OR n >= 8 OR p + nu.n_paths > 16 OR alone) AS brk FROM ba JOIN nu ON nu.lane = ba.lane AND nu.j = ba.j + 1))"""
+
+
+@query(f"WITH {_LANES} SELECT lane, sum(cost)::BIGINT AS cost, count(*) AS units FROM un GROUP BY lane")
 def lpt_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequential by its meaning; tested against a plain fold."""
     return _lanes(spark, sf_dir).groupBy("lane").agg(F.sum("cost").alias("cost"), F.count("*").alias("units"))
 
 
@@ -92,13 +101,13 @@ def _target(spark: SparkSession, sf_dir: str) -> int:
     return max(1, (total.c or 1) // max(1, total.n))
 
 
-@query()
+@query(f"WITH {_BATCHES} SELECT lane, batch, sum(cost)::BIGINT AS cost, count(*) AS units, sum(n_paths)::BIGINT AS paths FROM ba WHERE j > 0 GROUP BY lane, batch")
 def batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = op.batches(_lanes(spark, sf_dir), _target(spark, sf_dir) * 4)
     return found.groupBy("lane", "batch").agg(F.sum("cost").alias("cost"), F.count("*").alias("units"), F.sum("n_paths").alias("paths"))
 
 
-@query()
+@query(f"WITH {_BATCHES} SELECT lane, batch, sum(cost)::BIGINT AS cost FROM ba WHERE j > 0 GROUP BY lane, batch")
 def interleaved_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches in the order of their number, then lane."""
     found = op.batches(_lanes(spark, sf_dir), _target(spark, sf_dir) * 4)

@@ -63,3 +63,84 @@ def run_states(spark: SparkSession, path: str) -> DataFrame:
 def update_cache(cache: DataFrame | None, fresh: DataFrame, keys: list[str]) -> DataFrame:
     """The cache with fresh rows in place of those of the same key."""
     return fresh if cache is None else cache.join(fresh, keys, "left_anti").unionByName(fresh)
+
+
+def _fs(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def write_with_backup(df: DataFrame, path: str, run_id: str, backups: str | None = None) -> None:
+    """Write a table; what stood there is moved to a backup of the run: beside it with a suffix, or mirrored below ``backups``.
+
+    The manifest (``<path>.manifest``, or below ``backups``) lists run, backup and time.
+    """
+    spark = df.sparkSession
+    at, fs = _fs(spark, path)
+    name = at.getName()
+    df.write.mode("overwrite").parquet(f"{path}.new-{run_id}")
+    kept = f"{backups}/{run_id}/{name}" if backups else f"{path}.bak-{run_id}"
+    if fs.exists(at):
+        to, _ = _fs(spark, kept)
+        fs.mkdirs(to.getParent())
+        fs.rename(at, to)
+        n = spark.createDataFrame([(run_id, kept)], "run_id string, backup string").withColumn("at", F.current_timestamp())
+        n.coalesce(1).write.mode("append").parquet(f"{backups}/{name}.manifest" if backups else f"{path}.manifest")
+    fs.rename(_fs(spark, f"{path}.new-{run_id}")[0], at)
+
+
+def restore(spark: SparkSession, path: str, run_id: str | None = None, backups: str | None = None) -> DataFrame:
+    """Put the backup of a run, or the latest, back in place, and read it."""
+    at, fs = _fs(spark, path)
+    manifest = backup_status(spark, path, backups)
+    found = (manifest.where(F.col("run_id") == run_id) if run_id else manifest).orderBy(F.desc("at"), F.desc("run_id")).first()
+    if found is None:
+        raise FileNotFoundError(f"no backup of {path}" + (f" by run {run_id}" if run_id else ""))
+    spark.read.parquet(found.backup).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def backup_status(spark: SparkSession, path: str, backups: str | None = None) -> DataFrame:
+    """The manifest: run_id, backup and at."""
+    at, _ = _fs(spark, path)
+    return spark.read.parquet(f"{backups}/{at.getName()}.manifest" if backups else f"{path}.manifest")
+
+
+def write_phase(results: DataFrame, path: str, run_id: str) -> DataFrame:
+    """Write the texts of results (path, text) that may be written, with a backup; return the results with what is left to say.
+
+    Rows with an error, or without a change or a text, hold nothing to write.
+    """
+    from ..operators.decisions import held_back
+
+    done = held_back(results)
+    write_with_backup(done.where("changed").select("path", F.col("pending_text").alias("text")), path, run_id)
+    return done.drop("pending_text")
+
+
+def append_telemetry(batches: DataFrame, path: str) -> None:
+    """Batch telemetry as lines of JSON, behind those of earlier runs."""
+    batches.write.mode("append").json(path)
+
+
+def load_state(spark: SparkSession, path: str, version: int, schema: str) -> DataFrame:
+    """A stored table of state as this version reads it: missing columns are null, later schemas start empty.
+
+    A folder that can't be read is put aside as ``<path>.corrupt`` and an empty state begins.
+    """
+    from ..operators.decisions import migrated
+
+    empty = spark.createDataFrame([], schema)
+    at, fs = _fs(spark, path)
+    if not fs.exists(at):
+        return empty
+    try:
+        found = spark.read.parquet(path)
+        found.limit(1).collect()
+    except Exception:  # whatever the reader says of a damaged file
+        fs.rename(at, _fs(spark, f"{path}.corrupt")[0])
+        return empty
+    names = set(empty.columns)
+    found = found.select(*(c for c in found.columns if c in names | {"schema_version"}))
+    read = migrated(found, version).where("status <> 'reset'").drop("status")
+    return empty.unionByName(read.drop("schema_version") if "schema_version" not in names else read, allowMissingColumns=True)

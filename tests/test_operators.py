@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import names as fn
-from sparkloom.operators import clusters, folds, graphs, joins, ranking, resolution, scheduling, texts
+from sparkloom.operators import clusters, decisions, edits, folds, graphs, joins, lookups, ranking, resolution, scheduling, texts
 from sparkloom.sources import readers, writers
 from sparkloom.streaming import state
 
@@ -239,3 +239,112 @@ def test_streams(spark, sf_dir, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("kalman_out").groupBy("event_type").agg(F.max("n").alias("n")).where("n > 0").count() == len(want)
+
+
+def plain_lenient(lines, edits):
+    """The rule, step by step."""
+    out, src, offset = [], 0, 0
+    for line, before, after in edits:
+        index = line - 1 + offset
+        adds, drops = not before and after, before and not after
+        if index < 0 or (index > len(lines) if adds else index >= len(lines)):
+            continue
+        while src < index and src < len(lines):
+            out.append(lines[src])
+            src += 1
+        if adds:
+            out.append(after)
+            offset += 1
+        elif src < len(lines) and lines[src] == before:
+            src += 1
+            if drops:
+                offset -= 1
+            else:
+                out.append(after)
+    return "".join(out + lines[src:])
+
+
+def test_lenient_edits_against_plain_rule(spark):
+    rng = random.Random(20)
+    rows = []
+    for k in range(150):
+        lines = [f"l{rng.randrange(3)}\n" for _ in range(rng.randrange(8))]
+        made = sorted(((rng.randrange(1, 11), rng.choice(["", "l0\n", "l1\n", *lines]), rng.choice(["", "new\n"])) for _ in range(rng.randrange(5))), key=lambda e: e[0])
+        rows.append((k, lines, made))
+    df = spark.createDataFrame(rows, "k int, lines array<string>, edits array<struct<line: int, before: string, after: string>>")
+    got = {r.k: r.text for r in df.select("k", edits.lenient(F.col("lines"), F.col("edits")).alias("text")).collect()}
+    assert got == {k: plain_lenient(x, e) for k, x, e in rows}
+
+
+def test_assignments_and_clauses(spark):
+    lines = ["int x = 1;", "a == b", "f(a = b); y = 2", "std::map<int, std::vector<int>> v = w;", "x += 1; z = 2", '"a = b"', "// x = 1", "A() = delete;", "v << 2 = 3", "é = 1", "", "= default"]
+    got = [tuple(r) for r in spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string").select("i", edits.assignment_at(F.col("line")), edits.clause_at(F.col("line"))).orderBy("i").collect()]
+    assert [g[1] for g in got] == [6, None, 12, 34, 10, None, None, None, 7, 3, None, None]
+    assert [g[2] for g in got] == [None] * 7 + [4] + [None] * 4
+
+
+def test_broken_end_comments_are_put_together(spark):
+    before = [(1, 1, "namespace a {\n"), (1, 2, "} // end namespace a with a long name\n"), (1, 3, "X(X) = delete;\n")]
+    after = [(1, 1, "namespace a {\n"), (1, 2, "} // end namespace a\n"), (1, 3, "  // with a long name\n"), (1, 4, "X(X)=delete;\n"), (1, 5, "X(X)=delete;\n")]
+    schema = "doc int, line_no bigint, line string"
+    got = edits.keep_sensitive(spark.createDataFrame(before, schema), spark.createDataFrame(after, schema)).orderBy("line_no").collect()
+    assert [r.line for r in got] == ["namespace a {\n", "} // end namespace a with a long name\n", "X(X) = delete;\n", "X(X)=delete;\n"]
+
+
+def test_filter_before_any_observation(spark):
+    zero = [F.lit(0.85), F.lit(0.5), F.lit(0.5), F.lit(0.5), F.lit(0.85)]
+    found = decisions.filter_derivations(zero, [F.lit(0.05)] * 5, F.lit(0))
+    r = spark.range(1).select(*(c.alias(n) for n, c in found.items())).first()
+    assert r.trust_deficit_penalty == 0 and r.confidence_penalty == 0 and r.richness_multiplier == 1 and r.component_threshold == 16 and r.identity_penalty == 90
+    assert (r.diagnostic_warning, r.diagnostic_error, r.diagnostic_fatal) == (3, 8, 12) and r.confidence_bp_base == 200
+
+
+def test_upsert_folds_one_file_after_another(spark):
+    empty = spark.createDataFrame([], "id string, consensus double"), spark.createDataFrame([], "id string, n_refs bigint, n_files bigint, score double")
+    edges = spark.createDataFrame([("f1", "old", "contains", 1, 1)], "src string, dst string, kind string, weight bigint, last_seen bigint")
+    parses = spark.createDataFrame([("f1", True), ("f2", False), ("f3", True)], "file string, success boolean")
+    symbols = spark.createDataFrame([("f1", "s"), ("f2", "s"), ("f3", "s"), ("f3", "lone")], "file string, id string")
+    refs = spark.createDataFrame([("f1", "s", 2), ("f3", "t", 0)], "file string, id string, n bigint")
+    nodes, metrics, out = lookups.graph_upsert(*empty, edges, parses, symbols, refs, 9)
+    value = 1.0
+    for v in (0.5, 1.0):
+        value = 0.85 * value + 0.15 * v
+    assert {r.id: r.consensus for r in nodes.collect()} == pytest.approx({"s": value, "lone": 1.0, "t": 1.0})
+    got = {r.id: (r.n_refs, r.n_files) for r in metrics.collect()}
+    assert got == {"s": (2, 3), "lone": (1, 1), "t": (1, 0), "old": (0, 0)} and out.where("dst = 'old'").count() == 0
+
+
+def test_checksums_of_ranges_make_that_of_the_whole(spark):
+    rows = spark.createDataFrame([(f"p{i % 400}",) for i in range(1000)], "p string")
+    counts = sorted(f"p{i}:{sum(j % 400 == i for j in range(1000))}" for i in range(400))
+    text = "|".join(counts)
+    assert joins.fingerprint(rows, "p").first().fingerprint == f"{zlib.crc32(text.encode()):x}-{len(text)}"
+    assert joins.fingerprint(rows.limit(0), "p").first().fingerprint == "0-0"
+
+
+def test_backups_and_state(spark, tmp_path):
+    at, mirror = str(tmp_path / "table"), str(tmp_path / "kept")
+    for where in (None, mirror):
+        for run in ("r1", "r2", "r3"):
+            writers.write_with_backup(spark.createDataFrame([(run,)], "run string"), at + str(bool(where)), run, where)
+        status = {r.run_id for r in writers.backup_status(spark, at + str(bool(where)), where).collect()}
+        assert status == {"r2", "r3"}
+        assert writers.restore(spark, at + str(bool(where)), None, where).first().run == "r2"
+        assert writers.restore(spark, at + str(bool(where)), "r2", where).first().run == "r1"
+    results = spark.createDataFrame([("a", None, True, "x"), ("b", "bad", True, "y"), ("c", None, False, "z"), ("d", None, True, None)], "path string, error string, changed boolean, pending_text string")
+    left = writers.write_phase(results, str(tmp_path / "texts"), "r1")
+    assert {r.path: r.changed for r in left.collect()} == {"a": True, "b": False, "c": False, "d": False}
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "texts")).collect()] == [("a", "x")]
+    state = str(tmp_path / "state")
+    spark.createDataFrame([("k1", 5, 1.0), ("k2", 6, 2.0), ("k3", 7, 3.0)], "key string, schema_version int, a double").write.parquet(state)
+    assert {(r.key, r.a, r.b) for r in writers.load_state(spark, state, 6, "key string, a double, b int").collect()} == {("k1", 1.0, None), ("k2", 2.0, None)}
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part.parquet").write_bytes(b"not a table")
+    assert writers.load_state(spark, str(tmp_path / "broken"), 6, "key string").count() == 0 and (tmp_path / "broken.corrupt").exists()
+
+
+def test_configuration_fingerprint(spark):
+    lines = ["root=a", "check=true"]
+    text = "\n".join(lines).encode()
+    got = spark.range(1).select(decisions.fingerprint_lines(F.array(*map(F.lit, lines))).alias("x")).first().x
+    assert got == f"{zlib.crc32(text):08x}-{len(text):x}"
