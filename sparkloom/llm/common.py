@@ -65,10 +65,15 @@ def scratch_scope(spark: SparkSession):
     """Deletes the scratch tables made within; what is read from them must have been written elsewhere by then."""
     before = len(_made)
     yield
-    for name in _made[before:]:
+    discard(spark, *_made[before:])
+
+
+def discard(spark: SparkSession, *names: str) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    for name in names:
         path, fs = _path(spark, name)
         fs.delete(path, True)
-    del _made[before:]
+        _made.remove(name)
 
 
 def sampled(rows: DataFrame, most: int, n: int, *keys: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The registered queries against SQL, and the pipeline's stages."""
 
 import pytest
+from pyspark.sql import functions as F
 from sparkloom.llm import queries
 
 import corpus_pipeline
@@ -35,7 +36,11 @@ def test_pipeline(spark, sf_dir):
 def test_stage_meets_awkward_and_empty_tables(spark, sf_dir, stage):
     fn = corpus_pipeline.STAGES[stage][1]
     assert fn(spark, spark.createDataFrame([], DOCS), sf_dir).count() == 0
-    assert fn(spark, awkward(spark), sf_dir).count() > 0
+    docs = awkward(spark).withColumns({c: F.lit("mine") for c in ("_id", "lang_pred", "n_removed", "class_id", "item_ids", "rep")})
+    out = fn(spark, docs, sf_dir)
+    assert out.count() > 0
+    if stage < 4:
+        assert out.columns == docs.columns and {tuple(r) for r in out.select("_id", "lang_pred", "n_removed", "score", "kept").collect()} == {("mine",) * 5}
 
 
 def test_near_duplicate_stage_keeps_one_of_repeated_rows(spark, sf_dir):
