@@ -19,7 +19,7 @@ from .helpers import awkward, documents, words_text
 def test_traverse_follows_the_sums():
     rng = np.random.default_rng(1)
     d1, d2, size = rng.random(7), rng.random(5), rng.integers(0, 3, (7, 5))
-    got = ann.traverse(d1, d2, size, gather=10**9)
+    got = ann.traverse(d1, d2, size, 10**9, 1.0)
     want = sorted(((d1[i] + d2[j], i, j) for i in range(7) for j in range(5) if size[i, j]))
     assert [d1[i] + d2[j] for i, j in got] == pytest.approx([w[0] for w in want]) and len(set(got)) == len(want)
 
@@ -46,6 +46,56 @@ def test_ann_against_brute_force(spark, monkeypatch, block):
         assert [f[2] for f in found] == pytest.approx([d for d, _ in want], rel=1e-12, abs=0)
 
 
+def clustered(rng, n, size=32, centres=60):
+    at = rng.normal(size=(centres, size))
+    v = at[rng.integers(0, centres, n)] + 0.15 * rng.normal(size=(n, size))
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("kind", ["clustered", "random"])
+def test_ann_recall_as_shipped(spark, kind):
+    rng = np.random.default_rng(21)
+    v = clustered(rng, 3000) if kind == "clustered" else rng.normal(size=(3000, 32))
+    table = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in ann.search(table, F.col("vec_id") % 50 == 0).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, 3000, 50):
+        d = ((v - v[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    assert hits / 600 >= 0.9
+
+
+def test_ann_visits_few_cells_of_clustered_vectors():
+    rng = np.random.default_rng(22)
+    v = clustered(rng, 8000)
+    books = [ann.codebook(v[:, k : k + 16], round(8000**0.5 / 4)) for k in (0, 16)]
+    d = [ann.squared(v[:, k : k + 16], b) for k, b in zip((0, 16), books)]
+    at = [x.argmin(1) for x in d]
+    size = np.zeros((len(books[0]), len(books[1])), np.int64)
+    np.add.at(size, tuple(at), 1)
+    near = ann.nearness(v, tuple(books), 10, ann.RECALL)
+    share = [sum(size[c] for c in ann.traverse(d[0][q], d[1][q], size, ann.GATHER, near)) / 8000 for q in range(0, 8000, 100)]
+    assert np.mean(share) < 0.2
+
+
+def test_ann_keeps_doubles(spark):
+    rows = [(0, [0.1, 0.3]), (1, [0.1, 0.5]), (2, [1e200, 0.0]), (3, [3e200, 0.0]), (4, [1e-200, 2e-200])]
+    got = {(r.query_id, r.vec_id): r.score for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id").isin(0, 2, 4)).collect()}
+    assert got[0, 1] == 0.5 - 0.3 and got[2, 3] == 2e200 and got[0, 4] == pytest.approx(0.1**0.5) and len(got) == 12
+    assert got[4, 0] == got[0, 4] and got[2, 0] == 1e200
+
+
+def test_samples_of_any_size():
+    from sparkloom.llm.common import sample_bound
+
+    for n in (1, 10**6, 10**12, 10**15):
+        assert 0 < sample_bound(20_000, n) < 1 << 63
+    assert sample_bound(20_000, 10**12) / 2**63 == pytest.approx(2e-8)
+
+
 def test_ann_of_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.vec_id) for r in ann.search(few, F.col("vec_id") == 0).collect()] == [(0, 1)]
@@ -226,6 +276,28 @@ def test_warc_round_trip(spark, monkeypatch):
     assert warc.round_trip(pages(spark, [])).count() == 0
 
 
+def test_warc_of_long_payloads_in_many_archives(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_ROWS", 5)
+    monkeypatch.setattr(warc, "DRAWN", 2)
+    rng = random.Random(23)
+    long = ["".join(rng.choice("abcdefgh<> ") for _ in range(3_000_000)) for _ in range(2)]
+    rows = [(i, f"http://h{i % 4}.org/{i}", long[i] if i < 2 else long[0] if i == 2 else f"<p>{i}</p>" * 300, "k") for i in range(40)]
+    got = warc.round_trip(pages(spark, rows).coalesce(1)).orderBy("range", "place").collect()
+    assert [(r.key, r.time) for r in got] == sorted((r.key, r.time) for r in got) and len({r.range for r in got}) > 2
+    assert {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in got} == {i: (len(h), "revisit" if i == 0 else "response", 2 if i == 0 else None) for i, _, h, _ in rows}
+
+
+def test_warc_archives_are_bounded(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "ROWS", 2)
+    rng = random.Random(24)
+    rows = [(i, "http://h.org/", rng.randbytes(1_000_000).hex(), "k") for i in range(12)]
+    table = pages(spark, rows).coalesce(1)
+    warc.write_archives(table, str(tmp_path / "a"))
+    sizes = [r.length for r in spark.read.format("binaryFile").load(str(tmp_path / "a")).select("length").collect()]
+    assert len(sizes) > 1 and max(sizes) <= 2 * warc.CHUNK + 2_000_000
+    assert warc.read_index(spark, str(tmp_path / "a"), warc.splitters(table, "page_id", "url")).count() == 12
+
+
 def test_warc_members_are_plain_gzip():
     import gzip
 
@@ -263,6 +335,65 @@ def test_url_rules_and_templates(spark):
     assert urls.filter_urls(pages(spark, []), URL_RULES).count() == 0
 
 
+def plain_templates(shapes):
+    """shape -> template of one host's shapes (segments, n, labelled, blocked), by recursion."""
+    out = {}
+
+    def go(rows, done):
+        by = collections.defaultdict(list)
+        for r in rows:
+            by[r[0][len(done)]].append(r)
+        total = [sum(r[k] for r in rows) for k in (2, 3)]
+        pooled = collections.defaultdict(list)
+        for seg, members in by.items():
+            n, labelled, blocked = (sum(r[k] for r in members) for k in (1, 2, 3))
+            other = total[0] - labelled
+            merged = len(by) > urls.FAN and n < urls.THIN
+            if labelled and other:
+                share = total[1] / total[0]
+                error = (share * (1 - share) * (1 / labelled + 1 / other)) ** 0.5
+                merged |= abs(blocked / labelled - (total[1] - blocked) / other) <= urls.SIMILAR * error
+            pooled["*" if merged else seg] += members
+        for seg, members in pooled.items():
+            here = [*done, seg]
+            ended = [r for r in members if len(r[0]) == len(here)]
+            for r in ended:
+                out[r[0]] = here
+            if len(members) == 1 and not ended:
+                out[members[0][0]] = [*here, *members[0][0][len(here) :]]
+            elif rest := [r for r in members if len(r[0]) > len(here)]:
+                go(rest, here)
+
+    go(shapes, [])
+    return {"/" + "/".join(k): "/" + "/".join(v) for k, v in out.items()}
+
+
+@pytest.mark.parametrize("seed", [31, 32, 33])
+def test_url_templates_against_plain_recursion(spark, seed):
+    rng = random.Random(seed)
+    shapes = {}
+    for _ in range(120):
+        segs = tuple(rng.choice("abcdefghijklmnopq"[: rng.choice([2, 17])]) for _ in range(rng.randrange(1, 6)))
+        n = rng.randrange(1, 12)
+        labelled = rng.randrange(n + 1)
+        shapes[segs] = (n, labelled, rng.randrange(labelled + 1))
+    rows = [("h", "/" + "/".join(k), *v) for k, v in shapes.items()] + [("other", "/a/b", 1, 0, 0)]
+    got = {(r.host, r.shape): r.template for r in urls.templates(spark.createDataFrame(rows, "host string, shape string, n long, labelled long, blocked long")).collect()}
+    want = plain_templates([(k, *v) for k, v in shapes.items()])
+    assert got == {("h", k): t for k, t in want.items()} | {("other", "/a/b"): "/a/b"}
+    assert any("*" in t for t in want.values())
+
+
+def test_urls_long_repeated_and_with_clashing_columns(spark):
+    rules = [("a.net", "/x/", "block")]
+    long = "http://a.net/" + "/".join(f"s{i % 7}x{'y' * (i % 5)}" for i in range(300)) + "?" + "q" * 100_000
+    rows = [(1, long, "mine"), (1, long, "mine"), (2, "http://a.net/x/1", "mine"), (3, "http://A.net" + "/z" * 150, None), (4, None, None)]
+    table = spark.createDataFrame(rows, "page_id long, url string, host string").withColumns({c: F.lit("mine") for c in ("path", "template", "under", "seg", "shape", "n")})
+    got = urls.filter_urls(table, rules).collect()
+    assert sorted((r.page_id, r.host, r.verdict) for r in got) == [(1, "a.net", "allow"), (1, "a.net", "allow"), (2, "a.net", "block"), (3, "a.net", "allow"), (4, "", "allow")]
+    assert {r.shape for r in got} == {"mine"} and next(r for r in got if r.page_id == 3).path == "/z" * 150
+
+
 def test_url_templates_reject_by_purity(spark):
     rules = [("bad.net", "/x/1", "block"), ("good.net", "/", "allow")]
     rows = [(i, f"http://bad.net/x/{i}", None, None) for i in range(100, 200)] + [(i, f"http://bad.net/x/{i}", None, None) for i in range(200, 300)] + [(i, f"http://good.net/y/{i}", None, None) for i in range(300, 340)]
