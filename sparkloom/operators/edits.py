@@ -242,3 +242,68 @@ def occurrences_of(text: Column, part: str) -> Column:
 def whole_word(text: Column, word: str) -> Column:
     """Whether an identifier stands in a text with no identifier character beside it."""
     return text.rlike(f"(^|[^A-Za-z0-9_]){word}($|[^A-Za-z0-9_])")
+
+
+OPENER = r"^\s*(namespace|class|struct)\b[ \t]*([A-Za-z_][A-Za-z0-9_:]*)?[^;{}]*\{[^{}]*$"
+
+
+def block_ends(lines: DataFrame) -> DataFrame:
+    """Lines that end a namespace, class or struct, with the label of its end: doc, line_no, line, label.
+
+    A text approximation: blocks are told by their braces, line by line, those
+    in comments and strings too. An opening line and the next one that closes
+    its depth are neighbours among the openings and closings of that depth.
+    """
+    count = lambda sign: F.length("line") - F.length(F.replace("line", F.lit(sign)))
+    w = Window.partitionBy("doc").orderBy("line_no")
+    rows = lines.withColumn("after", F.sum(count("{") - count("}")).over(w)).withColumn("before", F.coalesce(F.lag("after").over(w), F.lit(0)))
+    label = F.rtrim(F.concat_ws(" ", F.regexp_extract("line", OPENER, 1), F.regexp_extract("line", OPENER, 2)))
+    opens = rows.where(F.col("line").rlike(OPENER) & (F.col("after") > F.col("before"))).select("doc", F.col("after").alias("depth"), "line_no", label.alias("label"), F.lit(None).cast("string").alias("line"))
+    closes = rows.where("after < before").select("doc", F.explode(F.sequence(F.col("after") + 1, F.col("before"))).alias("depth"), "line_no", F.lit(None).cast("string").alias("label"), "line")
+    both = opens.unionByName(closes)
+    at = Window.partitionBy("doc", "depth").orderBy("line_no")
+    found = both.withColumn("label", F.lag("label").over(at)).where("line IS NOT NULL AND label IS NOT NULL")
+    return found.groupBy("doc", "line_no").agg(F.min_by(F.struct("line", "label"), "depth").alias("x")).select("doc", "line_no", "x.*")
+
+
+def end_comments(lines: DataFrame) -> DataFrame:
+    """Edits that put ``// end <label>`` behind what ends a namespace, class or struct, where no comment stands there."""
+    rows = block_ends(lines).where(F.col("line").contains("}") & ~F.col("line").contains("//"))
+    return rows.select("doc", "line_no", F.col("line").alias("before"), F.concat(F.regexp_replace("line", r"\s+$", ""), F.lit(" // end "), "label").alias("after"))
+
+
+def include_guards(lines: DataFrame, macro: DataFrame, inserts: DataFrame, mode: str) -> DataFrame:
+    """Lines put in (doc, line_no, after) so that a header has ``#pragma once`` (pragma), a guard (guard) or both.
+
+    ``macro``: doc, macro; ``inserts``: doc, line_no at which a pragma goes. A
+    guard is an ``#ifndef`` with a ``#define`` of the same name behind it.
+    """
+    text = F.regexp_replace("line", r"\s+", " ")
+    once = lines.where(F.trim(text).rlike("^# ?pragma once$")).select("doc").distinct()
+    named = lambda word: lines.select("doc", "line_no", F.regexp_extract(F.trim(text), f"^# ?{word} ([A-Za-z_][A-Za-z0-9_]*)", 1).alias("name")).where("name <> ''")
+    tests, defines = named("ifndef"), named("define").groupBy("doc", "name").agg(F.max("line_no").alias("_d"))
+    guarded = tests.join(defines, ["doc", "name"]).where("_d > line_no").select("doc").distinct()
+    out = []
+    if mode in ("pragma", "both"):
+        out.append(inserts.join(once, "doc", "left_anti").select("doc", F.col("line_no").cast("bigint").alias("line_no"), F.lit("#pragma once").alias("after")))
+    if mode in ("guard", "both"):
+        out.append(macro.join(guarded, "doc", "left_anti").select("doc", F.lit(1).cast("bigint").alias("line_no"), F.concat(F.lit("#ifndef "), "macro").alias("after")))
+    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
+
+
+EMPTY_PARAMETERS = r"^(\s*(?:[A-Za-z_][A-Za-z0-9_:<>,*&]*\s+[*&]*)+)(~?[A-Za-z_][A-Za-z0-9_:]*)\s*\(\s*(?:void)?\s*\)(\s*(?:const|noexcept|override|final|->|\{|;|=|$))"
+
+
+def void_parameters(line: Column, require_void: bool = True) -> Column:
+    """A declaration's empty parameter list in one form, with no space before it; a text approximation that leaves operators and statements alone."""
+    statement = line.rlike(r"^\s*(return|else|new|delete|throw|case|goto|using|typedef)\b") | line.contains("operator")
+    return F.when(statement, line).otherwise(F.regexp_replace(line, EMPTY_PARAMETERS, "$1$2" + ("(void)" if require_void else "()") + "$3"))
+
+
+def suggested_name(name: Column, prefix: Column) -> Column:
+    """The name that conventions ask for (prefix and snake case), or null where it may stay: keywords, constants, and what follows them."""
+    from ..functions import names
+
+    bare = F.when((prefix != "") & name.startswith(prefix), F.substring(name, F.length(prefix) + 1, F.length(name))).otherwise(name)
+    new = F.concat(prefix, names.to_snake(bare))
+    return F.when(names.is_keyword(name) | names.is_constant_like(name) | (new == name), None).otherwise(new)

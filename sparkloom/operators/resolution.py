@@ -124,7 +124,12 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return labels
 
 
-def independent_set(cands: DataFrame, edges: DataFrame, exact_up_to: int = 16) -> DataFrame:
+def component_threshold(richness: float) -> int:
+    """How large a component is solved exactly, by the filter's estimate of richness."""
+    return int(min(max(32.0 * richness, 8.0), 64.0))
+
+
+def independent_set(cands: DataFrame, edges: DataFrame, richness: float = 0.5) -> DataFrame:
     """The candidates of greatest total weight without two that exclude each other, in every component.
 
     Small components are solved exactly (ties go to the smaller list of
@@ -132,6 +137,7 @@ def independent_set(cands: DataFrame, edges: DataFrame, exact_up_to: int = 16) -
     count as 0. A component is one group, so it is bounded by the range of
     conflicts.
     """
+    exact_up_to = component_threshold(richness)
     near = edges.select("a", "b").union(edges.select("b", "a")).groupBy("a").agg(F.collect_list("b").alias("near"))
     of = components(cands.select("id"), edges)
     rows = cands.select("id", "line", "policy", "weight", "confidence", "risk").join(of, "id").join(near, cands.id == near.a, "left").drop("a")

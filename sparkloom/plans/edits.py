@@ -182,3 +182,59 @@ def text_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_partkey", F.transform(op.occurrences_of(F.col("p_name"), "a"), lambda i: i.cast("bigint")).alias("places"), (F.instr("p_type", "T") - 1).cast("bigint").alias("first"), op.whole_word(F.col("p_name"), "part").alias("word"),
         (F.length("p_type") - F.length(F.ltrim("p_type"))).cast("bigint").alias("lead"), F.col("p_brand").rlike("^(.)\\1*$").alias("same"),
     )
+
+
+BLOCKS = "CASE line_no % 10 WHEN 1 THEN 'namespace a' || line_no || ' {' WHEN 2 THEN 'class B : public C {' WHEN 3 THEN '  int f() {' WHEN 4 THEN '  }' WHEN 5 THEN '};' WHEN 6 THEN 'struct {' WHEN 7 THEN '} // end old' WHEN 8 THEN '} }' WHEN 9 THEN '}' ELSE 'x' END"
+_RE_OPEN = op.OPENER.replace("'", "''")
+
+
+@query(
+    f"""WITH {texts._lines(BLOCKS)}, r AS (SELECT *, sum(length(line) - length(replace(line, '{{', '')) - length(line) + length(replace(line, '}}', ''))) OVER (PARTITION BY doc ORDER BY line_no) AS aft FROM c),
+    b AS (SELECT *, coalesce(lag(aft) OVER (PARTITION BY doc ORDER BY line_no), 0) AS bef FROM r), o AS (SELECT doc, line_no AS i, aft AS depth, rtrim(regexp_extract(line, '{_RE_OPEN}', 1) || ' ' || regexp_extract(line, '{_RE_OPEN}', 2)) AS label FROM b WHERE regexp_matches(line, '{_RE_OPEN}') AND aft > bef),
+    x AS (SELECT doc, line_no, line, unnest(range(aft::BIGINT + 1, bef::BIGINT + 1)) AS depth FROM b WHERE aft < bef), p AS (SELECT o.doc, x.line_no, x.line, o.depth, label, row_number() OVER (PARTITION BY o.doc, o.i ORDER BY x.line_no) AS r, o.i FROM o JOIN x ON x.doc = o.doc AND x.depth = o.depth AND x.line_no > o.i),
+    q AS (SELECT *, row_number() OVER (PARTITION BY doc, line_no ORDER BY depth, i DESC) AS k FROM p WHERE r = 1)
+    SELECT doc, line_no, line AS before, regexp_replace(line, '\\s+$', '') || ' // end ' || label AS after FROM q WHERE k = 1 AND contains(line, '}}') AND NOT contains(line, '//')"""
+)
+def end_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.end_comments(texts.lines(spark, sf_dir, BLOCKS))
+
+
+GUARDS = "CASE WHEN doc % 3 = 0 AND line_no = 2 THEN '#pragma  once' WHEN doc % 4 = 0 AND line_no = 1 THEN '#ifndef X' || doc || '_' WHEN doc % 8 = 0 AND line_no = 2 THEN '#define X' || doc || '_' WHEN doc % 8 = 4 AND line_no = 2 THEN '#define Y_' ELSE line END"
+
+
+@query(
+    f"""WITH {texts._lines(GUARDS)}, p AS (SELECT doc FROM c GROUP BY doc), o AS (SELECT DISTINCT doc FROM c WHERE regexp_matches(trim(regexp_replace(line, '\\s+', ' ', 'g')), '^# ?pragma once$')),
+    t AS (SELECT doc, line_no, regexp_extract(trim(regexp_replace(line, '\\s+', ' ', 'g')), '^# ?ifndef ([A-Za-z_][A-Za-z0-9_]*)', 1) AS n FROM c), f AS (SELECT doc, line_no, regexp_extract(trim(regexp_replace(line, '\\s+', ' ', 'g')), '^# ?define ([A-Za-z_][A-Za-z0-9_]*)', 1) AS n FROM c),
+    g AS (SELECT DISTINCT t.doc FROM t JOIN f ON t.doc = f.doc AND t.n = f.n AND f.line_no > t.line_no WHERE t.n <> '')
+    SELECT doc, 1 + doc % 3 AS line_no, '#pragma once' AS after FROM p WHERE doc NOT IN (SELECT doc FROM o) UNION ALL SELECT doc, 1, '#ifndef FILE' || doc || '_H_' FROM p WHERE doc NOT IN (SELECT doc FROM g)"""
+)
+def include_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = texts.lines(spark, sf_dir, GUARDS)
+    docs = lines.select("doc").distinct()
+    return op.include_guards(lines, docs.select("doc", F.format_string("FILE%d_H_", "doc").alias("macro")), docs.select("doc", (1 + F.col("doc") % 3).alias("line_no")), "both")
+
+
+VOIDS = "CASE line_no % 8 WHEN 0 THEN 'int  f ();' WHEN 1 THEN '  static const Foo* get( void ) const {' WHEN 2 THEN 'return g();' WHEN 3 THEN 'bool operator()();' WHEN 4 THEN 'void h(int a);' WHEN 5 THEN 'virtual ~Bar ()' WHEN 6 THEN 'k();' ELSE line END"
+
+
+@query(
+    f"""WITH {texts._lines(VOIDS)}, v AS (SELECT *, CASE WHEN regexp_matches(line, '^\\s*(return|else|new|delete|throw|case|goto|using|typedef)\\b') OR contains(line, 'operator') THEN line ELSE regexp_replace(line, '{op.EMPTY_PARAMETERS}', '\\1\\2(void)\\3') END AS after FROM c)
+    SELECT doc, line_no, after FROM v WHERE after <> line"""
+)
+def void_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = texts.lines(spark, sf_dir, VOIDS).withColumn("after", op.void_parameters(F.col("line")))
+    return rows.where("after <> line").select("doc", "line_no", "after")
+
+
+@query(
+    f"""WITH n AS (SELECT p_partkey, ['getName', 'get_name', 's_BigName', 'MAX_SIZE', 'int', 'HTTPServer', 'm_x', 'aB2C'][1 + (p_partkey % 8)::INT] AS name, ['', 's_', 'm_'][1 + (p_size % 3)::INT] AS prefix FROM part),
+    b AS (SELECT *, CASE WHEN prefix <> '' AND starts_with(name, prefix) THEN substr(name, length(prefix) + 1) ELSE name END AS bare FROM n),
+    s AS (SELECT *, prefix || lower(regexp_replace(regexp_replace(bare, '([A-Z])([A-Z][a-z])', '\\1_\\2', 'g'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')) AS new FROM b)
+    SELECT p_partkey, new AS name FROM s WHERE name NOT IN ('int', 'MAX_SIZE', 'm_x') AND NOT regexp_matches(name, '^[CS]_[A-Z_][A-Z0-9_]*$|^[cs]_[a-z_][a-z0-9_]*$') AND new <> name
+    UNION ALL SELECT p_partkey, new FROM s WHERE name = 'm_x' AND new <> name"""
+)
+def naming_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda c, *names: F.element_at(F.array(*map(F.lit, names)), (F.col(c) % len(names) + 1).cast("int"))
+    name = pick("p_partkey", "getName", "get_name", "s_BigName", "MAX_SIZE", "int", "HTTPServer", "m_x", "aB2C")
+    found = table(spark, sf_dir, "part", "p_partkey", "p_size").select("p_partkey", op.suggested_name(name, pick("p_size", "", "s_", "m_")).alias("name"))
+    return found.where("name IS NOT NULL")
