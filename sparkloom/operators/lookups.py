@@ -310,3 +310,50 @@ def finalized(benchmark: DataFrame, gate: DataFrame) -> DataFrame:
     g = gate.select("run", *(F.col(c).alias(f"_{c}") for c in cols))
     rows = benchmark.withColumn("_b", F.lit(True)).join(g, "run", "full")
     return rows.select("run", *(F.coalesce(c, f"_{c}").alias(c) for c in cols), F.when(F.col("_b"), "benchmark").otherwise("gate").alias("source"))
+
+
+def scope_integrity(before: DataFrame, drift: DataFrame, counts: DataFrame, keys: list[str], tolerance: int, penalty: int) -> DataFrame:
+    """severity, regressed and penalty by ``keys``, from the drift of scope counts (drift) and ranges (local, remote); ``before``: keys, n scopes."""
+    rows = before.join(drift, keys, "left").join(counts, keys, "left").na.fill(0, ["local", "remote", "drift"])
+    moved = F.col("drift") + F.col("remote")
+    bad = (F.col("drift") > tolerance) | (F.col("remote") > tolerance)
+    severity = F.least(moved / F.greatest("n", F.lit(1)), F.lit(1.0))
+    return rows.select(*keys, severity.alias("severity"), bad.alias("regressed"), F.when(bad, penalty).otherwise(0).alias("penalty"))
+
+
+def macro_touches(edited: DataFrame, ranges: DataFrame, keys: list[str], width: int = 16) -> DataFrame:
+    """By ``keys`` the edited lines (an ordered array) inside macro ranges (s, e) of either version."""
+    cells = ranges.distinct().withColumn("_c", F.explode(F.sequence(F.floor(F.col("s") / width), F.floor(F.col("e") / width))))
+    lines = edited.select(*keys, "line").distinct().withColumn("_c", F.floor(F.col("line") / width))
+    hit = lines.join(cells, [*keys, "_c"]).where((F.col("line") >= F.col("s")) & (F.col("line") <= F.col("e"))).select(*keys, "line").distinct()
+    return hit.groupBy(*keys).agg(F.array_sort(F.collect_list("line")).alias("lines"))
+
+
+def error_stats(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """Of a tree's nodes (line, bad) the share that are errors or missing, and the lines that these begin on."""
+    bad = F.count_if("bad")
+    return nodes.groupBy(*keys).agg((bad / F.count("*")).alias("ratio"), bad.alias("errors"), F.array_sort(F.collect_set(F.when(F.col("bad"), F.col("line")))).alias("lines"))
+
+
+def to_cache(results: DataFrame, fingerprint: str) -> DataFrame:
+    """Results (path, text and more) as cache rows: key (path, checksum and length of the text, fingerprint) and payload (JSON)."""
+    raw = F.col("text").cast("binary")
+    key = F.concat_ws("|", "path", F.concat_ws("-", F.lower(F.hex(F.crc32(raw))), F.octet_length(raw).cast("string")), F.lit(fingerprint))
+    return results.select(key.alias("key"), F.to_json(F.struct(*results.columns), {"ignoreNullFields": "false"}).alias("payload"))
+
+
+def from_cache(rows: DataFrame, schema) -> DataFrame:
+    """The results of cache rows."""
+    return rows.select(F.from_json("payload", schema).alias("r")).select("r.*")
+
+
+def renamed(lines: DataFrame, occurrences: DataFrame, keys: list[str]) -> DataFrame:
+    """Lines (keys, line_no, line) with names replaced at their places: occurrences (keys, line_no, column from 1, old, new).
+
+    From the right, so that places stay; a place where the old name doesn't stand is passed over.
+    """
+    at = [*keys, "line_no"]
+    places = occurrences.groupBy(*at).agg(F.reverse(F.array_sort(F.collect_set(F.struct("column", "old", "new")))).alias("xs"))
+    put = lambda s, x: F.when(F.substring(s, x["column"], F.length(x["old"])) == x["old"], F.concat(F.substring(s, F.lit(1), x["column"] - 1), x["new"], F.substring(s, x["column"] + F.length(x["old"]), F.length(s)))).otherwise(s)
+    rows = lines.join(places, at, "left")
+    return rows.withColumn("line", F.when(F.col("xs").isNull(), F.col("line")).otherwise(F.aggregate("xs", F.col("line"), put))).drop("xs")

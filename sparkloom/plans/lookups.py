@@ -319,3 +319,55 @@ def accuracy_finalization(spark: SparkSession, sf_dir: str) -> DataFrame:
 def seeded_learning(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, keys = _retries(spark, sf_dir), ["strategy", "context"]
     return op.seeded(op.retry_sums(rows.where("event_id < 0"), keys), op.retry_sums(rows.where("event_id % 2 = 1"), keys))
+
+
+@query(
+    f"""WITH b AS ({_RD.format("l_returnflag <> 'N'")}), a AS ({_RD.format("l_returnflag <> 'A'")}), n AS (SELECT file, count(*) AS n FROM b GROUP BY file),
+    c AS (SELECT file, sum(abs(x - y))::BIGINT AS drift FROM (SELECT file, kind, count(*) FILTER (w) AS x, count(*) FILTER (NOT w) AS y FROM (SELECT file, kind, true AS w FROM b UNION ALL SELECT file, kind, false FROM a) GROUP BY 1, 2) GROUP BY 1),
+    m AS ((SELECT * FROM b EXCEPT SELECT * FROM a) UNION ALL (SELECT * FROM a EXCEPT SELECT * FROM b)), ed AS (SELECT DISTINCT user_id AS file, event_id % 100 AS line FROM events WHERE event_type = 'error'),
+    r AS (SELECT file, count(*) FILTER (NOT EXISTS (SELECT 1 FROM ed WHERE ed.file = m.file AND line BETWEEN s - 1 AND e + 1)) AS remote FROM m GROUP BY file)
+    SELECT file, round(least((coalesce(drift, 0) + coalesce(remote, 0)) / n, 1), 9)::DOUBLE AS severity, coalesce(drift, 0) > 40 OR coalesce(remote, 0) > 40 AS regressed, CASE WHEN coalesce(drift, 0) > 40 OR coalesce(remote, 0) > 40 THEN 80 ELSE 0 END AS penalty FROM n LEFT JOIN c USING (file) LEFT JOIN r USING (file)"""
+)
+def scope_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.joins import scope_drift
+
+    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag").selectExpr("l_suppkey AS file", "l_linenumber AS kind", "l_partkey % 90 AS s", "l_partkey % 90 + l_orderkey % 6 AS e", "l_returnflag")
+    before, after = (li.where(f"l_returnflag <> '{x}'").drop("l_returnflag").distinct() for x in "NA")
+    edited = table(spark, sf_dir, "events", "event_id", "user_id", "event_type").where("event_type = 'error'").selectExpr("user_id AS file", "event_id % 100 AS line")
+    ranges = op.range_drift(before, after, edited, ["file"], 1)
+    found = op.scope_integrity(before.groupBy("file").agg(F.count("*").alias("n")), ranges, scope_drift(before, after, ["file"], "kind"), ["file"], 40, 80)
+    return found.withColumn("severity", F.round("severity", 9))
+
+
+@query(
+    """WITH r AS (SELECT DISTINCT l_suppkey AS file, l_partkey % 90 AS s, l_partkey % 90 + l_orderkey % 6 AS e FROM lineitem WHERE l_linenumber = 4), ed AS (SELECT DISTINCT user_id AS file, event_id % 100 AS line FROM events)
+    SELECT file, list_sort(list(line)) AS lines FROM ed WHERE EXISTS (SELECT 1 FROM r WHERE r.file = ed.file AND line BETWEEN s AND e) GROUP BY file"""
+)
+def macro_touches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranges = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").where("l_linenumber = 4").selectExpr("l_suppkey AS file", "l_partkey % 90 AS s", "l_partkey % 90 + l_orderkey % 6 AS e")
+    return op.macro_touches(table(spark, sf_dir, "events", "event_id", "user_id").selectExpr("user_id AS file", "event_id % 100 AS line"), ranges, ["file"])
+
+
+@query("SELECT user_id AS file, round(count(*) FILTER (event_type = 'error') / count(*), 9) AS ratio, count(*) FILTER (event_type = 'error') AS errors, coalesce(list_sort(list(DISTINCT event_id % 100) FILTER (event_type = 'error')), []) AS lines FROM events GROUP BY user_id")
+def error_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = table(spark, sf_dir, "events", "event_id", "user_id", "event_type").selectExpr("user_id AS file", "event_id % 100 AS line", "event_type = 'error' AS bad")
+    return op.error_stats(nodes, ["file"]).withColumn("ratio", F.round("ratio", 9))
+
+
+@query("SELECT conv_id * 1000 + turn AS path, text, CASE WHEN turn % 2 = 0 THEN role END AS error, turn % 3 = 0 AS changed FROM conversations")
+def cache_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").selectExpr("conv_id * 1000 + turn AS path", "text", "CASE WHEN turn % 2 = 0 THEN role END AS error", "turn % 3 = 0 AS changed")
+    return op.from_cache(op.to_cache(results, "f1"), results.schema)
+
+
+@query(
+    """WITH l AS (SELECT p_partkey AS line_no, p_brand AS doc, p_name || ' + ' || p_name || ';' AS line, p_name, p_size FROM part)
+    SELECT doc, line_no, CASE p_size % 3 WHEN 0 THEN 'renamed + renamed;' WHEN 1 THEN p_name || ' + renamed;' ELSE line END AS line FROM l"""
+)
+def renamed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_name", "p_size")
+    lines = p.selectExpr("p_brand AS doc", "p_partkey AS line_no", "p_name || ' + ' || p_name || ';' AS line")
+    second = p.where("p_size % 3 < 2").selectExpr("p_brand AS doc", "p_partkey AS line_no", "length(p_name) + 4 AS column", "p_name AS old", "'renamed' AS new")
+    first = p.where("p_size % 3 = 0").selectExpr("p_brand AS doc", "p_partkey AS line_no", "1 AS column", "p_name AS old", "'renamed' AS new")
+    wrong = p.where("p_size % 3 = 2").selectExpr("p_brand AS doc", "p_partkey AS line_no", "2 AS column", "p_name AS old", "'renamed' AS new")
+    return op.renamed(lines, first.unionByName(second).unionByName(wrong), ["doc"])

@@ -144,3 +144,10 @@ def load_state(spark: SparkSession, path: str, version: int, schema: str) -> Dat
     found = found.select(*(c for c in found.columns if c in names | {"schema_version"}))
     read = migrated(found, version).where("status <> 'reset'").drop("status")
     return empty.unionByName(read.drop("schema_version") if "schema_version" not in names else read, allowMissingColumns=True)
+
+
+def write_compile_commands(files: DataFrame, path: str, include_root: str, standard: str) -> None:
+    """A compile database for ``files`` (path): an entry a file, with its folder and plain arguments, as lines of one JSON array's elements."""
+    folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    arguments = F.array(*(F.lit(x) for x in ("clang++", f"-std={standard}", "-x", "c++", "-fsyntax-only", f"-I{include_root}")), F.col("path"))
+    files.select(F.when(folder == "", include_root).otherwise(folder).alias("directory"), F.col("path").alias("file"), arguments.alias("arguments")).write.mode("overwrite").json(path)

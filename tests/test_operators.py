@@ -348,3 +348,9 @@ def test_configuration_fingerprint(spark):
     text = "\n".join(lines).encode()
     got = spark.range(1).select(decisions.fingerprint_lines(F.array(*map(F.lit, lines))).alias("x")).first().x
     assert got == f"{zlib.crc32(text):08x}-{len(text):x}"
+
+
+def test_synthetic_compile_database(spark, tmp_path):
+    writers.write_compile_commands(spark.createDataFrame([("src/a.cpp",), ("b.cpp",)], "path string"), str(tmp_path / "db"), "/inc", "c++20")
+    rows = {r.file: (r.directory, list(r.arguments)) for r in spark.read.json(str(tmp_path / "db")).collect()}
+    assert rows["src/a.cpp"] == ("src", ["clang++", "-std=c++20", "-x", "c++", "-fsyntax-only", "-I/inc", "src/a.cpp"]) and rows["b.cpp"][0] == "/inc"
