@@ -40,6 +40,8 @@ HIDDEN = 32
 #: Tokens that are counted together, and blocks of buckets that a task's sums are sent in.
 HELD_TOKENS = 500_000
 BLOCKS = 16
+#: Buckets up to which pairs are counted in a table.
+FEW = 1000
 #: Tokens that a worker remembers.
 MEMO_SIZE = 400_000
 
@@ -51,20 +53,36 @@ def shape(token: str) -> str:
     return "".join("a" if m[1] else "A" if m[2] else "0" if m[3] else m[4][:2] for m in _MARKS.finditer(token))
 
 
-def buckets(token: str) -> int:
-    """Bucket of the word (its letters and digits, lower-cased) and of the shape, in one number."""
-    word = "".join(c for c in token.lower() if c.isalnum())
-    return (zlib.crc32(word.encode("utf-8", "replace")) % BUCKETS) * BUCKETS + zlib.crc32(b"shape " + shape(token).encode("utf-8", "replace")) % BUCKETS
+_NO_WORD = re.compile(r"[\W_]+")
+#: What this process knows of tokens and shapes; it serves all tasks that it runs.
+_tokens: dict[str, int] = {}
+_shapes: dict[str, int] = {}
 
 
-def _ids(text: str | None, memo: dict[str, int]) -> np.ndarray:
+def buckets(token: str) -> int:
+    """Bucket of the word (its letters and digits, lower-cased) and of the shape, in one number."""
+    low, last = token.lower(), token[-1:]
+    if token.isascii() and token.isalpha():  # by far the most; the same as by the patterns
+        word, form = low, "A" if token.isupper() else "a"
+    elif token.isascii() and token[:-1].isalpha() and not last.isalnum():
+        word, form = low[:-1], ("A" if token.isupper() else "a") + last
+    else:
+        word, form = _NO_WORD.sub("", low), shape(token)
+    if form not in _shapes:
+        if len(_shapes) > MEMO_SIZE:
+            _shapes.clear()
+        _shapes[form] = zlib.crc32(b"shape " + form.encode("utf-8", "replace")) % BUCKETS
+    return (zlib.crc32(word.encode("utf-8", "replace")) % BUCKETS) * BUCKETS + _shapes[form]
+
+
+def _ids(text: str | None) -> np.ndarray:
     found = text.split() if text else []
-    if len(memo) > MEMO_SIZE:
-        memo.clear()
+    if len(_tokens) > MEMO_SIZE:
+        _tokens.clear()
     for t in set(found):
-        if t not in memo:
-            memo[t] = buckets(t)
-    return np.fromiter(map(memo.__getitem__, found), np.int64, len(found))
+        if t not in _tokens:
+            _tokens[t] = buckets(t)
+    return np.fromiter(map(_tokens.__getitem__, found), np.int64, len(found))
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -82,8 +100,18 @@ def context_sums(flat: np.ndarray, total: np.ndarray) -> None:
             left = flat[lo : lo + len(right)]
             ok = (left >= 0) & (right >= 0)
             left, right = left[ok], right[ok]
+            seen = np.flatnonzero(np.bincount(np.concatenate([left, right]), minlength=BUCKETS))
+            if len(seen) <= FEW:  # pairs of few buckets, as shapes are, are counted before they are spread
+                at = np.zeros(BUCKETS, np.int64)
+                at[seen] = np.arange(len(seen))
+                n = np.bincount(at[left] * len(seen) + at[right], minlength=len(seen) ** 2)
+                pair = np.flatnonzero(n)
+                left, right, n = seen[pair // len(seen)], seen[pair % len(seen)], n[pair]
+            else:
+                n = 1
             for x, y in ((left, right), (right, left)):
-                total += np.bincount((x[:, None] * SIZE + place[y]).ravel(), sign[y].ravel(), BUCKETS * SIZE).astype(np.int64)
+                weight = sign[y] * (n if isinstance(n, int) else n[:, None])
+                total += np.bincount((x[:, None] * SIZE + place[y]).ravel(), weight.ravel(), BUCKETS * SIZE).astype(np.int64)
 
 
 def word_vectors(docs: DataFrame, text_col: str) -> np.ndarray:
@@ -94,7 +122,6 @@ def word_vectors(docs: DataFrame, text_col: str) -> np.ndarray:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS * SIZE, np.int64)
-        memo: dict[str, int] = {}
         held, size = [], 0
         gap = np.full(REACH, -1)
 
@@ -106,7 +133,7 @@ def word_vectors(docs: DataFrame, text_col: str) -> np.ndarray:
 
         for b in batches:
             for text in b.column(0).to_pylist():
-                ids = _ids(text, memo)
+                ids = _ids(text)
                 held += [ids, gap]
                 size += len(ids) + 1
                 if size >= HELD_TOKENS:
@@ -142,18 +169,17 @@ def normed(total: np.ndarray) -> np.ndarray:
     return (total / np.maximum(1e-9, np.linalg.norm(total, axis=1, keepdims=True))).astype(np.float32)
 
 
-def features(vectors: np.ndarray, text: str | None, memo: dict[str, int]) -> np.ndarray:
+def features(vectors: np.ndarray, text: str | None) -> np.ndarray:
     """Mean vectors of words and of shapes, length, and the shares of repeated neighbours and of distinct tokens."""
-    both = _ids(text, memo)
+    both = _ids(text)
     n = len(both)
     out = np.zeros(2 * SIZE + 3)
     if n:
-        words, shapes = both // BUCKETS, both % BUCKETS
-        for lo in range(0, n, 50_000):
-            out[:SIZE] += vectors[words[lo : lo + 50_000]].sum(0)
-            out[SIZE : 2 * SIZE] += vectors[shapes[lo : lo + 50_000]].sum(0)
-        out[: 2 * SIZE] /= n
-        out[-3:] = np.log1p(n) / 10, np.mean(both[1:] == both[:-1]) if n > 1 else 0, len(np.unique(both)) / n
+        seen, count = np.unique(both, return_counts=True)
+        weight = (count / n).astype(np.float32)
+        out[:SIZE] = weight @ vectors[seen // BUCKETS]
+        out[SIZE : 2 * SIZE] = weight @ vectors[seen % BUCKETS]
+        out[-3:] = np.log1p(n) / 10, np.mean(both[1:] == both[:-1]) if n > 1 else 0, len(seen) / n
     return out
 
 
@@ -210,14 +236,14 @@ def train(x: np.ndarray, y: np.ndarray, steps: int = 400, rate: float = 0.01, de
 
 def _features_of(rows: DataFrame, id_col: str, extra: list[str], text_col: str, vectors, net: Network | None) -> DataFrame:
     """The extra columns with each text's features, or with its score if there is a network."""
-    shared = rows.sparkSession.sparkContext.broadcast((vectors, net, {}))
+    shared = rows.sparkSession.sparkContext.broadcast((vectors, net))
     kept = [id_col, *extra]
     kinds = dict(rows.dtypes)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, net, memo = shared.value
+        vectors, net = shared.value
         for b in batches:
-            x = np.stack([features(vectors, t, memo) for t in b.column(len(kept)).to_pylist()])
+            x = np.stack([features(vectors, t) for t in b.column(len(kept)).to_pylist()])
             last = pa.array(net.probabilities(x)) if net else pa.array([r.astype("<f4").tobytes() for r in x], pa.binary())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(kept)], last], names=[*kept, "x"])
 
