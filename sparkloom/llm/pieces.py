@@ -125,9 +125,39 @@ def segments(v: Vocabulary, text: str) -> list[str]:
 
 
 def best_path(v: Vocabulary, s: str) -> tuple[int, ...]:
-    """Ids of the most probable segmentation of ``s``."""
-    found = Encoder(v)
-    return tuple(found.feed(s) + found.finish())
+    """Ids of the most probable segmentation of ``s``: as ``Encoder`` finds it, which a text within one window doesn't need."""
+    if len(s) > v.longest:
+        found = Encoder(v)
+        return tuple(found.feed(s) + found.finish())
+    get, scores, byte, n = v.prefixes.get, v.scores, v.byte_score, len(s)
+    best, back, pick = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+    best[0] = 0
+    for j in range(n):
+        a, i = best[j], j + 1
+        k = get(s[j:i])
+        if k is None or k < 0:
+            if (x := a + byte * len(s[j].encode("utf-8", "surrogatepass"))) > best[i]:
+                best[i], back[i], pick[i] = x, j, -1
+        while k is not None:
+            if k >= 0 and (x := a + scores[k]) > best[i]:
+                best[i], back[i], pick[i] = x, j, k
+            i += 1
+            if i > n:
+                break
+            k = get(s[j:i])
+    out: list[int] = []
+    while n:
+        if pick[n] >= 0:
+            out.append(pick[n])
+        else:
+            out += _spelled(v, s[back[n] : n])
+        n = back[n]
+    return tuple(reversed(out))
+
+
+def _spelled(v: Vocabulary, c: str) -> list[int]:
+    """The ids of a character outside the vocabulary, the last one first."""
+    return [v.byte_ids[b] for b in reversed(c.encode("utf-8", "surrogatepass"))] if v.byte_ids else [v.unknown_id]
 
 
 class Encoder:
@@ -210,10 +240,8 @@ class Encoder:
             k = self.pick[at - base]
             if k >= 0:
                 found.append(k)
-            elif self.v.byte_ids:
-                found += [self.v.byte_ids[b] for b in reversed(self.odd[at - base].encode("utf-8", "surrogatepass"))]
             else:
-                found.append(self.v.unknown_id)
+                found += _spelled(self.v, self.odd[at - base])
             at = self.back[at - base]
         out += reversed(found)
         for x in (self.best, self.back, self.pick, self.odd):
