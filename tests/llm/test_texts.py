@@ -49,6 +49,10 @@ def test_streaming_viterbi_is_the_best_path(vocabulary):
             parts += encoder.feed(s[:k])
             s = s[k:]
         assert tuple(parts + encoder.finish()) == ids
+    for _ in range(200):  # within one window too
+        s = "".join(rng.choice(["the", "in", "x", "日", "é", "\U0001f600", "▁", "▁of"]) for _ in range(rng.randrange(1, 7)))[: v.longest]
+        encoder = pieces.Encoder(v)
+        assert pieces.best_path(v, s) == tuple(encoder.feed(s) + encoder.finish())
 
 
 def test_stream_keeps_a_window_only(vocabulary):
@@ -297,3 +301,111 @@ def test_every_text_with_a_letter_gets_a_learned_language(spark):
     assert all(got[i].lang_pred in ("de", "en") and 0 < got[i].score <= 1 / 3 for i in range(4))
     assert got[4].lang_pred == "en" and got[4].score == pytest.approx(13 / 22) and [s.lang for s in got[4].spans] == ["en", "und"]
     assert got[5].lang_pred == "und" and got[5].score == 0
+
+
+def plain_language(train, text, switch=langid.SWITCH):
+    """Fit and search as the docstring says it, word by word."""
+    def grams(w):
+        w = f"^{w}$"
+        return [w[max(0, i - 3) : i] for i in range(2, len(w) + 1)]
+
+    word = lambda t: __import__("regex").findall(r"\p{L}[\p{L}\p{M}]*", t.lower())
+    counts, letters = collections.defaultdict(collections.Counter), collections.defaultdict(collections.Counter)
+    for t, lang in train:
+        for w in word(t):
+            counts[lang].update(grams(w))
+            letters[lang][langid.script(w)] += len(w)
+    langs = sorted(counts)
+    every = {g for c in counts.values() for g in c}
+    total = {x: sum(counts[x].values()) for x in langs}
+    score = lambda x, w: sum(math.log((counts[x][g] + 0.5) / (total[x] + 0.5 * (len(every) + 1))) for g in grams(w))
+    used = lambda x, s: letters[x][s] / sum(letters[x].values()) >= langid.SCRIPT_SHARE
+    words = [w for w in word(text) if any(used(x, langid.script(w)) for x in langs)]
+    best = {x: (0.0, []) for x in langs}
+    for w in words:
+        top = max(best, key=lambda x: best[x][0])
+        new = {}
+        for x in langs:
+            value, path = max((best[x][0], best[x][1]), (best[top][0] - switch, best[top][1]), key=lambda p: p[0])
+            new[x] = (value + (score(x, w) if used(x, langid.script(w)) else -1e9), [*path, x])
+        best = new
+    path = max(best.values(), key=lambda p: p[0])[1]
+    by = collections.Counter()
+    for w, x in zip(words, path):
+        by[x] += len(w)
+    found = min(by, key=lambda x: (-by[x], x))
+    return found, by[found] / sum(len(w) for w in word(text))
+
+
+def test_language_fit_and_prediction_against_plain_version(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null and length(text) between 20 and 1500").orderBy("doc_id").collect()
+    train, ask = [(r.text, r.lang) for r in rows[:60] if r.lang], [r.text for r in rows[60:100]]
+    ask += [a[:200] + " " + b[:200] for a, b in zip(ask[:8], ask[8:16])] + [ask[0] + " λόγος", "кириллица " + ask[1]]
+    docs = spark.createDataFrame([(i, t, g, "s", 0) for i, (t, g) in enumerate(train)], DOCS)
+    got = {r.doc_id: r for r in langid.identify(documents(spark, ask), langid.fit(docs)).collect()}
+    for i, t in enumerate(ask):
+        lang, share = plain_language(train, t)
+        assert (got[i].lang_pred, pytest.approx(got[i].score)) == (lang, share)
+
+
+def test_word_vectors_against_plain_sums(spark, monkeypatch):
+    rng = random.Random(41)
+    texts = [" ".join(rng.choice(["Alpha", "beta,", "77", "x", "--"]) for _ in range(rng.randrange(12))) for _ in range(30)] + [None, "", "z" * 5000]
+    place, sign = quality.index_vectors()
+    total = np.zeros((quality.BUCKETS, quality.SIZE))
+    for t in texts:
+        both = [quality.buckets(x) for x in (t or "").split()]
+        for ids in ([b // quality.BUCKETS for b in both], [b % quality.BUCKETS for b in both]):
+            for i, x in enumerate(ids):
+                for j in range(max(0, i - quality.REACH), min(len(ids), i + quality.REACH + 1)):
+                    if i != j:
+                        for p, s in zip(place[ids[j]], sign[ids[j]]):
+                            total[x, p] += s
+    got = quality.word_vectors(documents(spark, texts).repartition(3), "text")
+    assert np.allclose(got, quality.normed(total), atol=1e-6)
+    flat = np.concatenate([np.array([1, 2, 1, 3]), np.full(quality.REACH, -1), np.array([2])])
+    whole, parts = np.zeros(quality.BUCKETS * quality.SIZE, np.int64), np.zeros(quality.BUCKETS * quality.SIZE, np.int64)
+    quality.context_sums(flat, whole)
+    monkeypatch.setattr(quality, "HELD_TOKENS", 2)
+    monkeypatch.setattr(quality, "FEW", 0)
+    quality.context_sums(flat, parts)
+    assert (whole == parts).all() and whole.any()
+
+
+def test_fast_ways_to_a_bucket_change_nothing():
+    for token in ("word", "WORD", "Word", "word,", "WORD!", "w_", "_", "a1", "1", "ß", "É!", "ａ", "don't", "x--", "", "word\x00"):
+        word = "".join(c for c in token.lower() if c.isalnum())
+        want = zlib.crc32(word.encode()) % quality.BUCKETS * quality.BUCKETS + zlib.crc32(b"shape " + quality.shape(token).encode()) % quality.BUCKETS
+        assert quality.buckets(token) == want, token
+
+
+def test_shapes_of_whole_tokens():
+    assert quality.shape("Abc-12--") == "a-0--" and quality.shape("X" * 1000 + "1") == "A0" and quality.shape("a" * 30 + "!!!!") == "a!!"
+
+
+def test_network_gradient_and_calibration():
+    rng = np.random.default_rng(42)
+    x = rng.normal(size=(3000, 6))
+    y = (rng.random(3000) < 1 / (1 + np.exp(-(1.5 * x[:, 0] - x[:, 1])))).astype(float)
+    net = quality.train(x, y)
+    p = net.probabilities(x)
+    for lo in np.arange(0, 1, 0.2):  # the mean of the labels in a bin is near the mean of the probabilities
+        inside = (p >= lo) & (p < lo + 0.2)
+        if inside.sum() > 50:
+            assert abs(y[inside].mean() - p[inside].mean()) < 0.08
+    z = (x - net.mean) / net.spread
+    assert np.allclose(net.logits(x), np.tanh(z @ net.w1 + net.b1) @ net.w2 + net.b2)
+
+
+def test_scores_are_those_of_features_and_network(spark):
+    rng = random.Random(43)
+    texts = [" ".join(rng.choice(["good", "Fine", "text", "words"] if i % 2 else ["###", "buy!!!", "1234", "CLICK"]) for _ in range(20)) for i in range(80)] + [None, ""]
+    docs = documents(spark, texts)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality.score_documents(docs, labels).collect()}
+    vectors = quality.word_vectors(docs, "text")
+    x = np.stack([quality.features(vectors, t) for t in texts])
+    rows = sorted((i, x[i].astype("<f4").tobytes(), float(i % 2)) for i in range(60))
+    net = quality.train(np.array([np.frombuffer(b, "<f4") for _, b, _ in rows], np.float64), np.array([y for _, _, y in rows]))
+    assert got == pytest.approx(dict(enumerate(net.probabilities(x).tolist())), abs=1e-4)
+    assert min(got[i] for i in range(61, 80, 2)) > max(got[i] for i in range(60, 80, 2))
