@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, lm_score, near_duplicates, pieces, quality, suffix_dedup, urls, warc
+from . import ann, hard_negatives, langid, lm_score, mixing, near_duplicates, pieces, product_codes, quality, suffix_dedup, urls, warc
 from .common import remainder, table
 from .decontaminate import decontaminate
 from .sentencepiece_codec import encode_documents
@@ -180,3 +180,84 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels", "doc_id", "quality").where(remainder("doc_id", 5) != 0)
     found = quality.score_documents(docs, labels)
     return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+ORACLES["op11_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.id AS a, b.id AS b, a.label = b.label AS same, list_sum(list_transform(list_zip(a.v, b.v), lambda x: x[1] * x[2]))::BIGINT AS s
+  FROM v a JOIN v b ON a.id % 50 = 0 AND a.id <> b.id),
+p AS (SELECT a, b AS p, s AS ps FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT a AS anchor_id, p AS positive_id, row_number() OVER (PARTITION BY a, p ORDER BY s DESC, b)::INTEGER AS rank, b AS negative_id, ps AS positive_score, s AS negative_score
+FROM p JOIN s USING (a) WHERE NOT same AND 50 * ps <= 100 * s AND 100 * s <= 95 * ps
+QUALIFY row_number() OVER (PARTITION BY a, p ORDER BY s DESC, b) <= 3
+"""
+
+
+@query
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.plan(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
+ORACLES["op12_mixing"] = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS n, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+-- sources stop in order of what they hold by weight; the share is that of the first place where the next one doesn't stop
+o AS (SELECT *, coalesce(sum(3 * n) OVER a, 0) AS given, sum(w) OVER b AS others, (SELECT sum(n) FROM s) AS whole FROM s
+  WINDOW a AS (ORDER BY n / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), b AS (ORDER BY n / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+e AS (SELECT whole - given AS num, others AS den FROM o WHERE 3 * n * others >= w * (whole - given) ORDER BY n / w, source LIMIT 1),
+t AS (SELECT source, n, CASE WHEN 3 * n * den < w * num THEN (3 * n)::DOUBLE ELSE (w * num)::DOUBLE / den::DOUBLE END AS target FROM s, e),
+r AS (
+  SELECT doc_id, size, n, target, CASE WHEN n > 0 THEN target / n ELSE 0 END AS rate,
+    ('0x' || substr(md5('1/' || coalesce('=' || t.source, '')), 1, 8))::UBIGINT::DOUBLE / 4294967296 AS u,
+    row_number() OVER (PARTITION BY t.source ORDER BY size, md5(doc_id::VARCHAR), doc_id) - 1 AS k
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+f AS (SELECT *, rate - floor(rate) AS part FROM r)
+SELECT doc_id, size, n AS source_size, target, (size * (floor(rate) + least(1, floor((k + 1) * part + u) - floor(k * part + u))))::BIGINT AS taken FROM f
+"""
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = product_codes.compress(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+    return found.select("vec_id", "code", "error", "label_error", F.lit(product_codes.books_digest(books)).alias("codebooks_sha256"))
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """One pair of tables for each round: what the parts are assigned to, and the entries after it."""
+    sql = f"""
+WITH k AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT vec_id, label, i, v[i * len(v) // {parts} + 1 : (i + 1) * len(v) // {parts}] AS v FROM k, range({parts}) t(i)),
+c0 AS (SELECT i, row_number() OVER (PARTITION BY i ORDER BY vec_id) - 1 AS e, v AS c FROM p QUALIFY e < {entries})"""
+    for n in range(rounds + 1):
+        sql += f""",
+a{n} AS MATERIALIZED (
+  SELECT vec_id, label, i, v, min(d * 1000 + e) % 1000 AS e, min(d) AS d
+  FROM (SELECT p.*, e, list_sum(list_transform(list_zip(v, c), lambda x: (x[1] - x[2]) * (x[1] - x[2])))::BIGINT AS d FROM p JOIN c{n} USING (i)) GROUP BY ALL)"""
+        if n < rounds:
+            sql += f""",
+s{n} AS (SELECT i, e, q, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT i, e, unnest(v) AS x, unnest(range(len(v))) AS q FROM a{n}) GROUP BY ALL),
+c{n + 1} AS MATERIALIZED (
+  SELECT i, e, coalesce(m, c) AS c FROM c{n} LEFT JOIN (SELECT i, e, list((s - ((s % n) + n) % n) // n ORDER BY q) AS m FROM s{n} GROUP BY i, e) USING (i, e))"""
+    return sql + f""",
+r AS (SELECT vec_id, label, string_agg(printf('%02x', e::INTEGER), '' ORDER BY i) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id, label)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY i, e)) FROM c{rounds}) AS codebooks_sha256
+FROM r
+"""
+
+
+ORACLES["op13_vector_codes"] = _codes_sql()
