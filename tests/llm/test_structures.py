@@ -368,8 +368,8 @@ def plain_templates(shapes):
     return {"/" + "/".join(k): "/" + "/".join(v) for k, v in out.items()}
 
 
-@pytest.mark.parametrize("seed", [31, 32, 33])
-def test_url_templates_against_plain_recursion(spark, seed):
+@pytest.mark.parametrize("seed, small", [(31, 1000), (32, 1000), (33, 1), (34, 12)])
+def test_url_templates_against_plain_recursion(spark, seed, small):
     rng = random.Random(seed)
     shapes = {}
     for _ in range(120):
@@ -378,12 +378,20 @@ def test_url_templates_against_plain_recursion(spark, seed):
         labelled = rng.randrange(n + 1)
         shapes[segs] = (n, labelled, rng.randrange(labelled + 1))
     rows = [("h", "/" + "/".join(k), *v) for k, v in shapes.items()] + [("other", "/a/b", 1, 0, 0)]
-    got = {(r.host, r.shape): r.template for r in urls.templates(spark.createDataFrame(rows, "host string, shape string, n long, labelled long, blocked long")).collect()}
+    got = {(r.host, r.shape): r.template for r in urls.templates(spark.createDataFrame(rows, "host string, shape string, n long, labelled long, blocked long"), small).collect()}
     want = plain_templates([(k, *v) for k, v in shapes.items()])
     assert got == {("h", k): t for k, t in want.items()} | {("other", "/a/b"): "/a/b"}
     assert any("*" in t for t in want.values())
 
 
+@pytest.mark.parametrize("small", [1, 1000])
+def test_urls_that_share_a_thousand_segments(spark, small):
+    deep = "/".join(f"s{'x' * (i % 3)}" for i in range(1000))
+    shapes = [f"/{deep}/{end}" for end in ("a", "b/c", "b", "d" * 9)] + [f"/{deep}"]
+    table = spark.createDataFrame([("h", x, 9, 0, 0) for x in shapes], "host string, shape string, n long, labelled long, blocked long")
+    assert sorted((r.shape, r.template) for r in urls.templates(table, small).collect()) == sorted((x, x) for x in shapes)
+
+
 def test_urls_long_repeated_and_with_clashing_columns(spark):
     rules = [("a.net", "/x/", "block")]
     long = "http://a.net/" + "/".join(f"s{i % 7}x{'y' * (i % 5)}" for i in range(300)) + "?" + "q" * 100_000
@@ -419,3 +427,10 @@ def test_repeated_rows_take_no_places_of_other_ids(spark):
     for q in (0, 5, 15):
         got = [r.vec_id for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q]
         assert got == [i for i in range(20) if i != q][:10]
+
+
+def test_suffix_dedup_of_ten_thousand_copies_of_a_row(spark):
+    text = " ".join(f"word{i * i % 101} and{i}" for i in range(60)) + " end"
+    docs = spark.range(10_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(text).alias("text")).unionByName(spark.createDataFrame([(2, "a text of its own")], "doc_id long, text string"))
+    got = collections.Counter((r.doc_id, r.n_removed, r.n_spans) for r in suffix_dedup.dedup(docs).collect())
+    assert got == {(1, len(text), 1): 10_000, (2, 0, 0): 1}
