@@ -500,7 +500,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     source = docs.select(F.unhex(F.md5(F.concat(known.cast("binary"), text))).alias("rid"), text.alias("text"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("row"))
     path = scratch(docs.sparkSession, "spans")
     found = repeated_spans(source.select("rid", "text"), length, gram)
-    found.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).write.parquet(path)
+    # a repeated row finds its spans once more with each copy
+    found.groupBy("rid").agg(F.collect_set(F.struct("start", "stop")).alias("spans")).write.parquet(path)
     spans = docs.sparkSession.read.schema("rid binary, spans array<struct<start: bigint, stop: bigint>>").parquet(path)
     hit = let_through(source, "rid", key_filter(spans, "rid")).join(spans, "rid").select("text", "spans", "row")
     row = hit.schema["row"].dataType
