@@ -216,29 +216,89 @@ def tokens(lines: DataFrame, size: int = LINES, fan: int = FAN) -> DataFrame:
     return cut(_mapped(chunks.join(states, ["doc", "chunk"]), run, "line_no bigint, at bigint, token string"))
 
 
-def non_code_ranges(lines: DataFrame, size: int = LINES, fan: int = FAN) -> DataFrame:
-    """(doc, start, end, kind) of all comments, strings, raw strings, characters and header names."""
-    chunks = cut(chunks_of(lines, size))
-    states = entered(cut(chunk_maps(chunks)), fan)
+def pieces_of(chunks: DataFrame) -> DataFrame:
+    """(doc, chunk, start, end, kind): ranges of ``chunks`` (doc, chunk, data, state), in bytes of the chunk; null where they go beyond it."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: tuple[list, ...] = ([], [], [], [], [], [])
-            for i, (chunk, data, state, start) in enumerate(zip(*(b.column(c).to_pylist() for c in ("chunk", "data", "state", "start")), strict=True)):
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for i, (chunk, data, state) in enumerate(zip(*(b.column(c).to_pylist() for c in ("chunk", "data", "state")), strict=True)):
                 found: list = []
                 scan(data, state, found)
                 for a, e, kind, before in found:
-                    for col, x in zip(out, (i, chunk, None if before else start + a, None if e is None else start + e, kind, start + len(data)), strict=True):
+                    for col, x in zip(out, (i, chunk, None if before else a, e, kind), strict=True):
                         col.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(out[0], pa.int64())), *(pa.array(c, t) for c, t in zip(out[1:], kinds, strict=True))], names=["doc", "chunk", "start", "end", "kind", "stop"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+            yield pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(out[0], pa.int64())), *(pa.array(c, t) for c, t in zip(out[1:], kinds, strict=True))], names=["doc", "chunk", "start", "end", "kind"])
+
+    return _mapped(chunks, run, "chunk bigint, start bigint, end bigint, kind string")
 
-    pieces = cut(_mapped(chunks.join(states, ["doc", "chunk"]), run, "chunk bigint, start bigint, end bigint, kind string, stop bigint"))
+
+def assembled(pieces: DataFrame, states: DataFrame) -> DataFrame:
+    """(doc, start, end, kind) from pieces and the places of chunks (doc, chunk, start, n_bytes)."""
+    at = states.select("doc", "chunk", F.col("start").alias("_at"))
+    pieces = cut(pieces.join(at, ["doc", "chunk"]).select("doc", "chunk", (F.col("start") + F.col("_at")).alias("start"), (F.col("end") + F.col("_at")).alias("end"), "kind"))
     whole = pieces.where("start IS NOT NULL AND end IS NOT NULL").select("doc", "start", "end", "kind")
     # at most two pieces of a chunk are open: the one that it is entered in and the one that it is left in
     later = Window.partitionBy("doc").orderBy("chunk", F.col("start").asc_nulls_first()).rowsBetween(1, Window.unboundedFollowing)
     ends = F.first("end", ignorenulls=True).over(later)
-    size_of = chunks.groupBy("doc").agg((F.sum(F.length("data")) - 1).alias("_size"))
+    size_of = states.groupBy("doc").agg((F.sum("n_bytes") - 1).alias("_size"))
     open_ = pieces.where("start IS NULL OR end IS NULL").withColumn("_end", ends).where("start IS NOT NULL").join(size_of, "doc")
     found = open_.select("doc", "start", F.coalesce("_end", "_size").alias("end"), "kind")
     return whole.unionByName(found).withColumn("end", F.col("end").cast("bigint"))
+
+
+def non_code_ranges(lines: DataFrame, size: int = LINES, fan: int = FAN) -> DataFrame:
+    """(doc, start, end, kind) of all comments, strings, raw strings, characters and header names."""
+    chunks, pieces = stored_scan(lines, size, fan)
+    return assembled(pieces, chunks)
+
+
+def stored_scan(lines: DataFrame, size: int = LINES, fan: int = FAN) -> tuple[DataFrame, DataFrame]:
+    """What a later ``rescan`` needs: chunks (doc, chunk, n_lines, n_bytes, map, state, start) and pieces (doc, chunk, start, end, kind)."""
+    data = cut(chunks_of(lines, size))
+    maps = cut(chunk_maps(data))
+    states = cut(entered(maps, fan))
+    n = data.select("doc", "chunk", _n_lines(F.col("data")).alias("n_lines"))
+    chunks = cut(maps.join(states, ["doc", "chunk"]).join(n, ["doc", "chunk"]).select("doc", "chunk", "n_lines", "n_bytes", "map", "state", "start"))
+    return chunks, cut(pieces_of(data.join(states, ["doc", "chunk"])))
+
+
+def _n_lines(data: Column) -> Column:
+    text = F.decode(data, "ISO-8859-1")
+    return (F.length(text) - F.length(F.replace(text, F.lit("\n")))).cast("bigint")
+
+
+def edited_chunks(lines: DataFrame, edits: DataFrame, size: int = LINES) -> DataFrame:
+    """Chunks of ``lines`` by their old numbers, where ``edits`` (doc, line_no, lines: array, empty to delete) stand for lines."""
+    rows = lines.join(edits.select("doc", "line_no", F.col("lines").alias("_new")), ["doc", "line_no"], "left")
+    rows = rows.select("doc", "line_no", F.coalesce("_new", F.array(F.coalesce("line", F.lit("")))).alias("x"), F.floor((F.col("line_no") - 1) / size).cast("bigint").alias("chunk"))
+    listed = F.array_sort(F.collect_list(F.struct("line_no", "x")))
+    ended = F.transform(F.flatten(F.transform(listed, lambda r: r.x)), lambda line: F.concat(line, F.lit("\n")))
+    return rows.groupBy("doc", "chunk").agg(F.array_join(ended, "").cast("binary").alias("data"))
+
+
+def rescan(chunks: DataFrame, pieces: DataFrame, lines: DataFrame, edits: DataFrame, size: int = LINES, fan: int = FAN) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The stored scan after ``edits``: chunks, pieces, and (doc, n_rescanned): lines that were read again.
+
+    Only chunks with an edit get a new map. All entry states follow from maps, and
+    only chunks with an edit, or whose entry state is not the stored one, are read
+    again: what follows an edit is left alone as soon as the states agree. Pieces
+    are kept in bytes of their chunk, so places behind an edit move with the
+    running sum of the chunks' sizes. A chunk may become empty.
+    """
+    touched = edits.select("doc", F.floor((F.col("line_no") - 1) / size).cast("bigint").alias("chunk")).distinct()
+    on = ["doc", "chunk"]
+    with_chunk = lines.withColumn("chunk", F.floor((F.col("line_no") - 1) / size).cast("bigint"))
+    anew = cut(edited_chunks(with_chunk.join(touched, on, "left_semi").drop("chunk"), edits, size))
+    maps = chunk_maps(anew).join(anew.select(*on, _n_lines(F.col("data")).alias("n_lines")), on)
+    old = chunks.select(*on, "n_lines", "n_bytes", "map", F.col("state").alias("before"))
+    maps = cut(old.join(touched, on, "left_anti").unionByName(maps.join(old.select(*on, "before"), on)))
+    states = entered(maps.select(*on, "n_bytes", "map"), fan)
+    now = cut(maps.join(states, on))
+    moved = now.where("state <> before").select(*on).join(touched, on, "left_anti")
+    again = edited_chunks(with_chunk.join(moved, on, "left_semi").drop("chunk"), edits, size)
+    dirty = cut(anew.unionByName(again).join(now.select(*on, "state", "n_lines"), on))
+    fresh = pieces_of(dirty.drop("n_lines"))
+    kept = pieces.join(dirty.select(*on), on, "left_anti").unionByName(fresh)
+    return now.drop("before"), cut(kept), dirty.groupBy("doc").agg(F.sum("n_lines").alias("n_rescanned"))

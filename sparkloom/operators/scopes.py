@@ -50,7 +50,7 @@ def matched(brackets: DataFrame, opens: Column) -> DataFrame:
 
 
 def statements(tokens: DataFrame) -> DataFrame:
-    """(doc, seg, at, stop, line_no, stop_line, n, text, ends): runs of tokens up to and without ``;``, ``{`` or ``}``; ``ends`` is that token (null at the end)."""
+    """(doc, seg, at, stop, line_no, stop_line, n, tokens, text, ends): runs of tokens up to and without ``;``, ``{`` or ``}``; ``ends`` is that token (null at the end)."""
     first = F.first("token").over(Window.partitionBy("doc", "line_no").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
     code = tokens.withColumn("_d", first).where("_d <> '#'").drop("_d")
     brace = F.col("token").isin("{", "}")
@@ -70,7 +70,7 @@ def statements(tokens: DataFrame) -> DataFrame:
         F.max(F.when(F.col("_ends"), F.struct("at", "line_no", "token"))).alias("_end"),
     )
     text = F.array_join(F.transform("_list", lambda x: x.token), " ")
-    return found.select("doc", "seg", "at", "stop", "line_no", "stop_line", "n", text.alias("text"), F.col("_end.token").alias("ends"), F.col("_end.at").alias("end_at"), F.col("_end.line_no").alias("end_line"))
+    return found.select("doc", "seg", "at", "stop", "line_no", "stop_line", "n", F.col("_list").alias("tokens"), text.alias("text"), F.col("_end.token").alias("ends"), F.col("_end.at").alias("end_at"), F.col("_end.line_no").alias("end_line"))
 
 
 def head_kind(text: Column) -> tuple[Column, Column]:

@@ -24,4 +24,4 @@ def query(oracle: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-from . import accuracy, clusters, context, decisions, folds, gates, graphs, joins, reports, resolution, scheduling, texts, edits, lookups, source  # noqa: E402, F401
+from . import accuracy, clusters, context, decisions, folds, gates, graphs, joins, reports, resolution, scheduling, texts, edits, lookups, source, changes  # noqa: E402, F401

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import joins, scanning, scopes as op, trees
+from ..operators import joins, scanning, scopes as op, symbols, trees
+from ..operators.lineage import cut
 from ..session import table
 from . import texts
 from .registry import query
@@ -195,3 +196,114 @@ def tree_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tree_patterns_in_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = table(spark, sf_dir, "documents", "doc_id").select(F.col("doc_id").alias("doc"), (40 * (F.col("doc_id") % 25)).alias("start"), (40 * (F.col("doc_id") % 25) + 30).alias("end"))
     return trees.twig_matches(source_nodes(spark, sf_dir), [("//", "namespace"), ("/", "type")], [[("//", "function")], [("//", "block")]], changed)
+
+
+_WORDS = "('int', 'void', 'char', 'class', 'public', 'enum', 'if', 'for', 'return', 'const', 'namespace', 'else')"
+_DECLARED = f"""{_NODES},
+around AS (SELECT doc, seg, pos, stop, token, r, lag(token) OVER (PARTITION BY doc ORDER BY pos) AS p, lead(token) OVER (PARTITION BY doc ORDER BY pos) AS n FROM seg),
+decl AS (
+  SELECT a.doc, a.pos, token AS name, s.start AS head,
+    CASE WHEN p = 'namespace' THEN 'namespace' WHEN p IN ('class', 'enum') THEN 'type' WHEN n = '(' THEN 'function' WHEN a.r > 0 AND k.kind = 'function' THEN 'parameter' ELSE 'variable' END AS kind
+  FROM around a JOIN statement s USING (doc, seg) LEFT JOIN kinded k USING (doc, seg)
+  WHERE regexp_matches(token, '^[A-Za-z_]') AND token NOT IN {_WORDS} AND (p IN ('namespace', 'class', 'enum') OR p IN ('int', 'void', 'char') AND n IN ('(', '=', ';', ',', ')')))"""
+
+
+def source_declared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    tokens = source_tokens(spark, sf_dir)
+    return tokens, cut(symbols.declarations(op.statements(tokens)))
+
+
+@query(f"WITH {_DECLARED} SELECT doc, pos AS \"at\", name, kind, head FROM decl")
+def declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_declared(spark, sf_dir)[1]
+
+
+_MEANT = f"""{_DECLARED},
+leveled AS (SELECT n.*, coalesce(level, 0) AS level FROM node n LEFT JOIN levels l ON l.doc = n.doc AND l.b = n.pre),
+owned AS (
+  SELECT d.doc, d.pos, d.name, d.kind, coalesce(max_by(n.pre, n.level), -1) AS scope, coalesce(max(n.level), -1) AS level
+  FROM decl d LEFT JOIN leveled n ON n.doc = d.doc AND CASE WHEN d.kind IN ('variable', 'parameter') THEN n.start <= d.pos AND d.pos < n."end" ELSE n.start < d.head AND d.head < n."end" END GROUP BY ALL),
+own AS (SELECT o.*, coalesce(n.kind = 'type', false) AS member FROM owned o LEFT JOIN leveled n ON n.doc = o.doc AND n.pre = o.scope),
+every AS (SELECT doc, line_no, pos, token AS name, lag(token) OVER (PARTITION BY doc ORDER BY pos) AS p FROM tokens),
+used AS (
+  SELECT e.doc, e.line_no, e.pos, e.name, coalesce(max_by(n.pre, n.level), -1) AS scope, coalesce(max(n.level), -1) AS level
+  FROM every e LEFT JOIN leveled n ON n.doc = e.doc AND n.start <= e.pos AND e.pos < n."end"
+  WHERE regexp_matches(name, '^[A-Za-z_]') AND name NOT IN {_WORDS} AND coalesce(p NOT IN ('.', '->', '::', '#'), true) AND (e.doc, e.pos) NOT IN (SELECT (doc, pos) FROM decl) GROUP BY ALL),
+up AS (SELECT doc, b AS pre, a AS above FROM inside UNION ALL SELECT doc, pre, pre FROM node UNION ALL SELECT doc, pre, -1 FROM node UNION ALL SELECT DISTINCT doc, -1, -1 FROM tokens),
+meant AS (
+  SELECT u.doc, u.line_no, u.pos, u.name, u.scope, u.level, o.pos AS decl, u.level - o.level AS steps
+  FROM used u JOIN up ON up.doc = u.doc AND up.pre = u.scope JOIN own o ON o.doc = u.doc AND o.name = u.name AND o.scope = up.above AND (o.member OR o.pos < u.pos)
+  QUALIFY row_number() OVER (PARTITION BY u.doc, u.pos ORDER BY o.level DESC, (o.pos < u.pos) DESC, CASE WHEN o.pos < u.pos THEN -o.pos ELSE o.pos END) = 1)"""
+
+
+def source_names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    """Declarations and uses with their scopes, the ancestors of scopes, and what the uses mean."""
+    tokens, declared = source_declared(spark, sf_dir)
+    nodes = trees.labelled(op.scopes(tokens).where("kind NOT IN ('preprocessor', 'template')").select("doc", "start", "end", "kind"))
+    used = cut(symbols.placed(symbols.references(tokens, declared), nodes, 2 * F.col("at")))
+    declared, above = cut(symbols.declared_in(declared, nodes)), symbols.ancestors(nodes)
+    return declared, used, above, cut(symbols.resolve(used, declared, above))
+
+
+@query(f"WITH {_MEANT} SELECT doc, pos AS \"at\", name, decl, steps FROM meant")
+def resolved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_names(spark, sf_dir)[3].select("doc", "at", "name", "decl", F.col("steps").cast("bigint").alias("steps"))
+
+
+_PLANNED = f"""{_MEANT},
+wanted AS (SELECT doc, pos AS decl, name AS old, scope AS own, member, level, CASE WHEN pos % 2 = 0 THEN 'w' || name ELSE 'm' || (pos % 5) END AS new FROM own WHERE name LIKE 'v_' AND kind IN ('variable', 'parameter')),
+mine AS (SELECT w.*, m.pos, m.scope, m.steps FROM wanted w JOIN (SELECT doc, pos, scope, decl, steps FROM meant UNION ALL SELECT doc, pos, scope, pos, 0 FROM own) m USING (doc, decl)),
+capture AS (
+  SELECT m.doc, m.decl, m.pos FROM mine m JOIN up ON up.doc = m.doc AND up.pre = m.scope JOIN own o ON o.doc = m.doc AND o.name = m.new AND o.scope = up.above AND (o.member OR o.pos < m.pos)
+  WHERE o.level >= m.level GROUP BY ALL),
+shadow AS (SELECT w.doc, w.decl, count(*) AS n FROM wanted w JOIN meant m ON m.doc = w.doc AND m.name = w.new JOIN up ON up.doc = m.doc AND up.pre = m.scope AND up.above = w.own WHERE m.level - w.level < m.steps AND (w.member OR w.decl < m.pos) GROUP BY ALL),
+planned AS (
+  SELECT doc, decl, old, new, count(*) AS n, (SELECT count(*) FROM capture c WHERE c.doc = m.doc AND c.decl = m.decl) AS captured, coalesce((SELECT s.n FROM shadow s WHERE s.doc = m.doc AND s.decl = m.decl), 0) AS shadows
+  FROM mine m GROUP BY doc, decl, old, new)"""
+
+
+def source_renames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    declared, used, above, meant = source_names(spark, sf_dir)
+    new = F.when(F.col("at") % 2 == 0, F.concat(F.lit("w"), "name")).otherwise(F.concat(F.lit("m"), (F.col("at") % 5).cast("string")))
+    wanted = declared.where("name LIKE 'v_' AND kind IN ('variable', 'parameter')").select("doc", F.col("at").alias("decl"), new.alias("new"))
+    return declared, meant, symbols.rename_plan(wanted, declared, meant, used, above)
+
+
+@query(f"WITH {_PLANNED} SELECT * FROM planned")
+def rename_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_renames(spark, sf_dir)[2]
+
+
+@query(
+    f"""WITH {_PLANNED}, place AS (SELECT m.doc, m.pos, m.old, m.new FROM mine m JOIN planned USING (doc, decl) WHERE captured = 0 AND shadows = 0),
+    pieces AS (SELECT k.doc, k.line_no, k.pos, CASE WHEN p.new IS NULL THEN piece ELSE p.new END AS piece FROM kinds k LEFT JOIN place p ON p.doc = k.doc AND p.pos = k.pos),
+    text AS (SELECT doc, string_agg(piece, '' ORDER BY pos) AS text FROM pieces GROUP BY doc),
+    again AS (SELECT doc, unnest(a) AS line, unnest(range(1, len(a) + 1)) AS line_no FROM (SELECT doc, string_split(text, chr(10)) AS a FROM text))
+    SELECT c.doc, c.line_no, c.line AS before, a.line AS after FROM c JOIN again a USING (doc, line_no) WHERE c.line <> a.line"""
+)
+def renamed_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that change where every rename without objection is made."""
+    declared, meant, plan = source_renames(spark, sf_dir)
+    free = cut(plan.where("captured = 0 AND shadows = 0"))
+    lines = source_lines(spark, sf_dir)
+    starts = cut(texts.op.offsets(lines).select("doc", "line_no", "start", (F.col("start") + F.octet_length("line")).alias("last")))
+    places = meant.select("doc", "at", "decl").unionByName(declared.select("doc", "at", F.col("at").alias("decl"))).join(free, ["doc", "decl"])
+    lined = joins.point_in_interval(places.select("doc", "at", "old", "new"), starts, ["doc"], "at", "start", "last", 4096)
+    done = symbols.renamed_lines(lines.withColumn("before", F.col("line")), starts.drop("last"), lined.select("doc", "line_no", "at", "old", "new"))
+    return done.where("before <> line").select("doc", "line_no", "before", F.col("line").alias("after"))
+
+
+_EDITED = _SCAN.replace("whole AS (SELECT doc, string_agg(line, chr(10) ORDER BY line_no) AS text FROM c GROUP BY doc)", """again AS (SELECT doc, line_no, 0 AS part, CASE WHEN doc % 2 = 0 AND line_no % 29 = 5 THEN '/* new' ELSE line END AS line FROM c WHERE NOT (doc % 2 = 0 AND line_no % 29 = 17)
+  UNION ALL SELECT doc, line_no, 1, line FROM c WHERE doc % 2 = 0 AND line_no % 29 = 5),
+whole AS (SELECT doc, string_agg(line, chr(10) ORDER BY line_no, part) AS text FROM again GROUP BY doc)""")
+
+
+@query(f"WITH {_EDITED} SELECT doc, pos AS start, stop AS \"end\", kind FROM kinds WHERE kind IS NOT NULL")
+def rescanned_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges of edited documents from the stored scan of what they were before."""
+    lines = cut(source_lines(spark, sf_dir))
+    changed = lines.where("doc % 2 = 0 AND line_no % 29 IN (5, 17)")
+    new = F.when(F.col("line_no") % 29 == 5, F.array(F.lit("/* new"), "line")).otherwise(F.array().cast("array<string>"))
+    stored = scanning.stored_scan(lines, 16)
+    chunks, pieces, _ = scanning.rescan(*stored, lines, changed.select("doc", "line_no", new.alias("lines")), 16)
+    return scanning.assembled(pieces, chunks)

@@ -5,7 +5,7 @@ import re
 
 import pytest
 from pyspark.sql import functions as F
-from sparkloom.operators import scanning, scopes, trees
+from sparkloom.operators import scanning, scopes, symbols, trees
 
 LINES = "doc long, line_no long, line string"
 
@@ -269,3 +269,151 @@ def test_twigs_with_and_without_ranges(spark, forest):
     touched = {m for m in want if any(s < e and plain[m[0]][m[1]].start < e and s < plain[m[0]][m[1]].end for s, e in ranges.get(m[0], []))}
     assert sorted(tuple(r) for r in trees.twig_matches(nodes, stem, branches, changed).collect()) == sorted(touched)
     assert trees.twig_matches(trees.labelled(spark.createDataFrame([], "doc long, start long, end long, kind string")), stem, branches).count() == 0
+
+
+DECLARED = """\
+namespace a::n1 {
+template <class T, class U> struct Box : Base<T> {
+  const std::map<int, T> items, *more = f(x, y), last;
+  explicit Box(int size, const T& init = T()) : n(size) { }
+  ~Box() { return; }
+  static Box<T>* make(unsigned long k);
+  virtual void g() const = 0;
+  bool operator==(const Box& other) const { return n == other.n; }
+};
+enum class Color : char { red };
+struct Fwd;
+struct Fwd object;
+int x = 1, y[3], *z;
+x = y * z;
+f(x);
+return x;
+delete x;
+auto l = [](int p, char) { go(p); };
+for (auto& item : list) { }
+for (int i = 0; i < n; i++) { a + b; }
+if (x * y) { }
+using T = int;
+}
+"""
+
+
+def test_declarations(spark):
+    tokens = scanning.tokens(lines_of(spark, {1: DECLARED}))
+    found = symbols.declarations(scopes.statements(tokens)).collect()
+    line = {t[1]: t[0] for t in plain_tokens(DECLARED)}
+    assert {(line[r["at"]], r.name, r.kind) for r in found} == {
+        (1, "n1", "namespace"), (2, "Box", "type"), (3, "items", "variable"), (3, "more", "variable"), (3, "last", "variable"), (4, "Box", "function"), (4, "size", "parameter"), (4, "init", "parameter"), (5, "Box", "function"),
+        (6, "make", "function"), (7, "g", "function"), (8, "operator", "function"), (8, "other", "parameter"), (10, "Color", "type"), (11, "Fwd", "type"), (12, "object", "variable"), (13, "x", "variable"), (13, "y", "variable"), (13, "z", "variable"),
+        (18, "l", "variable"), (18, "p", "parameter"), (19, "item", "variable"), (20, "i", "variable"),
+    }
+
+
+def plain_meaning(nodes, declared, used):
+    """Innermost declaration by walking up. ``nodes``: a plain tree; declared: (at, name, scope), used: (at, name, scope)."""
+    out = {}
+    for at, name, scope in used:
+        now, steps = scope, 0
+        while True:
+            here = [a for a, n, s in declared if n == name and s == now and (a < at or now >= 0 and nodes[now].kind == "type")]
+            if here:
+                out[at] = (max([a for a in here if a < at], default=min(here)), steps)
+                break
+            if now < 0:
+                break
+            now, steps = (-1 if nodes[now].parent is None else nodes[now].parent), steps + 1
+    return out
+
+
+@pytest.fixture(scope="module")
+def named(spark):
+    """A random tree of scopes with declarations and uses at random places."""
+    rng = random.Random(21)
+    plain, rows, declared, used = {}, [], {}, {}
+    for d in range(6):
+        spans = [(a, e, {"a": "type", "b": "function", "c": "block", "d": "namespace"}[k]) for a, e, k in random_tree(rng, 2, 200)]
+        plain[d] = plain_tree(spans)
+        rows += [(d, *s) for s in spans]
+        at = rng.sample(range(205), 120)
+        scope = lambda p, d=d: max((n.pre for n in plain[d] if n.start <= p < n.end), key=lambda i, d=d: plain[d][i].level, default=-1)
+        every = [(p, rng.choice("xyzw"), scope(p)) for p in at]
+        declared[d], used[d] = every[:50], every[50:]
+    nodes = trees.labelled(spark.createDataFrame(rows, "doc long, start long, end long, kind string"))
+    decl = spark.createDataFrame([(d, a, n, "variable", a) for d, t in declared.items() for a, n, _ in t], "doc long, at long, name string, kind string, head long")
+    use = spark.createDataFrame([(d, 1, a, n) for d, t in used.items() for a, n, _ in t], "doc long, line_no long, at long, name string")
+    return nodes, symbols.declared_in(decl, nodes).cache(), symbols.placed(use, nodes, 2 * F.col("at")).cache(), plain, declared, used
+
+
+def test_every_reference_means_the_innermost_visible_declaration(named):
+    nodes, decl, use, plain, declared, used = named
+    assert {(r.doc, r["at"]): r.scope for r in decl.collect()} == {(d, a): s for d, t in declared.items() for a, _, s in t}
+    got = {(r.doc, r["at"]): (r.decl, r.steps) for r in symbols.resolve(use, decl, symbols.ancestors(nodes)).collect()}
+    assert got == {(d, a): m for d in plain for a, m in plain_meaning(plain[d], declared[d], used[d]).items()}
+
+
+def test_ancestors_by_doubling(spark):
+    chain = trees.labelled(spark.createDataFrame([(1, i, 200 - i, "k") for i in range(37)], "doc long, start long, end long, kind string"))
+    got = {(r.pre, r.above): r.steps for r in symbols.ancestors(chain).collect()}
+    assert got == {(i, j): i - j for i in range(37) for j in range(-1, i + 1)}
+
+
+def test_a_rename_without_objection_keeps_every_meaning(spark, named):
+    nodes, decl, use, plain, declared, used = named
+    above = symbols.ancestors(nodes).cache()
+    found = symbols.resolve(use, decl, above).cache()
+    wanted = decl.where("name IN ('x', 'y')").select("doc", F.col("at").alias("decl"), F.when(F.col("name") == "x", "y").otherwise("w").alias("new"))
+    plans = symbols.rename_plan(wanted, decl, found, use, above).collect()
+    free = changed = 0
+    for p in plans:
+        d = p.doc
+        before = plain_meaning(plain[d], declared[d], used[d])
+        mine = {p.decl} | {a for a, m in before.items() if m[0] == p.decl}
+        assert p.n == len(mine)
+        put = lambda rows: [(a, p.new if a in mine else n, s) for a, n, s in rows]  # noqa: B023, E731
+        after = plain_meaning(plain[d], put(declared[d]), put(used[d]))
+        same = all(after.get(a, (None,))[0] == m[0] for a, m in before.items())
+        if not p.captured and not p.shadows:
+            free += 1
+            assert same
+        changed += not same
+    assert free and changed
+
+
+def test_names_are_replaced_at_byte_places(spark):
+    lines = lines_of(spark, {1: "é = é + ab; ab\nab"})
+    starts = spark.createDataFrame([(1, 1, 0), (1, 2, 17)], "doc long, line_no long, start long")
+    places = spark.createDataFrame([(1, 1, 0, "é", "long"), (1, 1, 10, "ab", "x"), (1, 2, 17, "ab", "ü")], "doc long, line_no long, at long, old string, new string")
+    got = {r.line_no: r.line for r in symbols.renamed_lines(lines, starts, places).collect()}
+    assert got == {1: "long = é + x; ab", 2: "ü"}
+
+
+@pytest.mark.parametrize("size, fan", [(1, 2), (4, 3)])
+def test_a_rescan_equals_a_scan_of_the_edited_text(spark, size, fan):
+    rng = random.Random(31)
+    texts = {d: made_up(rng, rng.randrange(20, 200)) for d in range(40)}
+    stored = scanning.stored_scan(lines_of(spark, texts), size, fan)
+    edits, after = [], {}
+    for d, t in texts.items():
+        lines = t.split("\n")
+        new = [[x] for x in lines]
+        for i in rng.sample(range(len(lines)), min(len(lines), rng.randrange(4))):
+            new[i] = [made_up(rng, 5).replace("\n", "") for _ in range(rng.randrange(3))]
+            edits.append((d, i + 1, new[i]))
+        after[d] = "\n".join(x for xs in new for x in xs)
+    changed = spark.createDataFrame(edits, "doc long, line_no long, lines array<string>")
+    chunks, pieces, n = scanning.rescan(*stored, lines_of(spark, texts), changed, size, fan)
+    got = sorted((r.doc, r.start, r.end, r.kind) for r in scanning.assembled(pieces, chunks).collect())
+    want = sorted((d, len(t[:a].encode()), len(t[:e].encode()), k) for d, t in after.items() for a, e, k in plain_ranges(t))
+    assert [x for x in got if x[1] < x[2]] == want
+    read = {r.doc: r.n_rescanned for r in n.collect()}
+    assert set(read) <= {d for d, *_ in edits} and 0 < sum(read.values()) < sum(t.count("\n") + 1 for t in after.values())
+
+
+def test_a_rescan_stops_where_the_states_agree(spark):
+    text = "int a;\n" * 50 + "/* b\n" * 20 + "*/\n" + "int c;\n" * 50
+    lines = lines_of(spark, {1: text, 2: text})
+    stored = scanning.stored_scan(lines, 5, 4)
+    edit = lambda line, *new: spark.createDataFrame([(1, line, list(new))], "doc long, line_no long, lines array<string>")
+    read = lambda e: {r.doc: r.n_rescanned for r in scanning.rescan(*stored, lines, e, 5, 4)[2].collect()}
+    assert read(edit(12, "int x; // y")) == {1: 5}
+    assert read(edit(12, "int x; /* y", "z")) == {1: 6 + 35 + 5}  # until the text is in a comment anyway
