@@ -13,6 +13,9 @@ SOURCE_SCORE = {"directory": 6, "extension": 2, "stem": 10, "prefix": 6, "includ
 SOURCE_LEAST, SETS = 12, 6
 # Shares of the new observation in a node's and a metric's consensus, and what a failed parse is worth.
 NODE_SHARE, METRIC_SHARE, FAILED = 0.15, 0.10, 0.5
+
+#: Values of a symbol that its averages are made from: what comes before so many others weighs less than 1e-46.
+LATEST = 1024
 # Folders whose files belong together.
 HEADER_DIRS, SOURCE_DIRS = ("include", "inc"), ("src", "source")
 
@@ -90,10 +93,12 @@ def graph_upsert(nodes: DataFrame, metrics: DataFrame, edges: DataFrame, parses:
     referred to, or lost an edge. Those seen without references count one.
     """
     seen = symbols.distinct().join(parses, "file").withColumn("v", F.when(F.col("success"), 1.0).otherwise(FAILED))
-    after = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("file"))) - 1
-    ranked = seen.withColumn("_a", after)
+    # a value's weight falls with the files after it, below any double's precision long before LATEST of them
+    after = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("file")))
+    ranked = seen.withColumn("_a", after).where(F.col("_a") <= LATEST).withColumn("_a", F.col("_a") - 1)
     weigh = lambda share: F.sum(F.col("v") * share * F.pow(F.lit(1.0 - share), F.col("_a")))
-    sums = ranked.groupBy("id").agg(F.count("*").alias("n"), F.max_by("v", "_a").alias("first"), weigh(NODE_SHARE).alias("node"), weigh(METRIC_SHARE).alias("metric"))
+    latest = ranked.groupBy("id").agg(weigh(NODE_SHARE).alias("node"), weigh(METRIC_SHARE).alias("metric"))
+    sums = seen.groupBy("id").agg(F.count("*").alias("n"), F.min_by("v", "file").alias("first")).join(latest, "id")
     targets = references.groupBy("file", "id").agg(F.sum(F.greatest("n", F.lit(1))).alias("n"))
     last = parses.groupBy().agg(F.max_by("success", "file").alias("s"))  # one row
     stub = F.when(F.col("s"), 1.0).otherwise(FAILED)
