@@ -171,7 +171,7 @@ def search(
         for b in batches:
             v = np.array(b.column("e").to_pylist(), kind)
             if len(v):
-                x = np.clip(v / scale, -1e100, 1e100)
+                x = np.clip(v.astype(np.float64) / scale, -1e100, 1e100)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "c1": squared(x[:, :half], b1).argmin(1).astype(np.int32),
@@ -193,7 +193,7 @@ def search(
             v = np.array(b.column("e").to_pylist(), kind)
             if not len(v):
                 continue
-            x = np.clip(v / scale, -1e100, 1e100)
+            x = np.clip(v.astype(np.float64) / scale, -1e100, 1e100)
             d1, d2 = squared(x[:, :half], b1), squared(x[:, half:], b2)
             cols: tuple[list, ...] = ([], [], [], [])
             for i, key in enumerate(b.column("key").to_pylist()):
