@@ -187,7 +187,8 @@ def splitters(pages: DataFrame, id_col: str, url_col: str) -> tuple[list[tuple],
     spark = pages.sparkSession
     pages = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"))
     n = pages.count()
-    drawn = pages.where(sample_test(SPLITTER_ROWS, n, "page_id", "url")).collect()
+    # equal rows are drawn together, so they count once
+    drawn = pages.where(sample_test(SPLITTER_ROWS, n, "page_id", "url")).distinct().collect()
     keys = sorted((url_key(r.url), captured(r.page_id), -1 if r.page_id is None else r.page_id) for r in drawn)
     parts = min(PARTS, -(-n // RANGE_ROWS))
     first = [keys[len(keys) * i // parts] for i in range(1, parts)] if keys else []
@@ -199,7 +200,7 @@ def splitters(pages: DataFrame, id_col: str, url_col: str) -> tuple[list[tuple],
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["part", "key", "time", "page_id"])
 
     ranges = -(-n // RANGE_ROWS)
-    placed = pages.where(sample_test(DRAWN * ranges, n, "url", "page_id")).mapInArrow(place, "part int, key string, time string, page_id bigint")
+    placed = pages.where(sample_test(DRAWN * ranges, n, "url", "page_id")).distinct().mapInArrow(place, "part int, key string, time string, page_id bigint")
     sorted_ = placed.groupBy("part").agg(F.array_sort(F.collect_list(F.struct("key", "time", "page_id"))).alias("keys"))
     cuts = F.filter("keys", lambda x, i: (i > 0) & (i % DRAWN == 0))
     at = scratch(spark, "splitters")
