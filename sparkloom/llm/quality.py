@@ -254,8 +254,9 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """``id_col`` and the calibrated probability ``score`` of label 1 for every row of ``docs``; ``labels`` are the rows that may be learnt from."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg((F.avg(label_col) >= 0.5).cast("double").alias("y"))
     chosen = known.where(sample_test(sample_docs, known.count(), id_col))
-    # about sample_docs rows of two numbers, so their size is known
-    sample = cut(docs.select(id_col, text_col).where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), id_col))
+    # about sample_docs rows of two numbers, so their size is known; of repeated ids the least text is learnt from
+    sample = docs.select(id_col, text_col).where(F.col(text_col).isNotNull()).join(F.broadcast(chosen), id_col)
+    sample = cut(sample.groupBy(id_col).agg(F.min(text_col).alias(text_col), F.max("y").alias("y")))
     vectors = word_vectors(docs, text_col)
     rows = _features_of(sample, id_col, ["y"], text_col, vectors, None).collect()
     rows.sort(key=lambda r: (r[0], r.x))

@@ -434,3 +434,12 @@ def test_suffix_dedup_of_ten_thousand_copies_of_a_row(spark):
     docs = spark.range(10_000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(text).alias("text")).unionByName(spark.createDataFrame([(2, "a text of its own")], "doc_id long, text string"))
     got = collections.Counter((r.doc_id, r.n_removed, r.n_spans) for r in suffix_dedup.dedup(docs).collect())
     assert got == {(1, len(text), 1): 10_000, (2, 0, 0): 1}
+
+
+def test_warc_of_ten_thousand_copies_of_a_row(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_ROWS", 500)
+    rows = spark.range(10_000).select(F.lit(7).cast("long").alias("page_id"), F.lit("http://h/a").alias("url"))
+    rows = rows.unionByName(spark.createDataFrame([(i, f"http://h/{i}") for i in range(100)], "page_id long, url string"))
+    first, inner = warc.splitters(rows, "page_id", "url")
+    assert len(first) <= warc.PARTS and len(set(first)) == len(first)
+    assert sum(len(r.cuts) for r in inner.collect()) <= 101

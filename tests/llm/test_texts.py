@@ -409,3 +409,14 @@ def test_scores_are_those_of_features_and_network(spark):
     net = quality.train(np.array([np.frombuffer(b, "<f4") for _, b, _ in rows], np.float64), np.array([y for _, _, y in rows]))
     assert got == pytest.approx(dict(enumerate(net.probabilities(x).tolist())), abs=1e-4)
     assert min(got[i] for i in range(61, 80, 2)) > max(got[i] for i in range(60, 80, 2))
+
+
+def test_quality_learns_one_text_of_a_repeated_id(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    one = labels.first().doc_id
+    copies = spark.range(10_000).select(F.lit(one).alias("doc_id"), F.concat(F.lit("copy "), (F.col("id") % 5).cast("string")).alias("text"))
+    seen, plain = [], quality.train
+    monkeypatch.setattr(quality, "train", lambda x, y: seen.append(len(y)) or plain(x, y))
+    assert quality.score_documents(docs.unionByName(copies), labels).count() == docs.count() + 10_000
+    assert seen == [labels.distinct().count()] or seen[0] <= labels.count()
