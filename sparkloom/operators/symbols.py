@@ -176,3 +176,15 @@ def renamed_lines(lines: DataFrame, starts: DataFrame, places: DataFrame) -> Dat
     put = lambda s, x: F.concat(F.substring(s, F.lit(1), x["i"]), raw(x["new"]), F.substring(s, x["i"] + 1 + F.octet_length(x["old"]), F.octet_length(s)))
     rows = lines.join(listed, on, "left")
     return rows.withColumn("line", F.when(F.col("_xs").isNull(), F.col("line")).otherwise(F.aggregate("_xs", raw(F.col("line")), put).cast("string"))).drop("_xs")
+
+
+def uncovered_labels(tokens: DataFrame, covered: DataFrame) -> DataFrame:
+    """(doc, name, at): the first constructor-initialiser label of each name that ``covered`` (doc, name, at) has places of, but not this one.
+
+    A label stands behind ``:`` or ``,`` and before ``(``, on one line.
+    """
+    w = Window.partitionBy("doc").orderBy("at")
+    beside = lambda shift, *words: shift("token").over(w).isin(*words) & (shift("line_no").over(w) == F.col("line_no"))
+    rows = tokens.withColumn("_l", beside(F.lag, ":", ",") & beside(F.lead, "(")).where("_l").select("doc", "at", F.col("token").alias("name"))
+    names = covered.select("doc", "name").distinct()
+    return rows.join(names, ["doc", "name"]).join(covered.select("doc", "name", "at"), ["doc", "name", "at"], "left_anti").groupBy("doc", "name").agg(F.min("at").alias("at"))
