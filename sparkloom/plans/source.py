@@ -314,10 +314,10 @@ LABELS = f"CASE line_no % 3 WHEN 0 THEN 'C' || ({_N} % 3) || '(int a) : m' || ({
 
 @query(
     f"""WITH {_SCAN.replace(SOURCE, LABELS)}, named AS (SELECT doc, pos, line_no, token AS name, lag(token) OVER w AS p, lag(line_no) OVER w AS pl, lead(token) OVER w AS n, lead(line_no) OVER w AS nl FROM tokens WINDOW w AS (PARTITION BY doc ORDER BY pos)),
-    covered AS (SELECT DISTINCT doc, name FROM named WHERE regexp_matches(name, '^[mk][0-9]$') AND pos % 3 = 0)
-    SELECT doc, name, min(pos) AS "at" FROM named SEMI JOIN covered USING (doc, name) WHERE p IN (':', ',') AND pl = line_no AND n = '(' AND nl = line_no AND pos % 3 <> 0 GROUP BY doc, name"""
+    covered AS (SELECT DISTINCT doc, name FROM named WHERE regexp_matches(name, '^[mk][0-9]$') AND pos % 7 < 3)
+    SELECT doc, name, min(pos) AS "at" FROM named SEMI JOIN covered USING (doc, name) WHERE p IN (':', ',') AND pl = line_no AND n = '(' AND nl = line_no AND pos % 7 >= 3 GROUP BY doc, name"""
 )
 def uncovered_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = scanning.tokens(texts.lines(spark, sf_dir, LABELS))
-    covered = tokens.where("token RLIKE '^[mk][0-9]$' AND at % 3 = 0").select("doc", F.col("token").alias("name"), "at")
+    covered = tokens.where("token RLIKE '^[mk][0-9]$' AND at % 7 < 3").select("doc", F.col("token").alias("name"), "at")
     return symbols.uncovered_labels(tokens, covered)
