@@ -95,15 +95,24 @@ def test_alignment_keeps_order_and_is_longest_on_single_items():
         assert len(layout.aligned(list(map(str, range(12))), list(map(str, ones)))) >= len(layout.increasing(ones)) - 1
 
 
-def test_aligned_declarations_equal_a_plain_alignment(spark, sf_dir):
+def versions_of(spark, sf_dir):
     declared = source.source_declared(spark, sf_dir)[1].select("doc", "at", F.concat_ws(" ", "kind", "name").alias("item"))
     versions = [{}, {}]
     for v, df in zip(versions, (declared, changes.edited_declarations(declared))):
         for r in df.collect():
             v.setdefault(r.doc, []).append((r["at"], r.item))
+    return versions
+
+
+def aligned_rows(spark, sf_dir):
     got = {}
     for r in registry.QUERIES["aligned_declarations"](spark, sf_dir).collect():
         got.setdefault(r.doc, []).append(r)
+    return got
+
+
+def test_aligned_declarations(spark, sf_dir):
+    versions, got = versions_of(spark, sf_dir), aligned_rows(spark, sf_dir)
     assert set(got) == set(versions[0]) | set(versions[1])
     for d, rows in got.items():
         a, b = ([x for _, x in sorted(v.get(d, []))] for v in versions)
@@ -112,8 +121,12 @@ def test_aligned_declarations_equal_a_plain_alignment(spark, sf_dir):
         assert all(a[r.i] == r.item for r in rows if r.i is not None) and all(b[r.j] == r.item for r in rows if r.j is not None)
         gone, new = (Counter(r.item for r in rows if r.change == c) for c in ("removed", "added"))
         assert not gone & new
+
+
+def test_validated_edits(spark, sf_dir):
+    got = aligned_rows(spark, sf_dir)
     verdicts = {r.doc: r for r in registry.QUERIES["validated_edits"](spark, sf_dir).collect()}
     for d, r in verdicts.items():
         n = Counter(x.change for x in got.get(d, []))
         assert (r.kept, r.moved, r.added, r.removed) == tuple(n[c] for c in ("kept", "moved", "added", "removed"))
-        assert ("declarations_removed" in r.failures) == (n["removed"] > 0) and ("errors_appeared" in r.failures) == (d % 21 == 0) and r.accepted == (r.failures == "")
+        assert ("declarations_removed" in r.failures) == (n["removed"] > 0) and ("errors_appeared" in r.failures) == (d % 21 == 0) and ("declarations_moved" in r.failures) == (n["moved"] > 0) and r.accepted == (r.failures == "")
