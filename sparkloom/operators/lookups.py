@@ -44,15 +44,22 @@ def source_consensus(targets: DataFrame, entries: DataFrame) -> DataFrame:
     """For each target (path, dir, stem, ext) the best entries (path, dir, stem, ext, args, include) with distinct arguments.
 
     Only a common stem, or a common folder with one stem beginning the other,
-    can reach the least score, so pairs come from these two equi-joins alone.
-    Targets in one folder with stems that begin alike are joined by the folder
-    and the stem's first character.
+    can reach the least score, so pairs come from equi-joins alone: by stem and
+    extension, by stem and folder, and by folder and the beginnings of a stem.
+    A score depends on folder, stem, extension and includes, so targets alike
+    in these are one, and so are entries with the same arguments, of which the
+    first by path stands for all.
     """
-    t = targets.select(*(F.col(c).alias(f"_{c}") for c in ("path", "dir", "stem", "ext")))
-    by_stem = t.join(entries, F.col("_stem") == F.col("stem"))
-    first = lambda c: F.substring(c, 1, 1)
-    by_folder = t.join(entries, (F.col("_dir") == F.col("dir")) & (first("_stem") == first("stem"))).where(F.col("_stem") != F.col("stem"))
-    pairs = by_stem.unionByName(by_folder)
+    of = [F.col(c).alias(f"_{c}") for c in ("dir", "stem", "ext")]
+    t = targets.select(*of).distinct()
+    e = entries.groupBy("dir", "stem", "ext", "args", "include").agg(F.min("path").alias("path"))
+    by_ext = t.join(e, (F.col("_stem") == F.col("stem")) & (F.col("_ext") == F.col("ext")))
+    by_dir = t.join(e, (F.col("_stem") == F.col("stem")) & (F.col("_dir") == F.col("dir")) & (F.col("_ext") != F.col("ext")))
+    starts = lambda d, c: d.withColumn("_b", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda n: F.substring(F.col(c), F.lit(1), n)))).where(F.length("_b") < F.length(c))
+    same_dir = F.col("_dir") == F.col("dir")
+    longer = t.join(starts(e, "stem"), same_dir & (F.col("_stem") == F.col("_b"))).drop("_b")
+    shorter = starts(t, "_stem").join(e, same_dir & (F.col("_b") == F.col("stem"))).drop("_b")
+    pairs = by_ext.unionByName(by_dir).unionByName(longer).unionByName(shorter)
     named = (F.col("_stem") != "") & (F.col("stem") != "")
     s = SOURCE_SCORE
     score = (
@@ -62,9 +69,12 @@ def source_consensus(targets: DataFrame, entries: DataFrame) -> DataFrame:
         + F.when((F.col("_dir") != "") & F.col("include").contains(F.col("_dir")), s["include"]).otherwise(0)
     )
     rows = pairs.withColumn("score", score).where(F.col("score") >= SOURCE_LEAST)
-    best = rows.groupBy(F.col("_path").alias("target"), "args").agg(F.min(F.struct((-F.col("score")).alias("s"), "path")).alias("x"))
-    place = F.row_number().over(Window.partitionBy("target").orderBy("x.s", "x.path"))
-    return best.withColumn("place", place).where(F.col("place") <= SETS).select("target", F.col("x.path").alias("path"), (-F.col("x.s")).alias("score"), "args", "place")
+    key = ["_dir", "_stem", "_ext"]
+    best = rows.groupBy(*key, "args").agg(F.min(F.struct((-F.col("score")).alias("s"), "path")).alias("x"))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("x.s", "x.path"))
+    best = best.withColumn("place", place).where(F.col("place") <= SETS)
+    found = targets.select(F.col("path").alias("target"), *of).distinct().join(best, key)
+    return found.select("target", F.col("x.path").alias("path"), (-F.col("x.s")).alias("score"), "args", "place")
 
 
 def context_kind(exact: Column, header: Column, paired: Column, consensus: Column, source: Column) -> Column:

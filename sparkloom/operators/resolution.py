@@ -92,7 +92,8 @@ def conflict_edges(cands: DataFrame, bucket: int = 16) -> DataFrame:
 
     Reasons: one policy or two on the same line, overlapping ranges (closed),
     or a common symbol within the larger radius. Each reason is an equi-join
-    of its own (line, bucket of lines, symbol), so nothing is crossed.
+    of its own (line, bucket of lines, symbol and bucket of lines), so nothing
+    is crossed: a symbol that is everywhere meets only what is near.
     """
     c = cands.select("id", "policy", "line", "s", "e", "symbols", "radius")
     left, right = ({x: f"{p}_{x}" for x in c.columns} for p in "ab")
@@ -102,9 +103,13 @@ def conflict_edges(cands: DataFrame, bucket: int = 16) -> DataFrame:
     same = a.join(b, F.col("a_line") == F.col("b_line")).where(pair)
     cells = lambda d, p: d.withColumn("_c", F.explode(F.sequence(F.floor(F.col(f"{p}_s") / bucket), F.floor(F.col(f"{p}_e") / bucket))))
     overlap = cells(a, "a").join(cells(b, "b"), "_c").where(pair & other & (F.col("a_s") <= F.col("b_e")) & (F.col("b_s") <= F.col("a_e")))
-    symbol = a.withColumn("_s", F.explode("a_symbols")).join(b.withColumn("_s", F.explode("b_symbols")), "_s").where(
-        pair & other & (F.abs(F.col("a_line") - F.col("b_line")) <= F.greatest("a_radius", "b_radius", F.lit(1)))
-    )
+    by_symbol = lambda d, p: d.withColumn("_s", F.explode(F.array_distinct(f"{p}_symbols")))
+    reach = F.greatest("a_radius", F.lit(1))
+    near = F.sequence(F.floor((F.col("a_line") - reach) / bucket), F.floor((F.col("a_line") + reach) / bucket))
+    # one of a pair reaches the other; which of them has the smaller id doesn't matter
+    met = by_symbol(a.withColumn("_c", F.explode(near)), "a").join(by_symbol(b.withColumn("_c", F.floor(F.col("b_line") / bucket)), "b"), ["_s", "_c"])
+    met = met.where(other & (F.col("a_id") != F.col("b_id")) & (F.abs(F.col("a_line") - F.col("b_line")) <= reach))
+    symbol = met.select(F.least("a_id", "b_id").alias("a_id"), F.greatest("a_id", "b_id").alias("b_id"))
     out = [F.col("a_id").alias("a"), F.col("b_id").alias("b")]
     return same.select(*out).union(overlap.select(*out)).union(symbol.select(*out)).distinct()
 
@@ -129,38 +134,82 @@ def component_threshold(richness: float) -> int:
     return int(min(max(32.0 * richness, 8.0), 64.0))
 
 
+#: Candidates of a component that one task takes; larger ones are solved by joins.
+IN_TASK = 10_000
+#: Rounds whose results are one union before they are written together.
+FLAT = 16
+
+
 def independent_set(cands: DataFrame, edges: DataFrame, richness: float = 0.5) -> DataFrame:
     """The candidates of greatest total weight without two that exclude each other, in every component.
 
     Small components are solved exactly (ties go to the smaller list of
-    (line, policy)); larger ones greedily, the heaviest first. Negative weights
-    count as 0. A component is one group, so it is bounded by the range of
-    conflicts.
+    (line, policy)); larger ones greedily, the heaviest first, then by
+    confidence, risk, line, policy and id. Negative weights count as 0 in exact
+    solutions. A component of up to IN_TASK candidates is one group, with
+    memory for its conflicts; of larger ones no task holds more than a part.
     """
     exact_up_to = component_threshold(richness)
-    near = edges.select("a", "b").union(edges.select("b", "a")).groupBy("a").agg(F.collect_list("b").alias("near"))
     of = components(cands.select("id"), edges)
-    rows = cands.select("id", "line", "policy", "weight", "confidence", "risk").join(of, "id").join(near, cands.id == near.a, "left").drop("a")
+    size = of.groupBy("component").agg(F.count("*").alias("_n"))
+    rows = cut(cands.select("id", "line", "policy", "weight", "confidence", "risk").join(of.join(size, "component"), "id"))
+    small = rows.where(F.col("_n") <= IN_TASK).drop("_n")
+    large = rows.where(F.col("_n") > IN_TASK).drop("_n")
+    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
+    near = both.join(small.select(F.col("id").alias("a")), "a", "left_semi").groupBy("a").agg(F.collect_list("b").alias("near"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["weight", "confidence", "risk", "line", "policy"], ascending=[False, False, True, True, True]).reset_index(drop=True)
+        pdf = pdf.sort_values(["weight", "confidence", "risk", "line", "policy", "id"], ascending=[False, False, True, True, True, True]).reset_index(drop=True)
         place = {i: k for k, i in enumerate(pdf["id"])}
-        bar = [0 if x is None else sum(1 << place[j] for j in x) for x in (None if v is None else list(v) for v in pdf["near"])]
-        keep = exact(pdf, bar) if len(pdf) <= exact_up_to else greedy(bar)
+        bar = [[] if x is None else [place[j] for j in x] for x in pdf["near"]]
+        keep = exact(pdf, [sum(1 << j for j in x) for x in bar]) if len(pdf) <= exact_up_to else greedy(bar)
         return pdf.loc[keep, ["component", "id", "line", "policy"]]
 
-    return rows.groupBy("component").applyInPandas(solve, "component bigint, id bigint, line bigint, policy string")
+    kind = "component bigint, id bigint, line bigint, policy string"
+    solved = small.join(near, small.id == near.a, "left").drop("a").groupBy("component").applyInPandas(solve, kind)
+    if large.isEmpty():
+        return solved
+    chosen = large.join(greedy_by_joins(large, edges), "id", "left_semi")
+    return solved.unionByName(chosen.select("component", "id", F.col("line").cast("bigint"), "policy"))
 
 
-def greedy(bar: list[int]) -> list[int]:
-    blocked, keep = 0, []
+def greedy(bar: list[list[int]]) -> list[int]:
+    blocked, keep = set(), []
     for i, b in enumerate(bar):
-        if not blocked >> i & 1:
+        if i not in blocked:
             keep.append(i)
-            blocked |= b
+            blocked.update(b)
     return keep
 
 
+def greedy_by_joins(cands: DataFrame, edges: DataFrame) -> DataFrame:
+    """The ids that ``greedy`` takes, for components of any size.
+
+    Every conflict points from the candidate that comes first to the other. In a
+    round, candidates that nothing points at are taken and what they point at
+    goes. The rounds are half the longest chain of candidates that each come
+    after the one before, not their number.
+    """
+    last = F.lit(float("inf"))
+    down = lambda c: F.coalesce(-F.col(c), last).alias(c)
+    rank = F.struct(down("weight"), down("confidence"), F.coalesce("risk", last).alias("risk"), "line", "policy", "id")
+    place = cands.select("id", rank.alias("rank"))
+    ends = edges.select("a", "b").where("a <> b").join(place.toDF("a", "ra"), "a").join(place.toDF("b", "rb"), "b")
+    first = F.col("ra") < F.col("rb")
+    arcs = cut(ends.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("first"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("id")).distinct())
+    rest, taken = cut(cands.select("id").distinct()), cands.select("id").limit(0)
+    n = 0
+    while not rest.isEmpty():
+        now = cut(rest.join(arcs, "id", "left_anti"))
+        taken, n = taken.union(now), n + 1
+        if n % FLAT == 0:
+            taken = cut(taken)
+        gone = cut(arcs.join(now.toDF("first"), "first", "left_semi").select("id").distinct())
+        rest = cut(rest.join(now.union(gone), "id", "left_anti"))
+        arcs = cut(arcs.join(gone, "id", "left_anti").join(gone.toDF("first"), "first", "left_anti"))
+    return taken
+
+
 def exact(pdf: pd.DataFrame, bar: list[int]) -> list[int]:
     """Best subset by branch and bound over rows in the order of weight."""
     w = [max(0.0, x) for x in pdf["weight"]]

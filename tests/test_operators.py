@@ -114,6 +114,61 @@ def test_independent_set_takes_the_two_smaller(spark):
     assert {r.id for r in resolution.independent_set(c, e).collect()} == {2, 3}
 
 
+def test_large_components_are_solved_by_joins_alike(spark, monkeypatch):
+    rng = random.Random(9)
+    c = [(i, rng.choice("pq"), rng.randrange(40), float(rng.randint(0, 5)), 0.5, rng.choice([None, 0, 1])) for i in range(300)]
+    e = list({(i, j) for i, j in ((rng.randrange(300), rng.randrange(300)) for _ in range(500)) if i < j} | {(i, i + 1) for i in range(299)})
+    cands = spark.createDataFrame(c, "id long, policy string, line long, weight double, confidence double, risk int")
+    edges = spark.createDataFrame(e, "a long, b long")
+    want = sorted(map(tuple, resolution.independent_set(cands, edges).collect()))
+    near = {i: {a + b - i for a, b in e if i in (a, b)} for i in range(300)}
+    order = sorted(c, key=lambda x: (-x[3], -x[4], float("inf") if x[5] is None else x[5], x[2], x[1], x[0]))
+    chosen = set()
+    for x in order:
+        if not near[x[0]] & chosen:
+            chosen.add(x[0])
+    assert {x[1] for x in want} == chosen
+    monkeypatch.setattr(resolution, "IN_TASK", 5)
+    assert sorted(map(tuple, resolution.independent_set(cands, edges).collect())) == want
+    assert resolution.independent_set(cands.limit(0), edges.limit(0)).count() == 0
+
+
+def test_conflicts_by_symbol_against_all_pairs(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(120):
+        line = rng.randrange(400)
+        rows.append((i, rng.choice("pqr"), line, line, line + rng.randrange(20), rng.sample("abc", rng.randint(0, 2)), rng.choice([0, 1, 3, 40])))
+    d = spark.createDataFrame(rows, "id long, policy string, line long, s long, e long, symbols array<string>, radius int")
+    want = set()
+    for x, y in itertools.combinations(rows, 2):
+        over, near = x[3] <= y[4] and y[3] <= x[4], abs(x[2] - y[2]) <= max(x[6], y[6], 1) and set(x[5]) & set(y[5])
+        if x[2] == y[2] or x[1] != y[1] and (over or near):
+            want.add((x[0], y[0]))
+    assert {(r.a, r.b) for r in resolution.conflict_edges(d).collect()} == want
+
+
+def test_source_consensus_against_all_pairs(spark):
+    rng = random.Random(6)
+    name = lambda: (rng.choice(["", "src", "lib"]), rng.choice(["", "a", "ab", "abc", "b", "bc"]), rng.choice(["", "cc", "cpp"]))
+    targets = [(i, *name()) for i in range(40)]
+    entries = [(i, *name(), rng.randrange(12), rng.choice(["-Isrc", "-Ilib -Isrc", ""])) for i in range(200)]
+    got = lookups.source_consensus(
+        spark.createDataFrame(targets, "path long, dir string, stem string, ext string"), spark.createDataFrame(entries, "path long, dir string, stem string, ext string, args long, include string")
+    )
+    want = set()
+    for path, d, stem, ext in targets:
+        best = {}
+        for q, qd, qs, qe, args, include in entries:
+            score = (6 if d and d == qd else 0) + (2 if ext and ext == qe else 0) + (1 if d and d in include else 0)
+            if stem and qs:
+                score += 10 if stem == qs else 6 if stem.startswith(qs) or qs.startswith(stem) else 0
+            if score >= 12:
+                best[args] = min(best.get(args, (0, 0)), (-score, q))
+        want |= {(path, q, -s, args, k) for k, (s, q, args) in enumerate(sorted((s, q, args) for args, (s, q) in best.items())[:6], 1)}
+    assert {(r.target, r.path, r.score, r.args, r.place) for r in got.collect()} == want
+
+
 def test_exact_set_against_all_subsets():
     import pandas as pd
 
