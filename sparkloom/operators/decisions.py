@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .gates import step_enforcement
+from .ranking import numbered
 from .resolution import style_gain, zone
 
 # Bits of the clauses that a proposal can touch.
@@ -228,19 +229,13 @@ def measurement(rows: DataFrame) -> DataFrame:
 
 
 def dynamic_order(rows: DataFrame) -> DataFrame:
-    """Policies (place, priority) in the order of their dynamic priority, then of their place: with ``position`` from 1."""
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy(*_group(rows)).orderBy("priority", "place")))
+    """Policies (run, place, priority) in the order of their dynamic priority within the run, then of their place: with ``position`` from 1."""
+    return numbered(rows, ["run"], ["priority", "place"])
 
 
 def repair_candidates(rows: DataFrame) -> DataFrame:
-    """Whitespace-safe policies with a repair weight above 0, the heaviest first, then by place: with ``position`` from 1."""
-    rows = rows.where(F.col("whitespace_safe") & (F.col("weight") > 0))
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy(*_group(rows)).orderBy(F.desc("weight"), "place")))
-
-
-def _group(rows: DataFrame) -> list[str]:
-    """Policies are ordered within a run, so no order is taken over a whole table."""
-    return ["run"]
+    """Whitespace-safe policies of a run with a repair weight above 0, the heaviest first, then by place: with ``position`` from 1."""
+    return numbered(rows.where(F.col("whitespace_safe") & (F.col("weight") > 0)), ["run"], [F.desc("weight"), "place"])
 
 
 def held_back(results: DataFrame) -> DataFrame:
@@ -275,6 +270,6 @@ def migrated(states: DataFrame, version: int) -> DataFrame:
 
 
 def fingerprint_lines(lines: Column) -> Column:
-    """A checksum of configuration lines: crc32 and length, in hexadecimal."""
+    """A checksum of configuration lines in one list: crc32 and length, in hexadecimal. ``joins.fingerprint_by_key`` takes lists of any length."""
     text = F.array_join(lines, "\n").cast("binary")
     return F.concat(F.lpad(F.lower(F.hex(F.crc32(text))), 8, "0"), F.lit("-"), F.lower(F.hex(F.octet_length(text).cast("bigint"))))

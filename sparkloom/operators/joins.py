@@ -12,6 +12,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,6 +93,49 @@ def fingerprint(rows: DataFrame, path: str) -> DataFrame:
     return rows.sparkSession.createDataFrame([(f"{crc:x}-{chars}",)], "fingerprint string")
 
 
+def fingerprint_by_key(lines: DataFrame, key: str, line: str) -> DataFrame:
+    """CRC-32 and length, in hexadecimal, of each key's lines in order and joined by line feeds.
+
+    Lines are dealt into sorted ranges whatever their key, so a key may hold
+    most of a table; what is put together by key is one row a range.
+    A null key is a key of its own and null lines are left out.
+    """
+    dealt = lines.select(F.col(key).alias("k"), F.col(line).alias("x")).where("x IS NOT NULL").repartitionByRange("k", "x").sortWithinPartitions("k", "x")
+    of = lines.schema[key].dataType.simpleString()
+
+    def read(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId()
+        now: list | None = None
+        for b in parts:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                raw = x.encode() + b"\n"
+                if now and now[0] == k:
+                    now[2:] = zlib.crc32(raw, now[2]), now[3] + len(raw)
+                else:
+                    if now:
+                        yield row(now, b.schema.field(0).type)
+                    now, kind = [k, at, zlib.crc32(raw), len(raw)], b.schema.field(0).type
+        if now:
+            yield row(now, kind)
+
+    def row(x: list, kind: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(x, (kind, pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["k", "part", "crc", "size"])
+
+    @F.pandas_udf("string")
+    def whole(parts: pd.Series) -> pd.Series:
+        def one(rows) -> str:
+            crc = size = 0
+            for r in rows:
+                crc, size = crc_combined(crc, r["crc"], r["size"]), size + r["size"]
+            return f"{crc_without_last(crc, b'\n'):08x}-{size - 1:x}"
+
+        return parts.map(one)
+
+    ranges = dealt.mapInArrow(read, f"k {of}, part int, crc bigint, size bigint")
+    found = ranges.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("part", "crc", "size"))).alias("parts"))
+    return found.select(F.col("k").alias(key), whole("parts").alias("fingerprint"))
+
+
 _POLY = 0xEDB88320
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .graphs import replace_edges
+from .ranking import numbered
 
 # What a source's compile arguments score for another's, the least score, and how many sets are taken.
 SOURCE_SCORE = {"directory": 6, "extension": 2, "stem": 10, "prefix": 6, "include": 1}
@@ -310,8 +311,8 @@ def changed_features(files: DataFrame, cache: DataFrame) -> tuple[DataFrame, Dat
 
 
 def registry_order(policies: DataFrame, settings: DataFrame) -> DataFrame:
-    """Enabled policies in the order of the registry (place)."""
-    return policies.join(settings.where("enabled").select("policy"), "policy", "left_semi").withColumn("position", F.row_number().over(Window.partitionBy("run").orderBy("place")))
+    """Enabled policies of a run in the order of the registry (place)."""
+    return numbered(policies.join(settings.where("enabled").select("policy"), "policy", "left_semi"), ["run"], ["place"])
 
 
 def observations(results: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import decisions as op
+from ..operators.joins import fingerprint_by_key
 from ..session import table
 from .registry import query
 
@@ -277,5 +278,5 @@ def migrated_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def config_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each brand as a configuration: its parts as settings, in order."""
-    lines = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_name", "p_size").groupBy("p_brand").agg(F.array_sort(F.collect_list(F.concat(F.lit("policy="), F.lpad(F.col("p_partkey").cast("string"), 12, "0"), F.lit(":"), "p_name"))).alias("lines"))
-    return lines.select("p_brand", op.fingerprint_lines(F.col("lines")).alias("fingerprint"))
+    line = F.concat(F.lit("policy="), F.lpad(F.col("p_partkey").cast("string"), 12, "0"), F.lit(":"), "p_name")
+    return fingerprint_by_key(table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_name").select("p_brand", line.alias("line")), "p_brand", "line")

@@ -169,6 +169,28 @@ def test_source_consensus_against_all_pairs(spark):
     assert {(r.target, r.path, r.score, r.args, r.place) for r in got.collect()} == want
 
 
+def test_places_within_keys_of_any_size(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["hot"] * 20 + ["a", None]), rng.randrange(5), i) for i in range(2000)]
+    d = spark.createDataFrame(rows, "run string, w int, id int").repartition(7)
+    got = {r.id: r.position for r in ranking.numbered(d, ["run"], [F.desc("w"), "id"]).collect()}
+    for key in ("hot", "a", None):
+        order = sorted((-w, i) for k, w, i in rows if k == key)
+        assert [got[i] for _, i in order] == list(range(1, len(order) + 1))
+    assert ranking.numbered(d.limit(0), ["run"], ["w"]).count() == 0
+
+
+def test_fingerprints_by_key(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["hot"] * 9 + ["a", None]), f"x={rng.randrange(900)}ä") for _ in range(1500)] + [("one", ""), ("a", None)]
+    got = joins.fingerprint_by_key(spark.createDataFrame(rows, "k string, line string").repartition(5), "k", "line")
+    want = {}
+    for k in ("hot", "a", None, "one"):
+        text = "\n".join(sorted(x for q, x in rows if q == k and x is not None)).encode()
+        want[k] = f"{zlib.crc32(text):08x}-{len(text):x}"
+    assert {r.k: r.fingerprint for r in got.collect()} == want
+
+
 def test_exact_set_against_all_subsets():
     import pandas as pd
 
