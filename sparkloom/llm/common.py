@@ -64,8 +64,10 @@ def _path(spark: SparkSession, name: str):
 def scratch_scope(spark: SparkSession):
     """Deletes the scratch tables made within; what is read from them must have been written elsewhere by then."""
     before = len(_made)
-    yield
-    discard(spark, *_made[before:])
+    try:
+        yield
+    finally:
+        discard(spark, *_made[before:])
 
 
 def discard(spark: SparkSession, *names: str) -> None:
