@@ -37,9 +37,10 @@ SIZE = 64
 PLACES = 4
 REACH = 2
 HIDDEN = 32
-#: Tokens that are counted together, and blocks of buckets that a task's sums are sent in.
+#: Tokens that are counted together, blocks of buckets that a task's sums are sent in, and shares of the tasks that are added up apart at first.
 HELD_TOKENS = 500_000
 BLOCKS = 16
+SHARES = 64
 #: Buckets up to which pairs are counted in a table.
 FEW = 1000
 #: Tokens that a worker remembers.
@@ -114,11 +115,26 @@ def context_sums(flat: np.ndarray, total: np.ndarray) -> None:
                 total += np.bincount((x[:, None] * SIZE + place[y]).ravel(), weight.ravel(), BUCKETS * SIZE).astype(np.int64)
 
 
-def word_vectors(docs: DataFrame, text_col: str) -> np.ndarray:
-    """The buckets' vectors, of length one, from all texts of ``docs``.
+_SUMS = pa.schema([("block", pa.int32()), ("at", pa.binary()), ("v", pa.binary())])
 
-    A task returns whole numbers by bucket, which are summed by block of buckets, so what reaches the driver has a fixed size.
-    """
+
+def _packed(k: int, part: np.ndarray) -> pa.RecordBatch:
+    """A block's buckets that anything was added to, with their sums in the fewest bytes that hold them."""
+    at = np.flatnonzero(part.any(1)).astype("<i4")
+    v = part[at]
+    kind = next(t for t in ("<i1", "<i2", "<i4", "<i8") if not v.size or np.abs(v).max() <= np.iinfo(t).max)
+    return pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at.tobytes()]), pa.array([v.astype(kind).tobytes()])], schema=_SUMS)
+
+
+def _spread(part: np.ndarray, at: bytes, v: bytes) -> None:
+    """Add what ``_packed`` made to a block."""
+    where = np.frombuffer(at, "<i4")
+    if len(where):
+        part[where] += np.frombuffer(v, f"<i{len(v) // (len(where) * SIZE)}").reshape(-1, SIZE)
+
+
+def task_sums(docs: DataFrame, text_col: str) -> DataFrame:
+    """By task and block of buckets: the buckets that the task's texts added to, and their sums."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS * SIZE, np.int64)
@@ -141,23 +157,36 @@ def word_vectors(docs: DataFrame, text_col: str) -> np.ndarray:
                     held, size = [], 0
         if held:
             count()
-        for k, part in enumerate(total.reshape(BLOCKS, -1)):
+        for k, part in enumerate(total.reshape(BLOCKS, -1, SIZE)):
             if part.any():
-                yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "v": pa.array([part.astype("<i8").tobytes()], pa.binary())})
+                yield _packed(k, part)
+
+    return docs.select(text_col).mapInArrow(tidy(run), "block int, at binary, v binary")
+
+
+def word_vectors(docs: DataFrame, text_col: str) -> np.ndarray:
+    """The buckets' vectors, of length one, from all texts of ``docs``.
+
+    A task returns whole numbers for the buckets it saw. They are summed in a
+    tree: by block and one of SHARES shares of the tasks, then by block, so that
+    no task adds up all others'. What reaches the driver has a fixed size.
+    """
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for b in batches:
-            for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(v, "<i8")
-        for k, v in sums.items():
-            yield pa.RecordBatch.from_pydict({"block": pa.array([k], pa.int32()), "v": pa.array([v.astype("<i8").tobytes()], pa.binary())})
-
-    parts = docs.select(text_col).mapInArrow(tidy(run), "block int, v binary").repartition(BLOCKS, "block").mapInArrow(tidy(add), "block int, v binary")
-    total = np.zeros((BLOCKS, BUCKETS * SIZE // BLOCKS))
-    for r in parts.collect():
-        total[r.block] = np.frombuffer(bytes(r.v), "<i8")
-    return normed(total.reshape(BUCKETS, SIZE))
+            for k, at, v in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                _spread(sums.setdefault(k, np.zeros((BUCKETS // BLOCKS, SIZE), np.int64)), at, v)
+        for k, part in sums.items():
+            yield _packed(k, part)
+
+    level = task_sums(docs, text_col)
+    for keys in (("block", F.spark_partition_id() % SHARES), ("block",)):
+        level = level.repartition(*keys).mapInArrow(tidy(add), level.schema)
+    total = np.zeros((BLOCKS, BUCKETS // BLOCKS, SIZE), np.int64)
+    for r in level.collect():  # a row a block
+        _spread(total[r.block], bytes(r.at), bytes(r.v))
+    return normed(total.reshape(BUCKETS, SIZE).astype(float))
 
 
 def normed(total: np.ndarray) -> np.ndarray:

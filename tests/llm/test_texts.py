@@ -361,8 +361,14 @@ def test_word_vectors_against_plain_sums(spark, monkeypatch):
                     if i != j:
                         for p, s in zip(place[ids[j]], sign[ids[j]]):
                             total[x, p] += s
+    many_total = 20 * total  # ``normed`` changes what it is given
     got = quality.word_vectors(documents(spark, texts).repartition(3), "text")
     assert np.allclose(got, quality.normed(total), atol=1e-6)
+    many = documents(spark, texts * 20).repartition(60)
+    assert np.allclose(quality.word_vectors(many, "text"), quality.normed(many_total), atol=1e-6)
+    # a task sends the buckets that it saw, each at least one of its words or shapes
+    sent = sum(len(r.at) // 4 for r in quality.task_sums(many, "text").collect())
+    assert sent <= 20 * sum(2 * len(set((t or "").split())) for t in texts)
     flat = np.concatenate([np.array([1, 2, 1, 3]), np.full(quality.REACH, -1), np.array([2])])
     whole, parts = np.zeros(quality.BUCKETS * quality.SIZE, np.int64), np.zeros(quality.BUCKETS * quality.SIZE, np.int64)
     quality.context_sums(flat, whole)
