@@ -49,6 +49,21 @@ def matched(brackets: DataFrame, opens: Column) -> DataFrame:
     return rows.where("_open").drop("_open", "stray")
 
 
+def unmatched(tokens: DataFrame) -> DataFrame:
+    """``tokens`` with ``bad``: braces, brackets and parentheses, each kind by itself, that close nothing or are never closed."""
+    token = F.col("token")
+    pair = F.when(token.isin("{", "}"), "{").when(token.isin("(", ")"), "(").when(token.isin("[", "]"), "[").otherwise("")
+    opens = token.isin("{", "(", "[")
+    step = F.when(F.col("_pair") == "", 0).when(opens, 1).otherwise(-1)
+    tokens = tokens.withColumn("_pair", pair).withColumn("_cell", F.when(F.col("_pair") == "", F.col("line_no")))
+    key = ["doc", "_pair", "_cell"]  # what is no bracket is not sorted with a text's others
+    rows = depths(tokens, step, *key)
+    rows = rows.withColumn("depth", F.col("depth") + F.when(step < 0, 1).otherwise(0))
+    behind = F.lead(opens).over(Window.partitionBy(*key, "stray", "depth").orderBy("at"))
+    bad = (F.col("_pair") != "") & (F.col("stray") | (opens & F.coalesce(behind, F.lit(True))))
+    return rows.withColumn("bad", bad).drop("_pair", "_cell", "depth", "stray")
+
+
 def statements(tokens: DataFrame) -> DataFrame:
     """(doc, seg, at, stop, line_no, stop_line, n, tokens, text, ends): runs of tokens up to and without ``;``, ``{`` or ``}``; ``ends`` is that token (null at the end)."""
     first = F.first("token").over(Window.partitionBy("doc", "line_no").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import joins, scanning, scopes as op, symbols, trees
 from ..operators.lineage import cut
+from ..operators.lookups import error_stats
 from ..session import table
 from . import texts
 from .registry import query
@@ -321,3 +322,14 @@ def uncovered_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = scanning.tokens(texts.lines(spark, sf_dir, LABELS))
     covered = tokens.where("token RLIKE '^[mk][0-9]$' AND at % 7 < 3").select("doc", F.col("token").alias("name"), "at")
     return symbols.uncovered_labels(tokens, covered)
+
+
+@query(
+    rf"""WITH {_SCAN}, b AS (SELECT doc, pos, line_no, token IN ('{{', '(', '[') AS o, CASE WHEN token IN ('{{', '}}') THEN 1 WHEN token IN ('(', ')') THEN 2 WHEN token IN ('[', ']') THEN 3 ELSE 0 END AS pair FROM tokens),
+    s AS (SELECT *, sum(CASE WHEN pair = 0 THEN 0 WHEN o THEN 1 ELSE -1 END) OVER (PARTITION BY doc, pair ORDER BY pos) AS s FROM b),
+    e AS (SELECT doc, line_no, CASE WHEN o THEN coalesce(min(s) OVER (PARTITION BY doc, pair ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) >= s, true) ELSE pair > 0 AND s < least(0, coalesce(min(s) OVER (PARTITION BY doc, pair ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) END AS bad FROM s)
+    SELECT doc, round(count(*) FILTER (bad) / count(*), 9) AS ratio, count(*) FILTER (bad) AS errors, coalesce(list_sort(list(DISTINCT line_no) FILTER (bad)), []) AS lines FROM e GROUP BY doc"""
+)
+def source_error_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = op.unmatched(source_tokens(spark, sf_dir)).select("doc", F.col("line_no").alias("line"), "bad")
+    return error_stats(nodes, ["doc"]).withColumn("ratio", F.round("ratio", 9))

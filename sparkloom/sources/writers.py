@@ -7,6 +7,9 @@ found by listing through Hadoop's file system, so any store serves.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -147,7 +150,22 @@ def load_state(spark: SparkSession, path: str, version: int, schema: str) -> Dat
 
 
 def write_compile_commands(files: DataFrame, path: str, include_root: str, standard: str) -> None:
-    """A compile database for ``files`` (path): an entry a file, with its folder and plain arguments, as lines of one JSON array's elements."""
+    """A compile database for ``files`` (path): an entry a file, with its folder and plain arguments.
+
+    Every file in ``path`` is one JSON array; each task writes its own.
+    """
     folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
     arguments = F.array(*(F.lit(x) for x in ("clang++", f"-std={standard}", "-x", "c++", "-fsyntax-only", f"-I{include_root}")), F.col("path"))
-    files.select(F.when(folder == "", include_root).otherwise(folder).alias("directory"), F.col("path").alias("file"), arguments.alias("arguments")).write.mode("overwrite").json(path)
+    entry = F.to_json(F.struct(F.when(folder == "", include_root).otherwise(folder).alias("directory"), F.col("path").alias("file"), arguments.alias("arguments")))
+
+    def array(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mark = "["
+        for b in batches:
+            lines = b.column(0).to_pylist()
+            if lines:
+                yield pa.RecordBatch.from_arrays([pa.array([mark + lines[0], *("," + x for x in lines[1:])])], names=["value"])
+                mark = ","
+        if mark == ",":
+            yield pa.RecordBatch.from_arrays([pa.array(["]"])], names=["value"])
+
+    files.select(entry.alias("value")).mapInArrow(array, "value string").write.mode("overwrite").text(path)

@@ -1,6 +1,7 @@
 """Fixed vectors and reference folds for what SQL does not check."""
 
 import itertools
+import json
 import random
 import zlib
 
@@ -429,5 +430,8 @@ def test_configuration_fingerprint(spark):
 
 def test_synthetic_compile_database(spark, tmp_path):
     writers.write_compile_commands(spark.createDataFrame([("src/a.cpp",), ("b.cpp",)], "path string"), str(tmp_path / "db"), "/inc", "c++20")
-    rows = {r.file: (r.directory, list(r.arguments)) for r in spark.read.json(str(tmp_path / "db")).collect()}
+    rows = {r.file: (r.directory, list(r.arguments)) for r in spark.read.option("multiLine", True).json(str(tmp_path / "db")).collect()}
+    arrays = [json.loads(p.read_text()) for p in (tmp_path / "db").glob("part-*") if p.stat().st_size]
+    assert sum(map(len, arrays)) == 2 and all(isinstance(x, list) for x in arrays)
+    assert {(r.file, tuple(r.args)) for r in readers.read_compile_commands(spark, str(tmp_path / "db")).collect()} == {(f, ("-std=c++20", "-x", "c++", "-fsyntax-only", "-I/inc")) for f in ("src/src/a.cpp", "/inc/b.cpp")}
     assert rows["src/a.cpp"] == ("src", ["clang++", "-std=c++20", "-x", "c++", "-fsyntax-only", "-I/inc", "src/a.cpp"]) and rows["b.cpp"][0] == "/inc"

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pytest
 from sparkloom.operators.folds import Kalman5
-from sparkloom.plans import registry, texts
+from sparkloom.plans import registry, resolution, texts
 
 from . import test_changes
 
@@ -54,6 +54,27 @@ def test_independent_set(spark, sf_dir):
         near[b].add(a)
     every = {r.id for r in rows(spark, sf_dir, "conflict_components")}
     assert chosen <= every and all(near[i] & chosen for i in every - chosen)  # nothing can be put in without a conflict
+    cands = {r.id: r for r in resolution._admissible(spark, sf_dir).collect()}
+    parts = collections.defaultdict(list)
+    for r in rows(spark, sf_dir, "conflict_components"):
+        parts[r.component].append(r.id)
+
+    def best(ids):
+        """The greatest weight of candidates without conflicts."""
+        if not ids:
+            return 0.0
+        return max(best(ids[1:]), max(0.0, cands[ids[0]].utility) + best([j for j in ids[1:] if j not in near[ids[0]]]))
+
+    for ids in parts.values():
+        mine = chosen & set(ids)
+        if len(ids) <= 16:
+            assert sum(max(0.0, cands[i].utility) for i in mine) == pytest.approx(best(ids), abs=1e-5)
+        else:
+            want = set()
+            for c in sorted((cands[i] for i in ids), key=lambda c: (-c.utility, -c.confidence, c.risk, c.line, c.policy, c.id)):
+                if not near[c.id] & want:
+                    want.add(c.id)
+            assert mine == want
 
 
 def test_order_of_batches(spark, sf_dir):

@@ -417,3 +417,22 @@ def test_a_rescan_stops_where_the_states_agree(spark):
     read = lambda e: {r.doc: r.n_rescanned for r in scanning.rescan(*stored, lines, e, 5, 4)[2].collect()}
     assert read(edit(12, "int x; // y")) == {1: 5}
     assert read(edit(12, "int x; /* y", "z")) == {1: 6 + 35 + 5}  # until the text is in a comment anyway
+
+
+def test_unmatched_brackets_against_stacks(spark):
+    rng = random.Random(12)
+    rows = [(d, i // 5, i, rng.choice("{}()[]a;")) for d in range(12) for i in range(rng.randrange(60))]
+    want = set()
+    for d in range(12):
+        for o, c in ("{}", "()", "[]"):
+            stack = []
+            for _, _, i, t in (r for r in rows if r[0] == d):
+                if t == o:
+                    stack.append(i)
+                elif t == c and stack:
+                    stack.pop()
+                elif t == c:
+                    want.add((d, i))
+            want |= {(d, i) for i in stack}
+    got = scopes.unmatched(spark.createDataFrame(rows, "doc long, line_no long, at long, token string")).collect()
+    assert len(got) == len(rows) and {(r.doc, r["at"]) for r in got if r.bad} == want
