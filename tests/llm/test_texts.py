@@ -133,6 +133,22 @@ def test_lm_base_against_plain_counts(spark, vocabulary, head):
         assert (r.score == 0) == (not texts[r.doc_id])
 
 
+def test_lm_score_learns_from_training_texts(spark, vocabulary):
+    rng = random.Random(4)
+    made = ["".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(4)) for _ in range(60)]
+    texts = [" ".join(rng.choice(made) for _ in range(40)) for _ in range(80)] + ["qxj zzwq unseen words"]
+    docs = documents(spark, texts)
+    found = {r.doc_id: r for r in lm_score.score_documents(docs, docs.where("doc_id % 4 <> 0 AND doc_id < 80"), vocabulary).collect()}
+    held = [found[i] for i in range(0, 80, 4)]
+    # words that training holds are about as likely to the model as to the base, and no score is missing or infinite
+    assert sum(r.score for r in held) > 1.2 * sum(r.base_score for r in held)
+    assert all(math.isfinite(r.score) and r.score < 0 for r in found.values())
+    # seen and unseen segments share one distribution: what is learnt takes from the rest
+    table, byte, whole = lm_score.learn(lm_score.count_training(docs, vocabulary).where("part").drop("part"), vocabulary)
+    assert sum(math.exp(x) for x in table.values() if x <= 0) + 256 * math.exp(byte) == pytest.approx(1)
+    assert sum(math.exp(x) for x in whole.values()) <= 1 + 1e-9
+
+
 def test_lm_meets_awkward_and_empty_tables(spark, vocabulary):
     d = awkward(spark)
     assert lm_score.score_documents(d, d, vocabulary).count() == d.count()
