@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from .gates import step_enforcement
 from .ranking import numbered
+from .reports import two_places
 from .resolution import style_gain, zone
 
 # Bits of the clauses that a proposal can touch.
@@ -114,11 +115,11 @@ def apply_decisions(edits: DataFrame, decisions: DataFrame, keys: list[str]) ->
     )
     first = edits.groupBy(*keys).agg(F.min_by("line", "id").alias("first"))
     why = F.when(F.size("reasons") == 0, "stable").otherwise(F.array_join("reasons", ","))
-    policy = F.col("policy")
+    policy, score, threshold = F.col("policy"), two_places(F.col("score")), two_places(F.col("threshold"))
     said = (
         F.when((F.col("outcome") == "Apply") & (F.col("base") != F.col("effective")), F.format_string("Adaptive tier for '%s': %s->%s (%s)", policy, "base", "effective", why))
-        .when(F.col("outcome") == "ApplyPartial", F.format_string("Adaptive partial apply for '%s' (dropped_lines=%d, score=%.2f, threshold=%.2f, reasons=%s)", policy, F.size("dropped"), "score", "threshold", why))
-        .when(F.col("outcome") == "Block", F.format_string("Adaptive decision blocked for '%s' (score=%.2f, threshold=%.2f, effective=%s, reasons=%s)", policy, "score", "threshold", "effective", why))
+        .when(F.col("outcome") == "ApplyPartial", F.format_string("Adaptive partial apply for '%s' (dropped_lines=%d, score=%s, threshold=%s, reasons=%s)", policy, F.size("dropped"), score, threshold, why))
+        .when(F.col("outcome") == "Block", F.format_string("Adaptive decision blocked for '%s' (score=%s, threshold=%s, effective=%s, reasons=%s)", policy, score, threshold, "effective", why))
     )
     messages = decisions.join(first, keys, "left").select(*keys, F.coalesce("first", F.lit(1)).alias("line"), said.alias("message")).where("message IS NOT NULL")
     return kept.drop("outcome", "dropped"), messages

@@ -27,9 +27,14 @@ def outcome(confidence: Column, n_edits: Column, n_blocked: Column) -> Column:
     )
 
 
+def two_places(x: Column) -> Column:
+    """A number with two decimals, rounded by its exact binary value as C does; Java's ``%.2f`` rounds the shortest decimal."""
+    return F.call_function("format_number", x.cast("double"), F.lit("0.00"))
+
+
 def reason(confidence: Column, score: Column, threshold: Column, first_blocked: Column) -> Column:
     """Why a policy was held back: the gate's numbers, else the first blocked line's reason, else null."""
-    gate = F.format_string("blocked by confidence gate (score=%.2f, threshold=%.2f)", F.coalesce(score, F.lit(0.0)), F.coalesce(threshold, F.lit(0.0)))
+    gate = F.format_string("blocked by confidence gate (score=%s, threshold=%s)", two_places(F.coalesce(score, F.lit(0.0))), two_places(F.coalesce(threshold, F.lit(0.0))))
     return F.when(confidence == "Block", gate).otherwise(first_blocked)
 
 
