@@ -294,10 +294,15 @@ def include_guards(lines: DataFrame, macro: DataFrame, inserts: DataFrame, mode:
 EMPTY_PARAMETERS = r"^(\s*(?:[A-Za-z_][A-Za-z0-9_:<>,*&]*\s+[*&]*)+)(~?[A-Za-z_][A-Za-z0-9_:]*)\s*\(\s*(?:void)?\s*\)(\s*(?:const|noexcept|override|final|->|\{|;|=|$))"
 
 
+#: The same lines for Java, whose groups recurse once a repetition: nothing is given back, so a line of any length needs no stack.
+#: A word stands in the loop only if no bracket follows it; the one before a bracket is the name.
+_EMPTY_PARAMETERS = r"^(\s*+(?:[A-Za-z_][A-Za-z0-9_:<>,*&]*+\s++[*&]*+(?!\())++)(~?[A-Za-z_][A-Za-z0-9_:]*+)\s*+\(\s*+(?:void)?+\s*+\)(\s*+(?:const|noexcept|override|final|->|\{|;|=|$))"
+
+
 def void_parameters(line: Column, require_void: bool = True) -> Column:
     """A declaration's empty parameter list in one form, with no space before it; a text approximation that leaves operators and statements alone."""
     statement = line.rlike(r"^\s*(return|else|new|delete|throw|case|goto|using|typedef)\b") | line.contains("operator")
-    return F.when(statement, line).otherwise(F.regexp_replace(line, EMPTY_PARAMETERS, "$1$2" + ("(void)" if require_void else "()") + "$3"))
+    return F.when(statement, line).otherwise(F.regexp_replace(line, _EMPTY_PARAMETERS, "$1$2" + ("(void)" if require_void else "()") + "$3"))
 
 
 def suggested_name(name: Column, prefix: Column) -> Column:

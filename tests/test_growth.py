@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import reports
+from sparkloom.operators import edits, reports
 
 
 def test_scores_are_rounded_by_their_binary_value(spark):
@@ -14,3 +14,10 @@ def test_scores_are_rounded_by_their_binary_value(spark):
     assert [r.s for r in rows] == [f"{r.x:.2f}" for r in rows]
     said = spark.range(1).select(reports.reason(F.lit("Block"), F.lit(0.305), F.lit(0.5), F.lit(None)).alias("r")).first().r
     assert said == "blocked by confidence gate (score=0.30, threshold=0.50)"
+
+
+def test_empty_parameters_behind_any_number_of_words(spark):
+    long = "word " * 100_000
+    rows = spark.createDataFrame([(long + "f ( );", ), (long, ), ("int  f ();", ), ("a b *(", ), ("int x (a);", )], "line string")
+    got = [r.x for r in rows.select(edits.void_parameters(F.col("line")).alias("x")).collect()]
+    assert got == [long + "f(void);", long, "int  f(void);", "a b *(", "int x (a);"]
