@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graphs as op
+from ..operators.lineage import cut
 from ..session import table
 from .registry import query
 
@@ -81,9 +82,12 @@ cn AS (SELECT * FROM pn WHERE id NOT IN (SELECT id FROM gone))"""
 
 @query(f"WITH {_E}, {_P}, {_CN} SELECT id, is_file, last_seen FROM cn")
 def cap_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = edges(spark, sf_dir)
-    n, kept = op.prune_stale(nodes(e), e, NOW - RETENTION)
-    return op.cap_nodes(n, op.cap_edges(kept, 2000), 11000).select("id", "is_file", "last_seen")
+    # each step's tables are read several times by the next ones, so they are cut
+    e = cut(edges(spark, sf_dir))
+    n, kept = op.prune_stale(cut(nodes(e)), e, NOW - RETENTION)
+    kept = cut(kept)
+    n = cut(n)
+    return op.cap_nodes(n, cut(op.cap_edges(kept, 2000)), 11000).select("id", "is_file", "last_seen")
 
 
 @query(f"WITH {_E}, {_M}, {_P}, {_CN} SELECT m.id, n_refs, n_files, {NOW}::BIGINT AS removed FROM m WHERE id NOT IN (SELECT id FROM cn)")
