@@ -14,6 +14,9 @@ from pyspark.sql.window import Window
 from .lineage import cut
 from .ranking import first_k
 
+#: Ids that are sent to every task; more are joined by a shuffle.
+FEW = 200_000
+
 
 def upsert(edges: DataFrame) -> DataFrame:
     """One row an edge: weights added (each at least 1), the latest time kept."""
@@ -64,6 +67,7 @@ def cap_nodes(nodes: DataFrame, edges: DataFrame, most: int) -> DataFrame:
 
     The surplus is cut by ranges of the removal order, so no single task sorts all nodes.
     """
+    nodes = cut(nodes)  # read three times
     surplus = max(0, nodes.count() - most)
     if not surplus:
         return nodes
@@ -103,24 +107,30 @@ def impact(edges: DataFrame, metrics: DataFrame, changed: DataFrame, hops: int,
     """
     frontier_cap = min(max(max_files * 8, 64), 4096)
     file_cap, symbol_cap = min(max(max_files * 4, 24), 768), min(max(max_files * 3, 32), 1024)
-    links = edges.groupBy("src", "dst").agg(F.max(F.greatest("weight", F.lit(1))).alias("weight"))
-    fan = links.groupBy("dst").agg(F.count("*").alias("fanout"))
     q = quality(F.col("consensus"), F.col("n_refs"), F.col("n_files"), F.col("fanout"))
-    symbols = fan.join(metrics.withColumnRenamed("id", "dst"), "dst", "left").select("dst", "fanout", q.alias("quality"))
-    links, symbols = cut(links), cut(symbols)
-    visited = changed.select("id", F.lit(0).alias("hop"), F.lit(1.0).alias("score"))
-    frontier = visited
+    linked = lambda e: e.groupBy("src", "dst").agg(F.max(F.greatest("weight", F.lit(1))).alias("weight"))
+    few = lambda rows, n: F.broadcast(rows) if n <= FEW else rows
+    # edges are met through the ids that a hop needs, so that of a graph of any size only their links are moved
+    visited = cut(changed.select("id", F.lit(0).alias("hop"), F.lit(1.0).alias("score")))
+    frontier, n = visited, visited.count()
     for hop in range(1, hops + 1):
+        from_ids = few(frontier.select(F.col("id").alias("src")).distinct(), n)
+        own = linked(edges.join(from_ids, "src", "left_semi"))
         by_file = Window.partitionBy("src").orderBy(F.desc("weight"), "dst")
-        out = links.join(frontier.select(F.col("id").alias("src"), F.col("score").alias("base")), "src").withColumn("r", F.row_number().over(by_file)).where(F.col("r") <= file_cap)
-        steps = out.select(F.col("src").alias("via"), "dst", "base", F.col("weight").alias("w1"))
-        others = links.join(visited.select(F.col("id").alias("src")), "src", "left_anti").join(steps.select("dst").distinct(), "dst", "left_semi")
+        out = own.join(few(frontier.select(F.col("id").alias("src"), F.col("score").alias("base")), n), "src").withColumn("r", F.row_number().over(by_file)).where(F.col("r") <= file_cap)
+        steps = cut(out.select(F.col("src").alias("via"), "dst", "base", F.col("weight").alias("w1")))
+        met = cut(steps.select("dst").distinct())
+        to_ids = few(met, n * file_cap)
+        near = cut(linked(edges.join(to_ids, "dst", "left_semi")))
+        known = metrics.join(few(met.withColumnRenamed("dst", "id"), n * file_cap), "id", "left_semi").withColumnRenamed("id", "dst")
+        symbols = near.groupBy("dst").agg(F.count("*").alias("fanout")).join(known, "dst", "left").select("dst", "fanout", q.alias("quality"))
+        others = near.join(visited.select(F.col("id").alias("src")), "src", "left_anti")
         by_symbol = Window.partitionBy("dst").orderBy(F.desc("weight"), "src")
         others = others.withColumn("r", F.row_number().over(by_symbol)).where(F.col("r") <= symbol_cap)
         penalty = F.least(F.greatest(1 / F.sqrt(F.greatest("fanout", F.lit(1))), F.lit(0.06)), F.lit(1.0))
         score = F.col("base") + (F.col("w1") + F.col("weight")) * 0.5 * F.col("quality") * penalty
         reached = steps.join(others, "dst").join(symbols, "dst").groupBy(F.col("src").alias("id")).agg(F.max(score).alias("score"))
-        frontier = cut(reached.orderBy(F.desc("score"), "id").limit(frontier_cap).select("id", F.lit(hop).alias("hop"), "score"))
+        frontier, n = cut(reached.orderBy(F.desc("score"), "id").limit(frontier_cap).select("id", F.lit(hop).alias("hop"), "score")), frontier_cap
         visited = visited.unionByName(frontier)
     return visited.where("hop > 0").orderBy("hop", F.desc("score"), "id").limit(max_files)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import edits, reports
+from sparkloom.operators import edits, graphs, reports
 from sparkloom.plans import registry
 
 
@@ -29,3 +29,20 @@ def test_candidates_are_ranked_by_kind_of_customer(spark, sf_dir):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     # every window is above the distinct kinds, none above single customers
     assert all("c_custkey" not in line for line in plan.splitlines() if "Window" in line or "windowspecdefinition" in line)
+
+
+def test_capped_nodes_read_lineitem_once(spark, sf_dir):
+    plan = registry.QUERIES["cap_nodes"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan and "LogicalRDD" in plan  # only tables that were cut are left
+
+
+def test_impact_moves_only_links_that_a_hop_meets(spark):
+    near = [("f1", "s1", 1), ("f2", "s1", 2), ("f2", "s2", 1), ("f3", "s2", 4)]
+    far = [(f"g{i}", f"t{i % 977}", 1) for i in range(20_000)]
+    e = spark.createDataFrame([(a, b, "contains", w, 1) for a, b, w in near + far], "src string, dst string, kind string, weight long, last_seen long")
+    total = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    m = graphs.reference_counts(e).withColumn("consensus", F.lit(0.5))
+    before = total()
+    found = graphs.impact(e, m, spark.createDataFrame([("f1",)], "id string"), 2, 20).collect()
+    assert [(r.id, r.hop) for r in found] == [("f2", 1), ("f3", 2)]
+    assert total() - before < 50_000
