@@ -270,9 +270,15 @@ def companions(files: DataFrame, listing: DataFrame) -> DataFrame:
     segs = F.split("dir", "/")
     swap = lambda s, a, b: F.when(F.lower(s).isin(*a), F.array(*map(F.lit, b))).when(F.lower(s).isin(*b), F.array(*map(F.lit, a))).otherwise(F.array().cast("array<string>"))
     twins = F.flatten(F.transform(F.sequence(F.lit(0), F.size(segs) - 1), lambda i: F.transform(swap(F.get(segs, i), HEADER_DIRS, SOURCE_DIRS), lambda r: F.array_join(F.transform(segs, lambda s, k: F.when(k == i, r).otherwise(s)), "/"))))
-    places = files.withColumn("_d", F.explode(F.array_distinct(F.concat(F.array("dir"), twins))))
-    others = listing.select(F.col("path").alias("companion"), F.col("dir").alias("_d"), "stem", F.col("header").alias("_h"))
-    return places.join(others, ["_d", "stem"]).where(F.col("_h") != F.col("header")).select("path", "companion").distinct()
+    places = files.withColumn("_d", F.explode(F.array_distinct(F.concat(F.array("dir"), twins)))).select("path", "_d", "stem", "header").distinct()
+    # a path that is listed once meets a place once, so of all pairs only those with paths listed in several places have to be made distinct
+    listed = listing.groupBy(F.col("path").alias("companion")).agg(F.collect_set(F.struct(F.col("dir").alias("_d"), "stem", F.col("header").alias("_h"))).alias("xs"))
+
+    def pairs(some: DataFrame) -> DataFrame:
+        others = some.select("companion", F.explode("xs").alias("x")).select("companion", "x.*")
+        return places.join(others, ["_d", "stem"]).where(F.col("_h") != F.col("header")).select("path", "companion")
+
+    return pairs(listed.where(F.size("xs") == 1)).unionByName(pairs(listed.where(F.size("xs") > 1)).distinct())
 
 
 def first_companion(source: DataFrame, listing: DataFrame, roots: list[str], extensions: list[str]) -> DataFrame:

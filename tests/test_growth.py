@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import edits, graphs, reports
+from sparkloom.operators import edits, graphs, lookups, reports
 from sparkloom.plans import registry
 
 
@@ -46,3 +46,15 @@ def test_impact_moves_only_links_that_a_hop_meets(spark):
     found = graphs.impact(e, m, spark.createDataFrame([("f1",)], "id string"), 2, 20).collect()
     assert [(r.id, r.hop) for r in found] == [("f2", 1), ("f3", 2)]
     assert total() - before < 50_000
+
+
+def test_companions_are_not_shuffled_as_pairs(spark):
+    kind = "path long, dir string, stem string, header boolean"
+    files = spark.createDataFrame([(i, "b", "s", i % 2 == 0) for i in range(600)], kind)
+    total = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+    before = total()
+    assert lookups.companions(files, files).count() == 2 * 300 * 300
+    assert total() - before < 200_000
+    # paths that are listed in several places are told once
+    twice = spark.createDataFrame([(1, "a/src", "s", False), (2, "a/inc", "s", True), (2, "a/src", "s", True), (2, "a/src", "s", True)], kind)
+    assert sorted(tuple(r) for r in lookups.companions(twice, twice).collect()) == [(1, 2), (2, 1)]
