@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -43,11 +43,10 @@ def applied(lines: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:
     return lines.join(last, [*keys, "line_no"], "left").withColumn("line", F.coalesce("_after", "line")).drop("_after")
 
 
-def _tried(lines: DataFrame, edits: DataFrame, tries: DataFrame, errors: Errors) -> DataFrame:
-    """(doc, try, errors) of ``tries`` (doc, try, back: edits taken back)."""
-    text = lines.join(tries.select("doc", "try"), "doc")
-    kept = edits.join(tries, "doc").where(~F.array_contains("back", F.col("edit"))).drop("back")
-    return errors(applied(text, kept, ["doc", "try"]))
+def _edited(lines: DataFrame, keep: Callable[[Column], Column]) -> DataFrame:
+    """(doc, try, line_no, line): ``lines`` (doc, try, line_no, line, edits: in order, with edit and after) with the last of the edits to ``keep``."""
+    last = F.try_element_at(F.filter("edits", keep), F.lit(-1))
+    return lines.select("doc", "try", "line_no", F.coalesce(last["after"], "line").alias("line"))
 
 
 def least_rollback(lines: DataFrame, edits: DataFrame, errors: Errors = bracket_errors) -> tuple[DataFrame, int]:
@@ -55,14 +54,22 @@ def least_rollback(lines: DataFrame, edits: DataFrame, errors: Errors = bracket_
 
     ``lines`` (doc, line_no, line), ``edits`` (doc, edit, line_no, after), ``errors``: from lines with a column ``try`` to (doc, try, errors).
     Verdicts: accept, partial (``back`` are taken back) or rollback (all are).
+    Lines meet their edits once. In a round each line gets the parts that its edits are in, and then one row a try.
     """
-    lines = lines.select("doc", "line_no", "line").join(edits.select("doc").distinct(), "doc", "left_semi")
     every = edits.groupBy("doc").agg(F.array_sort(F.collect_set("edit")).alias("all"))
-    first = every.select("doc", F.explode(F.array(F.struct(F.lit(0).alias("try"), F.array().cast(every.schema["all"].dataType).alias("back")), F.struct(F.lit(1).alias("try"), F.col("all").alias("back")))).alias("x")).select("doc", "x.*")
-    seen = _tried(lines, edits, first, errors).groupBy("doc").agg(F.max(F.when(F.col("try") == 1, F.col("errors"))).alias("before"), F.max(F.when(F.col("try") == 0, F.col("errors"))).alias("after"))
+    none = F.array().cast(every.schema["all"].dataType)
+    there = edits.where("edit IS NOT NULL").groupBy("doc", "line_no").agg(F.array_sort(F.collect_list(F.struct("edit", "after"))).alias("edits"))
+    base = cut(lines.select("doc", "line_no", "line").join(every.select("doc"), "doc", "left_semi").join(there, ["doc", "line_no"], "left"))
+    # with all edits (0) and with none (1)
+    seen = errors(_edited(base.withColumn("try", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("edits", F.when(F.col("try") == 0, F.col("edits"))), lambda x: F.lit(True)))
+    seen = seen.groupBy("doc").agg(F.max(F.when(F.col("try") == 1, F.col("errors"))).alias("before"), F.max(F.when(F.col("try") == 0, F.col("errors"))).alias("after"))
     start = cut(every.join(seen, "doc"))
     # what each document takes back, and into how many parts that is cut next
     state = cut(start.where("after > before").select("doc", "before", F.col("all").alias("back"), F.lit(2).alias("parts")))
+    base = cut(base.join(state.select("doc"), "doc", "left_semi"))
+    n = F.size("back")
+    # the part of the edit at a place (from 0) of ``back``: part i begins at floor(i * n / parts)
+    part = lambda place: F.floor(((place + 1).cast("bigint") * F.col("parts") - 1) / n).cast("int")
     rounds, done = 0, []
     while True:
         done.append(state.where("parts = 0").select("doc", "back"))
@@ -70,30 +77,29 @@ def least_rollback(lines: DataFrame, edits: DataFrame, errors: Errors = bracket_
         if state.isEmpty():
             break
         rounds += 1
-        n = F.size("back")
-        parts = F.greatest(F.lit(1), F.least(F.col("parts"), n))
-        split = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.slice(F.col("back"), F.floor(i * n / parts).cast("int") + 1, F.floor((i + 1) * n / parts).cast("int") - F.floor(i * n / parts).cast("int")))
-        cutup = state.withColumn("split", split)
-        tries = cutup.select("doc", "before", "back", F.posexplode("split").alias("try", "part")).withColumn("back", F.array_except("back", "part"))
-        tested = _tried(lines, edits, tries.select("doc", "try", "back"), errors)
-        free = tested.join(cutup.select("doc", "before"), "doc").where("errors <= before").groupBy("doc").agg(F.array_sort(F.collect_set("try")).alias("free"))
-        found = cutup.join(free, "doc", "left").withColumn("free", F.coalesce("free", F.array().cast("array<int>")))
-        pick = lambda ids: F.array_except("back", F.flatten(F.transform(ids, lambda i: F.element_at("split", i + 1))))
-        found = cut(found.withColumns({"one": pick(F.slice("free", 1, 1)), "many": pick(F.col("free"))}))
-        both = found.where(F.size("free") > 1).select("doc", F.lit(0).alias("try"), F.col("many").alias("back"))
-        fits = _tried(lines, edits, both, errors).select("doc", F.col("errors").alias("_e"))
+        state = state.withColumn("parts", F.greatest(F.lit(1), F.least(F.col("parts"), n)))
+        # -1: not in ``back``
+        parted = F.transform("edits", lambda x: F.named_struct(F.lit("part"), F.when(F.array_contains("back", x["edit"]), part(F.array_position("back", x["edit"]) - 1)).otherwise(-1), F.lit("after"), x["after"]))
+        text = base.join(state, "doc").select("doc", "line_no", "line", parted.alias("edits"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("try"))
+        tested = errors(_edited(text, lambda x: (x["part"] == -1) | (x["part"] == F.col("try"))))
+        free = tested.join(state.select("doc", "before"), "doc").where("errors <= before").groupBy("doc").agg(F.array_sort(F.collect_set("try")).alias("free"))
+        found = state.join(free, "doc", "left").withColumn("free", F.coalesce("free", F.array().cast("array<int>")))
+        without = lambda ids: F.filter("back", lambda x, i: ~F.array_contains(ids, part(i)))
+        found = cut(found.withColumns({"one": without(F.slice("free", 1, 1)), "many": without(F.col("free"))}))
+        both = found.where(F.size("free") > 1).select("doc", F.lit(0).alias("try"), "many")
+        fits = errors(_edited(base.join(both, "doc"), lambda x: ~F.array_contains("many", x["edit"]))).select("doc", F.col("errors").alias("_e"))
         found = found.join(fits, "doc", "left")
         back = F.when(F.size("free") == 0, F.col("back")).when(F.col("_e") <= F.col("before"), F.col("many")).otherwise(F.col("one"))
         smaller = F.size("free") > 0
         found = found.withColumn("_b", back)
-        whole = F.col("parts") >= F.size("back")
+        whole = F.col("parts") >= n
         # parts of one edit that were all needed end the search; after a smaller rollback, parts stay as large as they were
-        left = F.greatest(F.lit(1), F.ceil(F.col("parts") * F.size("_b") / F.greatest(F.lit(1), F.size("back"))).cast("int"))
-        nxt = F.when(F.size("_b") == 0, 0).when(smaller & whole, F.size("_b")).when(smaller, F.least(2 * left, F.size("_b"))).when(whole, 0).otherwise(F.least(2 * F.col("parts"), F.size("back")))
+        left = F.greatest(F.lit(1), F.ceil(F.col("parts") * F.size("_b") / F.greatest(F.lit(1), n)).cast("int"))
+        nxt = F.when(F.size("_b") == 0, 0).when(smaller & whole, F.size("_b")).when(smaller, F.least(2 * left, F.size("_b"))).when(whole, 0).otherwise(F.least(2 * F.col("parts"), n))
         state = cut(found.select("doc", "before", F.col("_b").alias("back"), nxt.alias("parts")))
     taken = done[0]
     for d in done[1:]:
         taken = taken.unionByName(d)
-    found = start.join(cut(taken), "doc", "left").withColumn("back", F.coalesce("back", F.array().cast(every.schema["all"].dataType)))
+    found = start.join(cut(taken), "doc", "left").withColumn("back", F.coalesce("back", none))
     verdict = F.when(F.size("back") == 0, "accept").when(F.size("back") == F.size("all"), "rollback").otherwise("partial")
     return found.select("doc", verdict.alias("verdict"), "back", F.col("before").alias("errors_before"), F.col("after").alias("errors_after")), rounds

@@ -70,3 +70,16 @@ def test_single_bad_edits_are_found_in_logarithmic_rounds(spark):
 
 def test_no_edits_give_no_verdicts(spark):
     assert checkpoints.least_rollback(spark.createDataFrame([(1, 1, "{")], LINES), spark.createDataFrame([], EDITS))[0].count() == 0
+
+
+def test_tries_meet_no_edits_by_joins(spark):
+    lines = spark.createDataFrame([(1, i, "x") for i in range(1, 9)], LINES)
+    edits = spark.createDataFrame([(1, i, i, "{" if i == 3 else "{}") for i in range(1, 9)], EDITS)
+    joins = []
+
+    def errors(text):
+        joins.append(text._jdf.queryExecution().optimizedPlan().toString().count("Join"))
+        return checkpoints.bracket_errors(text)
+
+    found, _ = checkpoints.least_rollback(lines, edits, errors)
+    assert [r.back for r in found.collect()] == [[3]] and max(joins) <= 1
