@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -95,7 +98,8 @@ def conflict_edges(cands: DataFrame, bucket: int = 16) -> DataFrame:
     of its own (line, bucket of lines, symbol and bucket of lines), so nothing
     is crossed: a symbol that is everywhere meets only what is near.
     """
-    c = cands.select("id", "policy", "line", "s", "e", "symbols", "radius")
+    # read six times
+    c = cut(cands.select("id", "policy", "line", "s", "e", "symbols", "radius"))
     left, right = ({x: f"{p}_{x}" for x in c.columns} for p in "ab")
     a, b = c.withColumnsRenamed(left), c.withColumnsRenamed(right)
     pair = (F.col("a_id") < F.col("b_id"))
@@ -150,27 +154,63 @@ def independent_set(cands: DataFrame, edges: DataFrame, richness: float = 0.5) -
     memory for its conflicts; of larger ones no task holds more than a part.
     """
     exact_up_to = component_threshold(richness)
+    edges = cut(edges.select("a", "b"))
     of = components(cands.select("id"), edges)
     size = of.groupBy("component").agg(F.count("*").alias("_n"))
     rows = cut(cands.select("id", "line", "policy", "weight", "confidence", "risk").join(of.join(size, "component"), "id"))
-    small = rows.where(F.col("_n") <= IN_TASK).drop("_n")
+    single = rows.where(F.col("_n") == 1).where("weight > 1e-6 AND NOT isnan(weight)")
+    small = rows.where((F.col("_n") > 1) & (F.col("_n") <= min(exact_up_to, IN_TASK)))
+    middle = rows.where((F.col("_n") > min(exact_up_to, IN_TASK)) & (F.col("_n") <= IN_TASK)).drop("_n")
     large = rows.where(F.col("_n") > IN_TASK).drop("_n")
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    near = both.join(small.select(F.col("id").alias("a")), "a", "left_semi").groupBy("a").agg(F.collect_list("b").alias("near"))
+    both = edges.union(edges.select("b", "a")).distinct()
+    near = both.groupBy("a").agg(F.collect_list("b").alias("near"))
+    out = ["component", "id", F.col("line").cast("bigint").alias("line"), "policy"]
+    solved = single.select(*out).unionByName(_exact_rows(small, near))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["weight", "confidence", "risk", "line", "policy", "id"], ascending=[False, False, True, True, True, True]).reset_index(drop=True)
         place = {i: k for k, i in enumerate(pdf["id"])}
         bar = [[] if x is None else [place[j] for j in x] for x in pdf["near"]]
-        keep = exact(pdf, [sum(1 << j for j in x) for x in bar]) if len(pdf) <= exact_up_to else greedy(bar)
-        return pdf.loc[keep, ["component", "id", "line", "policy"]]
+        return pdf.loc[greedy(bar), ["component", "id", "line", "policy"]]
+
+    if not middle.isEmpty():
+        solved = solved.unionByName(middle.join(near, middle.id == near.a, "left").drop("a").groupBy("component").applyInPandas(solve, CHOSEN))
+    if not large.isEmpty():
+        solved = solved.unionByName(large.join(greedy_by_joins(large, edges), "id", "left_semi").select(*out))
+    return solved
+
+
+#: What a solved component gives.
+CHOSEN = "component bigint, id bigint, line bigint, policy string"
 
-    kind = "component bigint, id bigint, line bigint, policy string"
-    solved = small.join(near, small.id == near.a, "left").drop("a").groupBy("component").applyInPandas(solve, kind)
-    if large.isEmpty():
-        return solved
-    chosen = large.join(greedy_by_joins(large, edges), "id", "left_semi")
-    return solved.unionByName(chosen.select("component", "id", F.col("line").cast("bigint"), "policy"))
+
+def _place() -> Column:
+    """Sorts candidates by what ``greedy`` takes first."""
+    last = F.lit(float("inf"))
+    down = lambda c: F.coalesce(-F.col(c), last).alias(c)
+    return F.struct(down("weight"), down("confidence"), F.coalesce("risk", last).alias("risk"), "line", "policy", "id")
+
+
+def _exact_rows(cands: DataFrame, near: DataFrame) -> DataFrame:
+    """The exact solutions of components, each one row, so that a batch holds many of them."""
+    rows = cands.join(near, cands.id == near.a, "left").repartition(4 * cands.sparkSession.sparkContext.defaultParallelism, "component")
+    one = F.struct(_place().alias("place"), F.coalesce("weight", F.lit(0.0)).alias("weight"), F.col("near"))
+    whole = rows.groupBy("component").agg(F.array_sort(F.collect_list(one)).alias("x"))
+    each = lambda f: F.transform("x", f)
+    listed = whole.select("component", each(lambda x: x["weight"]).alias("weight"), each(lambda x: x["place"]["line"].cast("bigint")).alias("line"), each(lambda x: x["place"]["policy"]).alias("policy"), each(lambda x: x["place"]["id"].cast("bigint")).alias("id"), each(lambda x: x["near"]).alias("near"))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[str, list] = {c: [] for c in ("component", "id", "line", "policy")}
+            for r in batch.to_pylist():
+                place = {i: k for k, i in enumerate(r["id"])}
+                for k in exact(r, [sum(1 << j for j in {place[i] for i in x or ()}) for x in r["near"]]):
+                    found["component"].append(r["component"])
+                    for c in ("id", "line", "policy"):
+                        found[c].append(r[c][k])
+            yield pa.RecordBatch.from_pydict(found, pa.schema([("component", pa.int64()), ("id", pa.int64()), ("line", pa.int64()), ("policy", pa.string())]))
+
+    return listed.mapInArrow(solve, CHOSEN)
 
 
 def greedy(bar: list[list[int]]) -> list[int]:
@@ -190,10 +230,7 @@ def greedy_by_joins(cands: DataFrame, edges: DataFrame) -> DataFrame:
     goes. The rounds are half the longest chain of candidates that each come
     after the one before, not their number.
     """
-    last = F.lit(float("inf"))
-    down = lambda c: F.coalesce(-F.col(c), last).alias(c)
-    rank = F.struct(down("weight"), down("confidence"), F.coalesce("risk", last).alias("risk"), "line", "policy", "id")
-    place = cands.select("id", rank.alias("rank"))
+    place = cands.select("id", _place().alias("rank"))
     ends = edges.select("a", "b").where("a <> b").join(place.toDF("a", "ra"), "a").join(place.toDF("b", "rb"), "b")
     first = F.col("ra") < F.col("rb")
     arcs = cut(ends.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("first"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("id")).distinct())
@@ -210,7 +247,7 @@ def greedy_by_joins(cands: DataFrame, edges: DataFrame) -> DataFrame:
     return taken
 
 
-def exact(pdf: pd.DataFrame, bar: list[int]) -> list[int]:
+def exact(pdf: pd.DataFrame | dict[str, list], bar: list[int]) -> list[int]:
     """Best subset by branch and bound over rows in the order of weight."""
     w = [max(0.0, x) for x in pdf["weight"]]
     keys = list(zip(pdf["line"], pdf["policy"], strict=True))

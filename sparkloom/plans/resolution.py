@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import resolution as op
+from ..operators.lineage import cut
 from ..session import table
 from .registry import query
 
@@ -109,14 +110,14 @@ def conflict_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT a AS id, min(b) AS component FROM r GROUP BY a"""
 )
 def conflict_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _admissible(spark, sf_dir)
+    found = cut(_admissible(spark, sf_dir))
     return op.components(found.select("id"), op.conflict_edges(found))
 
 
 @query()
 def independent_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Branch and bound or greedy in each component; tested against all subsets."""
-    found = _admissible(spark, sf_dir).withColumn("weight", F.col("utility"))
+    found = cut(_admissible(spark, sf_dir).withColumn("weight", F.col("utility")))
     return op.independent_set(found, op.conflict_edges(found)).select("component", "id", "line", "policy")
 
 

@@ -134,6 +134,23 @@ def test_large_components_are_solved_by_joins_alike(spark, monkeypatch):
     assert resolution.independent_set(cands.limit(0), edges.limit(0)).count() == 0
 
 
+def test_small_components_are_no_groups_of_their_own(spark):
+    rng = random.Random(4)
+    c = [(i, rng.choice("pq"), rng.randrange(40), rng.choice([-1.0, 0.0, 1.0, 1.5, 2.0]), 0.5, 0) for i in range(60)]
+    e = [(i, i + 1) for i in range(0, 40) if i % 4 < 3]  # chains of four, the rest alone
+    cands = spark.createDataFrame(c, "id long, policy string, line long, weight double, confidence double, risk int")
+    found = resolution.independent_set(cands, spark.createDataFrame(e, "a long, b long"))
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r.id: r for r in found.collect()}
+    assert not any(a in rows and b in rows for a, b in e) and all(rows[i].line == c[i][2] for i in rows)
+    for k in [*range(10), *range(40, 60)]:
+        part = c[4 * k : 4 * k + 4] if k < 10 else [c[k]]
+        sets = [s for n in range(len(part) + 1) for s in itertools.combinations(part, n) if not any((x[0], y[0]) in e for x in s for y in s)]
+        best = max(sum(max(0.0, x[3]) for x in s) for s in sets)
+        least = min(sorted((x[2], x[1]) for x in s) for s in sets if sum(max(0.0, x[3]) for x in s) == best)
+        assert sorted((c[i][2], c[i][1]) for i in rows if i in {x[0] for x in part}) == least
+
+
 def test_conflicts_by_symbol_against_all_pairs(spark):
     rng = random.Random(5)
     rows = []
