@@ -135,12 +135,19 @@ def impact(edges: DataFrame, metrics: DataFrame, changed: DataFrame, hops: int,
     return visited.where("hop > 0").orderBy("hop", F.desc("score"), "id").limit(max_files)
 
 
-def aliased(edges: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Edges with ends renamed by ``aliases`` (old, new), and merged again."""
-    a = aliases.select(F.col("old").alias("src"), F.col("new").alias("_s"))
-    b = aliases.select(F.col("old").alias("dst"), F.col("new").alias("_d"))
-    moved = edges.join(a, "src", "left").join(b, "dst", "left")
-    return upsert(moved.select(F.coalesce("_s", "src").alias("src"), F.coalesce("_d", "dst").alias("dst"), "kind", "weight", "last_seen"))
+def aliased(edges: DataFrame, aliases: DataFrame, rows_a_task: int = 500_000) -> DataFrame:
+    """Edges with ends renamed by ``aliases`` (old, new), and merged again; ``edges`` need not be merged before.
+
+    Edges are counted first and dealt into as many tasks as their number asks
+    for, so that a task's memory doesn't grow with them. Only aliases are held
+    by the joins, edges are not sorted.
+    """
+    n = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), edges.count() // rows_a_task + 1)
+    a = aliases.select(F.col("old").alias("src"), F.col("new").alias("_s")).hint("shuffle_hash")
+    b = aliases.select(F.col("old").alias("dst"), F.col("new").alias("_d")).hint("shuffle_hash")
+    moved = edges.repartition(n, "src").join(a, "src", "left").repartition(n, "dst").join(b, "dst", "left")
+    moved = moved.select(F.coalesce("_s", "src").alias("src"), F.coalesce("_d", "dst").alias("dst"), "kind", "weight", "last_seen")
+    return upsert(moved.repartition(n, "src", "dst", "kind"))
 
 
 def decayed(pairs: DataFrame, now: int, half_life: int, floor: int) -> DataFrame:

@@ -155,7 +155,7 @@ def neighbor_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def alias_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     aliases = table(spark, sf_dir, "part", "p_partkey").selectExpr("concat('s', p_partkey) AS old", "concat('s', p_partkey div 10) AS new")
-    return op.aliased(edges(spark, sf_dir), aliases)
+    return op.aliased(raw(spark, sf_dir), aliases)
 
 
 @query(

@@ -58,3 +58,13 @@ def test_companions_are_not_shuffled_as_pairs(spark):
     # paths that are listed in several places are told once
     twice = spark.createDataFrame([(1, "a/src", "s", False), (2, "a/inc", "s", True), (2, "a/src", "s", True), (2, "a/src", "s", True)], kind)
     assert sorted(tuple(r) for r in lookups.companions(twice, twice).collect()) == [(1, 2), (2, 1)]
+
+
+def test_aliased_edges_are_dealt_by_their_number(spark):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = spark.range(100 * n).selectExpr("concat('f', id) AS src", "concat('s', id % 50) AS dst", "'contains' AS kind", "id % 3 AS weight", "id AS last_seen")
+    aliases = spark.range(50).selectExpr("concat('s', id) AS old", "concat('s', id div 10) AS new")
+    found = graphs.aliased(rows, aliases, 10)
+    assert found.rdd.getNumPartitions() == 10 * n + 1
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.dst for r in found.collect()) == sorted(f"s{i % 50 // 10}" for i in range(100 * n))
