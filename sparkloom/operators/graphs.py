@@ -147,7 +147,7 @@ def aliased(edges: DataFrame, aliases: DataFrame, rows_a_task: int = 500_000) ->
     b = aliases.select(F.col("old").alias("dst"), F.col("new").alias("_d")).hint("shuffle_hash")
     moved = edges.repartition(n, "src").join(a, "src", "left").repartition(n, "dst").join(b, "dst", "left")
     moved = moved.select(F.coalesce("_s", "src").alias("src"), F.coalesce("_d", "dst").alias("dst"), "kind", "weight", "last_seen")
-    return upsert(moved.repartition(n, "src", "dst", "kind"))
+    return upsert(moved.repartition(n, "src", "dst"))
 
 
 def decayed(pairs: DataFrame, now: int, half_life: int, floor: int) -> DataFrame:
