@@ -41,15 +41,16 @@ def resolved(includes: DataFrame, files: DataFrame, search: list[str]) -> DataFr
 def closure(edges: DataFrame) -> DataFrame:
     """(file, included, depth): all that a file includes, with the least number of steps; itself too if it is on a cycle.
 
-    ``edges``: (file, target). Each round goes one step on from the pairs that the round before found first, so no pair is followed twice and cycles end.
+    ``edges``: (file, target). Each round doubles the steps that are known: pairs of exactly that many go on by all pairs,
+    so the rounds, in which all pairs are dealt once, are the logarithm of the greatest depth, and cycles end.
     """
-    edges = cut(edges.where("file IS NOT NULL AND target IS NOT NULL").select("file", "target").distinct())
-    known = cut(edges.select("file", F.col("target").alias("included"), F.lit(1).alias("depth")))
-    new, depth = known, 1
+    paths = cut(edges.where("file IS NOT NULL AND target IS NOT NULL").select("file", F.col("target").alias("included")).distinct().withColumn("depth", F.lit(1)))
+    length = 1
     while True:
-        depth += 1
-        step = new.join(edges.withColumnsRenamed({"file": "included"}), "included").select("file", F.col("target").alias("included")).distinct()
-        new = cut(step.join(known, ["file", "included"], "left_anti").withColumn("depth", F.lit(depth)))
-        if new.isEmpty():
-            return known
-        known = cut(known.unionByName(new))
+        jump = paths.where(F.col("depth") == length)
+        if jump.isEmpty():
+            return paths
+        on = paths.select(F.col("file").alias("_m"), F.col("included").alias("_to"), F.col("depth").alias("_d"))
+        longer = jump.join(on, jump.included == F.col("_m")).select("file", F.col("_to").alias("included"), (F.col("depth") + F.col("_d")).alias("depth"))
+        paths = cut(paths.unionByName(longer).groupBy("file", "included").agg(F.min("depth").alias("depth")))
+        length *= 2

@@ -130,3 +130,11 @@ def test_validated_edits(spark, sf_dir):
         n = Counter(x.change for x in got.get(d, []))
         assert (r.kept, r.moved, r.added, r.removed) == tuple(n[c] for c in ("kept", "moved", "added", "removed"))
         assert ("declarations_removed" in r.failures) == (n["removed"] > 0) and ("errors_appeared" in r.failures) == (d % 21 == 0) and ("declarations_moved" in r.failures) == (n["moved"] > 0) and r.accepted == (r.failures == "")
+
+
+def test_closure_of_long_chains_takes_few_rounds(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(includes, "cut", lambda df, cut=includes.cut: cuts.append(1) or cut(df))
+    rows = includes.closure(spark.createDataFrame([(f"a{i}", f"a{i + 1}") for i in range(20)] + [("a20", "a0")], "file string, target string")).collect()
+    assert {(r.file, r.included): r.depth for r in rows} == {(f"a{i}", f"a{(i + d) % 21}"): d for i in range(21) for d in range(1, 22)}
+    assert len(cuts) <= 7
