@@ -115,6 +115,29 @@ def test_marginal_sums_all_segmentations(vocabulary):
         assert pieces.log_marginal(table, byte, s) == pytest.approx(math.log(brute(s)), rel=1e-12)
 
 
+def test_units_hold_all_segments_and_their_tree_sums_alike(vocabulary):
+    table, byte = vocabulary.table(), vocabulary.byte
+    root = pieces.tree(table)
+    for t in ("", " ", "a b", "  a   b ", "a\u2581b c", "a\u2581 b", "two\nlines, \tand  more!!", "\u5317\u4eac\u3002 \u4e2d", "\U0001f600 \u1234x" * 30, "word " * 9):
+        cut = [s for u in pieces.units(t) for s in vocabulary.segment(u)]
+        assert cut == pieces.segments(vocabulary, t)
+        for s in cut:
+            assert pieces.log_marginal_of(root, table, byte, s) == pytest.approx(pieces.log_marginal(table, byte, s), rel=1e-12)
+    odd = "\u1234" * 40  # its plain probability is too small for a double
+    assert pieces.log_marginal_of(root, table, byte, odd) == pieces.log_marginal(table, byte, odd) < -700
+
+
+def test_lm_counts_by_units_are_those_of_whole_texts(spark, vocabulary):
+    texts = ["The cat,  the\ncat. ", " a\u2581b A\u2581 b", "x" * 50 + ", y" * 3, "bad \ufffd The", None, "", "The cat, the cat." * 3]
+    words, parts = collections.Counter(), collections.Counter()
+    for t in texts:
+        words.update([*lm_score.tokens((t or "").encode()), b""])
+        parts.update(s.encode() if len(s) <= pieces.MEMO_CHARS else b"" for s in pieces.segments(vocabulary, t or ""))
+    rows = lm_score.count_training(documents(spark, texts), vocabulary).collect()
+    assert {bytes(r.word): r.n for r in rows if not r.part} == words
+    assert {bytes(r.word): r.n for r in rows if r.part and r.n} == parts
+
+
 @pytest.mark.parametrize("head", [0, 5, 10_000])
 def test_lm_base_against_plain_counts(spark, vocabulary, head):
     rng = random.Random(2)
