@@ -117,7 +117,7 @@ def test_marginal_sums_all_segmentations(vocabulary):
 
 def test_units_hold_all_segments_and_their_tree_sums_alike(vocabulary):
     table, byte = vocabulary.table(), vocabulary.byte
-    root = pieces.tree(table)
+    root = pieces.tree(table, byte)
     for t in ("", " ", "a b", "  a   b ", "a\u2581b c", "a\u2581 b", "two\nlines, \tand  more!!", "\u5317\u4eac\u3002 \u4e2d", "\U0001f600 \u1234x" * 30, "word " * 9):
         cut = [s for u in pieces.units(t) for s in vocabulary.segment(u)]
         assert cut == pieces.segments(vocabulary, t)
