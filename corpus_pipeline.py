@@ -115,7 +115,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         path = scratch(spark, name)
         with scratch_scope(spark):
-            stage(spark, docs, sf_dir).write.parquet(path)
+            stage(spark, docs, sf_dir).write.option("compression", "zstd").parquet(path)
         docs = spark.read.parquet(path)
         if before:
             discard(spark, before)

@@ -328,10 +328,18 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     path = scratch(docs.sparkSession, "groups")
     groups.write.parquet(path)
     groups = docs.sparkSession.read.schema("doc_id bigint, class_id bigint, n_links bigint").parquet(path)
-    winners = groups.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id"))
-    again = groups.groupBy(F.col("doc_id").alias("_id")).count().where("count > 1").select("_id")
-    same = F.col(id_col).eqNullSafe(F.col("_id"))
-    kept = docs.join(winners, same, "left_semi")
-    if again.isEmpty():
-        return kept
-    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))
+    winners = groups.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    ids = groups.groupBy(F.col("doc_id").alias("_id")).count()
+    # few ids are lost or come again: only their rows, and others by chance, are moved by the joins
+    same = F.col("_id").eqNullSafe(F.col("_won"))
+    odd = ids.join(winners.withColumnRenamed("_id", "_won").withColumn("_kept", F.lit(True)), same, "left").select("_id", "count", F.coalesce("_kept", F.lit(False)).alias("_kept"))
+    odd = _stored(odd.where("count > 1 OR NOT _kept"), "odd")
+    bits = key_filter(odd, "_id")
+    rows = docs.withColumn("_id_", F.col(id_col).cast("bigint"))
+    met = let_through(rows, "_id_", bits)
+    same = F.col("_id_").eqNullSafe(F.col("_id"))
+    kept = let_through(rows, "_id_", bits, held=False).unionByName(met.join(odd, same, "left_anti"))
+    again = odd.where("count > 1 AND _kept").select("_id")
+    if not again.isEmpty():
+        kept = kept.unionByName(met.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))
+    return kept.drop("_id_")

@@ -503,7 +503,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     # a repeated row finds its spans once more with each copy
     found.groupBy("rid").agg(F.collect_set(F.struct("start", "stop")).alias("spans")).write.parquet(path)
     spans = docs.sparkSession.read.schema("rid binary, spans array<struct<start: bigint, stop: bigint>>").parquet(path)
-    hit = let_through(source, "rid", key_filter(spans, "rid")).join(spans, "rid").select("text", "spans", "row")
+    bits = key_filter(spans, "rid")
+    hit = let_through(source, "rid", bits).join(spans, "rid").select("text", "spans", "row")
     row = hit.schema["row"].dataType
 
     def cut_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -519,15 +520,22 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
 
     kinds = [T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.BinaryType()]
     some = hit.mapInArrow(tidy(cut_out), T.StructType([T.StructField("row", row), *(T.StructField(n, k) for n, k in zip(_NEW, kinds, strict=True))]))
-    # what a row without repeats returns is taken before the join, so that no text is shuffled unless asked for
-    plain = source.select(
-        "rid",
-        "row",
-        F.octet_length("text").cast("bigint").alias("n_bytes"),
-        F.lit(0).cast("bigint").alias("n_removed"),
-        F.lit(0).cast("bigint").alias("n_spans"),
-        F.sha2("text", 256).alias("kept_sha256"),
-        (F.col("text") if with_text else F.lit(None).cast("binary")).alias("kept"),
-    )
-    rest = plain.join(spans.select("rid"), "rid", "left_anti").drop("rid")
+    def plain(rows: DataFrame) -> DataFrame:
+        return rows.select(
+            "rid",
+            "row",
+            F.octet_length("text").cast("bigint").alias("n_bytes"),
+            F.lit(0).cast("bigint").alias("n_removed"),
+            F.lit(0).cast("bigint").alias("n_spans"),
+            F.sha2("text", 256).alias("kept_sha256"),
+            (F.col("text") if with_text else F.lit(None).cast("binary")).alias("kept"),
+        )
+
+    # what a row without repeats returns is taken before the join, so that no text is shuffled unless asked for, and then
+    # only those that the filter holds
+    if with_text:
+        rest = plain(let_through(source, "rid", bits)).join(spans.select("rid"), "rid", "left_anti")
+        rest = rest.unionByName(plain(let_through(source, "rid", bits, held=False))).drop("rid")
+    else:
+        rest = plain(source).join(spans.select("rid"), "rid", "left_anti").drop("rid")
     return some.unionByName(rest).select("row.*", *(_NEW if with_text else _NEW[:-1]))

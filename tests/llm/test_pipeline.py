@@ -4,7 +4,9 @@ import collections
 import random
 
 import numpy as np
-from sparkloom.llm import pieces
+from pyspark.sql import functions as F
+from sparkloom.llm import near_duplicates, pieces
+from sparkloom.llm.common import key_filter, let_through
 from sparkloom.llm.queries import PIECES
 
 import corpus_pipeline
@@ -60,3 +62,29 @@ def test_language_stage_keeps_mixed_texts(spark):
     docs = [(i, t, None if i > 900 else g, s, n) for i, t, g, s, n in docs]
     got = {r.doc_id for r in corpus_pipeline.language_id(spark, spark.createDataFrame(docs, DOCS), "").collect()}
     assert got == {d[0] for d in docs} - {903}
+
+
+def test_few_texts_are_moved_for_few_losers(spark):
+    """keep_one with joins that can't broadcast: of long texts only those that meet the filter of lost ids are shuffled."""
+    rng = np.random.default_rng(5)
+    texts = [words_text(random.Random(i), 20) + " " + rng.bytes(20_000).hex() for i in range(300)]
+    docs = spark.createDataFrame([*enumerate(texts), (300, texts[0]), (300, texts[0]), (1, texts[1]), (2, texts[3]), (None, texts[5])], "doc_id int, text string")
+    docs = near_duplicates._stored(docs.repartition(4), "rows")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = near_duplicates.keep_one(docs)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        kept = sorted((r.doc_id, texts.index(r.text)) for r in found.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert kept == sorted([(i, i) for i in range(300) if i != 3] + [(2, 3)])
+    assert "Union" in plan and plan.count("MapInArrow") >= 2  # rows that the filter doesn't hold are in no join
+
+
+def test_a_filter_parts_the_rows(spark):
+    rows = spark.range(2000).withColumn("text", F.col("id").cast("string"))
+    bits = key_filter(spark.range(0, 2000, 40), "id")
+    held, rest = ({r.id for r in let_through(rows, "id", bits, h).collect()} for h in (True, False))
+    assert held | rest == set(range(2000)) and not held & rest and held >= set(range(0, 2000, 40)) and len(rest) > 1500
+    assert let_through(rows, "id", None, held=False).count() == 0 and let_through(rows, "id", None).count() == 2000
