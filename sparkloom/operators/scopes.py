@@ -66,8 +66,11 @@ def unmatched(tokens: DataFrame) -> DataFrame:
 
 def statements(tokens: DataFrame) -> DataFrame:
     """(doc, seg, at, stop, line_no, stop_line, n, tokens, text, ends): runs of tokens up to and without ``;``, ``{`` or ``}``; ``ends`` is that token (null at the end)."""
-    first = F.first("token").over(Window.partitionBy("doc", "line_no").orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-    code = tokens.withColumn("_d", first).where("_d <> '#'").drop("_d")
+    # places grow with lines, so a line's first token comes from the order of the text, which the sums below need as well
+    begins = F.col("_p").isNull() | (F.col("_p") != F.col("line_no"))
+    code = tokens.withColumn("_p", F.lag("line_no").over(Window.partitionBy("doc").orderBy("at")))
+    first = F.last(F.when(begins, F.col("token")), ignorenulls=True).over(_running("doc"))
+    code = code.withColumn("_d", first).where("_d <> '#'").drop("_d", "_p")
     brace = F.col("token").isin("{", "}")
     code = code.withColumn("_b", F.sum(brace.cast("int")).over(_running("doc")) - brace.cast("int"))
     code = depths(code, F.when(F.col("token") == "(", 1).when(F.col("token") == ")", -1).otherwise(0), "doc", "_b")
@@ -106,9 +109,12 @@ def head_kind(text: Column) -> tuple[Column, Column]:
     return kind, F.nullif(F.replace(name, F.lit(" "), F.lit("")), F.lit(""))
 
 
-def scopes(tokens: DataFrame) -> DataFrame:
-    """(doc, start, end, body, start_line, end_line, kind, name); ``body`` is the place of the brace."""
-    heads = statements(tokens).where("ends = '{'")
+def scopes(tokens: DataFrame, found: DataFrame | None = None, conditions: bool = True) -> DataFrame:
+    """(doc, start, end, body, start_line, end_line, kind, name); ``body`` is the place of the brace.
+
+    ``found``: ``statements(tokens)``, where they are at hand. Without ``conditions`` directives have no scopes.
+    """
+    heads = (statements(tokens) if found is None else found).where("ends = '{'")
     last = tokens.groupBy("doc").agg(F.max(F.col("at") + F.octet_length("token")).alias("_last"), F.max("line_no").alias("_last_line"))
     braces = tokens.where("token IN ('{', '}')")
     lined = matched(braces, F.col("token") == "{").select("doc", F.col("at").alias("end_at"), "close")
@@ -128,7 +134,7 @@ def scopes(tokens: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("kind", F.when(F.col("_template"), F.array(F.lit("template"), "kind")).otherwise(F.array("kind"))).withColumn("kind", F.explode("kind"))
     rows = rows.withColumn("name", F.when(F.col("kind") != "template", F.col("name"))).drop("_template")
-    return rows.unionByName(directives(tokens, last))
+    return rows.unionByName(directives(tokens, last)) if conditions else rows
 
 
 def directives(tokens: DataFrame, last: DataFrame) -> DataFrame:

@@ -141,7 +141,7 @@ def innermost_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def source_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The scopes that nest, as labelled nodes."""
-    return trees.labelled(op.scopes(source_tokens(spark, sf_dir)).where("kind NOT IN ('preprocessor', 'template')").select("doc", "start", "end", "kind"))
+    return trees.labelled(op.scopes(source_tokens(spark, sf_dir), conditions=False).where("kind <> 'template'").select("doc", "start", "end", "kind"))
 
 
 _NODES = f"""{_SCAN}, {_SCOPES},
@@ -209,9 +209,11 @@ decl AS (
   WHERE regexp_matches(token, '^[A-Za-z_]') AND token NOT IN {_WORDS} AND (p IN ('namespace', 'class', 'enum') OR p IN ('int', 'void', 'char') AND n IN ('(', '=', ';', ',', ')')))"""
 
 
-def source_declared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def source_declared(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tokens, what they declare and their statements."""
     tokens = source_tokens(spark, sf_dir)
-    return tokens, cut(symbols.declarations(op.statements(tokens)))
+    found = cut(op.statements(tokens))
+    return tokens, cut(symbols.declarations(found)), found
 
 
 @query(f"WITH {_DECLARED} SELECT doc, pos AS \"at\", name, kind, head FROM decl")
@@ -239,8 +241,8 @@ meant AS (
 
 def source_names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     """Declarations and uses with their scopes, the ancestors of scopes, and what the uses mean."""
-    tokens, declared = source_declared(spark, sf_dir)
-    nodes = trees.labelled(op.scopes(tokens).where("kind NOT IN ('preprocessor', 'template')").select("doc", "start", "end", "kind"))
+    tokens, declared, found = source_declared(spark, sf_dir)
+    nodes = trees.labelled(op.scopes(tokens, found, conditions=False).where("kind <> 'template'").select("doc", "start", "end", "kind"))
     used = cut(symbols.placed(symbols.references(tokens, declared), nodes, 2 * F.col("at")))
     declared, above = cut(symbols.declared_in(declared, nodes)), symbols.ancestors(nodes)
     return declared, used, above, cut(symbols.resolve(used, declared, above))

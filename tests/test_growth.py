@@ -5,8 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.operators import edits, graphs, lookups, reports
-from sparkloom.plans import registry
+from sparkloom.operators import edits, graphs, lookups, reports, scanning, scopes
+from sparkloom.plans import registry, source
 
 
 def test_scores_are_rounded_by_their_binary_value(spark):
@@ -68,3 +68,20 @@ def test_aliased_edges_are_dealt_by_their_number(spark):
     assert found.rdd.getNumPartitions() == 10 * n + 1
     assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.dst for r in found.collect()) == sorted(f"s{i % 50 // 10}" for i in range(100 * n))
+
+
+def test_statements_are_dealt_once(spark):
+    """Also the first token of a line comes from the order of the text, so all tokens move once."""
+    lines = ["#define A {", " {", "a ;", "# if x", "b { c ; }", "}"]
+    tokens = scanning.tokens(spark.createDataFrame([(d, i + 1, x) for d in (1, 2) for i, x in enumerate(lines)], "doc long, line_no long, line string"))
+    found = scopes.statements(tokens)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1 and "hashpartitioning(doc#" in plan
+    assert sorted((r.doc, r.at, r.text, r.ends) for r in found.collect() if r.n) == sorted((d, at, t, e) for d in (1, 2) for at, t, e in ((15, "a", ";"), (26, "b", "{"), (30, "c", ";")))
+
+
+def test_scopes_from_statements_at_hand(spark, sf_dir):
+    tokens = source.source_tokens(spark, sf_dir).where("doc % 7 = 0")
+    every = scopes.scopes(tokens).where("kind <> 'preprocessor'")
+    some = scopes.scopes(tokens, scopes.statements(tokens), conditions=False)
+    assert every.exceptAll(some).isEmpty() and some.exceptAll(every).isEmpty() and not some.isEmpty()
