@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .graphs import replace_edges
+from .lineage import cut
 from .ranking import numbered
 
 # What a source's compile arguments score for another's, the least score, and how many sets are taken.
@@ -19,6 +20,8 @@ NODE_SHARE, METRIC_SHARE, FAILED = 0.15, 0.10, 0.5
 LATEST = 1024
 # Folders whose files belong together.
 HEADER_DIRS, SOURCE_DIRS = ("include", "inc"), ("src", "source")
+#: About how many paths and listed companions a cell of pairs has at most, and how many pairs a task makes.
+BLOCK, LISTED, PAIRS = 512, 4096, 20_000_000
 
 
 def declaration_at(places: DataFrame, decls: DataFrame, refs: DataFrame, keys: list[str]) -> DataFrame:
@@ -266,19 +269,35 @@ def companions(files: DataFrame, listing: DataFrame) -> DataFrame:
     """Existing companions (companion) of files (path, dir, stem, header): the same stem in the folder or in its twin, of the other kind.
 
     ``listing``: path, dir, stem, header. A twin has one folder of headers for one of sources in its place, or the other way round.
+
+    The pairs grow with the square of a stem's files in a folder and are counted first, by place. Each place is cut
+    into cells of some paths and some companions, and cells are dealt into as many tasks as the pairs ask for: what
+    moves is a row for each path and a list for each cell, and pairs are only made behind that.
     """
     segs = F.split("dir", "/")
     swap = lambda s, a, b: F.when(F.lower(s).isin(*a), F.array(*map(F.lit, b))).when(F.lower(s).isin(*b), F.array(*map(F.lit, a))).otherwise(F.array().cast("array<string>"))
     twins = F.flatten(F.transform(F.sequence(F.lit(0), F.size(segs) - 1), lambda i: F.transform(swap(F.get(segs, i), HEADER_DIRS, SOURCE_DIRS), lambda r: F.array_join(F.transform(segs, lambda s, k: F.when(k == i, r).otherwise(s)), "/"))))
-    places = files.withColumn("_d", F.explode(F.array_distinct(F.concat(F.array("dir"), twins)))).select("path", "_d", "stem", "header").distinct()
+    at = ["_d", "stem", "_h"]
+    places = files.withColumn("_d", F.explode(F.array_distinct(F.concat(F.array("dir"), twins)))).select("path", "_d", "stem", (~F.col("header")).alias("_h")).distinct()
     # a path that is listed once meets a place once, so of all pairs only those with paths listed in several places have to be made distinct
     listed = listing.groupBy(F.col("path").alias("companion")).agg(F.collect_set(F.struct(F.col("dir").alias("_d"), "stem", F.col("header").alias("_h"))).alias("xs"))
-
-    def pairs(some: DataFrame) -> DataFrame:
-        others = some.select("companion", F.explode("xs").alias("x")).select("companion", "x.*")
-        return places.join(others, ["_d", "stem"]).where(F.col("_h") != F.col("header")).select("path", "companion")
-
-    return pairs(listed.where(F.size("xs") == 1)).unionByName(pairs(listed.where(F.size("xs") > 1)).distinct())
+    others = listed.select("companion", (F.size("xs") > 1).alias("_many"), F.explode("xs").alias("x")).select("companion", "_many", "x.*")
+    met = others.groupBy(*at, "_many").agg(F.count("*").alias("_c")).join(places.groupBy(*at).agg(F.count("*").alias("_p")), at)
+    cells = cut(met.select(*at, "_many", (F.col("_p") * F.col("_c")).alias("_n"), F.ceil(F.col("_p") / BLOCK).alias("_is"), F.ceil(F.col("_c") / LISTED).alias("_js")))
+    sums = {r["_many"]: r.n for r in cells.groupBy("_many").agg(F.sum("_n").alias("n")).collect()}  # two rows at most
+    least = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def pairs(many: bool) -> DataFrame:
+        n, cell = max(least, sums.get(many, 0) // PAIRS + 1), [*at, "_i", "_j"]
+        own = cells.where(F.col("_many") == many).select(*at, "_is", "_js")
+        all_of = lambda c: F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1)
+        asked = places.join(own, at).select(*at, "path", F.pmod(F.xxhash64("path"), "_is").alias("_i"), F.explode(all_of("_js")).alias("_j"))
+        some = others.where(F.col("_many") == many).join(own, at).withColumn("_j", F.pmod(F.xxhash64("companion"), "_js"))
+        blank = F.array_repeat(F.lit(None), F.count_if(F.col("companion").isNull()).cast("int"))  # a list leaves it out
+        lists = some.groupBy(*at, "_is", "_j").agg(F.concat(F.collect_list("companion"), blank).alias("cs")).withColumn("_i", F.explode(all_of("_is"))).drop("_is")
+        return asked.repartition(n, *cell).join(lists.repartition(n, *cell).hint("shuffle_hash"), cell).select("path", F.explode("cs").alias("companion"))
+
+    return pairs(False).unionByName(pairs(True).distinct()) if True in sums else pairs(False)
 
 
 def first_companion(source: DataFrame, listing: DataFrame, roots: list[str], extensions: list[str]) -> DataFrame:

@@ -60,6 +60,27 @@ def test_companions_are_not_shuffled_as_pairs(spark):
     assert sorted(tuple(r) for r in lookups.companions(twice, twice).collect()) == [(1, 2), (2, 1)]
 
 
+def test_companions_are_made_in_all_tasks(spark, monkeypatch):
+    kind = "path long, dir string, stem string, header boolean"
+    files = spark.createDataFrame([(i, "b", f"s{i % 40}", i % 80 < 40) for i in range(1600)], kind)
+    by_task = lookups.companions(files, files).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in by_task) == 40 * 2 * 20 * 20
+    assert max(r["count"] for r in by_task) < 40 * 20 * 20  # half of all; one small shuffle is read by one task
+    # one stem is cut into cells, which as many tasks as the pairs ask for make
+    one = spark.createDataFrame([(i, "b", "s", i % 2 == 0) for i in range(400)], kind)
+    for name, most in (("BLOCK", 7), ("LISTED", 11), ("PAIRS", 2000)):
+        monkeypatch.setattr(lookups, name, most)
+    found = lookups.companions(one, one)
+    assert found.rdd.getNumPartitions() == 41
+    assert sorted(tuple(r) for r in found.collect()) == sorted((i, j) for i in range(400) for j in range(400) if (i - j) % 2)
+    # a path may be unknown, and paths of several places have cells as well
+    several = [(None, "a/src", "s", False), *((i, d, "s", i % 2 == 0) for i in range(60) for d in ("a/src", "a/inc"))]
+    some = spark.createDataFrame(several, kind)
+    want = {(i, j) for i in (None, *range(60)) for j in (None, *range(60)) if bool(i is not None and i % 2 == 0) != bool(j is not None and j % 2 == 0)}
+    got = [tuple(r) for r in lookups.companions(some, some).collect()]
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_aliased_edges_are_dealt_by_their_number(spark):
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = spark.range(100 * n).selectExpr("concat('f', id) AS src", "concat('s', id % 50) AS dst", "'contains' AS kind", "id % 3 AS weight", "id AS last_seen")
