@@ -278,7 +278,8 @@ def companions(files: DataFrame, listing: DataFrame) -> DataFrame:
     swap = lambda s, a, b: F.when(F.lower(s).isin(*a), F.array(*map(F.lit, b))).when(F.lower(s).isin(*b), F.array(*map(F.lit, a))).otherwise(F.array().cast("array<string>"))
     twins = F.flatten(F.transform(F.sequence(F.lit(0), F.size(segs) - 1), lambda i: F.transform(swap(F.get(segs, i), HEADER_DIRS, SOURCE_DIRS), lambda r: F.array_join(F.transform(segs, lambda s, k: F.when(k == i, r).otherwise(s)), "/"))))
     at = ["_d", "stem", "_h"]
-    places = files.withColumn("_d", F.explode(F.array_distinct(F.concat(F.array("dir"), twins)))).select("path", "_d", "stem", (~F.col("header")).alias("_h")).distinct()
+    folders = files.select("dir").distinct().select("dir", F.explode(F.array_distinct(F.concat(F.array("dir"), twins))).alias("_d"))  # twins cost more than a join
+    places = files.join(folders, "dir").select("path", "_d", "stem", (~F.col("header")).alias("_h")).distinct()
     # a path that is listed once meets a place once, so of all pairs only those with paths listed in several places have to be made distinct
     listed = listing.groupBy(F.col("path").alias("companion")).agg(F.collect_set(F.struct(F.col("dir").alias("_d"), "stem", F.col("header").alias("_h"))).alias("xs"))
     others = listed.select("companion", (F.size("xs") > 1).alias("_many"), F.explode("xs").alias("x")).select("companion", "_many", "x.*")
